@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, mixing, secrets, store, tokenfiles
+from . import decontaminate, exact, language, mixing, passages, secrets, store, suffixes, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(documents(spark, sf_dir)))
 
 
+def op5_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.without_copies(documents(spark, sf_dir)))
+
+
+def op7_passage_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(passages.without_passages(documents(spark, sf_dir)))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(documents(spark, sf_dir)))
 
@@ -42,7 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_dedup, op4_secret_links, op8_curriculum_mix, op9_language_id, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_dedup, op4_secret_links, op5_previous_factors, op7_passage_doubling, op8_curriculum_mix, op9_language_id, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,3 +52,49 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def partitions(spark: SparkSession) -> int:
     """How many owner partitions an exchange gets: the session's setting, which is sized to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def block_table(df: DataFrame, name: str, block_bytes: int = 32 << 20) -> tuple[str, DataFrame]:
+    """Writes df to the shared folder, without a shuffle, in row groups of about block_bytes.
+    Returns the folder and one row a block: `block`, the name of its file and its row group.
+    A block's rows and their order are fixed from then on, whichever executor reads it."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").option("parquet.block.size", block_bytes).parquet(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = sorted(n for f in listed if (n := f.getPath().getName()).startswith("part-"))
+    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 64)))
+    blocks = files.mapInArrow(_groups(path), "block string")
+    rows = [(r["block"],) for r in blocks.sort("block").collect()]
+    return path, spark.createDataFrame(rows, "block string").repartition(max(1, min(len(rows), 20_000)))
+
+
+def _groups(folder: str):
+    def stage(batches):
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with _file(folder, name) as f:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([f"{name}#{i}" for i in range(f.num_row_groups) if f.metadata.row_group(i).num_rows], pa.string())})
+
+    return stage
+
+
+def opened(folder: str):
+    """The file system and the path of a folder, given as a URI or a local path."""
+    if folder.startswith("file:") and not folder.startswith("file://"):
+        folder = "file://" + folder[5:]
+    return pyarrow.fs.FileSystem.from_uri(folder)
+
+
+def _file(folder: str, name: str) -> pq.ParquetFile:
+    fs, root = opened(folder)
+    return pq.ParquetFile(fs.open_input_file(f"{root}/{name}"))
+
+
+def read_block(folder: str, block: str) -> pa.Table:
+    """The rows of a block, in their fixed order."""
+    name, _, group = block.rpartition("#")
+    with _file(folder, name) as f:
+        return f.read_row_group(int(group), use_threads=False)

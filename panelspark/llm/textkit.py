@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xE7037ED1A0B428DB))
+BYTE_VALUE = mix(np.arange(1, 257, dtype=U) * U(0xE7037ED1A0B428DB))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE_WORD = np.ones(256, bool)
@@ -102,7 +102,7 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """A hash of the bytes of each span."""
     p, inverse = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE[data] * p[:-1], out=total[1:])
+    np.cumsum(BYTE_VALUE[data] * p[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0x8EBC6AF09C88C6E3))
 
 

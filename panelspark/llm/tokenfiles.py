@@ -23,7 +23,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -237,16 +236,9 @@ def read_shard(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(k) for k, z in zip(keys, nulls, strict=True)], sizes, names[ranks]
 
 
-def opened(folder: str):
-    """The file system and the path of a folder, given as a URI or a local path."""
-    if folder.startswith("file:") and not folder.startswith("file://"):
-        folder = "file://" + folder[5:]
-    return pyarrow.fs.FileSystem.from_uri(folder)
-
-
 def write_file(folder: str, name: str, raw: bytes) -> None:
     """Writes a file under a name of the attempt, then moves it, so that a retried task is safe."""
-    fs, root = opened(folder)
+    fs, root = store.opened(folder)
     fs.create_dir(root, recursive=True)
     context = TaskContext.get()
     own = f"{root}/_{name}.{context.taskAttemptId() if context else 0}"
@@ -256,7 +248,7 @@ def write_file(folder: str, name: str, raw: bytes) -> None:
 
 
 def read_file(folder: str, name: str) -> bytes:
-    fs, root = opened(folder)
+    fs, root = store.opened(folder)
     with fs.open_input_stream(f"{root}/{name}") as file:
         return file.read()
 
