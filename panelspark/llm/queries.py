@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, mixing, passages, secrets, store, suffixes, tokenfiles
+from . import decontaminate, exact, language, mixing, near, passages, secrets, store, suffixes, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.digest(exact.duplicates(documents(spark, sf_dir), keep="largest"))
 
 
+def op3_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.digest(near.near_duplicates(documents(spark, sf_dir), words=3, percent=85))
+
+
 def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(documents(spark, sf_dir)))
 
@@ -50,7 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_dedup, op4_secret_links, op5_previous_factors, op7_passage_doubling, op8_curriculum_mix, op9_language_id, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_dedup, op3_odd_sketches, op4_secret_links, op5_previous_factors, op7_passage_doubling, op8_curriculum_mix, op9_language_id, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

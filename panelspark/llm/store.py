@@ -56,7 +56,8 @@ def partitions(spark: SparkSession) -> int:
 
 def block_table(df: DataFrame, name: str, block_bytes: int = 32 << 20) -> tuple[str, DataFrame]:
     """Writes df to the shared folder, without a shuffle, in row groups of about block_bytes.
-    Returns the folder and one row a block: `block`, the name of its file and its row group.
+    Returns the folder and one row a block: `block`, the name of its file and its row group, and
+    `block_no`, its number.
     A block's rows and their order are fixed from then on, whichever executor reads it."""
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -67,8 +68,8 @@ def block_table(df: DataFrame, name: str, block_bytes: int = 32 << 20) -> tuple[
     names = sorted(n for f in listed if (n := f.getPath().getName()).startswith("part-"))
     files = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 64)))
     blocks = files.mapInArrow(_groups(path), "block string")
-    rows = [(r["block"],) for r in blocks.sort("block").collect()]
-    return path, spark.createDataFrame(rows, "block string").repartition(max(1, min(len(rows), 20_000)))
+    rows = [(r["block"], i) for i, r in enumerate(blocks.sort("block").collect())]
+    return path, spark.createDataFrame(rows, "block string, block_no long").repartition(max(1, min(len(rows), 20_000)))
 
 
 def _groups(folder: str):
