@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, mixing, near, passages, secrets, store, suffixes, tokenfiles
+from . import decontaminate, exact, language, mixing, near, ngrams, passages, secrets, store, suffixes, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.without_copies(documents(spark, sf_dir)))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.digest(ngrams.scored(documents(spark, sf_dir)))
+
+
 def op7_passage_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(passages.without_passages(documents(spark, sf_dir)))
 
@@ -54,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_dedup, op3_odd_sketches, op4_secret_links, op5_previous_factors, op7_passage_doubling, op8_curriculum_mix, op9_language_id, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_dedup, op3_odd_sketches, op4_secret_links, op5_previous_factors, op6_kneser_ney, op7_passage_doubling, op8_curriculum_mix, op9_language_id, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
