@@ -129,6 +129,10 @@ def learn(docs: DataFrame, text: str, lang: str, held_out: Column, order: Column
     at = F.pmod(F.xxhash64(order, F.lit(3)), F.greatest(F.length(text) - F.lit(WINDOW), F.lit(1)))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.substring(F.col(text).cast("string"), (at + 1).cast("int"), F.lit(WINDOW)).alias("window"), F.xxhash64(order, F.lit(5)).alias("draw"))
+    eligible = rows.count()
+    if eligible > 2 * max_windows:
+        # A hash threshold that about twice the bound pass: each task sends its share, not the bound.
+        rows = rows.where(F.col("draw") < F.lit(-(1 << 63) + int((1 << 64) * (2 * max_windows / eligible))))
     sample = [(r["lang"], r["window"]) for r in rows.orderBy("draw", "lang", "window").limit(max_windows).collect() if has_letter(r["window"])]
     if not sample:
         return None
