@@ -190,7 +190,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows of docs whose language is found with a score of `least` or more, all their columns."""
     names = docs.columns
     packed = docs.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(names)), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
