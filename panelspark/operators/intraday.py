@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.exprs import along, rolling, safe_div, safe_ln
+from panelspark.functions.exprs import along, long_sums, safe_div, safe_ln
 
 STEP = "15 minutes"
 HISTORY = ("log_return", "abs_return", "range_pct", "log_volume", "log_volume_change", "rv_96", "rv_672", "sigma_672", "momentum_96", "momentum_672", "volume_z96")
@@ -55,18 +55,25 @@ def intraday_features(grid: DataFrame) -> DataFrame:
     w = along()
     lnc = F.ln("close")
     first = grid.withColumns({"log_return": lnc - F.lag(lnc).over(w), "log_volume": F.log1p("volume"), "range_pct": safe_div(F.col("high") - F.col("low"), "close")})
-    first = first.withColumns({"abs_return": F.abs("log_return"), "_sq": F.col("log_return") * F.col("log_return")})
-    z = safe_div(F.col("log_volume") - rolling(F.avg, "log_volume", 96), F.nullif(rolling(F.stddev_pop, "log_volume", 96), F.lit(0.0)))
+    volume = F.col("log_volume") - F.first_value("log_volume").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = first.withColumns({"abs_return": F.abs("log_return"), "_sq": F.col("log_return") * F.col("log_return"), "_v": volume})
+    first = first.withColumn("_vv", F.col("_v") * F.col("_v"))
+    sums = {"_sq96": ("_sq", 96), "_sq672": ("_sq", 672), "_r672": ("log_return", 672), "_v96": ("_v", 96), "_vv96": ("_vv", 96)}
+    first = long_sums(first, sums)
+    mean, spread = F.col("_v96") / 96, F.col("_vv96") / 96 - (F.col("_v96") / 96) * (F.col("_v96") / 96)
+    z = F.when(spread > 1e-12, (F.col("_v") - mean) / F.sqrt(spread))
     made = {
         "log_volume_change": F.col("log_volume") - F.lag("log_volume").over(w),
-        "rv_96": F.sqrt(rolling(F.sum, "_sq", 96)),
-        "rv_672": F.sqrt(rolling(F.sum, "_sq", 672)),
-        "sigma_672": rolling(F.stddev_pop, "log_return", 672),
+        "rv_96": F.sqrt(F.greatest("_sq96", F.lit(0.0))),
+        "rv_672": F.sqrt(F.greatest("_sq672", F.lit(0.0))),
+        "sigma_672": F.sqrt(F.greatest(F.col("_sq672") / 672 - (F.col("_r672") / 672) * (F.col("_r672") / 672), F.lit(0.0))),
         "momentum_96": lnc - F.lag(lnc, 96).over(w),
         "momentum_672": lnc - F.lag(lnc, 672).over(w),
         "volume_z96": F.coalesce(z, F.lit(0.0)),
     }
-    return first.withColumns(made).withColumns(calendar()).drop("_sq")
+    for c, n in (("rv_96", "_sq96"), ("rv_672", "_sq672"), ("sigma_672", "_sq672")):
+        made[c] = F.when(F.col(n).isNotNull(), made[c])
+    return first.withColumns(made).withColumns(calendar()).drop("_sq", "_v", "_vv", *sums)
 
 
 def short_features(bars: DataFrame) -> DataFrame:
@@ -122,14 +129,14 @@ def cross_validation_scores(cv: DataFrame, closes: DataFrame, model: str, minute
 
 
 def cross_validation_forecasts(cv: DataFrame, context: DataFrame, model: str) -> DataFrame:
-    """Rows to forecasts from the bar after the cutoff, with the context of the cutoff. The context
-    must have one row a key and the distance must be a positive number of steps."""
-    if not context.groupBy("asset", "ds").count().where("count > 1").isEmpty():
-        raise ValueError("context keys are not unique")
+    """Rows to forecasts from the bar after the cutoff, with the context of the cutoff. The query
+    fails where the context has two rows for a key or a distance is no positive number of steps."""
     step = F.expr(f"interval {STEP}")
-    known = context.select(F.col("asset").alias("unique_id"), F.col("ds").alias("cutoff"), F.col("close").alias("last"), F.col("rv_672").alias("regime_driver"), F.col("sigma_672").alias("origin_sigma"), F.col("momentum_96").alias("origin_momentum"))
-    scores = cross_validation_scores(cv, cv.select("unique_id", F.col("cutoff").alias("ds"), F.lit(0.0).alias("y")).distinct(), model).drop("last")
-    if not scores.where("h < 1").isEmpty():
-        raise ValueError("horizons must be positive steps")
-    joined = scores.join(known.withColumnRenamed("unique_id", "asset"), ["asset", "cutoff"], "left")
-    return joined.select("model", "asset", (F.col("cutoff") + step).alias("origin"), (F.col("ds") + step).alias("target_time"), F.lit("").alias("split"), "h", "y", "last", "regime_driver", "origin_sigma", "origin_momentum", "q10", "q50", "q90")
+    one = F.when(F.count("*") > 1, F.raise_error(F.lit("context keys are not unique"))).otherwise(F.first("close"))
+    known = context.groupBy("asset", F.col("ds").alias("cutoff")).agg(one.cast("double").alias("last"), F.first("rv_672").alias("regime_driver"), F.first("sigma_672").alias("origin_sigma"), F.first("momentum_96").alias("origin_momentum"))
+    minutes = F.timestamp_diff("MINUTE", F.col("cutoff"), F.col("ds"))
+    h = F.when((minutes <= 0) | (minutes % 15 != 0), F.raise_error(F.lit("horizons must be positive steps"))).otherwise(minutes / 15).cast("int")
+    lo, mid, hi = (f"`{suffixed(cv.columns, s)}`" for s in ("-lo-80.0", "-median", "-hi-80.0"))
+    rows = cv.select(F.col("unique_id").alias("asset"), "cutoff", "ds", h.alias("h"), F.exp("y").alias("y"), F.exp(F.col(lo)).alias("q10"), F.exp(F.col(mid)).alias("q50"), F.exp(F.col(hi)).alias("q90")).na.drop()
+    joined = rows.join(known, ["asset", "cutoff"], "left")
+    return joined.select(F.lit(model).alias("model"), "asset", (F.col("cutoff") + step).alias("origin"), (F.col("ds") + step).alias("target_time"), F.lit("").alias("split"), "h", "y", "last", "regime_driver", "origin_sigma", "origin_momentum", "q10", "q50", "q90")

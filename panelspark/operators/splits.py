@@ -66,17 +66,17 @@ def with_enough(split: DataFrame, tests: DataFrame, keys: Sequence[str], least:
 
 
 def scheduled_split(frame: DataFrame, eligible: DataFrame, n_calibration: int = 219, n_test: int = 146, least_test: int = 100) -> DataFrame:
-    """Adds split to the rows of the last n_calibration + n_test origins. Raises where origins are
-    too few or one of them is not eligible."""
-    origins = frame.select("origin").distinct()
-    ranked = origins.withColumn("back", F.row_number().over(Window.orderBy(F.desc("origin")))).where(F.col("back") <= n_calibration + n_test)
-    found = ranked.count()
-    if found < n_calibration + n_test:
-        raise ValueError(f"need {n_calibration + n_test} scheduled origins, found {found}")
-    lost = ranked.join(eligible.select("origin").distinct(), "origin", "left_anti").count()
-    if lost:
-        raise ValueError(f"{lost} scheduled origins are not eligible")
+    """Adds split to the rows of the last n_calibration + n_test origins. The query fails where
+    origins are too few or one of them is not eligible; too few test origins raise at once."""
     if n_test < least_test:
         raise ValueError(f"fewer than {least_test} test origins")
-    named = ranked.select("origin", F.when(F.col("back") <= n_test, "test").otherwise("calibration").alias("split"))
+    wanted = n_calibration + n_test
+    last = frame.select("origin").distinct().orderBy(F.desc("origin")).limit(wanted)
+    known = last.join(eligible.select("origin", F.lit(True).alias("eligible")).distinct(), "origin", "left")
+    everything = Window.partitionBy()
+    ranked = known.withColumns({"back": F.row_number().over(Window.orderBy(F.desc("origin"))), "found": F.count("*").over(everything), "good": F.count("eligible").over(everything)})
+    name = F.when(F.col("back") <= n_test, F.lit("test")).otherwise(F.lit("calibration"))
+    short = F.raise_error(F.lit(f"need {wanted} scheduled origins"))
+    bad = F.raise_error(F.lit("scheduled origins are not eligible"))
+    named = ranked.select("origin", F.when(F.col("found") < wanted, short).when(F.col("good") < wanted, bad).otherwise(name).cast("string").alias("split"))
     return frame.drop("split").join(F.broadcast(named), "origin")

@@ -112,7 +112,7 @@ query("cv5_volatility_baselines", "model, asset, origin, h, q10:4, q50:4, q90:4"
 query("cv4_one_sided_margins", "h, lower:6, upper:6", lambda s, d: calibrate.one_sided_margins(split(s, d).where("split = 'calibration'")), "SELECT * FROM margins", CV)
 query("cv4_one_sided_intervals", "model, asset, origin, h, q10:4, q50:4, q90:4", calibrated, "SELECT 'tft_calibrated' AS model, asset, origin, h, q10 * exp(-lower) AS q10, q50, q90 * exp(upper) AS q90 FROM parts JOIN margins USING (h) WHERE split = 'test'", CV)
 KH = """cutoffs AS (SELECT cutoff, row_number() OVER (ORDER BY cutoff) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT cutoff FROM cv)),
- at AS (SELECT cutoff AS split_at FROM cutoffs WHERE i = CAST(floor(m * 0.6) AS BIGINT)), rows8 AS (SELECT *, exp(mid) AS q50, exp(mid + band) AS q90 FROM cv, at),
+ halves AS (SELECT cutoff AS split_at FROM cutoffs WHERE i = CAST(floor(m * 0.6) AS BIGINT)), rows8 AS (SELECT *, exp(mid) AS q50, exp(mid + band) AS q90 FROM cv, halves),
  raws AS (SELECT h, quantile_cont(abs(y - q50) / greatest(q90 - q50, 1e-9), 0.8) AS raw FROM rows8 WHERE cutoff < split_at GROUP BY h),
  kh AS (SELECT h, greatest(quantile_cont(raw, 0.5) OVER (ORDER BY h ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 1.0) AS k FROM raws)"""
 
@@ -139,7 +139,7 @@ query("ag14_headline_by_regime", "model, regime, return_mae:6, direction_accurac
 query("jn15_metric_join", "model, pinball:4, clusters:i", lambda s, d: score.headline(forecasts(s, d)).join(score.direction_clusters(forecasts(s, d)).groupBy("model").agg(F.count("*").alias("clusters")), "model"), f"SELECT model, pinball, clusters FROM (SELECT model, {HEADLINE} FROM {FINAL} GROUP BY model) JOIN (SELECT model, count(DISTINCT origin) AS clusters FROM {FINAL} GROUP BY model) USING (model)", CV)
 query("md11_external_cv_scores", "asset, h, coverage:6", lambda s, d: score.score(scores(s, d).where("h <= 8"), ["asset", "h"]), "SELECT asset, h, 100 * avg(CASE WHEN exp(mid - band) <= y AND y <= exp(mid + band) THEN 1.0 ELSE 0.0 END) AS coverage FROM cv WHERE h <= 8 GROUP BY 1, 2", CV)
 query("md12_external_forecasts", "model, pinball:4, coverage:6", lambda s, d: score.score(forecasts(s, d).unionByName(calibrated(s, d))), f"SELECT model, {fr.METRICS} FROM (SELECT model, y, last, q10, q50, q90 FROM fc UNION ALL SELECT 'tft_calibrated', y, last, q10 * exp(-lower), q50, q90 * exp(upper) FROM parts JOIN margins USING (h) WHERE split = 'test') GROUP BY model", CV)
-query("val2_intraday_violations", "unsupported:i, duplicates:i, unaligned:i, missing:i, not_positive:i, high:i, low:i, incomplete:i", lambda s, d: validate.intraday_violations(fr.bars(s, d).withColumn("high", F.when(F.minute("date") == 0, F.col("low") / 2).otherwise(F.col("high"))), ["click", "view"], F.lit("2024-01-20").cast("timestamp_ntz")), "SELECT count(*) FILTER (asset NOT IN ('click', 'view')) AS unsupported, 0 AS duplicates, 0 AS unaligned, 0 AS missing, 0 AS not_positive, count(*) FILTER (minute(date) = 0) AS high, 0 AS low, count(*) FILTER (date + INTERVAL 15 MINUTE > TIMESTAMP '2024-01-20') AS incomplete FROM bars", fr.BARS)
+query("val2_intraday_violations", "unsupported:i, duplicates:i, unaligned:i, missing:i, not_positive:i, high:i, low:i, incomplete:i", lambda s, d: validate.intraday_violations(fr.bars(s, d).withColumn("high", F.when(F.minute("date") == 0, F.col("low") / 2).otherwise(F.col("high"))), ["click", "view"], F.lit("2024-01-20").cast("timestamp_ntz")), "SELECT count(*) FILTER (asset NOT IN ('click', 'view')) AS unsupported, 0 AS duplicates, 0 AS unaligned, 0 AS missing, 0 AS not_positive, count(*) FILTER (minute(date) = 0) AS high, count(*) FILTER (minute(date) = 0) AS low, count(*) FILTER (date + INTERVAL 15 MINUTE > TIMESTAMP '2024-01-20') AS incomplete FROM bars", fr.BARS)
 query("val5_forecast_violations", "nulls:i, duplicates:i, horizons:i, not_positive:i, incomplete:i, crossed:i, target:i", lambda s, d: validate.forecast_violations(forecasts(s, d).withColumn("q10", F.when(F.col("h") == 5, F.col("q90") + 1).otherwise(F.col("q10"))), range(1, 97)), "SELECT 0 AS nulls, 0 AS duplicates, 0 AS horizons, 0 AS not_positive, count(*) FILTER (n <> 96) AS incomplete, count(*) FILTER (h = 5) AS crossed, 0 AS target FROM (SELECT *, count(*) OVER (PARTITION BY asset, origin) AS n FROM fc)", CV)
 
 

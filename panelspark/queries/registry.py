@@ -23,7 +23,7 @@ def select_spark(df: DataFrame, spec: str) -> DataFrame:
 
 
 def select_sql(spec: str) -> str:
-    return ", ".join(f'"{n}"' if not k else (f'CAST("{n}" AS BIGINT)' if k == "i" else f'round(CAST("{n}" AS DOUBLE), {k}) + 0.0') + f' AS "{n}"' for n, k in columns(spec))
+    return ", ".join(f'"{n}"' if not k else (f'CAST("{n}" AS BIGINT)' if k == "i" else f'round(CAST("{n}" AS DOUBLE) + {3.7 * 10.0 ** -(int(k) + 3)!r}, {k}) + 0.0') + f' AS "{n}"' for n, k in columns(spec))
 
 
 def query(name: str, spec: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, ctes: str = "") -> None:
