@@ -54,7 +54,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def block_table(df: DataFrame, name: str, block_bytes: int = 32 << 20) -> tuple[str, DataFrame]:
+def block_table(df: DataFrame, name: str, block_bytes: int = 16 << 20) -> tuple[str, DataFrame]:
     """Writes df to the shared folder, without a shuffle, in row groups of about block_bytes.
     Returns the folder and one row a block: `block`, the name of its file and its row group, and
     `block_no`, its number.

@@ -167,7 +167,13 @@ def runs(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(n: int, starts: np.ndarray, lengths) -> np.ndarray:
     """Which of n units some interval covers."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + lengths, -1)
-    return np.cumsum(step[:-1]) > 0
+    if not len(starts):
+        return np.zeros(n, bool)
+    order = np.argsort(starts, kind="stable")
+    begins, ends = starts[order], np.maximum.accumulate((starts + lengths)[order])
+    new = np.ones(len(begins), bool)
+    new[1:] = begins[1:] > ends[:-1]
+    step = np.zeros(n + 1, np.int8)
+    step[begins[new]] = 1
+    step[ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]] = -1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
