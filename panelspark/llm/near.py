@@ -2,13 +2,14 @@
 
 A document's MinHash samples are banded to find candidates and folded into a parity bitmap, its odd
 sketch. The XOR of two sketches has about as many ones as the samples that differ, which estimates
-high similarities precisely; candidates whose estimate lies five deviations below the threshold are
+high similarities precisely; candidates whose estimate lies four deviations below the threshold are
 dropped, the others are confirmed on their full shingle sets.
 
-Equal sets are one representative. In a first round each representative of a band's bucket meets the
-bucket's least one, so a group of copies gives one pair a member and joins at once. In a second round
-the buckets that still hold several components are searched whole: every representative outside the
-bucket's largest component meets all others of another component. What is confirmed links components.
+Equal sets are one representative. In a first round each band's bucket gives the tree of its closest
+pairs by sketch, one pair a member, so a group of copies joins at once. In a second round the buckets
+that still hold several components name, for each representative outside the bucket's largest, the
+components that its sketch comes close to; it then meets the sets of all members of those, in blocks,
+and one link a block is told. Neither round lists the pairs of a group.
 
 Documents stay in blocks in the shared folder; only the sets of candidates move. Two documents with
 the least similarity linked miss every band with probability (1 - s**4)**24, 2e-8 at s = 0.85.
@@ -24,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -32,9 +33,11 @@ from . import textkit as tk
 from .components import components
 
 BANDS, ROWS = 24, 4
-SAMPLES = BANDS * ROWS
-SKETCH_LONGS = 8
-SKETCH_BITS = 64 * SKETCH_LONGS
+SAMPLES = 256
+SKETCH_WORDS = 16
+SKETCH_BITS = 64 * SKETCH_WORDS
+#: Members of a bucket or component that meet in one step.
+BLOCK = 2048
 _SEEDS = tk.mix(np.arange(1, 2 * SAMPLES + 1, dtype=tk.U) * tk.U(0x9FB21C651E98DF25))
 _XOR, _MULTIPLY = _SEEDS[:SAMPLES], _SEEDS[SAMPLES:] | tk.U(1)
 
@@ -68,7 +71,7 @@ def samples(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(found: np.ndarray) -> np.ndarray:
     """A key for each band of the samples."""
-    rows = found.reshape(len(found), BANDS, ROWS)
+    rows = found[:, : BANDS * ROWS].reshape(len(found), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=tk.U) * tk.U(0xD1342543DE82EF95), (len(found), BANDS)).copy()
     for r in range(ROWS):
         key = tk.mix(key ^ rows[:, :, r])
@@ -76,21 +79,21 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(found: np.ndarray) -> np.ndarray:
-    """The parity bitmaps of the samples, as numbers."""
+    """The parity bitmaps of the samples."""
     at = (tk.mix(found + np.arange(SAMPLES, dtype=tk.U)) % tk.U(SKETCH_BITS)).astype(np.int64)
     cells = (np.arange(len(found)) * SKETCH_BITS)[:, None] + at
     bits = np.bincount(cells.ravel(), minlength=len(found) * SKETCH_BITS) & 1
-    return np.packbits(bits.reshape(len(found), -1).astype(np.uint8), axis=1).view(np.int64)
+    return np.packbits(bits.reshape(len(found), -1).astype(np.uint8), axis=1)
 
 
 def most_ones(similarity: float) -> int:
     """How many ones the XOR of two sketches may have before the pair is surely below `similarity`."""
-    low = max(0.0, similarity - 5 * math.sqrt(similarity * (1 - similarity) / SAMPLES))
+    low = max(0.0, similarity - 4 * math.sqrt(similarity * (1 - similarity) / SAMPLES))
     differ = 2 * SAMPLES * (1 - low)
     return math.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ))
 
 
-SIGNED = "node long, block string, doc_id long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+SIGNED = "node long, block string, doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
 def sign(folder: str, words: int):
@@ -107,7 +110,7 @@ def sign(folder: str, words: int):
                     full = np.flatnonzero(sizes)
                     digests = np.zeros((2, hi - lo), np.int64)
                     bands = np.zeros((hi - lo, BANDS), np.int64)
-                    sketch = np.zeros((hi - lo, SKETCH_LONGS), np.int64)
+                    sketch = np.zeros((hi - lo, SKETCH_BITS // 8), np.uint8)
                     if len(full):
                         held = [sets[i] for i in full]
                         flat = np.concatenate(held)
@@ -117,8 +120,8 @@ def sign(folder: str, words: int):
                         found = samples(held)
                         bands[full], sketch[full] = band_keys(found), odd_sketches(found)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                    columns = {"node": (number << 32) + np.arange(lo, hi), "block": [block] * (hi - lo), "doc_id": ids[lo:hi], "n": sizes, "d1": digests[0], "d2": digests[1], "bands": lists}
-                    yield pa.RecordBatch.from_pydict(columns | {f"s{i}": sketch[:, i] for i in range(SKETCH_LONGS)})
+                    columns = {"node": (number << 32) + np.arange(lo, hi), "block": [block] * (hi - lo), "doc_id": ids[lo:hi], "n": sizes, "d1": digests[0], "d2": digests[1], "bands": lists, "sketch": pa.array([r.tobytes() for r in sketch], pa.binary())}
+                    yield pa.RecordBatch.from_pydict(columns)
 
     return stage
 
@@ -151,10 +154,160 @@ def confirm(percent: int):
     return stage
 
 
-def close(x: str, y: str, percent: int) -> Column:
-    """Whether sizes and sketches of two representatives allow a link."""
-    ones = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(SKETCH_LONGS))
-    return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {ones} <= {most_ones(percent / 100)}")
+def by_key(batches, size: int = 1 << 16):
+    """Batches of whole keys from batches that are sorted by key; a long key comes in parts that
+    follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(len(b) for b in held) >= size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.asarray(table.column("key"))
+            cut = int(np.searchsorted(keys == keys[-1], True))
+            if not cut:
+                cut = len(keys)
+            yield table.slice(0, cut).combine_chunks()
+            held = table.slice(cut).to_batches()
+    if held and sum(len(b) for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class Rows:
+    """Columns of some rows as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.key, self.node, self.n = (np.asarray(table.column(c)) for c in ("key", "node", "n"))
+        sketch = table.column("sketch").combine_chunks()
+        self.sketch = tk.flat(sketch)[0].view(np.uint64).reshape(len(table), SKETCH_WORDS)
+        self.root = np.asarray(table.column("root")) if "root" in table.column_names else None
+        self.size = np.asarray(table.column("size")) if "size" in table.column_names else None
+        self.heads = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]])) if len(table) else np.zeros(0, np.int64)
+
+
+def ones(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of sketches, row by row."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def near_sizes(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def closest_tree(n: np.ndarray, sketch: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a least spanning tree by differing bits, of those that may link."""
+    far = SKETCH_BITS + 1
+    best, frm = np.full(len(n), far), np.zeros(len(n), np.int64)
+    left = np.ones(len(n), bool)
+    at, out = 0, []
+    for _ in range(len(n) - 1):
+        left[at] = False
+        d = np.where(near_sizes(n, n[at], percent), ones(sketch, sketch[at]), far)
+        closer = left & (d < best)
+        best[closer], frm[closer] = d[closer], at
+        at = int(np.argmin(np.where(left, best, far + 1)))
+        if best[at] <= most:
+            out.append((frm[at], at))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def closest_pairs(percent: int):
+    """A map stage over buckets sorted by key: (a, b), the tree of each."""
+    most = most_ones(percent / 100)
+
+    def stage(batches):
+        key, lead = None, None
+        for table in by_key(batches):
+            r = Rows(table)
+            ends = np.append(r.heads[1:], len(r.key))
+            two = r.heads[ends - r.heads == 2]
+            ok = near_sizes(r.n[two], r.n[two + 1], percent) & (ones(r.sketch[two], r.sketch[two + 1]) <= most)
+            a, b = [r.node[two[ok]]], [r.node[two[ok] + 1]]
+            for lo, hi in zip(r.heads, ends, strict=True):
+                if r.key[lo] != key:
+                    key, lead = r.key[lo], None
+                if hi - lo == 2 and lead is None:
+                    lead = (r.node[lo : lo + 1], r.n[lo : lo + 1], r.sketch[lo : lo + 1])
+                    continue
+                for at in range(lo, hi, BLOCK):
+                    part = slice(at, min(hi, at + BLOCK))
+                    node, n, sketch = r.node[part], r.n[part], r.sketch[part]
+                    if lead is None:
+                        lead = (node[:1], n[:1], sketch[:1])
+                    else:
+                        node, n, sketch = (np.concatenate(x) for x in zip(lead, (node, n, sketch), strict=True))
+                    i, j = closest_tree(n, sketch, percent, most)
+                    a.append(node[i])
+                    b.append(node[j])
+            x, y = np.concatenate(a), np.concatenate(b)
+            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            found = found[found[:, 0] < found[:, 1]]
+            yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
+
+    return stage
+
+
+def close_components(percent: int):
+    """A map stage over buckets sorted by key, the largest component of each last: (node, roots), the
+    other components that a node's sketch comes close to and that are not smaller than its own."""
+    most = most_ones(percent / 100)
+
+    def stage(batches):
+        key, held = None, None
+        for table in by_key(batches):
+            r = Rows(table)
+            nodes, roots = [], []
+            for lo, hi in zip(r.heads, np.append(r.heads[1:], len(r.key)), strict=True):
+                mine = slice(lo, hi)
+                other = np.flatnonzero(~np.asarray(table.column("is_main"))[mine]) + lo
+                asked = (r.node[other], r.root[other], r.size[other], r.n[other], r.sketch[other])
+                if r.key[lo] == key:
+                    asked = tuple(np.concatenate(x) for x in zip(held, asked, strict=True))
+                key, held = r.key[lo], asked
+                for node, root, size, n, sketch in zip(*asked, strict=True):
+                    fits = (r.root[mine] != root) & near_sizes(r.n[mine], n, percent) & ((r.size[mine] > size) | (r.size[mine] == size) & (r.root[mine] > root))
+                    at = np.flatnonzero(fits) + lo
+                    at = at[ones(r.sketch[at], sketch) <= most]
+                    if len(at):
+                        nodes.append(node)
+                        roots.append(np.unique(r.root[at]).tolist())
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "roots": pa.array(roots, pa.list_(pa.int64()))})
+
+    return stage
+
+
+def meet(percent: int):
+    """A map stage over blocks of components sorted by key, members first: the members' sets against
+    those of the nodes that came close. One link a node and block."""
+
+    def stage(batches):
+        key, members = None, ([], [])
+        for table in by_key(batches, 1 << 11):
+            keys, node, member = (np.asarray(table.column(c)) for c in ("key", "node", "member"))
+            sets = [np.frombuffer(x.as_buffer(), tk.U) for x in table.column("body")]
+            a, b = [], []
+            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            for lo, hi in zip(heads, np.append(heads[1:], len(keys)), strict=True):
+                if keys[lo] != key:
+                    key, members = keys[lo], ([], [])
+                ours = np.flatnonzero(member[lo:hi]) + lo
+                members[0].extend(node[ours])
+                members[1].extend(sets[i] for i in ours)
+                asked = np.flatnonzero(~member[lo:hi]) + lo
+                if not len(asked) or not members[0]:
+                    continue
+                sizes = np.array([len(x) for x in members[1]])
+                flat, starts = np.concatenate(members[1]), np.cumsum(sizes) - sizes
+                for q in asked:
+                    mine = sets[q]
+                    both = np.add.reduceat((mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat).astype(np.int64), starts)
+                    ok = np.flatnonzero(100 * both >= percent * (sizes + len(mine) - both))
+                    if len(ok):
+                        a.append(node[q])
+                        b.append(members[0][ok[0]])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stage
 
 
 class Near:
@@ -168,48 +321,59 @@ class Near:
         self.folder, blocks = store.block_table(rows, "near")
         self.signed, _ = store.materialise(blocks.mapInArrow(sign(self.folder, words), SIGNED), "signed")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, block_a, block_b) that their full sets confirm, as a table (a, b, ok)."""
-        wanted = pairs.select(F.col("a").alias("node"), F.col("block_a").alias("block")).union(pairs.select("b", "block_b")).distinct()
-        sets = wanted.groupBy("block").applyInArrow(send_sets(self.folder, self.words), "node long, body binary")
-        left = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """node and body (shingle set) of the wanted nodes (node, block)."""
+        parts = store.partitions(wanted.sparkSession)
+        return wanted.repartition(parts, "block").groupBy("block").applyInArrow(send_sets(self.folder, self.words), "node long, body binary")
+
+    def linked(self, pairs: DataFrame, where: DataFrame) -> DataFrame:
+        """The pairs (a, b) that their full sets confirm, as a table (a, b, ok)."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(where, "node")
+        sets = self.sets(wanted)
+        left = pairs.join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
         whole = left.join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
         return store.materialise(whole.select("a", "b", "body_a", "body_b").mapInArrow(confirm(self.percent), "a long, b long, ok boolean"), "linked")[0]
 
     def classes(self) -> DataFrame:
         """d1, d2, n and component_id of every distinct non-empty set."""
-        sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
+        parts = store.partitions(self.signed.sparkSession)
         heads = self.signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"))
-        reps, _ = store.materialise(heads.join(self.signed.select("node", "block", "bands", *sketch), "node"), "reps")
+        reps, _ = store.materialise(heads.join(self.signed.select("node", "block", "bands", "sketch"), "node"), "reps")
         keys = reps.select("node", F.explode("bands").alias("key"))
-        shared = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-        buckets, _ = store.materialise(keys.join(shared, "key").select("key", "node", "head"), "buckets")
-        brief = reps.select("node", "block", "n", *sketch)
-        first = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-        first = first.alias("p").join(brief.alias("y"), F.col("p.b") == F.col("y.node")).join(brief.alias("x"), F.col("p.a") == F.col("x.node")).where(close("x", "y", self.percent))
-        first, _ = store.materialise(first.select("p.a", "p.b", F.col("x.block").alias("block_a"), F.col("y.block").alias("block_b")), "pairs")
-        tested = self.linked(first)
-        roots = components(tested.where("ok"))
-        split = self.second(buckets, brief, roots, tested)
-        late = self.linked(split)
-        over = late.where("ok").alias("l").join(roots.alias("x"), F.col("l.a") == F.col("x.node"), "left").join(roots.alias("y"), F.col("l.b") == F.col("y.node"), "left")
+        shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+        buckets, _ = store.materialise(keys.join(shared, "key"), "buckets")
+        brief, where = reps.select("node", "n", "sketch"), reps.select("node", "block")
+        near = buckets.join(brief, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+        first, _ = store.materialise(near.mapInArrow(closest_pairs(self.percent), "a long, b long").distinct(), "pairs")
+        roots = components(self.linked(first, where).where("ok").select("a", "b"))
+        late = self.second(buckets, brief, where, roots)
+        over = late.alias("l").join(roots.alias("x"), F.col("l.a") == F.col("x.node"), "left").join(roots.alias("y"), F.col("l.b") == F.col("y.node"), "left")
         over = over.select(F.coalesce("x.root", "l.a").alias("a"), F.coalesce("y.root", "l.b").alias("b"))
         tops = components(over).select(F.col("node").alias("mid"), F.col("root").alias("top"))
         named = reps.select("node", "d1", "d2", "n", "least_id").join(roots, "node", "left").withColumn("mid", F.coalesce("root", "node")).join(tops, "mid", "left").withColumn("top", F.coalesce("top", "mid"))
         least = named.groupBy("top").agg(F.min("least_id").alias("component_id"))
         return named.join(least, "top").select("d1", "d2", "n", "component_id")
 
-    def second(self, buckets: DataFrame, brief: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-        """The candidates between components that still share a bucket."""
-        held = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        sizes = held.groupBy("key", "root").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-        rows, _ = store.materialise(held.join(largest, "key").join(brief, "node"), "split")
-        x, y = rows.where("root <> main").alias("x"), rows.alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        found = x.join(y, apart & close("x", "y", self.percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.block").alias("block_a"), F.col("y.block").alias("block_b")).distinct()
-        known = tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        return store.materialise(found.join(known, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti"), "pairs")[0]
+    def second(self, buckets: DataFrame, brief: DataFrame, where: DataFrame, roots: DataFrame) -> DataFrame:
+        """The links (a, b) between components that still share a bucket."""
+        parts = store.partitions(buckets.sparkSession)
+        held = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        counted = held.groupBy("key", "root").agg(F.count("*").alias("here"))
+        open_keys = counted.groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+        rows = held.join(open_keys, "key").join(sizes, "root", "left").join(brief, "node").select("key", "node", "root", "n", "sketch", F.coalesce("size", F.lit(1)).cast("long").alias("size"), (F.col("root") == F.col("main")).alias("is_main"))
+        asked = rows.repartition(parts, "key").sortWithinPartitions("key", "is_main").mapInArrow(close_components(self.percent), "node long, roots array<long>")
+        asked = asked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
+        asked, _ = store.materialise(asked.select("node", F.explode("roots").alias("root")), "asked")
+        wide = asked.select("root").distinct().join(sizes, "root", "left").select("root", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+        all_roots = brief.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        members = all_roots.join(wide, "root").select("root", F.pmod(F.xxhash64("node"), "blocks").alias("part"), "node", F.lit(True).alias("member"))
+        queries = asked.join(wide, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), "node", F.lit(False).alias("member"))
+        both = members.union(queries)
+        sets = self.sets(both.select("node").distinct().join(where, "node"))
+        keyed = both.join(sets, "node").select(F.xxhash64("root", "part").alias("key"), "node", "member", "body")
+        dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", F.desc("member"))
+        return store.materialise(dealt.mapInArrow(meet(self.percent), "a long, b long"), "late")[0]
 
     def labelled(self) -> DataFrame:
         """node, block, doc_id, n_shingles, component_id and kept of every row."""
