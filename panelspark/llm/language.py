@@ -68,18 +68,19 @@ class ByteNet:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteNet:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = 800, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteNet:
         """Adam on the cross entropy, classes weighted to count alike; gradients of the pooled
-        filters reach only the positions of the maxima."""
+        filters reach only the positions of the maxima. The number of steps does not depend on how
+        many windows there are, so a small table is learned as well as a large one."""
         rng = np.random.default_rng(seed)
         counts = np.bincount(labels, minlength=len(self.labels))
         weight = (len(labels) / (np.maximum(counts, 1) * len(self.labels))).astype(np.float32)
         names = ("embed", "filters", "bias", "dense", "shift")
         moment = {n: (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in names}
         step = 0
-        for _ in range(epochs):
+        while step < steps:
             order = rng.permutation(len(labels))
-            for lo in range(0, len(order), batch):
+            for lo in range(0, min(len(order), (steps - step) * batch), batch):
                 rows = order[lo : lo + batch]
                 x, y = windows[rows], labels[rows]
                 pooled, out = self.pooled(x, self.tables())
