@@ -59,7 +59,7 @@ def inverse(part: Column, lean: Column) -> Column:
     """The time at which a schedule that ramps from 1 - lean to 1 + lean has drawn `part`."""
     start = F.lit(1.0) - lean
     root = F.sqrt(F.greatest(start * start + F.lit(4.0) * lean * part, F.lit(0.0)))
-    return F.when(lean == 0, part).otherwise(F.lit(2.0) * part / (start + root))
+    return F.when(lean == 0, part).otherwise(F.coalesce(F.try_divide(F.lit(2.0) * part, start + root), F.lit(0.0)))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), leans: Sequence[float] = (-0.5, 0.0, 0.5), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:

@@ -273,7 +273,7 @@ def writer(folder: str, vocabulary: str, end_id: int, shard_ids: int):
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, hi, data, off in tk.each_chunk(batch.column(1), PIECE_BYTES):
+            for lo, hi, data, off in tk.each_chunk(batch.column(1), min(PIECE_BYTES, shard_ids)):
                 found, n = enc.encode(data, off)
                 out = np.full(len(found) + len(n), end_id, np.uint32)
                 inner = np.ones(len(out), bool)
