@@ -69,8 +69,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     schedule from (1 - x) to (1 + x) times its weight."""
     sizes, _ = store.materialise(sized(docs, doc_id, text, source), "sizes")
     goals = targets(sizes, weights, share, most)
-    draw = F.xxhash64(F.lit(seed), "doc_id", "size")
-    rows = sizes.withColumn("draw", draw).withColumn("range", F.shiftright("draw", 54))
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = sizes.withColumn("draw", draw).withColumn("range", F.shiftright("draw", 50))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     ordered = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     lean = F.element_at(F.array(*(F.lit(float(x)) for x in leans)), (F.pmod(F.col("rank") - 1, F.lit(len(leans))) + 1).cast("int"))
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 def digest(mixed: DataFrame) -> DataFrame:
     """The contract columns of op8 from the operator's output."""
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
 
 
 def training_order(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

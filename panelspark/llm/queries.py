@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, mixing, near, ngrams, passages, secrets, store, suffixes, tokenfiles
+from . import decontaminate, exact, language, mixing, near, ngrams, oracles, passages, secrets, store, suffixes, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can state; the others are tested against plain versions."""
+    return dict(oracles.SQL)
