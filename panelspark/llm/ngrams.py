@@ -30,7 +30,7 @@ from .language import crc_fold
 START = np.array([0x5BD1E995A3C59AC3], tk.U)
 END = np.array([0x2545F4914F6CDD1D], tk.U)
 BATCH_BYTES = 16 << 20
-SCORE_BYTES = 4 << 20
+SCORE_BYTES = (2 << 20) - 64
 _LOW = tk.U((1 << 40) - 1)
 
 

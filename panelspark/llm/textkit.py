@@ -14,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
+#: Just below a power of two, so that the tables of powers stay as small.
+CHUNK_BYTES = (1 << 20) - 64
 _P = 0x9E3779B97F4A7C15 | 1
 _PI = pow(_P, -1, 1 << 64)
 

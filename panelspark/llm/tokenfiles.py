@@ -34,7 +34,8 @@ MAGIC = b"PSIDS1\0\0"
 HEAD = struct.Struct("<8sqqqqq")
 SHARD_IDS = 4 << 20
 CACHE_UNITS = 1 << 21
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = (2 << 20) - 64
+PACK_IDS = 1 << 19
 
 _ASCII = np.zeros(256, bool)
 _ASCII[33:127] = True
@@ -209,11 +210,12 @@ def shard_bytes(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -
     table = seen[np.argsort(-counts[seen], kind="stable")].astype("<u4")
     rank = np.zeros(len(counts), np.uint32)
     rank[table] = np.arange(len(table))
-    control, data = pack(rank[ids])
+    parts = [pack(rank[ids[i : i + PACK_IDS]]) for i in range(0, len(ids), PACK_IDS)]
+    control, data = (b"".join(p[k].tobytes() for p in parts) for k in (0, 1))
     nulls = np.packbits(np.array([d is None for d in doc_ids], bool)) if doc_ids else np.zeros(0, np.uint8)
     keys = np.array([d or 0 for d in doc_ids], "<i8")
     head = HEAD.pack(MAGIC, len(doc_ids), len(ids), len(table), len(control), len(data))
-    return b"".join((head, table.tobytes(), keys.tobytes(), nulls.tobytes(), sizes.astype("<u4").tobytes(), control.tobytes(), data.tobytes()))
+    return b"".join((head, table.tobytes(), keys.tobytes(), nulls.tobytes(), sizes.astype("<u4").tobytes(), control, data))
 
 
 def read_shard(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
