@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import textkit as tk
 
 #: Bytes of item text in one broadcast block.
@@ -187,13 +188,13 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
             continue
         sent = spark.sparkContext.broadcast(w.tokens)
         counts = {k: np.zeros(len(v), np.int64) for k, v in w.tokens.items()}
-        for row in plain.mapInArrow(count_tokens(sent), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
+        for row in plain.mapInArrow(store.lean(count_tokens(sent)), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
             counts[row["k"]][row["at"]] = row["n"]
         w.order(counts)
-        flow = flow.mapInArrow(join_windows(spark.sparkContext.broadcast(w)), flow.schema)
+        flow = flow.mapInArrow(store.lean(join_windows(spark.sparkContext.broadcast(w))), flow.schema)
         any_block = True
     if not any_block:
-        flow = flow.mapInArrow(join_windows(spark.sparkContext.broadcast(empty_windows(width, shingle))), flow.schema)
+        flow = flow.mapInArrow(store.lean(join_windows(spark.sparkContext.broadcast(empty_windows(width, shingle)))), flow.schema)
     return flow
 
 

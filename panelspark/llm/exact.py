@@ -237,10 +237,10 @@ def duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
         raise ValueError("keep is smallest or largest")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body"))
     parts = store.partitions(docs.sparkSession)
-    held = rows.mapInArrow(representatives(MERGE_BYTES), REPRESENTATIVE).repartition(parts, "size", "sha")
-    classes = held.mapInArrow(owners(trie_bytes), "sha binary, lo long, hi long, n long")
+    held = rows.mapInArrow(store.lean(representatives(MERGE_BYTES)), REPRESENTATIVE).repartition(parts, "size", "sha")
+    classes = held.mapInArrow(store.lean(owners(trie_bytes)), "sha binary, lo long, hi long, n long")
     named = classes.select("sha", F.col("lo" if keep == "smallest" else "hi").alias("keep_id"), F.col("n").alias("group_size"))
-    return rows.mapInArrow(members, "doc_id long, size long, sha binary").join(named, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("size").alias("n_bytes"), "sha")
+    return rows.mapInArrow(store.lean(members), "doc_id long, size long, sha binary").join(named, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("size").alias("n_bytes"), "sha")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from . import store
 from . import textkit as tk
 
 WINDOW = 256
@@ -143,14 +145,14 @@ def learn(docs: DataFrame, text: str, lang: str, held_out: Column, order: Column
     return ByteNet(labels).fit(windows, np.array([labels.index(x) for x, _ in sample]))
 
 
-def predict(shared):
-    """A map stage: language and score of each text."""
+def predict(shared, text: str, kept: bool):
+    """A map stage: language and score of each text, which stays among the columns if kept."""
 
     def stage(batches):
         net: ByteNet | None = shared.value
         tables = net.tables() if net else None
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column(text)
             lettered = np.array([has_letter(v.as_py()) for v in column], bool)
             names, scores = np.full(len(batch), "und", object), np.zeros(len(batch))
             for lo, hi, data, off in tk.each_chunk(column, 1 << 17) if net else ():
@@ -165,7 +167,7 @@ def predict(shared):
                 ok = lettered[lo:hi]
                 names[lo:hi] = np.where(ok, np.array(net.labels, object)[best], "und")
                 scores[lo:hi] = np.where(ok, np.clip(mean[np.arange(hi - lo), best], 0, 1), 0.0)
-            out = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+            out = {n: batch.column(n) for n in batch.schema.names if kept or n != text}
             yield pa.RecordBatch.from_pydict(out | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
 
     return stage
@@ -181,9 +183,13 @@ def languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
     identifier falls in the held-out fold, and rows without identifier, are never learned from."""
     held = F.coalesce(crc_fold(F.col(doc_id), folds, fold), F.lit(True))
     net = learn(docs, text, lang, held, F.col(doc_id), max_windows)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *(F.col(c) for c in keep or []), F.coalesce(crc_fold(F.col(doc_id), folds, fold), F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(predict(docs.sparkSession.sparkContext.broadcast(net)), schema)
+    kept = text in (keep or [])
+    read = text if kept else "text"
+    held_out = F.coalesce(crc_fold(F.col(doc_id), folds, fold), F.lit(False)).alias("held_out")
+    given = docs.select(F.col(doc_id).alias("doc_id"), *(F.col(c) for c in keep or []), held_out)
+    schema = StructType([*given.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    rows = given if kept else docs.select(F.col(doc_id).alias("doc_id"), *(F.col(c) for c in keep or []), held_out, F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(store.lean(predict(docs.sparkSession.sparkContext.broadcast(net), read, kept)), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -194,6 +200,7 @@ def digest(found: DataFrame) -> DataFrame:
 def identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows of docs whose language is found with a score of `least` or more, all their columns."""
     names = docs.columns
-    packed = docs.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(names)), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    found = languages(packed, keep=[f"keep_{i}" for i in range(len(names))], max_windows=max_windows)
+    own = {c: f"keep_{i}" for i, c in enumerate(names)}
+    packed = docs.select(*(F.col(c).alias(own[c]) for c in names))
+    found = languages(packed, doc_id=own[doc_id], text=own[text], lang=own[lang], keep=list(own.values()), max_windows=max_windows)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(names)))

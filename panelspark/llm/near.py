@@ -319,12 +319,12 @@ class Near:
         self.names, self.doc_id, self.text = names, doc_id, text
         self.words, self.percent = words, percent
         self.folder, blocks = store.block_table(rows, "near")
-        self.signed, _ = store.materialise(blocks.mapInArrow(sign(self.folder, words), SIGNED), "signed")
+        self.signed, _ = store.materialise(blocks.mapInArrow(store.lean(sign(self.folder, words)), SIGNED), "signed")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """node and body (shingle set) of the wanted nodes (node, block)."""
         parts = store.partitions(wanted.sparkSession)
-        return wanted.repartition(parts, "block").groupBy("block").applyInArrow(send_sets(self.folder, self.words), "node long, body binary")
+        return wanted.repartition(parts, "block").groupBy("block").applyInArrow(store.lean_group(send_sets(self.folder, self.words)), "node long, body binary")
 
     def linked(self, pairs: DataFrame, where: DataFrame) -> DataFrame:
         """The pairs (a, b) that their full sets confirm, as a table (a, b, ok)."""
@@ -332,7 +332,7 @@ class Near:
         sets = self.sets(wanted)
         left = pairs.join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
         whole = left.join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-        return store.materialise(whole.select("a", "b", "body_a", "body_b").mapInArrow(confirm(self.percent), "a long, b long, ok boolean"), "linked")[0]
+        return store.materialise(whole.select("a", "b", "body_a", "body_b").mapInArrow(store.lean(confirm(self.percent)), "a long, b long, ok boolean"), "linked")[0]
 
     def classes(self) -> DataFrame:
         """d1, d2, n and component_id of every distinct non-empty set."""
@@ -344,7 +344,7 @@ class Near:
         buckets, _ = store.materialise(keys.join(shared, "key"), "buckets")
         brief, where = reps.select("node", "n", "sketch"), reps.select("node", "block")
         near = buckets.join(brief, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-        first, _ = store.materialise(near.mapInArrow(closest_pairs(self.percent), "a long, b long").distinct(), "pairs")
+        first, _ = store.materialise(near.mapInArrow(store.lean(closest_pairs(self.percent)), "a long, b long").distinct(), "pairs")
         roots = components(self.linked(first, where).where("ok").select("a", "b"))
         late = self.second(buckets, brief, where, roots)
         over = late.alias("l").join(roots.alias("x"), F.col("l.a") == F.col("x.node"), "left").join(roots.alias("y"), F.col("l.b") == F.col("y.node"), "left")
@@ -362,7 +362,7 @@ class Near:
         open_keys = counted.groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
         sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
         rows = held.join(open_keys, "key").join(sizes, "root", "left").join(brief, "node").select("key", "node", "root", "n", "sketch", F.coalesce("size", F.lit(1)).cast("long").alias("size"), (F.col("root") == F.col("main")).alias("is_main"))
-        asked = rows.repartition(parts, "key").sortWithinPartitions("key", "is_main").mapInArrow(close_components(self.percent), "node long, roots array<long>")
+        asked = rows.repartition(parts, "key").sortWithinPartitions("key", "is_main").mapInArrow(store.lean(close_components(self.percent)), "node long, roots array<long>")
         asked = asked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
         asked, _ = store.materialise(asked.select("node", F.explode("roots").alias("root")), "asked")
         wide = asked.select("root").distinct().join(sizes, "root", "left").select("root", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("long").alias("blocks"))
@@ -373,7 +373,7 @@ class Near:
         sets = self.sets(both.select("node").distinct().join(where, "node"))
         keyed = both.join(sets, "node").select(F.xxhash64("root", "part").alias("key"), "node", "member", "body")
         dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", F.desc("member"))
-        return store.materialise(dealt.mapInArrow(meet(self.percent), "a long, b long"), "late")[0]
+        return store.materialise(dealt.mapInArrow(store.lean(meet(self.percent)), "a long, b long"), "late")[0]
 
     def labelled(self) -> DataFrame:
         """node, block, doc_id, n_shingles, component_id and kept of every row."""
@@ -411,4 +411,4 @@ def unique(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
 
     run = Near(docs, doc_id, text, words, percent)
     kept = run.labelled().where("kept").groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("node")).alias("alone")).agg(F.min_by("block", "node").alias("block"), F.min("node").alias("node"))
-    return kept.select("block", "node").groupBy("block").applyInArrow(take_rows(run.folder, docs.columns, doc_id, text, to_arrow_schema(docs.schema)), docs.schema)
+    return kept.select("block", "node").groupBy("block").applyInArrow(store.lean_group(take_rows(run.folder, docs.columns, doc_id, text, to_arrow_schema(docs.schema))), docs.schema)

@@ -268,7 +268,7 @@ def fit(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES) ->
     spark = docs.sparkSession
     parts, folder = store.partitions(spark), store.new_path(spark, "ngrams")
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    merged = rows.mapInArrow(count_pairs(parts, batch_bytes), PAIRS).groupBy("part").applyInArrow(merge_pairs(folder, parts), WORDS)
+    merged = rows.mapInArrow(store.lean(count_pairs(parts, batch_bytes)), PAIRS).groupBy("part").applyInArrow(merge_pairs(folder, parts), WORDS)
     sums = merged.groupBy("part").applyInArrow(merge_words(folder), "kind string, sums array<long>")
     return Model(folder, parts, [(r["kind"], list(r["sums"])) for r in sums.collect()])
 
@@ -292,7 +292,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
     held = crc_fold(F.col(doc_id), folds, fold)
     model = fit(docs.where(~held), text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(score_texts(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = rows.mapInArrow(store.lean(score_texts(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

@@ -245,13 +245,13 @@ def repeated(docs: DataFrame, kind: Kind, dtype, finish: Callable, schema: str,
     buckets = store.partitions(spark)
     folder, blocks = store.block_table(rows, "blocks")
     every = blocks.select("block", F.lit(0).alias("bucket"), F.lit(0).alias("level"), F.lit(b"").alias("flags"))
-    level1, _ = store.materialise(blocks.mapInArrow(send_anchors(folder, kind, buckets), SENT).groupBy("bucket").applyInArrow(judge_anchors, ANSWER), "level1")
-    asked = level1.repartition(buckets, "block").groupBy("block").applyInArrow(send_stretches(folder, kind, buckets), SENT)
-    level2 = asked.groupBy("bucket").applyInArrow(judge_stretches(kind, dtype), ANSWER)
+    level1, _ = store.materialise(blocks.mapInArrow(store.lean(send_anchors(folder, kind, buckets)), SENT).groupBy("bucket").applyInArrow(judge_anchors, ANSWER), "level1")
+    asked = level1.repartition(buckets, "block").groupBy("block").applyInArrow(store.lean_group(send_stretches(folder, kind, buckets)), SENT)
+    level2 = asked.groupBy("bucket").applyInArrow(store.lean_group(judge_stretches(kind, dtype)), ANSWER)
 
     def end(table: pa.Table) -> pa.Table:
         rows = store.read_block(folder, table.column("block")[0].as_py())
         b = Block(rows, kind, buckets)
         return finish(rows, b, tk.covered(b.units, window_flags(b, table), kind.window))
 
-    return every.union(level1).union(level2).repartition(buckets, "block").groupBy("block").applyInArrow(end, schema)
+    return every.union(level1).union(level2).repartition(buckets, "block").groupBy("block").applyInArrow(store.lean_group(end), schema)

@@ -33,7 +33,7 @@ from . import textkit as tk
 MAGIC = b"PSIDS1\0\0"
 HEAD = struct.Struct("<8sqqqqq")
 SHARD_IDS = 4 << 20
-CACHE_UNITS = 1 << 21
+CACHE_UNITS = 1 << 20
 PIECE_BYTES = (2 << 20) - 64
 PACK_IDS = 1 << 19
 
@@ -299,7 +299,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, doc_id: str = "d
     The list has one entry a shard and is the file index."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spread = rows.repartitionByRange(store.partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    done = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(writer(folder, vocabulary, end_id, shard_ids), "part long, shard long, name string, n_docs long, n_ids long")
+    done = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(store.lean(writer(folder, vocabulary, end_id, shard_ids)), "part long, shard long, name string, n_docs long, n_ids long")
     return [(r["name"], r["n_docs"], r["n_ids"]) for r in sorted(done.collect(), key=lambda r: (r["part"], r["shard"]))]
 
 
@@ -325,4 +325,4 @@ def read_ids(spark, folder: str, index: list[tuple[str, int, int]]) -> DataFrame
         rows.append((name, base))
         base += n
     files = spark.createDataFrame(rows, "name string, base long").repartition(max(1, min(len(rows), 10_000)))
-    return files.mapInArrow(reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(store.lean(reader(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
