@@ -178,6 +178,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     """Per row of docs: doc_id, text, the columns of `keep`, n_words, spans (start and end of each
     hit run, in words, flattened) and items (ids of the items with occurring windows, sorted)."""
     spark = docs.sparkSession
+    store.small_batches(spark)
     flow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in keep or []))
     plain = flow.select("text")
     flow = flow.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<bigint>)"), "items": F.expr("cast(array() as array<string>)")})

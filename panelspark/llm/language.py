@@ -181,6 +181,7 @@ def crc_fold(doc_id: Column, folds: int, fold: int) -> Column:
 def languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, fold: int = 2, keep: list[str] | None = None, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per row of docs: doc_id, the columns of keep, held_out, lang_pred and score. Rows whose
     identifier falls in the held-out fold, and rows without identifier, are never learned from."""
+    store.small_batches(docs.sparkSession)
     held = F.coalesce(crc_fold(F.col(doc_id), folds, fold), F.lit(True))
     net = learn(docs, text, lang, held, F.col(doc_id), max_windows)
     kept = text in (keep or [])

@@ -314,6 +314,7 @@ class Near:
     """One run over a table; holds the scratch tables of its steps."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int, percent: int):
+        store.small_batches(docs.sparkSession)
         names = docs.columns
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(names) if c not in (doc_id, text)))
         self.names, self.doc_id, self.text = names, doc_id, text

@@ -104,6 +104,14 @@ def read_block(folder: str, block: str) -> pa.Table:
         return f.read_row_group(int(group), use_threads=False)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand Python batches of whole texts that stay small: 1000 rows, where the
+    session leaves the default of 10,000. Both sides of the pipe hold a batch or two at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def give_back() -> None:
     """Returns freed memory to the system: idle workers are kept, and what they hold adds up."""
     gc.collect()

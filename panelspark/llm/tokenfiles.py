@@ -297,6 +297,7 @@ def writer(folder: str, vocabulary: str, end_id: int, shard_ids: int):
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS) -> list[tuple[str, int, int]]:
     """Writes the shards; returns (name, documents, ids) of each in ascending order of identifiers.
     The list has one entry a shard and is the file index."""
+    store.small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spread = rows.repartitionByRange(store.partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
     done = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(store.lean(writer(folder, vocabulary, end_id, shard_ids)), "part long, shard long, name string, n_docs long, n_ids long")
