@@ -248,8 +248,8 @@ def closest_pairs(percent: int):
 
 
 def close_components(percent: int):
-    """A map stage over buckets sorted by key, the largest component of each last: (node, roots), the
-    other components that a node's sketch comes close to and that are not smaller than its own."""
+    """A map stage over buckets sorted by key, the main component of each last: (node, roots), the
+    other components that a node's sketch comes close to and that are main or not smaller than its own."""
     most = most_ones(percent / 100)
 
     def stage(batches):
@@ -259,13 +259,14 @@ def close_components(percent: int):
             nodes, roots = [], []
             for lo, hi in zip(r.heads, np.append(r.heads[1:], len(r.key)), strict=True):
                 mine = slice(lo, hi)
-                other = np.flatnonzero(~np.asarray(table.column("is_main"))[mine]) + lo
+                main = np.asarray(table.column("is_main"))[mine]
+                other = np.flatnonzero(~main) + lo
                 asked = (r.node[other], r.root[other], r.size[other], r.n[other], r.sketch[other])
                 if r.key[lo] == key:
                     asked = tuple(np.concatenate(x) for x in zip(held, asked, strict=True))
                 key, held = r.key[lo], asked
                 for node, root, size, n, sketch in zip(*asked, strict=True):
-                    fits = (r.root[mine] != root) & near_sizes(r.n[mine], n, percent) & ((r.size[mine] > size) | (r.size[mine] == size) & (r.root[mine] > root))
+                    fits = (r.root[mine] != root) & near_sizes(r.n[mine], n, percent) & (main | (r.size[mine] > size) | (r.size[mine] == size) & (r.root[mine] > root))
                     at = np.flatnonzero(fits) + lo
                     at = at[ones(r.sketch[at], sketch) <= most]
                     if len(at):

@@ -69,6 +69,24 @@ def test_near_group_that_no_leader_joins(spark):
     assert sorted(collected(found)) == brute.near(cases.pairs(data), 3, 85)
 
 
+def second_links(spark, texts, roots, shared):
+    """The links of the second round, for texts in components `roots` of which `shared` are in one bucket."""
+    run = near.Near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "doc_id", "text", 3, 80)
+    at = {r["doc_id"]: r["node"] for r in run.signed.select("doc_id", "node").collect()}
+    names = {v: k for k, v in at.items()}
+    buckets = spark.createDataFrame([(1, at[i]) for i in shared], "key long, node long")
+    known = spark.createDataFrame([(at[i], at[r]) for i, r in enumerate(roots) if roots.count(r) > 1], "node long, root long")
+    found = run.second(buckets, run.signed.select("node", "n", "sketch"), run.signed.select("node", "block"), known)
+    return {tuple(sorted((names[r["a"]], names[r["b"]]))) for r in found.collect()}
+
+
+def test_near_main_of_a_bucket_is_smaller_elsewhere(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:-1], f"x{i}"]) for i in range(3)] + [" ".join(f"y{i}_{j}" for j in range(60)) for i in range(2)]
+    found = second_links(spark, texts, [0, 0, 2, 2, 2], [0, 1, 2])
+    assert found and found <= {(0, 2), (1, 2)}
+
+
 def test_sketch_estimate():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 62, 400).astype(np.uint64)
