@@ -38,6 +38,8 @@ SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: Members of a bucket or component that meet in one step.
 BLOCK = 2048
+#: Rows of a bucket from which it is handed over in parts.
+PART = 1 << 16
 _SEEDS = tk.mix(np.arange(1, 2 * SAMPLES + 1, dtype=tk.U) * tk.U(0x9FB21C651E98DF25))
 _XOR, _MULTIPLY = _SEEDS[:SAMPLES], _SEEDS[SAMPLES:] | tk.U(1)
 
@@ -154,7 +156,7 @@ def confirm(percent: int):
     return stage
 
 
-def by_key(batches, size: int = 1 << 16):
+def by_key(batches, size: int = PART):
     """Batches of whole keys from batches that are sorted by key; a long key comes in parts that
     follow each other."""
     held: list[pa.RecordBatch] = []
@@ -248,13 +250,14 @@ def closest_pairs(percent: int):
 
 
 def close_components(percent: int):
-    """A map stage over buckets sorted by key, the main component of each last: (node, roots), the
-    other components that a node's sketch comes close to and that are main or not smaller than its own."""
-    most = most_ones(percent / 100)
+    """A map stage over buckets sorted by key, the main component of each last and the others by size
+    and root: (node, roots), the other components that a node's sketch comes close to and that are main
+    or not smaller than its own. These come later or in the same part, so all parts are compared."""
+    most, size_of_part = most_ones(percent / 100), PART
 
     def stage(batches):
         key, held = None, None
-        for table in by_key(batches):
+        for table in by_key(batches, size_of_part):
             r = Rows(table)
             nodes, roots = [], []
             for lo, hi in zip(r.heads, np.append(r.heads[1:], len(r.key)), strict=True):
@@ -364,7 +367,7 @@ class Near:
         open_keys = counted.groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
         sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
         rows = held.join(open_keys, "key").join(sizes, "root", "left").join(brief, "node").select("key", "node", "root", "n", "sketch", F.coalesce("size", F.lit(1)).cast("long").alias("size"), (F.col("root") == F.col("main")).alias("is_main"))
-        asked = rows.repartition(parts, "key").sortWithinPartitions("key", "is_main").mapInArrow(store.lean(close_components(self.percent)), "node long, roots array<long>")
+        asked = rows.repartition(parts, "key").sortWithinPartitions("key", "is_main", "size", "root").mapInArrow(store.lean(close_components(self.percent)), "node long, roots array<long>")
         asked = asked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
         asked, _ = store.materialise(asked.select("node", F.explode("roots").alias("root")), "asked")
         wide = asked.select("root").distinct().join(sizes, "root", "left").select("root", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("long").alias("blocks"))

@@ -87,6 +87,23 @@ def test_near_main_of_a_bucket_is_smaller_elsewhere(spark):
     assert found and found <= {(0, 2), (1, 2)}
 
 
+def test_near_bucket_in_parts(spark, monkeypatch):
+    texts, roots, bucket = [], [], []
+    for g in range(8):
+        words = [f"w{g}_{i}" for i in range(60)]
+        texts += [" ".join([*words[:-1], f"x{i}"]) for i in range(3)]
+        roots += [3 * g + 1, 3 * g + 1, 3 * g + 2] if g % 2 else [3 * g, 3 * g + 1, 3 * g + 1]
+        bucket += range(3 * g, 3 * g + 3)
+    texts += [" ".join(f"m{i}_{j}" for j in range(60)) for i in range(4)]
+    monkeypatch.setattr(near, "PART", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = second_links(spark, texts, roots + [24] * 4, bucket + [24, 25, 26, 27])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert {a // 3 for a, _ in found} == set(range(8)) and all(a // 3 == b // 3 for a, b in found)
+
+
 def test_sketch_estimate():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 62, 400).astype(np.uint64)
