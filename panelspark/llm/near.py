@@ -340,7 +340,8 @@ class Near:
         return store.materialise(whole.select("a", "b", "body_a", "body_b").mapInArrow(store.lean(confirm(self.percent)), "a long, b long, ok boolean"), "linked")[0]
 
     def classes(self) -> DataFrame:
-        """d1, d2, n and component_id of every distinct non-empty set."""
+        """d1, d2, n, top (the node that stands for the component) and component_id of every distinct
+        non-empty set."""
         parts = store.partitions(self.signed.sparkSession)
         heads = self.signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"))
         reps, _ = store.materialise(heads.join(self.signed.select("node", "block", "bands", "sketch"), "node"), "reps")
@@ -357,7 +358,7 @@ class Near:
         tops = components(over).select(F.col("node").alias("mid"), F.col("root").alias("top"))
         named = reps.select("node", "d1", "d2", "n", "least_id").join(roots, "node", "left").withColumn("mid", F.coalesce("root", "node")).join(tops, "mid", "left").withColumn("top", F.coalesce("top", "mid"))
         least = named.groupBy("top").agg(F.min("least_id").alias("component_id"))
-        return named.join(least, "top").select("d1", "d2", "n", "component_id")
+        return named.join(least, "top").select("d1", "d2", "n", "top", "component_id")
 
     def second(self, buckets: DataFrame, brief: DataFrame, where: DataFrame, roots: DataFrame) -> DataFrame:
         """The links (a, b) between components that still share a bucket."""
@@ -381,16 +382,17 @@ class Near:
         return store.materialise(dealt.mapInArrow(store.lean(meet(self.percent)), "a long, b long"), "late")[0]
 
     def labelled(self) -> DataFrame:
-        """node, block, doc_id, n_shingles, component_id and kept of every row."""
+        """node, block, top, doc_id, n_shingles, component_id and kept of every row; without shingles a
+        row is its own top."""
         found = self.signed.select("node", "block", "doc_id", "n", "d1", "d2").join(self.classes(), ["d1", "d2", "n"], "left")
         named = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        return found.select("node", "block", "doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"), F.col("doc_id").eqNullSafe(named).alias("kept"))
+        return found.select("node", "block", F.coalesce("top", "node").alias("top"), "doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"), F.col("doc_id").eqNullSafe(named).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least identifier of the documents reachable
     over links of at least `percent` similarity) and kept (it names its component)."""
-    return Near(docs, doc_id, text, words, percent).labelled().drop("node", "block")
+    return Near(docs, doc_id, text, words, percent).labelled().drop("node", "block", "top")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -415,5 +417,5 @@ def unique(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     from pyspark.sql.pandas.types import to_arrow_schema
 
     run = Near(docs, doc_id, text, words, percent)
-    kept = run.labelled().where("kept").groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("node")).alias("alone")).agg(F.min_by("block", "node").alias("block"), F.min("node").alias("node"))
+    kept = run.labelled().where("kept").groupBy("top").agg(F.min_by("block", "node").alias("block"), F.min("node").alias("node"))
     return kept.select("block", "node").groupBy("block").applyInArrow(store.lean_group(take_rows(run.folder, docs.columns, doc_id, text, to_arrow_schema(docs.schema))), docs.schema)

@@ -334,3 +334,11 @@ def test_unique_keeps_columns_and_one_of_each(docs):
     assert kept.columns == docs.columns
     links = brute.near(cases.pairs(), 5, 80)
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in links if r[3]}
+
+
+def test_unique_keeps_a_row_of_each_component_without_names(spark):
+    far = [" ".join(f"z{i}_{j}" for j in range(20)) for i in range(6)]
+    data = [(None, far[0]), (None, far[1]), (None, far[1]), (None, far[2] + " end"), (7, far[3]), (7, far[4]), (8, far[5]), (None, far[5]), (None, ""), (None, None)]
+    kept = near.unique(spark.createDataFrame(data, "doc_id long, text string"), words=5, percent=80)
+    want = [(None, far[0]), (None, far[1]), (None, far[2] + " end"), (7, far[3]), (7, far[4]), (8, far[5]), (None, ""), (None, None)]
+    assert sorted(collected(kept), key=str) == sorted(want, key=str)
