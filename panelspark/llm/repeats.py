@@ -4,9 +4,9 @@ A window is `window` units (bytes or words) of one document. Of the runs of `gra
 the least by hash is its anchor, so equal windows have equal anchors at equal places. An anchor stands
 for all consecutive windows that share it; their text is its stretch.
 
-Level 1 sends for each anchor a hash of it and of its stretch to the bucket of the anchor's hash. An
-anchor of one document alone ends there. Where a stretch also starts in a smaller document, all its
-windows repeat. The first occurrence of each distinct stretch of a shared anchor goes on to level 2:
+Level 1 sends for each anchor 32 bits of its hash and the 64-bit hash of its stretch to the bucket of
+the anchor's hash. An anchor of one document alone ends there. Where a stretch also starts in a smaller
+document, all its windows repeat. The first occurrence of each distinct stretch of a shared anchor goes on to level 2:
 its windows themselves meet in the bucket, which says for each of them whether it is earlier elsewhere.
 
 Documents stay in blocks in the shared folder; only anchors, first stretches and one answer an anchor
@@ -82,14 +82,13 @@ class Block:
             hashes, a, b = anchors(units, first, kind.window, kind.gram)
             key = tk.mix(hashes)
             stretch = tk.run_hash(tk.prefix_sums(units), a, b - a + kind.window)
-            entry = (key & tk.U((1 << 34) - 1)) << tk.U(30) | stretch >> tk.U(34)
-            parts.append((entry, ((key >> tk.U(34)) % tk.U(buckets)).astype(np.int32), a + base, b + base, tk.owner(first, a) + lo))
+            parts.append((key.astype(np.uint32), stretch, ((key >> tk.U(34)) % tk.U(buckets)).astype(np.int32), a + base, b + base, tk.owner(first, a) + lo))
             self.bases.append((base, count))
             base += int(first[-1])
             count += len(a)
         self.units = base
-        joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (tk.U, np.int32, np.int64, np.int64, np.int64)]
-        self.entry, self.bucket, self.lo, self.hi, self.row = joined
+        joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.uint32, tk.U, np.int32, np.int64, np.int64, np.int64)]
+        self.key, self.stretch, self.bucket, self.lo, self.hi, self.row = joined
         self.order = np.argsort(self.bucket, kind="stable")
 
     def by_bucket(self, chosen: np.ndarray):
@@ -122,7 +121,7 @@ def send_anchors(folder: str, kind: Kind, buckets: int):
         for batch in batches:
             for name in batch.column("block").to_pylist():
                 b = Block(store.read_block(folder, name), kind, buckets)
-                rows = [(name, k, b.entry[p].tobytes(), b"", b"", *b.owners(p)) for k, p in b.by_bucket(b.order)]
+                rows = [(name, k, b.stretch[p].tobytes(), b.key[p].tobytes(), b"", *b.owners(p)) for k, p in b.by_bucket(b.order)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else pa.RecordBatch.from_pylist([], _SENT)
 
     return stage
@@ -147,14 +146,15 @@ def answers(table: pa.Table, level: int, flags: np.ndarray, sizes: list[int]) ->
 
 def judge_anchors(table: pa.Table) -> pa.Table:
     """A bucket at level 1: 0 no window repeats, 1 all do, 2 ask at level 2."""
-    entries = np.concatenate(numbers(table.column("body"), tk.U))
+    keys, stretches = np.concatenate(numbers(table.column("sizes"), np.uint32)), np.concatenate(numbers(table.column("body"), tk.U))
     ids, sizes = identifiers(table)
-    order = np.lexsort((ids, entries))
-    e, d = entries[order], ids[order]
-    new_stretch = np.ones(len(e), bool)
-    new_stretch[1:] = e[1:] != e[:-1]
+    order = np.lexsort((ids, stretches, keys))
+    k, e, d = keys[order], stretches[order], ids[order]
+    del keys, stretches, ids
     new_anchor = np.ones(len(e), bool)
-    new_anchor[1:] = e[1:] >> tk.U(30) != e[:-1] >> tk.U(30)
+    new_anchor[1:] = k[1:] != k[:-1]
+    new_stretch = new_anchor.copy()
+    new_stretch[1:] |= e[1:] != e[:-1]
     stretch, anchor = np.cumsum(new_stretch) - 1, np.cumsum(new_anchor) - 1
     heads = np.flatnonzero(new_anchor)
     several = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
@@ -168,7 +168,7 @@ def judge_anchors(table: pa.Table) -> pa.Table:
 def level_flags(b: Block, table: pa.Table) -> np.ndarray:
     """The answers of level 1 for each anchor of a block."""
     found = sorted(((r["bucket"], r["flags"]) for r in table.to_pylist() if r["level"] == 1), key=lambda r: r[0])
-    flags = np.zeros(len(b.entry), np.uint8)
+    flags = np.zeros(len(b.key), np.uint8)
     if found:
         flags[b.order] = np.frombuffer(b"".join(f for _, f in found), np.uint8)
     return flags
@@ -183,7 +183,7 @@ def send_stretches(folder: str, kind: Kind, buckets: int):
         flags = level_flags(b, table)
         ask = np.flatnonzero(flags == 2)
         bodies, sizes = [], []
-        for (_, _, data, off), (base, count), (_, end) in zip(tk.each_chunk(b.text), b.bases, [*b.bases[1:], (0, len(b.entry))], strict=True):
+        for (_, _, data, off), (base, count), (_, end) in zip(tk.each_chunk(b.text), b.bases, [*b.bases[1:], (0, len(b.key))], strict=True):
             mine = ask[(ask >= count) & (ask < end)]
             if len(mine):
                 body, size = kind.send(data, kind.units(data, off)[0], b.lo[mine] - base, b.hi[mine] - base)
@@ -192,8 +192,8 @@ def send_stretches(folder: str, kind: Kind, buckets: int):
         if not len(ask):
             return pa.Table.from_pylist([], _SENT)
         body, size = np.concatenate(bodies), np.concatenate(sizes).astype(np.int64)
-        start = np.zeros(len(b.entry), np.int64)
-        length = np.zeros(len(b.entry), np.int64)
+        start = np.zeros(len(b.key), np.int64)
+        length = np.zeros(len(b.key), np.int64)
         start[ask], length[ask] = np.cumsum(size) - size, size
         rows = []
         for k, part in b.by_bucket(b.order[flags[b.order] == 2]):

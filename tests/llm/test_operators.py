@@ -165,6 +165,13 @@ def test_passages(docs, words):
     assert sorted(collected(passages.digest(passages.without_passages(docs, words=words)))) == sorted(want)
 
 
+@pytest.mark.parametrize("pair", [(101477, 137902), (8926, 12123), (1949, 102204)])
+def test_stretches_of_an_anchor_that_agree_in_30_bits(spark, pair):
+    texts = [f"a{j} b c p9286a p9286b p9286c p9286d p9286e p9286f p9286g d e f" for j in pair]
+    found = collected(passages.digest(passages.without_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    assert [r[2] for r in found] == [0, 0]
+
+
 def test_ngrams(docs):
     found = sorted(collected(ngrams.digest(ngrams.scored(docs))), key=lambda r: (r[0], r[2], r[6]))
     want = sorted(brute.kneser_ney(cases.pairs()), key=lambda r: (r[0], r[1], r[5]))
