@@ -9,6 +9,7 @@ run() with a brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, language, mixing, near, store, tokenfiles
 
@@ -34,11 +35,13 @@ def order_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token ids and returns what the files hold."""
+    """Writes token ids in the order of docs, a table read back, and returns what the files hold."""
     import public_tokenizers
 
     folder = store.new_path(spark, "pipeline-ids")
-    index = tokenfiles.write_ids(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    name = F.col("_metadata.file_name")
+    order = [*(F.regexp_extract(name, part, 1).try_cast("long") for part in (r"^part-(\d+)", r"-c(\d+)")), F.col("_metadata.row_index")]
+    index = tokenfiles.write_ids(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), order=order)
     return tokenfiles.read_ids(spark, folder, index)
 
 

@@ -62,11 +62,15 @@ def inverse(part: Column, lean: Column) -> Column:
     return F.when(lean == 0, part).otherwise(F.coalesce(F.try_divide(F.lit(2.0) * part, start + root), F.lit(0.0)))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), leans: Sequence[float] = (-0.5, 0.0, 0.5), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes,
-    repeats counted) and position (0 to 1, training time at which it is drawn), sorted by position.
-    weights and leans repeat over the sources in code point order, null last; a lean of x ramps a
-    schedule from (1 - x) to (1 + x) times its weight."""
+def moment(demand: Column) -> Column:
+    """The training time at which a source has drawn `demand` words of its target."""
+    part = F.when(F.col("target") > 0, F.least(demand / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
+    return inverse(part, F.col("lean"))
+
+
+def drawn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), leans: Sequence[float] = (-0.5, 0.0, 0.5), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, taken, begin (words of the source
+    before it in the order of a pass) and lean."""
     sizes, _ = store.materialise(sized(docs, doc_id, text, source), "sizes")
     goals = targets(sizes, weights, share, most)
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
@@ -86,8 +90,15 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     extra = goal - F.col("whole") * F.col("source_size")
     joined = joined.withColumn("begin", begin).withColumn("whole", whole)
     taken = F.col("whole") * F.col("size") + F.least(F.greatest(extra - F.col("begin"), F.lit(0)), F.col("size"))
-    part = F.when(F.col("target") > 0, F.least(F.col("begin") / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), inverse(part, F.col("lean")).alias("position")).orderBy("position", "doc_id")
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "begin", "lean")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes,
+    repeats counted) and position (0 to 1, training time at which it is first drawn), sorted by position.
+    The options are those of drawn(): weights and leans repeat over the sources in code point order,
+    null last; a lean of x ramps a schedule from (1 - x) to (1 + x) times its weight."""
+    return drawn(docs, **options).select("doc_id", "source", "size", "source_size", "target", "taken", moment(F.col("begin")).alias("position")).orderBy("position", "doc_id")
 
 
 def digest(mixed: DataFrame) -> DataFrame:
@@ -96,20 +107,20 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 
 def training_order(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs as the mix takes them, with their columns, range-sorted by training position:
-    whole copies, then the first words of a document that is taken in part. The rows that the mix
+    """The rows of docs as the mix takes them, with their columns, range-sorted by the training position
+    of each copy, which comes a pass of its source after the one before: whole copies, then the first words of a document that is taken in part. The rows that the mix
     does not take are left out. Rows are matched by identifier, source and size; repeated rows are
     taken alike."""
     names = docs.columns
-    mixed = mix(docs, doc_id=doc_id, text=text, source=source, **options).where("taken > 0")
-    plan = mixed.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("mix_taken"), F.min("position").alias("mix_position"))
+    mixed = drawn(docs, doc_id=doc_id, text=text, source=source, **options).where("taken > 0")
+    plan = mixed.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("mix_taken"), *(F.min(c).alias(c) for c in ("begin", "source_size", "target", "lean")))
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*(F.col(c) for c in names)).alias("doc"), F.col(doc_id).alias("mix_id"), F.col(source).cast("string").alias("mix_source"), size.alias("mix_size"))
     joined = rows.join(plan, F.col("mix_id").eqNullSafe(F.col("doc_id")) & F.col("mix_source").eqNullSafe(F.col("source")) & (F.col("mix_size") == F.col("size")))
     copies = joined.withColumn("copy", F.explode(F.expr("sequence(0L, (mix_taken - 1) div size)")))
     words = F.least(F.col("size"), F.col("mix_taken") - F.col("copy") * F.col("size"))
     cut = F.when(words == F.col("size"), F.col(f"doc.{text}")).otherwise(first_words(F.col(f"doc.{text}").cast("string"), words))
-    at = F.col("mix_position") + F.col("copy")
+    at = moment(F.col("copy") * F.col("source_size") + F.col("begin"))
     return copies.orderBy(at, "mix_id").select(*((cut if c == text else F.col(f"doc.{c}")).alias(c) for c in names))
 
 

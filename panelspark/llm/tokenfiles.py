@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -294,13 +295,17 @@ def writer(folder: str, vocabulary: str, end_id: int, shard_ids: int):
     return stage
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS) -> list[tuple[str, int, int]]:
-    """Writes the shards; returns (name, documents, ids) of each in ascending order of identifiers.
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS, order: Sequence[Column] = ()) -> list[tuple[str, int, int]]:
+    """Writes the shards; returns (name, documents, ids) of each in ascending order of identifiers, or of
+    the columns `order` of docs where these are given.
     The list has one entry a shard and is the file index."""
     store.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spread = rows.repartitionByRange(store.partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    done = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(store.lean(writer(folder, vocabulary, end_id, shard_ids)), "part long, shard long, name string, n_docs long, n_ids long")
+    places = [f"place_{i}" for i in range(len(order))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(c.alias(p) for c, p in zip(order, places, strict=True)))
+    by_id = F.col("doc_id").asc_nulls_first()
+    spread = rows.repartitionByRange(store.partitions(docs.sparkSession), *(places or [by_id]))
+    dealt = spread.sortWithinPartitions(*(places or [by_id, F.xxhash64("text")])).select("doc_id", "text")
+    done = dealt.mapInArrow(store.lean(writer(folder, vocabulary, end_id, shard_ids)), "part long, shard long, name string, n_docs long, n_ids long")
     return [(r["name"], r["n_docs"], r["n_ids"]) for r in sorted(done.collect(), key=lambda r: (r["part"], r["shard"]))]
 
 

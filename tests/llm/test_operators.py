@@ -220,6 +220,19 @@ def test_training_order_takes_what_the_mix_takes(docs):
             assert out.get(key, 0) == values[0]
 
 
+def test_each_copy_has_its_own_position(spark):
+    data = [(i, "w " * (1 + i * 7 % 11), "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    lean, begin, want = {"a": -0.5, "b": 0.0, "c": 0.5}, {}, []
+    for r in mixing.mix(docs).collect():
+        done = begin.get(r["source"], 0)
+        begin[r["source"]] = done + r["size"]
+        for copy in range(-(-r["taken"] // r["size"])):
+            part, x = (copy * r["source_size"] + done) / r["target"], lean[r["source"]]
+            want.append((part if not x else 2 * part / (1 - x + math.sqrt((1 - x) ** 2 + 4 * x * part)), r["doc_id"]))
+    assert [r["doc_id"] for r in mixing.training_order(docs).collect()] == [k for _, k in sorted(want)] and len(want) > len(data)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = queries.documents(spark, "/root/testdata/sf0.01")
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from llm import brute
-from panelspark.llm import language
+from panelspark.llm import language, mixing, store
 
 DIR = "/root/testdata/sf0.001"
 
@@ -43,5 +43,12 @@ def test_pipeline_against_plain_stages(spark):
     assert sorted((r["doc_id"], r["ids_crc32"]) for r in found) == want
 
 
+def test_token_files_are_in_training_order(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    mixed, _ = store.materialise(corpus_pipeline.order_mix(spark, docs, DIR), "mixed")
+    found = corpus_pipeline.write_tokens(spark, mixed, DIR).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [r["doc_id"] for r in mixing.training_order(docs).collect()]
+
+
 def test_stages_are_the_ones_asked_for():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
