@@ -10,8 +10,9 @@ Items are read in blocks of bounded size and each block is broadcast; documents
 map stage a block, so neither the items nor the documents are ever shuffled.
 
 Edge cases: null and empty texts have no words and are never hit; an item without words has no
-window; repeated items and repeated rows are each reported; an empty table gives no hits; other
-columns are ignored.
+window; items without an identifier hit like others and are together one null, listed first, which
+counts as an item and adds nothing to the hash of the list; repeated items and repeated rows are each
+reported; an empty table gives no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ BLOCK_BYTES = 4 << 20
 SHINGLE = 4
 
 
+def by_name(names) -> list[str | None]:
+    """Names in order, null first."""
+    return sorted(names, key=lambda x: (x is not None, x or ""))
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return tk.LOWER[data]
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, bytes]]]:
     """Blocks of (id, text) of bounded size; one item may exceed it."""
     block, size = [], 0
     for row in items.select(F.col(item_id).cast("string"), F.col(text).cast("string")).toLocalIterator():
@@ -52,17 +58,17 @@ def item_blocks(items: DataFrame, item_id: str, text: str, limit: int = BLOCK_BY
 class Windows:
     """The distinct windows of a block of items, by length."""
 
-    def __init__(self, block: list[tuple[str, bytes]], width: int, shingle: int):
-        found: dict[bytes, set[str]] = {}
+    def __init__(self, block: list[tuple[str | None, bytes]], width: int, shingle: int):
+        found: dict[bytes, set[str | None]] = {}
         for name, raw in block:
             words = tk.word_hashes(lowered(np.frombuffer(raw, np.uint8)), np.array([0, len(raw)]), tk.ALNUM_WORD)[0]
-            if len(words) and name is not None:
+            if len(words):
                 n = min(width, len(words))
                 for i in range(len(words) - n + 1):
                     found.setdefault(words[i : i + n].tobytes(), set()).add(name)
         keys = sorted(found)
         self.words = [np.frombuffer(k, tk.U) for k in keys]
-        self.items = [sorted(found[k]) for k in keys]
+        self.items = [by_name(found[k]) for k in keys]
         self.grams = [tk.gram_hashes(w, min(shingle, len(w))) for w in self.words]
         self.sizes = sorted({min(shingle, len(w)) for w in self.words})
         self.tokens = {k: np.unique(np.concatenate([g for g, w in zip(self.grams, self.words, strict=True) if min(shingle, len(w)) == k])) for k in self.sizes}
@@ -166,7 +172,7 @@ def join_windows(windows):
                     flags = tk.covered(int(n_words[lo + d]), np.concatenate([s, np.array(spans[::2], np.int64)]), np.concatenate([w.lengths[v], np.array(spans[1::2], np.int64) - np.array(spans[::2], np.int64)]))
                     a, b = tk.runs(flags, np.array([0, len(flags)]))
                     old_spans[lo + d] = np.stack([a, b], 1).ravel().tolist()
-                    old_items[lo + d] = sorted({*(old_items[lo + d] or []), *(x for i in np.unique(v) for x in w.items[i])})
+                    old_items[lo + d] = by_name({*(old_items[lo + d] or []), *(x for i in np.unique(v) for x in w.items[i])})
             out = {name: batch.column(name) for name in batch.schema.names}
             out |= {"n_words": pa.array(n_words), "spans": pa.array(old_spans, pa.list_(pa.int64())), "items": pa.array(old_items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(out)
@@ -176,7 +182,7 @@ def join_windows(windows):
 
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, shingle: int = SHINGLE, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, text, the columns of `keep`, n_words, spans (start and end of each
-    hit run, in words, flattened) and items (ids of the items with occurring windows, sorted)."""
+    hit run, in words, flattened) and items (ids of the items with occurring windows, sorted, null first)."""
     spark = docs.sparkSession
     store.small_batches(spark)
     flow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in keep or []))

@@ -268,6 +268,16 @@ def test_leaks(spark, docs):
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(r[0] for r in want if not r[-1])
 
 
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_leaks_of_items_without_identifier(spark, block_bytes):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "c d e f"), (3, "x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), (None, "d"), (4, "c d")], "item_id long, text string")
+    found = decontaminate.digest(decontaminate.contamination(docs, items, block_bytes=block_bytes))
+    sha = {n: hashlib.sha256(n.encode()).hexdigest() for n in ("4", "")}
+    assert sorted(collected(found)) == [(1, 4, 3, 2, sha["4"], True), (2, 4, 2, 2, sha["4"], True), (3, 3, 0, 0, sha[""], False)]
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items.where("item_id is null")).collect()] == [3]
+
+
 def test_token_files(spark, docs):
     folder = store.new_path(spark, "ids")
     index = tokenfiles.write_ids(docs, folder, VOCABULARY, shard_ids=4000)
