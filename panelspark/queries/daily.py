@@ -144,7 +144,7 @@ query("md7_garch_sigma", "asset, date, h, sigma:6", lambda s, d: models.garch_si
 
 def boosted(spark, d) -> DataFrame:
     rows = fr.ready(spark, d).select("asset", "date", "rv1", *RIDGE)
-    return models.boosted_sigma(rows.where("date < '1998-01-01'"), rows.where("date >= '1998-01-01'"), RIDGE, "rv1", trees=5, depth=3)
+    return models.boosted_sigma(rows.where("date < '1998-01-01'"), rows.where("date >= '1998-01-01'"), RIDGE, "rv1")
 
 
 query("md8_boosted_sigma", "asset, date, sigma:6", boosted)

@@ -280,3 +280,23 @@ def test_upsert_keeps_the_new_row(spark):
 def test_winner_and_margin(spark):
     rows = spark.createDataFrame([("A", "x", 2.0), ("A", "y", 1.0), ("A", "z", 4.0)], "asset string, model string, pinball double")
     assert tuple(report.winners(rows).first()) == ("A", "y", 1.0)
+
+
+def test_boosted_query_has_the_production_parameters(monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from panelspark.operators import models
+    from panelspark.queries import daily
+
+    sign, seen = inspect.signature(models.boosted_sigma), {}
+
+    def capture(*a, **k):
+        held = sign.bind(*a, **k)
+        held.apply_defaults()
+        seen.update(held.arguments)
+
+    monkeypatch.setattr(models, "boosted_sigma", capture)
+    monkeypatch.setattr(daily.fr, "ready", MagicMock())
+    daily.boosted(None, None)
+    assert (seen["trees"], seen["depth"], seen["rate"]) == (300, 5, 0.05)
