@@ -88,7 +88,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
         return max(span[0] - reach, breaks[lo - 1] if lo else 0), min(span[1] + reach, breaks[lo] if lo < len(breaks) else len(text))
 
     found = [s for s in names if secrets.meets(*scope(s))] + [s for s in mixed if ids.meets(*scope(s))]
-    if found or base:
+    if ids.starts and secrets.starts:
         ends = overlaps([(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)], Intervals(base + names + mixed))
         found += [s for s in ends if ids.meets(*scope(s)) and secrets.meets(*scope(s))]
     return found

@@ -135,6 +135,11 @@ def test_weak_parts_need_each_other():
     assert [k for _, _, k in secrets.linked_spans(text, secrets.base_spans(text))] == ["mixed"]
 
 
+def test_endpoint_between_parts_that_are_far_from_each_other():
+    text = "user = carol" + " x" * 60 + " https://host.example/a" + " x" * 60 + " Zm9vYmFyQmF6cXV4MTIzNDU2Nzg5MGFi"
+    assert [k for _, _, k in secrets.linked_spans(text, secrets.base_spans(text))] == ["endpoint"]
+
+
 def test_suffixes(docs):
     want = []
     for k, u, flags in brute.removed(cases.pairs(), lambda t: (t or "").encode(), 50):
