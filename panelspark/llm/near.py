@@ -323,8 +323,9 @@ class Near:
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(names) if c not in (doc_id, text)))
         self.names, self.doc_id, self.text = names, doc_id, text
         self.words, self.percent = words, percent
-        self.folder, blocks = store.block_table(rows, "near")
-        self.signed, _ = store.materialise(blocks.mapInArrow(store.lean(sign(self.folder, words)), SIGNED), "signed")
+        self.blocks = store.block_table(rows, "near")
+        self.folder = self.blocks.folder
+        self.signed, _ = store.materialise(self.blocks.rows.mapInArrow(store.lean(sign(self.folder, words)), SIGNED), "signed")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """node and body (shingle set) of the wanted nodes (node, block)."""

@@ -27,6 +27,17 @@ PASSAGES = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
  per AS (SELECT words.doc_id, count(p) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (p IS NULL) AS k FROM words LEFT JOIN hit ON hit.doc_id = words.doc_id AND hit.p = words.i GROUP BY words.doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)"""
 
+COPIES = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ win AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM d, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS u(i)),
+ firsts AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+ hit AS (SELECT doc_id, i FROM win JOIN firsts USING (s) WHERE doc_id > f),
+ marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS head FROM hit),
+ numbered AS (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+ runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, g),
+ cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
+ per AS (SELECT cut.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS k FROM cut JOIN d USING (doc_id) GROUP BY cut.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)"""
+
 MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {SPACED})) AS size FROM documents),
  s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
  s1 AS (SELECT *, ([5.0, 2.0, 1.0])[(rank - 1) % 3 + 1] AS weight, ([-0.5, 0.0, 0.5])[(rank - 1) % 3 + 1] AS lean, 2.0 * source_size AS cap FROM s0),
@@ -47,4 +58,4 @@ LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {PLAIN}) AS
  ids AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
-SQL = {"op2_exact_dedup": EXACT, "op3_odd_sketches": NEAR, "op7_passage_doubling": PASSAGES, "op8_curriculum_mix": MIX, "op10_decontaminate": LEAKS}
+SQL = {"op2_exact_dedup": EXACT, "op3_odd_sketches": NEAR, "op5_previous_factors": COPIES, "op7_passage_doubling": PASSAGES, "op8_curriculum_mix": MIX, "op10_decontaminate": LEAKS}

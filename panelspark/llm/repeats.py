@@ -1,27 +1,28 @@
-"""Which windows of a document also start in a document with a smaller identifier, exactly.
+"""Exchanges between blocks of whole documents and buckets of hashes, and the text that windows share.
 
 A window is `window` units (bytes or words) of one document. Of the runs of `gram` units in a window
-the least by hash is its anchor, so equal windows have equal anchors at equal places. An anchor stands
-for all consecutive windows that share it; their text is its stretch.
-
-Level 1 sends for each anchor 32 bits of its hash and the 64-bit hash of its stretch to the bucket of
-the anchor's hash. An anchor of one document alone ends there. Where a stretch also starts in a smaller
-document, all its windows repeat. The first occurrence of each distinct stretch of a shared anchor goes on to level 2:
-its windows themselves meet in the bucket, which says for each of them whether it is earlier elsewhere.
-
-Documents stay in blocks in the shared folder; only anchors, first stretches and one answer an anchor
-or window move. A block sends a bucket one packed row, so a passage in a third of all documents is a
-run of sorted numbers and not a group of rows; no pair of documents is ever listed.
+the least by hash is its anchor, so equal windows have equal anchors. An anchor stands for all
+consecutive windows that share it; their text is its stretch.
+
+First the hashes of the anchors meet: an anchor of one document alone ends there. Then the texts of
+the stretches whose anchor is shared meet in the anchor's bucket, where the operator judges every
+window on the text itself. Equal stretches of a block, compared byte by byte, go there once, for the
+least identifier; so a passage in a third of all documents is one text a block. An anchor with very
+many stretches is split: its windows go alone, each to the bucket of its own hash.
+
+Hashes only decide what meets; a collision sends a text in vain. Documents stay in blocks in the
+shared folder. A block sends a bucket one packed row; no pair of documents is ever listed. Buckets
+grow in number with the bytes of the table, and a bucket is judged in parts of whole anchors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
@@ -29,40 +30,158 @@ from . import textkit as tk
 
 #: Stands for a null identifier, the smallest.
 NO_ID = -(1 << 63)
-_PLACE = 28
+#: Bytes of documents for each bucket, and bytes of text that are judged at a time.
+BUCKET_BYTES, PART_BYTES = 16 << 20, 4 << 20
+#: Occurrences from which an anchor's windows go alone.
+HOT = 1 << 15
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What units are, and how level 2 sends and judges the windows of a stretch."""
+    """What units are, and how their texts are sent and judged."""
 
     window: int
     gram: int
     units: Callable  # (bytes, offsets) -> (unit hashes, first unit of each document)
-    send: Callable  # (bytes, unit hashes, lo, hi) -> one array of all stretches, and their lengths in it
-    judge: Callable  # (array, lengths, windows of each stretch, identifiers) -> flag of each window
+    cut: Callable  # (bytes, offsets, lo, hi) -> the texts of unit ranges in one array, and their lengths
+    judge: Callable  # (texts in one array, lengths, windows of each text, identifiers) -> flag of each window
+    hot: int
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """How many buckets a table of `size` bytes gets."""
+    return max(store.partitions(spark), -(-size // BUCKET_BYTES))
+
+
+def identifiers(rows: pa.Table) -> np.ndarray:
+    return np.asarray(rows.column("doc_id").combine_chunks().fill_null(NO_ID)).astype(np.int64)
+
+
+class Groups:
+    """Hashes of a block by bucket and key: what it asks, and how answers come back to each hash."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, buckets: int):
+        full = tk.mix(hashes)
+        place = (full >> tk.U(34)) % tk.U(buckets) << tk.U(32) | full & tk.U(0xFFFFFFFF)
+        self.order = np.argsort(place)
+        place = place[self.order]
+        new = np.ones(len(place), bool)
+        new[1:] = place[1:] != place[:-1]
+        heads = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1
+        self.key, self.bucket = place[heads].astype(np.uint32), (place[heads] >> tk.U(32)).astype(np.int64)
+        if len(heads):
+            owner = ids[self.order]
+            several = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
+            counts = np.frexp(np.diff(np.append(heads, len(place))).astype(np.float64))[1]
+            self.mark = (np.minimum(counts, 63) | several << 7).astype(np.uint8)
+
+    def asks(self, name: str) -> list[tuple]:
+        """(block, bucket, keys, marks): a mark is the bit length of a count, and whether the hash is in
+        documents of several identifiers."""
+        if not len(self.key):
+            return []
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.bucket)) + 1, [len(self.key)]])
+        return [(name, int(self.bucket[a]), self.key[a:b].tobytes(), self.mark[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def answered(self, found: bytes) -> np.ndarray:
+        """The answer for each hash."""
+        out = np.empty(len(self.order), np.uint8)
+        out[self.order] = np.frombuffer(found, np.uint8)[self.group]
+        return out
+
+
+ASK = "block string, bucket int, keys binary, marks binary"
+_ASK = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary())])
+SENT = "block string, bucket int, keys binary, body binary, sizes binary, windows binary, ids binary"
+_SENT = pa.schema([("block", pa.string()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("keys", "body", "sizes", "windows", "ids"))])
+#: What a block knows: level 0 which windows are in question (null: all), level 1 and 2 the answers.
+ANSWER = "block string, bucket int, level int, flags binary"
+_ANSWER = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("level", pa.int32()), ("flags", pa.binary())])
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    """The numbers of a binary column, row after row."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+
+
+def answers(table: pa.Table, level: int, flags: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    cuts = np.cumsum(sizes)
+    parts = [flags[a:b].tobytes() for a, b in zip(cuts - sizes, cuts, strict=True)]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "level": pa.array([level] * len(parts), pa.int32()), "flags": pa.array(parts, pa.binary())}, schema=_ANSWER)
+
+
+def told(table: pa.Table, level: int) -> bytes:
+    """The answers of a level to a block, in the order in which it asked."""
+    rows = sorted(((r["bucket"], r["flags"]) for r in table.to_pylist() if r["level"] == level), key=lambda r: r[0])
+    return b"".join(f for _, f in rows)
+
+
+def in_question(table: pa.Table) -> bytes | None:
+    return next((r["flags"] for r in table.to_pylist() if r["level"] == 0), None)
+
+
+def judge_groups(hot: int):
+    """A bucket of hashes: 0 in one document alone, 1 in several, 2 in several and very often."""
+
+    def stage(table: pa.Table) -> pa.Table:
+        keys, marks = joined(table, "keys", np.uint32), joined(table, "marks", np.uint8)
+        order = np.argsort(keys)
+        k, m = keys[order], marks[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        heads = np.flatnonzero(new)
+        shared = (np.diff(np.append(heads, len(k))) > 1) | np.bitwise_or.reduceat(m >> 7, heads).astype(bool)
+        often = np.add.reduceat(np.ldexp(0.5, (m & 63).astype(np.int64)), heads) >= hot
+        flags = np.empty(len(k), np.uint8)
+        flags[order] = np.where(shared, 1 + often, 0)[np.cumsum(new) - 1]
+        return answers(table, 1, flags, np.array([len(x.as_buffer()) for x in table.column("marks")]))
+
+    return stage
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minima of all runs of `width` values."""
-    out, span = values, 1
-    while span * 2 <= width:
-        out = np.minimum(out[:-span], out[span:])
-        span *= 2
-    rest = width - span
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+def meet_groups(asks: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
+    """The answers (ANSWER) to the asked hashes (ASK)."""
+    return asks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(store.lean_group(judge_groups(hot)), ANSWER)
 
 
-def anchors(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor, and the first and last of the windows that it stands for."""
-    starts = tk.gram_starts(first, window)
+def chosen_at(chosen: bytes | None, base: int, n: int) -> np.ndarray:
+    """Which of the n units from `base` start a window in question."""
+    if chosen is None:
+        return np.ones(n, bool)
+    bits = np.frombuffer(chosen, np.uint8)
+    found = np.unpackbits(bits[base // 8 : -(-(base + n) // 8)])[base % 8 : base % 8 + n].astype(bool)
+    return np.concatenate([found, np.zeros(n - len(found), bool)])
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least value of each run of `width` values."""
+    best, at, span = values, np.arange(len(values), dtype=np.int32), 1
+    while span < width:
+        step = min(span, width - span)
+        right = best[step:] < best[:-step]
+        best, at, span = np.where(right, best[step:], best[:-step]), np.where(right, at[step:], at[:-step]), span + step
+    return at
+
+
+def anchors(units: np.ndarray, first: np.ndarray, kind: Kind, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor, and the first and last of the windows in question that it stands for."""
+    starts = tk.gram_starts(first, kind.window)
+    starts = starts[chosen[starts]]
     if not len(starts):
         return np.zeros(0, tk.U), starts, starts
-    hashes = tk.gram_hashes(units, gram)
-    if len(hashes) >> _PLACE:
-        raise ValueError("a document is too long")
-    ranked = (hashes >> tk.U(_PLACE) << tk.U(_PLACE)) | np.arange(len(hashes), dtype=tk.U)
-    place = (sliding_min(ranked, window - gram + 1)[starts] & tk.U((1 << _PLACE) - 1)).astype(np.int64)
+    hashes = tk.gram_hashes(units, kind.gram)
+    place = sliding_least(hashes, kind.window - kind.gram + 1)[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     last = np.append(np.flatnonzero(new)[1:], len(starts)) - 1
@@ -70,188 +189,169 @@ def anchors(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tup
 
 
 class Block:
-    """The anchors of a block, ordered by bucket, with positions counted over the whole block."""
+    """The anchors of a block, with positions counted over the whole block."""
 
-    def __init__(self, table: pa.Table, kind: Kind, buckets: int):
-        ids = table.column("doc_id").combine_chunks()
-        self.ids = np.asarray(ids.fill_null(NO_ID)).astype(np.int64)
-        self.text, self.kind = table.column("text").combine_chunks(), kind
-        parts, self.bases, base, count = [], [], 0, 0
+    def __init__(self, rows: pa.Table, kind: Kind, buckets: int, chosen: bytes | None):
+        self.ids, self.text, self.kind, self.buckets = identifiers(rows), rows.column("text").combine_chunks(), kind, buckets
+        parts, self.bases, base = [], [], 0
         for lo, _, data, off in tk.each_chunk(self.text):
             units, first = kind.units(data, off)
-            hashes, a, b = anchors(units, first, kind.window, kind.gram)
-            key = tk.mix(hashes)
-            stretch = tk.run_hash(tk.prefix_sums(units), a, b - a + kind.window)
-            parts.append((key.astype(np.uint32), stretch, ((key >> tk.U(34)) % tk.U(buckets)).astype(np.int32), a + base, b + base, tk.owner(first, a) + lo))
-            self.bases.append((base, count))
+            hashes, a, b = anchors(units, first, kind, chosen_at(chosen, base, int(first[-1])))
+            parts.append((hashes, a + base, b + base, tk.owner(first, a) + lo))
+            self.bases.append(base)
             base += int(first[-1])
-            count += len(a)
         self.units = base
-        joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.uint32, tk.U, np.int32, np.int64, np.int64, np.int64)]
-        self.key, self.stretch, self.bucket, self.lo, self.hi, self.row = joined
-        self.order = np.argsort(self.bucket, kind="stable")
-
-    def by_bucket(self, chosen: np.ndarray):
-        """(bucket, anchors) of the chosen anchors, which are in bucket order."""
-        b = self.bucket[chosen]
-        cuts = np.flatnonzero(np.diff(b)) + 1
-        for part in np.split(chosen, cuts):
-            if len(part):
-                yield int(self.bucket[part[0]]), part
-
-    def owners(self, part: np.ndarray) -> tuple[bytes, bytes]:
-        """Identifiers and run lengths of the documents of some anchors in order."""
-        rows = self.row[part]
-        new = np.ones(len(rows), bool)
-        new[1:] = rows[1:] != rows[:-1]
-        at = np.flatnonzero(new)
-        return self.ids[rows[at]].tobytes(), np.diff(np.append(at, len(rows))).astype(np.uint32).tobytes()
-
-
-SENT = "block string, bucket int, body binary, sizes binary, windows binary, ids binary, counts binary"
-_SENT = pa.schema([("block", pa.string()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("body", "sizes", "windows", "ids", "counts"))])
-ANSWER = "block string, bucket int, level int, flags binary"
-_ANSWER = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("level", pa.int32()), ("flags", pa.binary())])
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (tk.U, np.int64, np.int64, np.int64)]
+        self.hash, self.lo, self.hi, self.row = columns
+        self.groups = Groups(self.hash, self.ids[self.row], buckets)
+
+
+def same_text(body: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the texts of equal size at a and at b agree, byte by byte."""
+    out = np.ones(len(a), bool)
+    for lo, hi in tk.chunks(np.concatenate([[0], np.cumsum(sizes)])):
+        n = sizes[lo:hi]
+        differ = body[spread(a[lo:hi], n)] != body[spread(b[lo:hi], n)]
+        out[lo + np.repeat(np.arange(hi - lo), n)[differ]] = False
+    return out
+
+
+class Stretches:
+    """The stretches of a block whose anchors are shared, and which of them go to the buckets."""
+
+    def __init__(self, b: Block, flags: np.ndarray):
+        whole, alone = np.flatnonzero(flags == 1), np.flatnonzero(flags == 2)
+        each = b.hi[alone] - b.lo[alone] + 1
+        single = spread(b.lo[alone], each)
+        lo = np.concatenate([b.lo[whole], single])
+        order = np.argsort(lo, kind="stable")
+        self.lo, self.windows = lo[order], np.concatenate([b.hi[whole] - b.lo[whole] + 1, np.ones(len(single), np.int64)])[order]
+        self.ids = b.ids[np.concatenate([b.row[whole], np.repeat(b.row[alone], each)])[order]]
+        go = np.concatenate([b.hash[whole], np.zeros(len(single), tk.U)])[order]
+        own = np.zeros(len(lo), bool)
+        own[len(whole) :] = True
+        own = own[order]
+        cuts = np.searchsorted(self.lo, [*b.bases, b.units + 1])
+        bodies, sizes, hashes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, tk.U)]
+        for (_, _, data, off), base, start, end in zip(tk.each_chunk(b.text), b.bases, cuts[:-1], cuts[1:], strict=True):
+            if end > start:
+                at, n = self.lo[start:end] - base, self.windows[start:end] + b.kind.window - 1
+                body, size = b.kind.cut(data, off, at, at + n)
+                bodies.append(body)
+                sizes.append(size)
+                hashes.append(tk.run_hash(tk.prefix_sums(b.kind.units(data, off)[0]), at, n))
+        self.body, self.sizes, text = np.concatenate(bodies), np.concatenate(sizes), np.concatenate(hashes)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        full = tk.mix(np.where(own, text, go))
+        self.key, self.bucket = full.astype(np.uint32), ((full >> tk.U(34)) % tk.U(b.buckets)).astype(np.int64)
+        self.head = self.heads(text)
+        sent = np.flatnonzero(self.head == np.arange(len(self.head)))
+        self.sent = sent[np.argsort(self.bucket[sent] << 32 | self.key[sent], kind="stable")]
+
+    def heads(self, text: np.ndarray) -> np.ndarray:
+        """For each stretch an equal one with the least identifier: by hash, and then by its bytes."""
+        order = np.lexsort((self.ids, text))
+        new = np.ones(len(order), bool)
+        new[1:] = text[order][1:] != text[order][:-1]
+        head = np.empty(len(order), np.int64)
+        head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        mine = np.arange(len(head))
+        head = np.where(self.sizes[head] == self.sizes, head, mine)
+        other = np.flatnonzero(head != mine)
+        wrong = other[~same_text(self.body, self.start[other], self.start[head[other]], self.sizes[other])]
+        head[wrong] = wrong
+        return head
+
+    def rows(self, name: str) -> list[tuple]:
+        """What the block sends to each bucket."""
+        b = self.bucket[self.sent]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]]) if len(b) else np.zeros(1, np.int64)
+        out = []
+        for part in (self.sent[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)):
+            n = self.sizes[part]
+            out.append((name, int(self.bucket[part[0]]), self.key[part].tobytes(), self.body[spread(self.start[part], n)].tobytes(), n.astype(np.uint32).tobytes(), self.windows[part].astype(np.uint32).tobytes(), self.ids[part].tobytes()))
+        return out
+
+    def starts(self, found: bytes) -> np.ndarray:
+        """Starts of the windows that repeat, by the answers for what was sent."""
+        said = np.zeros(int(self.windows.sum()), bool)
+        at = np.cumsum(self.windows) - self.windows
+        said[spread(at[self.sent], self.windows[self.sent])] = np.frombuffer(found, np.uint8).astype(bool)
+        later = np.repeat(self.ids > self.ids[self.head], self.windows)
+        return spread(self.lo, self.windows)[later | said[spread(at[self.head], self.windows)]]
 
 
 def send_anchors(folder: str, kind: Kind, buckets: int):
-    """A map stage over blocks: level 1."""
+    """A map stage over (block, flags): the hashes of the anchors."""
 
     def stage(batches):
         for batch in batches:
-            for name in batch.column("block").to_pylist():
-                b = Block(store.read_block(folder, name), kind, buckets)
-                rows = [(name, k, b.stretch[p].tobytes(), b.key[p].tobytes(), b"", *b.owners(p)) for k, p in b.by_bucket(b.order)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else pa.RecordBatch.from_pylist([], _SENT)
+            for name, chosen in zip(batch.column("block").to_pylist(), batch.column("flags").to_pylist(), strict=True):
+                b = Block(store.read_block(folder, name), kind, buckets, chosen)
+                yield from table_of(b.groups.asks(name), _ASK).to_batches()
 
     return stage
 
 
-def numbers(column, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in column]
-
-
-def identifiers(table: pa.Table) -> tuple[np.ndarray, list[int]]:
-    """The identifier of each item of a bucket, and how many items each row sent."""
-    ids, counts = numbers(table.column("ids"), np.int64), numbers(table.column("counts"), np.uint32)
-    each = [np.repeat(i, c) for i, c in zip(ids, counts, strict=True)]
-    return np.concatenate(each), [len(x) for x in each]
-
-
-def answers(table: pa.Table, level: int, flags: np.ndarray, sizes: list[int]) -> pa.Table:
-    cuts = np.cumsum(sizes)
-    parts = [flags[a:b].tobytes() for a, b in zip(cuts - sizes, cuts, strict=True)]
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "level": pa.array([level] * len(parts), pa.int32()), "flags": pa.array(parts, pa.binary())}, schema=_ANSWER)
-
-
-def judge_anchors(table: pa.Table) -> pa.Table:
-    """A bucket at level 1: 0 no window repeats, 1 all do, 2 ask at level 2."""
-    keys, stretches = np.concatenate(numbers(table.column("sizes"), np.uint32)), np.concatenate(numbers(table.column("body"), tk.U))
-    ids, sizes = identifiers(table)
-    order = np.lexsort((ids, stretches, keys))
-    k, e, d = keys[order], stretches[order], ids[order]
-    del keys, stretches, ids
-    new_anchor = np.ones(len(e), bool)
-    new_anchor[1:] = k[1:] != k[:-1]
-    new_stretch = new_anchor.copy()
-    new_stretch[1:] |= e[1:] != e[:-1]
-    stretch, anchor = np.cumsum(new_stretch) - 1, np.cumsum(new_anchor) - 1
-    heads = np.flatnonzero(new_anchor)
-    several = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
-    kinds = np.add.reduceat(new_stretch.astype(np.int64), heads) > 1
-    later = d > d[np.flatnonzero(new_stretch)][stretch]
-    flags = np.empty(len(e), np.uint8)
-    flags[order] = np.where(later, 1, np.where((several & kinds)[anchor], 2, 0))
-    return answers(table, 1, flags, sizes)
-
-
-def level_flags(b: Block, table: pa.Table) -> np.ndarray:
-    """The answers of level 1 for each anchor of a block."""
-    found = sorted(((r["bucket"], r["flags"]) for r in table.to_pylist() if r["level"] == 1), key=lambda r: r[0])
-    flags = np.zeros(len(b.key), np.uint8)
-    if found:
-        flags[b.order] = np.frombuffer(b"".join(f for _, f in found), np.uint8)
-    return flags
-
-
 def send_stretches(folder: str, kind: Kind, buckets: int):
-    """A group stage over the answers of a block: level 2."""
+    """A group stage over what a block was told of its anchors: the texts of the shared ones."""
 
     def stage(table: pa.Table) -> pa.Table:
-        name = table.column("block")[0].as_py()
-        b = Block(store.read_block(folder, name), kind, buckets)
-        flags = level_flags(b, table)
-        ask = np.flatnonzero(flags == 2)
-        bodies, sizes = [], []
-        for (_, _, data, off), (base, count), (_, end) in zip(tk.each_chunk(b.text), b.bases, [*b.bases[1:], (0, len(b.key))], strict=True):
-            mine = ask[(ask >= count) & (ask < end)]
-            if len(mine):
-                body, size = kind.send(data, kind.units(data, off)[0], b.lo[mine] - base, b.hi[mine] - base)
-                bodies.append(body)
-                sizes.append(size)
-        if not len(ask):
-            return pa.Table.from_pylist([], _SENT)
-        body, size = np.concatenate(bodies), np.concatenate(sizes).astype(np.int64)
-        start = np.zeros(len(b.key), np.int64)
-        length = np.zeros(len(b.key), np.int64)
-        start[ask], length[ask] = np.cumsum(size) - size, size
-        rows = []
-        for k, part in b.by_bucket(b.order[flags[b.order] == 2]):
-            n = length[part]
-            at = np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows.append((name, k, body[at].tobytes(), n.astype(np.uint32).tobytes(), (b.hi[part] - b.lo[part] + 1).astype(np.uint32).tobytes(), *b.owners(part)))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+        name, known = table.column("block")[0].as_py(), told(table, 1)
+        if not known:
+            return table_of([], _SENT)
+        b = Block(store.read_block(folder, name), kind, buckets, in_question(table))
+        return table_of(Stretches(b, b.groups.answered(known)).rows(name), _SENT)
 
     return stage
 
 
-def judge_stretches(kind: Kind, dtype):
-    """A bucket at level 2: a flag for each window."""
+def parts_of(keys: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Places of items by key, in parts of whole keys of about `limit` bytes."""
+    order = np.argsort(keys, kind="stable")
+    ends = np.flatnonzero(np.append(keys[order][1:] != keys[order][:-1], True)) + 1
+    total = np.cumsum(sizes[order])[ends - 1]
+    lo = begun = 0
+    for end, upto in zip(ends.tolist(), total.tolist(), strict=True):
+        if upto - begun >= limit or end == len(order):
+            yield order[lo:end]
+            lo, begun = end, upto
 
-    def stage(table: pa.Table) -> pa.Table:
-        ids, _ = identifiers(table)
-        body = np.concatenate(numbers(table.column("body"), dtype))
-        sizes = np.concatenate(numbers(table.column("sizes"), np.uint32)).astype(np.int64)
-        each = [w.astype(np.int64) for w in numbers(table.column("windows"), np.uint32)]
-        flags = kind.judge(body, sizes, np.concatenate(each), ids)
-        return answers(table, 2, flags.astype(np.uint8), [int(w.sum()) for w in each])
 
-    return stage
-
-
-def window_flags(b: Block, table: pa.Table) -> np.ndarray:
-    """Starts of the windows of a block that repeat."""
-    flags = level_flags(b, table)
-    whole = np.flatnonzero(flags == 1)
-    starts = [spread(b.lo[whole], b.hi[whole] - b.lo[whole] + 1)]
-    asked = b.order[flags[b.order] == 2]
-    if len(asked):
-        found = sorted(((r["bucket"], r["flags"]) for r in table.to_pylist() if r["level"] == 2), key=lambda r: r[0])
-        said = np.frombuffer(b"".join(f for _, f in found), np.uint8).astype(bool)
-        starts.append(spread(b.lo[asked], b.hi[asked] - b.lo[asked] + 1)[said])
-    return np.concatenate(starts)
+def judge_stretches(kind: Kind, limit: int = PART_BYTES):
+    """A bucket of texts: a flag for each window."""
 
+    def stage(table: pa.Table) -> pa.Table:
+        keys, ids, body = joined(table, "keys", np.uint32), joined(table, "ids", np.int64), joined(table, "body", np.uint8)
+        sizes, windows = (joined(table, c, np.uint32).astype(np.int64) for c in ("sizes", "windows"))
+        rows = np.array([len(x.as_buffer()) // 4 for x in table.column("keys")])
+        start, at = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
+        flags = np.zeros(int(windows.sum()), np.uint8)
+        for part in parts_of(keys, sizes, limit):
+            text = body[spread(start[part], sizes[part])]
+            flags[spread(at[part], windows[part])] = kind.judge(text, sizes[part], windows[part], ids[part])
+        return answers(table, 2, flags, np.add.reduceat(windows, np.cumsum(rows) - rows))
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges."""
-    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    return stage
 
 
-def repeated(docs: DataFrame, kind: Kind, dtype, finish: Callable, schema: str, *, doc_id: str, text: str) -> DataFrame:
-    """Runs both levels over docs and gives each block, with the units that repeated windows cover,
-    to finish(table of the block, Block, covered) -> table."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spark = docs.sparkSession
-    buckets = store.partitions(spark)
-    folder, blocks = store.block_table(rows, "blocks")
-    every = blocks.select("block", F.lit(0).alias("bucket"), F.lit(0).alias("level"), F.lit(b"").alias("flags"))
-    level1, _ = store.materialise(blocks.mapInArrow(store.lean(send_anchors(folder, kind, buckets)), SENT).groupBy("bucket").applyInArrow(judge_anchors, ANSWER), "level1")
-    asked = level1.repartition(buckets, "block").groupBy("block").applyInArrow(store.lean_group(send_stretches(folder, kind, buckets)), SENT)
-    level2 = asked.groupBy("bucket").applyInArrow(store.lean_group(judge_stretches(kind, dtype)), ANSWER)
+def repeated(blocks: store.Blocks, kind: Kind, finish: Callable, schema: str, chosen: DataFrame | None = None) -> DataFrame:
+    """Gives each block, with the units that repeated windows cover, to finish(rows of the block,
+    covered) -> table. `chosen` (ANSWER, level 0) says which windows of a block are in question."""
+    spark, folder = blocks.rows.sparkSession, blocks.folder
+    buckets = buckets_for(spark, blocks.size)
+    every = blocks.rows.select("block", F.lit(0).alias("bucket"), F.lit(0).alias("level"), F.lit(None).cast("binary").alias("flags")) if chosen is None else chosen
+    asks = every.select("block", "flags").mapInArrow(store.lean(send_anchors(folder, kind, buckets)), ASK)
+    level1, _ = store.materialise(meet_groups(asks, buckets, kind.hot), "level1")
+    tasks = max(store.partitions(spark), min(blocks.count, 20_000))
+    sent = every.union(level1).repartition(tasks, "block").groupBy("block").applyInArrow(store.lean_group(send_stretches(folder, kind, buckets)), SENT)
+    level2 = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(store.lean_group(judge_stretches(kind)), ANSWER)
 
     def end(table: pa.Table) -> pa.Table:
         rows = store.read_block(folder, table.column("block")[0].as_py())
-        b = Block(rows, kind, buckets)
-        return finish(rows, b, tk.covered(b.units, window_flags(b, table), kind.window))
+        b = Block(rows, kind, buckets, in_question(table))
+        known = told(table, 1)
+        starts = Stretches(b, b.groups.answered(known)).starts(told(table, 2)) if known else np.zeros(0, np.int64)
+        return finish(rows, tk.covered(b.units, starts, kind.window))
 
-    return every.union(level1).union(level2).repartition(buckets, "block").groupBy("block").applyInArrow(store.lean_group(end), schema)
+    return every.union(level1).union(level2).repartition(tasks, "block").groupBy("block").applyInArrow(store.lean_group(end), schema)

@@ -12,7 +12,9 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,30 +59,41 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def block_table(df: DataFrame, name: str, block_bytes: int = 16 << 20) -> tuple[str, DataFrame]:
+#: Tasks that list blocks, and the bits that number the blocks of one of them.
+LISTERS, BLOCK_BITS = 64, 23
+
+
+class Blocks:
+    """A table in row groups: the folder, one row a block (`block`, the name of its file and its row
+    group; `block_no`, its number), how many there are and how many bytes they hold."""
+
+    def __init__(self, folder: str, rows: DataFrame, count: int, size: int):
+        self.folder, self.rows, self.count, self.size = folder, rows, count, size
+
+
+def block_table(df: DataFrame, name: str, block_bytes: int = 16 << 20) -> Blocks:
     """Writes df to the shared folder, without a shuffle, in row groups of about block_bytes.
-    Returns the folder and one row a block: `block`, the name of its file and its row group, and
-    `block_no`, its number.
-    A block's rows and their order are fixed from then on, whichever executor reads it."""
+    A block's rows and their order are fixed from then on, whichever executor reads it. Blocks are
+    listed and numbered by tasks; the driver sees their count and size alone."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.block.size", block_bytes).parquet(path)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
-    names = sorted(n for f in listed if (n := f.getPath().getName()).startswith("part-"))
-    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 64)))
-    blocks = files.mapInArrow(_groups(path), "block string")
-    rows = [(r["block"], i) for i, r in enumerate(blocks.sort("block").collect())]
-    return path, spark.createDataFrame(rows, "block string, block_no long").repartition(max(1, min(len(rows), 20_000)))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"))
+    listed, _ = materialise(files.repartition(LISTERS).mapInArrow(_groups(path), "block string, block_no long, size long"), "blocks")
+    count, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return Blocks(path, listed.select("block", "block_no").repartition(max(1, min(count, 20_000))), count, size)
 
 
 def _groups(folder: str):
     def stage(batches):
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << BLOCK_BITS
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 with _file(folder, name) as f:
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([f"{name}#{i}" for i in range(f.num_row_groups) if f.metadata.row_group(i).num_rows], pa.string())})
+                    groups = [(i, g.total_byte_size) for i in range(f.num_row_groups) if (g := f.metadata.row_group(i)).num_rows]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([f"{name}#{i}" for i, _ in groups], pa.string()), "block_no": pa.array(range(number, number + len(groups)), pa.int64()), "size": pa.array([n for _, n in groups], pa.int64())})
+                number += len(groups)
 
     return stage
 

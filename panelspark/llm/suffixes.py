@@ -1,14 +1,19 @@
 """Suffix-array dedup: longest previous factors of at least `least` bytes are later copies.
 
-The positions of a document whose longest previous factor, over the documents with smaller
-identifiers, reaches `least` bytes start a copy; every byte of such a copy is removed and the first
-occurrence is kept. Only suffixes that share an anchor with another document need an order, and those
-meet in one bucket (see repeats): there their suffix array is built, and the previous and the next
-smaller document in suffix order are the two candidates of the longest previous factor.
+The longest previous factor of a position is the longest string that starts there and also starts in
+a document with a smaller identifier. In suffix order it is shared with the previous or the next
+suffix of a smaller document, so two walks over the array give all lengths; the least common prefix
+on the way is carried along. Every byte of a factor of `least` bytes or more is removed and the
+first occurrence is kept.
+
+Only suffixes that share an anchor with another document need an order, and those meet in one bucket
+as text (see repeats): there the suffix array is built. Factors are measured up to `least` bytes,
+which is what removal asks; a longer copy is a run of such positions.
 
 Edge cases: null and empty texts have no bytes; a document shorter than `least` loses nothing;
 matches never cross documents; rows with one identifier are not earlier than each other; a null
-identifier is the smallest; an empty table gives no rows; other columns are ignored.
+identifier is the smallest; a text of any length is one document; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import repeats
+from . import repeats, store
 from . import textkit as tk
 
 LEAST = 50
@@ -36,10 +41,9 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at `at` sorted by their first `depth` bytes, and the group of equal ones that
-    each is in. Sorts by eight bytes, then sorts again only what is still tied."""
-    words = words_at(text)
+def suffix_order(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes at `at` sorted by their first `depth` bytes. Sorts by eight bytes, then sorts again
+    only what is still tied."""
     key = words[at]
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -62,41 +66,63 @@ def suffix_order(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarr
         same = np.zeros(len(where), bool)
         same[1:] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
         new[where] = ~same
-    return order, np.cumsum(new) - 1
+    return order
+
+
+def common_prefixes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The length, up to depth, of the common prefix of each suffix with the one before it."""
+    out = np.full(len(at), depth, np.int64)
+    out[:1] = 0
+    left, done = np.arange(1, len(at)), 0
+    while done < depth and len(left):
+        step = max(0, min(done, depth - 8))
+        differ = words[at[left] + step] ^ words[at[left - 1] + step]
+        found = differ != 0
+        x = differ[found]
+        equal = sum((x < tk.U(1 << 64 - 8 * k)).astype(np.int64) for k in range(1, 8))
+        out[left[found]] = np.minimum(step + equal, depth)
+        left = left[~found]
+        done += 8
+    return out
 
 
-def previous_smaller(values: np.ndarray) -> np.ndarray:
-    """The nearest earlier place with a smaller value, or -1, by jumping along such places."""
+def to_smaller(values: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each place, what it shares with the nearest earlier place of a smaller value: the least of
+    `shared` (a place with the one before it) on the way there, 0 without one. Jumps along such places."""
     to = np.arange(len(values)) - 1
+    least = shared.copy()
     active = np.flatnonzero((to >= 0) & (values[to] >= values))
     while len(active):
-        to[active] = to[to[active]]
+        over = to[active]
+        least[active] = np.minimum(least[active], least[over])
+        to[active] = to[over]
         active = active[(to[active] >= 0) & (values[to[active]] >= values[active])]
-    return to
-
-
-def previous_factors(text: np.ndarray, at: np.ndarray, ids: np.ndarray, least: int) -> np.ndarray:
-    """Whether the longest previous factor of each suffix, of a smaller document, reaches `least`."""
-    order, group = suffix_order(text, at, least)
-    owner = ids[order]
-    n = len(order)
-    before = previous_smaller(owner)
-    after = n - 1 - previous_smaller(owner[::-1])[::-1]
-    padded = np.append(group, -1)
-    reach = (padded[before] == group) | (padded[np.where(after >= n, n, after)] == group)
-    out = np.empty(n, bool)
-    out[order] = reach
+    least[to < 0] = 0
+    return least
+
+
+def previous_factors(text: np.ndarray, at: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
+    """The longest previous factor, up to depth, of each suffix: from the previous and from the next
+    smaller identifier in suffix order."""
+    words = words_at(text)
+    if depth < 8:
+        words &= tk.U((1 << 64) - (1 << 64 - 8 * depth))
+    order = suffix_order(words, at, depth)
+    shared, owner = common_prefixes(words, at[order], depth), ids[order]
+    before = to_smaller(owner, shared)
+    after = to_smaller(owner[::-1], np.append(shared[1:], 0)[::-1])[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def send(least: int, data: np.ndarray, _units, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = hi - lo + least
-    return data[repeats.spread(lo, n)], n
+def cut(data: np.ndarray, _offsets, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data[repeats.spread(lo, hi - lo)], hi - lo
 
 
 def judge(least: int, text: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     at = repeats.spread(np.cumsum(sizes) - sizes, windows)
-    return previous_factors(text, at, np.repeat(ids, windows), least)
+    return previous_factors(text, at, np.repeat(ids, windows), least) >= least
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +132,7 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 KEPT = "doc_id long, n_bytes long, spans array<long>, kept binary"
 
 
-def finish(rows: pa.Table, block: repeats.Block, covered: np.ndarray) -> pa.Table:
+def finish(rows: pa.Table, covered: np.ndarray) -> pa.Table:
     """Removed spans and remaining bytes of each document."""
     data, off = tk.flat(rows.column("text"))
     removed = tk.per_doc(covered, off)
@@ -123,8 +149,9 @@ def finish(rows: pa.Table, block: repeats.Block, covered: np.ndarray) -> pa.Tabl
 def without_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans (start and end of each removed run, in bytes,
     flattened) and kept (the remaining bytes)."""
-    kind = repeats.Kind(least, least // 2, byte_units, partial(send, least), partial(judge, least))
-    return repeats.repeated(docs, kind, np.uint8, finish, KEPT, doc_id=doc_id, text=text)
+    kind = repeats.Kind(least, (least + 1) // 2, byte_units, cut, partial(judge, least), repeats.HOT)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return repeats.repeated(store.block_table(rows, "copies"), kind, finish, KEPT)
 
 
 def digest(found: DataFrame) -> DataFrame:

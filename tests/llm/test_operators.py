@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from llm import brute, cases
-from panelspark.llm import decontaminate, exact, language, mixing, near, ngrams, passages, queries, secrets, store, suffixes, tokenfiles
+from panelspark.llm import decontaminate, exact, language, mixing, near, ngrams, passages, queries, repeats, secrets, store, suffixes, tokenfiles
 from panelspark.llm import textkit as tk
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -141,15 +141,11 @@ def test_endpoint_between_parts_that_are_far_from_each_other():
 
 
 def test_suffixes(docs):
-    want = []
-    for k, u, flags in brute.removed(cases.pairs(), lambda t: (t or "").encode(), 50):
-        runs = sum(f and (not i or not flags[i - 1]) for i, f in enumerate(flags))
-        want.append((k, len(u), sum(flags), runs, hashlib.sha256(bytes(b for b, f in zip(u, flags, strict=True) if not f)).hexdigest()))
-    assert sorted(collected(suffixes.digest(suffixes.without_copies(docs)))) == sorted(want)
+    assert sorted(collected(suffixes.digest(suffixes.without_copies(docs)))) == byte_rows(cases.pairs())
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", max_size=30), min_size=1, max_size=6), st.sampled_from([8, 9, 13, 17]))
+@given(st.lists(st.text("ab", max_size=30), min_size=1, max_size=6), st.sampled_from([3, 8, 9, 13, 17]))
 def test_previous_factors(texts, least):
     raw = [t.encode() for t in texts]
     flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -157,17 +153,16 @@ def test_previous_factors(texts, least):
     at = np.concatenate([np.arange(off[i], max(off[i], off[i + 1] - least + 1)) for i in range(len(raw))]).astype(np.int64)
     ids = np.searchsorted(off[1:], at, "right")
     found = suffixes.previous_factors(flat, at, ids, least) if len(at) else []
-    seen = lambda p, i: any(flat[p : p + least].tobytes() in raw[j] for j in range(i))
-    assert list(found) == [seen(p, i) for p, i in zip(at, ids, strict=True)]
+
+    def longest(p, i):
+        return max(n for n in range(least + 1) if not n or any(flat[p : p + n].tobytes() in flat[at[k] : at[k] + least].tobytes()[:n] for k in range(len(at)) if ids[k] < i))
+
+    assert list(found) == [longest(p, i) for p, i in zip(at, ids, strict=True)]
 
 
 @pytest.mark.parametrize("words", [13, 6])
 def test_passages(docs, words):
-    want = []
-    for k, u, flags in brute.removed(cases.pairs(), lambda t: (t or "").encode().split(), words):
-        kept = b" ".join(w for w, f in zip(u, flags, strict=True) if not f)
-        want.append((k, len(u), sum(flags), hashlib.sha256(kept).hexdigest()))
-    assert sorted(collected(passages.digest(passages.without_passages(docs, words=words)))) == sorted(want)
+    assert sorted(collected(passages.digest(passages.without_passages(docs, words=words)))) == word_rows(cases.pairs(), words)
 
 
 @pytest.mark.parametrize("pair", [(101477, 137902), (8926, 12123), (1949, 102204)])
@@ -177,6 +172,85 @@ def test_stretches_of_an_anchor_that_agree_in_30_bits(spark, pair):
     assert [r[2] for r in found] == [0, 0]
 
 
+def byte_rows(rows):
+    out = []
+    for k, u, flags in brute.removed(rows, lambda t: (t or "").encode(), 50):
+        runs = sum(f and (not i or not flags[i - 1]) for i, f in enumerate(flags))
+        out.append((k, len(u), sum(flags), runs, hashlib.sha256(bytes(b for b, f in zip(u, flags, strict=True) if not f)).hexdigest()))
+    return sorted(out)
+
+
+def word_rows(rows, words=13):
+    out = []
+    for k, u, flags in brute.removed(rows, lambda t: (t or "").encode().split(), words):
+        out.append((k, len(u), sum(flags), hashlib.sha256(b" ".join(w for w, f in zip(u, flags, strict=True) if not f)).hexdigest()))
+    return sorted(out)
+
+
+def test_texts_around_an_anchor_are_no_copies(spark):
+    texts = ["ptokbferfdzaqolkugzibqyjfvvtlwltipzdhbfzajmwamuccnyfgfrelqmpiqbohsdrlzdahop", "ogyyqaymcdmiodlsxxqivnuqcvvtlwltipzdhbfzajmwamuccnqnoldvcmvxboinvunjssfnngt"]
+    rows = list(enumerate(texts, 1))
+    assert sorted(collected(suffixes.digest(suffixes.without_copies(spark.createDataFrame(rows, "doc_id long, text string"))))) == byte_rows(rows)
+
+
+@pytest.mark.parametrize("hot", [2, 1 << 30])
+def test_very_many_texts_around_one_anchor(spark, monkeypatch, hot):
+    """200,000 texts share 40 bytes; only those that the seed makes equal lose anything."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = np.random.default_rng(5)
+    ends = rng.integers(97, 123, (2, 200_000, 16)).astype(np.uint8)
+    ends[:, 150_000:150_050] = ends[:, :50]
+    inner = "the passage that all of these texts share"[:40].encode()
+    rows = [(i, (a.tobytes() + inner + b.tobytes()).decode()) for i, (a, b) in enumerate(zip(*ends, strict=True))]
+    found = suffixes.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).where("cardinality(spans) > 0")
+    first, want = {}, {}
+    for k, t in rows:
+        hits = [i for i in range(len(t) - 49) if first.setdefault(t[i : i + 50], k) < k]
+        if hits:
+            want[k] = [min(hits), max(hits) + 50]
+    assert {r["doc_id"]: r["spans"] for r in found.collect()} == want and set(range(150_000, 150_050)) <= set(want)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_windows_of_an_often_found_anchor_go_alone(docs, monkeypatch, hot):
+    monkeypatch.setattr(suffixes.repeats, "HOT", hot)
+    assert sorted(collected(suffixes.digest(suffixes.without_copies(docs)))) == byte_rows(cases.pairs())
+    assert sorted(collected(passages.digest(passages.without_passages(docs)))) == word_rows(cases.pairs())
+
+
+def test_long_texts(spark):
+    """Texts of over a million bytes, one of them without any space, with a passage of another document."""
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    prose = " ".join(f"v{i}" for i in rng.integers(0, 1 << 40, 120_000))
+    solid = rng.integers(97, 123, 1_300_000).astype(np.uint8).tobytes().decode()
+    rows = [(1, passage), (2, prose + " " + passage + " " + prose[:1000]), (3, solid), (4, solid[700_000:700_100]), (5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in suffixes.without_copies(table).collect()}
+    at = len(prose) + 1
+    assert found[1] == found[3] == found[5] == [] and found[4] == [0, 100] and found[2] == [at, at + len(passage)]
+    found = {r["doc_id"]: r["spans"] for r in passages.without_passages(table).collect()}
+    assert found[2] == [120_000, 120_060] and not any(found[k] for k in (1, 3, 4, 5))
+
+
+def test_judging_words_does_not_trust_hashes(monkeypatch):
+    monkeypatch.setattr(passages.tk, "span_hash", lambda data, lo, hi: np.zeros(len(lo), np.uint64))
+    texts = [b"a b c ", b"a b d ", b"a b c ", b"aa b c "]
+    text, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    assert passages.judge(3, text, sizes, np.ones(4, np.int64), np.array([7, 1, 9, 2])).tolist() == [False, False, True, False]
+
+
+def test_levels_end_when_no_candidate_survives(spark, monkeypatch):
+    taken = []
+    real = passages.extend
+    monkeypatch.setattr(passages, "extend", lambda folder, length, longer, n: taken.append((length, longer)) or real(folder, length, longer, n))
+    spread = spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(40))) for i in range(4)], "doc_id long, text string")
+    assert not any(r["spans"] for r in passages.without_passages(spread).collect()) and taken == [(4, 8)]
+    taken.clear()
+    same = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in range(4)], "doc_id long, text string")
+    assert [len(r["spans"]) for r in passages.without_passages(same).orderBy("doc_id").collect()] == [0, 2, 2, 2] and taken == [(4, 8), (8, 13)]
+
+
 def test_ngrams(docs):
     found = sorted(collected(ngrams.digest(ngrams.scored(docs))), key=lambda r: (r[0], r[2], r[6]))
     want = sorted(brute.kneser_ney(cases.pairs()), key=lambda r: (r[0], r[1], r[5]))
