@@ -177,7 +177,7 @@ def without_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     flattened) and kept (the remaining words)."""
     kind = repeats.Kind(words, (words + 1) // 2, word_units, cut, partial(judge, words), repeats.HOT)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = store.block_table(rows, "passages")
+    blocks = store.block_table(rows, "passages", repeats.BLOCK_BYTES)
     return repeats.repeated(blocks, kind, finish, KEPT, candidates(blocks, words))
 
 

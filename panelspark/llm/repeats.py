@@ -17,11 +17,13 @@ grow in number with the bytes of the table, and a bucket is judged in parts of w
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,12 @@ from . import textkit as tk
 
 #: Stands for a null identifier, the smallest.
 NO_ID = -(1 << 63)
-#: Bytes of documents for each bucket, and bytes of text that are judged at a time.
-BUCKET_BYTES, PART_BYTES = 16 << 20, 4 << 20
+#: Bytes of documents in a block and for each bucket, and bytes of text that are judged at a time.
+BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 8 << 20, 16 << 20, 2 << 20
 #: Occurrences from which an anchor's windows go alone.
 HOT = 1 << 15
+#: Bits of a place in a text; the others of a hash order the runs in a window.
+PLACE_BITS = 28
 
 
 @dataclass(frozen=True)
@@ -165,13 +169,21 @@ def chosen_at(chosen: bytes | None, base: int, n: int) -> np.ndarray:
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the first least value of each run of `width` values."""
-    best, at, span = values, np.arange(len(values), dtype=np.int32), 1
+    """The place of the first least of each run of `width` values, by their upper bits: a value and its
+    place are one number. Places beyond those bits, in very long texts, are carried beside it."""
+    best, span = values >> tk.U(PLACE_BITS) << tk.U(PLACE_BITS), 1
+    if len(values) >> PLACE_BITS:
+        at = np.arange(len(values))
+        while span < width:
+            step = min(span, width - span)
+            right = best[step:] < best[:-step]
+            best, at, span = np.where(right, best[step:], best[:-step]), np.where(right, at[step:], at[:-step]), span + step
+        return at
+    best |= np.arange(len(values), dtype=tk.U)
     while span < width:
         step = min(span, width - span)
-        right = best[step:] < best[:-step]
-        best, at, span = np.where(right, best[step:], best[:-step]), np.where(right, at[step:], at[:-step]), span + step
-    return at
+        best, span = np.minimum(best[:-step], best[step:]), span + step
+    return (best & tk.U((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
 def anchors(units: np.ndarray, first: np.ndarray, kind: Kind, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,6 +228,21 @@ def same_text(body: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray)
     return out
 
 
+def heads(hashes: np.ndarray, ids: np.ndarray, body: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text an equal one with the least identifier: by hash, and then by its bytes."""
+    order = np.lexsort((ids, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    mine = np.arange(len(head))
+    head = np.where(sizes[head] == sizes, head, mine)
+    other = np.flatnonzero(head != mine)
+    wrong = other[~same_text(body, start[other], start[head[other]], sizes[other])]
+    head[wrong] = wrong
+    return head
+
+
 class Stretches:
     """The stretches of a block whose anchors are shared, and which of them go to the buckets."""
 
@@ -244,24 +271,10 @@ class Stretches:
         self.start = np.cumsum(self.sizes) - self.sizes
         full = tk.mix(np.where(own, text, go))
         self.key, self.bucket = full.astype(np.uint32), ((full >> tk.U(34)) % tk.U(b.buckets)).astype(np.int64)
-        self.head = self.heads(text)
+        self.head = heads(text, self.ids, self.body, self.start, self.sizes)
         sent = np.flatnonzero(self.head == np.arange(len(self.head)))
         self.sent = sent[np.argsort(self.bucket[sent] << 32 | self.key[sent], kind="stable")]
 
-    def heads(self, text: np.ndarray) -> np.ndarray:
-        """For each stretch an equal one with the least identifier: by hash, and then by its bytes."""
-        order = np.lexsort((self.ids, text))
-        new = np.ones(len(order), bool)
-        new[1:] = text[order][1:] != text[order][:-1]
-        head = np.empty(len(order), np.int64)
-        head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        mine = np.arange(len(head))
-        head = np.where(self.sizes[head] == self.sizes, head, mine)
-        other = np.flatnonzero(head != mine)
-        wrong = other[~same_text(self.body, self.start[other], self.start[head[other]], self.sizes[other])]
-        head[wrong] = wrong
-        return head
-
     def rows(self, name: str) -> list[tuple]:
         """What the block sends to each bucket."""
         b = self.bucket[self.sent]
@@ -272,13 +285,28 @@ class Stretches:
             out.append((name, int(self.bucket[part[0]]), self.key[part].tobytes(), self.body[spread(self.start[part], n)].tobytes(), n.astype(np.uint32).tobytes(), self.windows[part].astype(np.uint32).tobytes(), self.ids[part].tobytes()))
         return out
 
-    def starts(self, found: bytes) -> np.ndarray:
-        """Starts of the windows that repeat, by the answers for what was sent."""
-        said = np.zeros(int(self.windows.sum()), bool)
-        at = np.cumsum(self.windows) - self.windows
-        said[spread(at[self.sent], self.windows[self.sent])] = np.frombuffer(found, np.uint8).astype(bool)
-        later = np.repeat(self.ids > self.ids[self.head], self.windows)
-        return spread(self.lo, self.windows)[later | said[spread(at[self.head], self.windows)]]
+    def state(self, units: int) -> bytes:
+        """What the block keeps in mind: which windows repeat already, and for each other stretch where its
+        windows are in the answers."""
+        later = self.ids > self.ids[self.head]
+        known = np.zeros(units, bool)
+        known[spread(self.lo[later], self.windows[later])] = True
+        at = np.zeros(len(self.lo), np.int64)
+        n = self.windows[self.sent]
+        at[self.sent] = np.cumsum(n) - n
+        rest = np.flatnonzero(~later)
+        columns = (self.lo[rest], self.windows[rest], at[self.head[rest]])
+        return b"".join([len(rest).to_bytes(8, "little"), *(c.astype("<u4").tobytes() for c in columns), np.packbits(known).tobytes()])
+
+
+def repeats_at(state: bytes, found: bytes, units: int) -> np.ndarray:
+    """Starts of the windows that repeat, by a block's state and the answers for what it sent."""
+    n = int.from_bytes(state[:8], "little")
+    lo, windows, at = np.frombuffer(state, "<u4", 3 * n, 8).reshape(3, n).astype(np.int64)
+    known = np.unpackbits(np.frombuffer(state, np.uint8, offset=8 + 12 * n), count=units).astype(bool)
+    said = np.frombuffer(found, np.uint8).astype(bool)
+    known[spread(lo, windows)[said[spread(at, windows)]]] = True
+    return np.flatnonzero(known)
 
 
 def send_anchors(folder: str, kind: Kind, buckets: int):
@@ -301,7 +329,8 @@ def send_stretches(folder: str, kind: Kind, buckets: int):
         if not known:
             return table_of([], _SENT)
         b = Block(store.read_block(folder, name), kind, buckets, in_question(table))
-        return table_of(Stretches(b, b.groups.answered(known)).rows(name), _SENT)
+        found = Stretches(b, b.groups.answered(known))
+        return table_of([*found.rows(name), (name, zlib.crc32(name.encode()) % buckets, None, found.state(b.units), None, None, None)], _SENT)
 
     return stage
 
@@ -319,19 +348,31 @@ def parts_of(keys: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[np.nda
 
 
 def judge_stretches(kind: Kind, limit: int = PART_BYTES):
-    """A bucket of texts: a flag for each window."""
+    """A bucket of texts: a flag for each window. Equal texts are judged once, for the least identifier.
+    The states of blocks pass through."""
 
-    def stage(table: pa.Table) -> pa.Table:
+    def judged(table: pa.Table) -> pa.Table:
         keys, ids, body = joined(table, "keys", np.uint32), joined(table, "ids", np.int64), joined(table, "body", np.uint8)
         sizes, windows = (joined(table, c, np.uint32).astype(np.int64) for c in ("sizes", "windows"))
         rows = np.array([len(x.as_buffer()) // 4 for x in table.column("keys")])
         start, at = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
         flags = np.zeros(int(windows.sum()), np.uint8)
         for part in parts_of(keys, sizes, limit):
-            text = body[spread(start[part], sizes[part])]
-            flags[spread(at[part], windows[part])] = kind.judge(text, sizes[part], windows[part], ids[part])
+            n, w, who = sizes[part], windows[part], ids[part]
+            text, lo, upto = body[spread(start[part], n)], np.cumsum(n) - n, np.cumsum(w)
+            head = heads(tk.span_hash(text, lo, lo + n), who, text, lo, n)
+            one = np.flatnonzero(head == np.arange(len(head)))
+            said = np.zeros(upto[-1], bool)
+            said[spread((upto - w)[one], w[one])] = kind.judge(text[spread(lo[one], n[one])], n[one], w[one], who[one])
+            flags[spread(at[part], w)] = said[spread((upto - w)[head], w)] | np.repeat(who > who[head], w)
         return answers(table, 2, flags, np.add.reduceat(windows, np.cumsum(rows) - rows))
 
+    def stage(table: pa.Table) -> pa.Table:
+        states = pc.is_null(table.column("keys"))
+        kept, sent = table.filter(states), table.filter(pc.invert(states))
+        passed = table_of([(r["block"], r["bucket"], 3, r["body"]) for r in kept.select(["block", "bucket", "body"]).to_pylist()], _ANSWER)
+        return pa.concat_tables([passed, judged(sent)]) if len(sent) else passed
+
     return stage
 
 
@@ -349,9 +390,8 @@ def repeated(blocks: store.Blocks, kind: Kind, finish: Callable, schema: str, ch
 
     def end(table: pa.Table) -> pa.Table:
         rows = store.read_block(folder, table.column("block")[0].as_py())
-        b = Block(rows, kind, buckets, in_question(table))
-        known = told(table, 1)
-        starts = Stretches(b, b.groups.answered(known)).starts(told(table, 2)) if known else np.zeros(0, np.int64)
-        return finish(rows, tk.covered(b.units, starts, kind.window))
+        units = sum(int(kind.units(data, off)[1][-1]) for _, _, data, off in tk.each_chunk(rows.column("text")))
+        state = told(table, 3)
+        return finish(rows, tk.covered(units, repeats_at(state, told(table, 2), units) if state else np.zeros(0, np.int64), kind.window))
 
-    return every.union(level1).union(level2).repartition(tasks, "block").groupBy("block").applyInArrow(store.lean_group(end), schema)
+    return every.union(level2).repartition(tasks, "block").groupBy("block").applyInArrow(store.lean_group(end), schema)

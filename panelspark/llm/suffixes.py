@@ -151,7 +151,7 @@ def without_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     flattened) and kept (the remaining bytes)."""
     kind = repeats.Kind(least, (least + 1) // 2, byte_units, cut, partial(judge, least), repeats.HOT)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return repeats.repeated(store.block_table(rows, "copies"), kind, finish, KEPT)
+    return repeats.repeated(store.block_table(rows, "copies", repeats.BLOCK_BYTES), kind, finish, KEPT)
 
 
 def digest(found: DataFrame) -> DataFrame:
