@@ -6,10 +6,15 @@ high similarities precisely; candidates whose estimate lies four deviations belo
 dropped, the others are confirmed on their full shingle sets.
 
 Equal sets are one representative. In a first round each band's bucket gives the tree of its closest
-pairs by sketch, one pair a member, so a group of copies joins at once. In a second round the buckets
-that still hold several components name, for each representative outside the bucket's largest, the
-components that its sketch comes close to; it then meets the sets of all members of those, in blocks,
-and one link a block is told. Neither round lists the pairs of a group.
+pairs by sketch, and the closest few edges of each member are confirmed, so a group of copies joins
+at once. What then still shares a bucket with another component is settled exactly: its shingles are
+ordered by rarity, and two sets that link share a shingle among the first few of each, at places that
+leave room for the overlap (prefix and positional bounds). Documents that meet on such a shingle, and
+whose sketches come close, name each other's components: those outside the shingle's largest ask it,
+and of two others the smaller one asks. A document that asks meets the sets of all members, in
+blocks, and one link a block is told. So a family of texts that are alike but below the threshold
+asks for nothing: what they have in common is too frequent to be among the first shingles. Neither
+round lists the pairs of a group.
 
 Documents stay in blocks in the shared folder; only the sets of candidates move. Two documents with
 the least similarity linked miss every band with probability (1 - s**4)**24, 2e-8 at s = 0.85.
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import repeats, store
 from . import textkit as tk
 from .components import components
 
@@ -40,6 +45,10 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 BLOCK = 2048
 #: Rows of a bucket from which it is handed over in parts.
 PART = 1 << 16
+#: Closest edges of a document that the first round confirms.
+EDGES = 3
+#: Documents with one shingle that are compared pair by pair at once.
+FEW = 64
 _SEEDS = tk.mix(np.arange(1, 2 * SAMPLES + 1, dtype=tk.U) * tk.U(0x9FB21C651E98DF25))
 _XOR, _MULTIPLY = _SEEDS[:SAMPLES], _SEEDS[SAMPLES:] | tk.U(1)
 
@@ -128,14 +137,18 @@ def sign(folder: str, words: int):
     return stage
 
 
+def sets_of(folder: str, block: str, nodes: np.ndarray, words: int) -> list[np.ndarray]:
+    """The shingle sets of documents of a block."""
+    texts = store.read_block(folder, block).column("text").combine_chunks().take(pa.array(nodes & 0xFFFFFFFF))
+    return [s for _, _, data, off in tk.each_chunk(texts) for s in shingle_sets(data, off, words)]
+
+
 def send_sets(folder: str, words: int):
     """A group stage over the wanted documents of a block: their shingle sets."""
 
     def stage(table: pa.Table) -> pa.Table:
-        rows = store.read_block(folder, table.column("block")[0].as_py())
         nodes = np.sort(np.asarray(table.column("node")))
-        texts = rows.column("text").combine_chunks().take(pa.array(nodes & 0xFFFFFFFF))
-        bodies = [s.tobytes() for _, _, data, off in tk.each_chunk(texts) for s in shingle_sets(data, off, words)]
+        bodies = [s.tobytes() for s in sets_of(folder, table.column("block")[0].as_py(), nodes, words)]
         return pa.table({"node": nodes, "body": pa.array(bodies, pa.binary())})
 
     return stage
@@ -183,6 +196,7 @@ class Rows:
         self.sketch = tk.flat(sketch)[0].view(np.uint64).reshape(len(table), SKETCH_WORDS)
         self.root = np.asarray(table.column("root")) if "root" in table.column_names else None
         self.size = np.asarray(table.column("size")) if "size" in table.column_names else None
+        self.pos, self.index, self.main = (np.asarray(table.column(c)) if c in table.column_names else None for c in ("pos", "is_index", "is_main"))
         self.heads = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]])) if len(table) else np.zeros(0, np.int64)
 
 
@@ -195,8 +209,8 @@ def near_sizes(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def closest_tree(n: np.ndarray, sketch: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a least spanning tree by differing bits, of those that may link."""
+def closest_tree(n: np.ndarray, sketch: np.ndarray, percent: int, most: int) -> np.ndarray:
+    """The pairs (from, to, differing bits) of a least spanning tree, of those that may link."""
     far = SKETCH_BITS + 1
     best, frm = np.full(len(n), far), np.zeros(len(n), np.int64)
     left = np.ones(len(n), bool)
@@ -208,13 +222,12 @@ def closest_tree(n: np.ndarray, sketch: np.ndarray, percent: int, most: int) ->
         best[closer], frm[closer] = d[closer], at
         at = int(np.argmin(np.where(left, best, far + 1)))
         if best[at] <= most:
-            out.append((frm[at], at))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+            out.append((frm[at], at, best[at]))
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
 def closest_pairs(percent: int):
-    """A map stage over buckets sorted by key: (a, b), the tree of each."""
+    """A map stage over buckets sorted by key: (a, b, differing bits), the tree of each; b joins at a."""
     most = most_ones(percent / 100)
 
     def stage(batches):
@@ -223,8 +236,9 @@ def closest_pairs(percent: int):
             r = Rows(table)
             ends = np.append(r.heads[1:], len(r.key))
             two = r.heads[ends - r.heads == 2]
-            ok = near_sizes(r.n[two], r.n[two + 1], percent) & (ones(r.sketch[two], r.sketch[two + 1]) <= most)
-            a, b = [r.node[two[ok]]], [r.node[two[ok] + 1]]
+            apart = ones(r.sketch[two], r.sketch[two + 1])
+            ok = near_sizes(r.n[two], r.n[two + 1], percent) & (apart <= most)
+            out = [np.stack([r.node[two[ok]], r.node[two[ok] + 1], apart[ok]], 1)]
             for lo, hi in zip(r.heads, ends, strict=True):
                 if r.key[lo] != key:
                     key, lead = r.key[lo], None
@@ -238,44 +252,131 @@ def closest_pairs(percent: int):
                         lead = (node[:1], n[:1], sketch[:1])
                     else:
                         node, n, sketch = (np.concatenate(x) for x in zip(lead, (node, n, sketch), strict=True))
-                    i, j = closest_tree(n, sketch, percent, most)
-                    a.append(node[i])
-                    b.append(node[j])
-            x, y = np.concatenate(a), np.concatenate(b)
-            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            found = found[found[:, 0] < found[:, 1]]
-            yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
+                    tree = closest_tree(n, sketch, percent, most)
+                    out.append(np.stack([node[tree[:, 0]], node[tree[:, 1]], tree[:, 2]], 1))
+            found = np.unique(np.concatenate(out), axis=0)
+            found = found[found[:, 0] != found[:, 1]]
+            yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1], "apart": found[:, 2]})
 
     return stage
 
 
+def prefixes(sets: list[np.ndarray], rank: np.ndarray, nodes: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """key, node, n, pos and is_index of the first shingles of each set, the rarest first (`rank` of the
+    sets one after another, 0 for a shingle of one document alone). A set meets larger ones on its index
+    prefix and smaller ones on the longer probing prefix."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.lexsort((flat, rank, doc))
+    pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    least = -(-percent * size // 100)
+    probe = size + 1 + (-percent * (size + least) // (100 + percent))
+    index = size + 1 + (-2 * percent * size // (100 + percent))
+    keep = (pos < probe[doc]) & (rank[order] > 0)
+    doc, pos = doc[keep], pos[keep]
+    return {"key": flat[order][keep].view(np.int64), "node": nodes[doc], "n": size[doc], "pos": pos, "is_index": pos < index[doc]}
+
+
+def may_link(r: Rows, i: np.ndarray, j: np.ndarray, percent: int, most: int) -> np.ndarray:
+    """Which rows i and j of one shingle, of different components, pass the bounds and the sketches."""
+    n, m = r.n[i], r.n[j]
+    first = (n < m) | (n == m) & (r.node[i] < r.node[j])
+    room = 1 + np.minimum(n - r.pos[i], m - r.pos[j]) - 1
+    ok = (r.root[i] != r.root[j]) & np.where(first, r.index[i], r.index[j]) & near_sizes(n, m, percent) & (room * (100 + percent) >= percent * (n + m))
+    ok[ok] = ones(r.sketch[i[ok]], r.sketch[j[ok]]) <= most
+    return ok
+
+
+def asks(r: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """(node, root) for pairs of rows: the one outside the main component asks, else the smaller one."""
+    mine = r.main[j] | ~r.main[i] & ((r.size[i] < r.size[j]) | (r.size[i] == r.size[j]) & (r.root[i] < r.root[j]))
+    return np.stack([np.where(mine, r.node[i], r.node[j]), np.where(mine, r.root[j], r.root[i])], 1)
+
+
+COLUMNS = ("key", "node", "n", "sketch", "root", "size", "pos", "is_index", "is_main")
+
+
 def close_components(percent: int):
-    """A map stage over buckets sorted by key, the main component of each last and the others by size
-    and root: (node, roots), the other components that a node's sketch comes close to and that are main
-    or not smaller than its own. These come later or in the same part, so all parts are compared."""
+    """A map stage over shingles sorted by key, the main component of each last: (node, root), the other
+    components of which a member may link with the node. Rows outside the main component are kept from
+    part to part of a key, so all parts are compared."""
     most, size_of_part = most_ones(percent / 100), PART
 
     def stage(batches):
         key, held = None, None
         for table in by_key(batches, size_of_part):
+            table = table.select(COLUMNS)
+            fresh = len(table)
+            goes_on = held is not None and len(held) and fresh and table.column("key")[0].as_py() == key
+            if goes_on:
+                table = pa.concat_tables([held, table]).combine_chunks()
             r = Rows(table)
-            nodes, roots = [], []
-            for lo, hi in zip(r.heads, np.append(r.heads[1:], len(r.key)), strict=True):
-                mine = slice(lo, hi)
-                main = np.asarray(table.column("is_main"))[mine]
-                other = np.flatnonzero(~main) + lo
-                asked = (r.node[other], r.root[other], r.size[other], r.n[other], r.sketch[other])
-                if r.key[lo] == key:
-                    asked = tuple(np.concatenate(x) for x in zip(held, asked, strict=True))
-                key, held = r.key[lo], asked
-                for node, root, size, n, sketch in zip(*asked, strict=True):
-                    fits = (r.root[mine] != root) & near_sizes(r.n[mine], n, percent) & (main | (r.size[mine] > size) | (r.size[mine] == size) & (r.root[mine] > root))
-                    at = np.flatnonzero(fits) + lo
-                    at = at[ones(r.sketch[at], sketch) <= most]
-                    if len(at):
-                        nodes.append(node)
-                        roots.append(np.unique(r.root[at]).tolist())
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "roots": pa.array(roots, pa.list_(pa.int64()))})
+            old = len(table) - fresh
+            ends = np.append(r.heads[1:], len(r.key))
+            small = np.repeat(ends - r.heads <= FEW, ends - r.heads)
+            out = [np.zeros((0, 2), np.int64)]
+            for d in range(1, FEW):
+                i = np.flatnonzero(small[:-d] & (r.key[d:] == r.key[:-d]) & (np.arange(d, len(table)) >= old))
+                if not len(i):
+                    break
+                i = i[may_link(r, i, i + d, percent, most)]
+                out.append(asks(r, i, i + d))
+            for lo, hi in zip(r.heads, ends, strict=True):
+                if hi - lo <= FEW:
+                    continue
+                for q in lo + np.flatnonzero(~r.main[lo:hi]):
+                    others = np.arange(max(q + 1, old) if q < old else q + 1, hi)
+                    i = np.full(len(others), q)
+                    ok = may_link(r, i, others, percent, most)
+                    if ok.any():
+                        out.append(np.unique(asks(r, i[ok], others[ok]), axis=0))
+            if fresh:
+                key = r.key[-1]
+                held = table.filter(pa.array((r.key == key) & ~r.main))
+            found = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_pydict({"node": found[:, 0], "root": found[:, 1]})
+
+    return stage
+
+
+def ask_counts(folder: str, words: int, buckets: int):
+    """A group stage over documents of a block: the shingles of their sets, for how many have them."""
+
+    def stage(table: pa.Table) -> pa.Table:
+        name = table.column("block")[0].as_py()
+        sets = sets_of(folder, name, np.sort(np.asarray(table.column("node"))), words)
+        flat = np.concatenate(sets)
+        return repeats.table_of(repeats.Groups(flat, np.arange(len(flat)), buckets).asks(name), repeats._ASK)
+
+    return stage
+
+
+def judge_counts(table: pa.Table) -> pa.Table:
+    """A bucket of shingles: 0 for one document alone, else a rank that rises with their number."""
+    keys, marks = repeats.joined(table, "keys", np.uint32), repeats.joined(table, "marks", np.uint8)
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    total = np.add.reduceat(np.ldexp(0.5, (marks[order] & 63).astype(np.int64)), np.flatnonzero(new))
+    rank = np.where(total > 1, np.minimum(4 * np.log2(total), 255), 0).astype(np.uint8)
+    flags = np.empty(len(keys), np.uint8)
+    flags[order] = rank[np.cumsum(new) - 1]
+    return repeats.answers(table, 1, flags, np.array([len(x.as_buffer()) for x in table.column("marks")]))
+
+
+PREFIX = "key long, node long, n long, pos long, is_index boolean"
+
+
+def send_prefixes(folder: str, words: int, percent: int, buckets: int):
+    """A stage over documents of a block and the ranks of their shingles: their prefixes."""
+
+    def stage(wanted: pa.Table, ranks: pa.Table) -> pa.Table:
+        if not len(wanted) or not len(ranks):
+            return pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()), "is_index": pa.array([], pa.bool_())})
+        nodes = np.sort(np.asarray(wanted.column("node")))
+        sets = sets_of(folder, wanted.column("block")[0].as_py(), nodes, words)
+        flat = np.concatenate(sets)
+        return pa.table(prefixes(sets, repeats.Groups(flat, np.arange(len(flat)), buckets).answered(repeats.told(ranks, 1)), nodes, percent))
 
     return stage
 
@@ -351,7 +452,9 @@ class Near:
         buckets, _ = store.materialise(keys.join(shared, "key"), "buckets")
         brief, where = reps.select("node", "n", "sketch"), reps.select("node", "block")
         near = buckets.join(brief, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-        first, _ = store.materialise(near.mapInArrow(store.lean(closest_pairs(self.percent)), "a long, b long").distinct(), "pairs")
+        edges = near.mapInArrow(store.lean(closest_pairs(self.percent)), "a long, b long, apart long").groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "a"))), 1, EDGES).alias("near"))
+        pairs = edges.select("b", F.explode("near").alias("x")).select(F.least("b", "x.a").alias("a"), F.greatest("b", "x.a").alias("b")).distinct()
+        first, _ = store.materialise(pairs, "pairs")
         roots = components(self.linked(first, where).where("ok").select("a", "b"))
         late = self.second(buckets, brief, where, roots)
         over = late.alias("l").join(roots.alias("x"), F.col("l.a") == F.col("x.node"), "left").join(roots.alias("y"), F.col("l.b") == F.col("y.node"), "left")
@@ -365,13 +468,14 @@ class Near:
         """The links (a, b) between components that still share a bucket."""
         parts = store.partitions(buckets.sparkSession)
         held = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        counted = held.groupBy("key", "root").agg(F.count("*").alias("here"))
-        open_keys = counted.groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+        mixed = held.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+        left, _ = store.materialise(held.join(mixed, "key").select("node").distinct().join(where, "node").select("node", "block"), "open")
         sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-        rows = held.join(open_keys, "key").join(sizes, "root", "left").join(brief, "node").select("key", "node", "root", "n", "sketch", F.coalesce("size", F.lit(1)).cast("long").alias("size"), (F.col("root") == F.col("main")).alias("is_main"))
-        asked = rows.repartition(parts, "key").sortWithinPartitions("key", "is_main", "size", "root").mapInArrow(store.lean(close_components(self.percent)), "node long, roots array<long>")
-        asked = asked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
-        asked, _ = store.materialise(asked.select("node", F.explode("roots").alias("root")), "asked")
+        met = self.meeting(left).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        counted = met.groupBy("key", "root").agg(F.count("*").alias("here"), F.max("is_index").alias("index"))
+        open_keys = counted.groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("roots"), F.max("index").alias("index")).where("roots > 1 and index").select("key", "main")
+        rows = met.join(open_keys, "key").join(sizes, "root", "left").join(brief.select("node", "sketch"), "node").select("key", "node", "n", "sketch", "root", F.coalesce("size", F.lit(1)).cast("long").alias("size"), "pos", "is_index", (F.col("root") == F.col("main")).alias("is_main"))
+        asked, _ = store.materialise(rows.repartition(parts, "key").sortWithinPartitions("key", "is_main").mapInArrow(store.lean(close_components(self.percent)), "node long, root long").distinct(), "asked")
         wide = asked.select("root").distinct().join(sizes, "root", "left").select("root", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("long").alias("blocks"))
         all_roots = brief.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         members = all_roots.join(wide, "root").select("root", F.pmod(F.xxhash64("node"), "blocks").alias("part"), "node", F.lit(True).alias("member"))
@@ -382,6 +486,16 @@ class Near:
         dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", F.desc("member"))
         return store.materialise(dealt.mapInArrow(store.lean(meet(self.percent)), "a long, b long"), "late")[0]
 
+    def meeting(self, left: DataFrame) -> DataFrame:
+        """The first shingles (PREFIX) of the documents left(node, block), by rarity among them."""
+        spark = left.sparkSession
+        buckets, tasks = repeats.buckets_for(spark, self.blocks.size), max(store.partitions(spark), min(self.blocks.count, 20_000))
+        dealt = left.repartition(tasks, "block")
+        counts = dealt.groupBy("block").applyInArrow(store.lean_group(ask_counts(self.folder, self.words, buckets)), repeats.ASK)
+        ranks = counts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge_counts, repeats.ANSWER)
+        stage = send_prefixes(self.folder, self.words, self.percent, buckets)
+        return store.materialise(dealt.groupBy("block").cogroup(ranks.repartition(tasks, "block").groupBy("block")).applyInArrow(stage, PREFIX), "prefixes")[0]
+
     def labelled(self) -> DataFrame:
         """node, block, top, doc_id, n_shingles, component_id and kept of every row; without shingles a
         row is its own top."""

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,6 +105,72 @@ def test_near_bucket_in_parts(spark, monkeypatch):
     assert {a // 3 for a, _ in found} == set(range(8)) and all(a // 3 == b // 3 for a, b in found)
 
 
+def substituted(words, places, name):
+    out = list(words)
+    for p in places:
+        out[p] = f"{name}_{p}"
+    return out
+
+
+def test_near_families_that_touch_a_chain_at_one_document(spark):
+    """Twelve times: 31 near copies, one of which links with the head of a chain of 46."""
+    data, want = [], []
+    for f in range(12):
+        head = [f"h{f}_{i}" for i in range(1002)]
+        base = substituted(head, range(2, 1002, 36), f"b{f}")
+        border = substituted(head, range(2, 966, 36), f"b{f}")
+        family = [border] + [substituted(base, range(5 + 7 * k, 900, 180), f"f{f}_{k}") for k in range(30)]
+        chain = [head]
+        for k in range(45):
+            chain.append(substituted(chain[-1], range(1 + 20 * k % 40, 1001, 50), f"c{f}_{k}"))
+        rows = [(1000 * f + i, " ".join(w)) for i, w in enumerate(family + chain)]
+        data += rows
+        want += brute.near(rows, 3, 85)
+    assert len({w[2] for w in want}) == 12
+    found = near.digest(near.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), words=3, percent=85))
+    assert sorted(collected(found)) == sorted(want)
+
+
+def test_near_family_below_the_threshold_asks_for_little(spark, monkeypatch):
+    """600 texts from a template, each pair at about 0.80: no links, and rows in proportion to texts."""
+    template = [f"t{i}" for i in range(180)]
+    rows = [(i, " ".join(template + [f"own{i}_{j}" for j in range(22)])) for i in range(600)]
+    tables = {}
+    real = store.materialise
+
+    def kept(df, name):
+        tables[name] = real(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(store, "materialise", kept)
+    found = near.digest(near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in found) and len(found) == 600
+    assert tables["pairs"][0].count() <= near.EDGES * 600 and tables["open"][0].count() >= 500 and tables["asked"][0].count() <= 600
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sets_that_link_meet_on_their_prefixes(percent):
+    rng = np.random.default_rng(percent)
+    sets, ids = [], np.arange(40)
+    for _ in range(8):
+        base = rng.integers(0, 1 << 62, rng.integers(3, 60)).astype(np.uint64)
+        for _ in range(5):
+            own = base[rng.random(len(base)) < 0.95]
+            sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64), base[:1]])))
+    flat = np.concatenate(sets)
+    count = {k: n for k, n in zip(*np.unique(flat, return_counts=True), strict=True)}
+    rank = np.array([0 if count[x] == 1 else count[x] for x in flat])
+    found = near.prefixes(sets, rank, ids, percent)
+    table = pa.table({**found, "root": found["node"], "size": np.ones(len(found["key"]), np.int64), "sketch": pa.array([bytes(128)] * len(found["key"]), pa.binary())}).sort_by("key")
+    r, met = near.Rows(table), set()
+    for lo, hi in zip(r.heads, np.append(r.heads[1:], len(r.key)), strict=True):
+        i, j = (lo + x for x in np.triu_indices(hi - lo, 1))
+        ok = near.may_link(r, i, j, percent, 1024)
+        met |= {tuple(sorted(p)) for p in zip(r.node[i[ok]].tolist(), r.node[j[ok]].tolist(), strict=True)}
+    linked = {(a, b) for b in range(40) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))}
+    assert linked and linked <= met
+
+
 def test_sketch_estimate():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 62, 400).astype(np.uint64)
