@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import json
 import mmap
 import os
@@ -38,18 +40,21 @@ def write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 def mapped(folder: str, name: str) -> dict[str, np.ndarray]:
     """The arrays of a file as views of a memory map. A file that is not on a mounted path is copied
-    to a local one first, which is unlinked once it is mapped."""
+    once a machine to the temporary folder, whichever worker comes first; a worker that ends removes
+    the name, which leaves the maps of the others whole."""
     fs, root = opened(folder)
-    path, own = f"{root}/{name}", None
-    if not os.path.exists(path):
-        own = tempfile.NamedTemporaryFile(delete=False)
-        with fs.open_input_stream(path) as source, own:
-            shutil.copyfileobj(source, own, 1 << 20)
-        path = own.name
-    with open(path, "rb") as f:
-        view = mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ)
-    if own:
-        os.unlink(path)
+    path = f"{root}/{name}"
+    local = os.path.join(tempfile.gettempdir(), "panelspark-" + hashlib.sha256(path.encode()).hexdigest()[:32])
+    while True:
+        try:
+            with open(path if os.path.exists(path) else local, "rb") as f:
+                view = mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ)
+            break
+        except FileNotFoundError:
+            with fs.open_input_stream(path) as source, tempfile.NamedTemporaryFile(delete=False) as own:
+                shutil.copyfileobj(source, own, 1 << 20)
+            os.replace(own.name, local)
+            atexit.register(lambda: os.path.exists(local) and os.unlink(local))
     size = int.from_bytes(view[:8], "little")
     places = json.loads(view[8 : 8 + size])
     return {k: np.frombuffer(view, np.dtype(t), n, 8 + size + at) for k, (t, n, at) in places.items()}

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from . import store
 
-RANGES = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,21 +94,26 @@ def drawn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes,
-    repeats counted) and position (0 to 1, training time at which it is first drawn), sorted by position.
+    repeats counted), position (0 to 1, training time at which it is or would be first drawn) and
+    positions (those of all copies that are taken, the last of them maybe in part), sorted by position.
     The options are those of drawn(): weights and leans repeat over the sources in code point order,
     null last; a lean of x ramps a schedule from (1 - x) to (1 + x) times its weight."""
-    return drawn(docs, **options).select("doc_id", "source", "size", "source_size", "target", "taken", moment(F.col("begin")).alias("position")).orderBy("position", "doc_id")
+    found = drawn(docs, **options)
+    copies = F.when(F.col("taken") > 0, F.sequence(F.lit(0), F.expr("cast((taken - 1) div size as int)"))).otherwise(F.array().cast("array<int>"))
+    times = F.transform(copies, lambda k: moment(k * F.col("source_size") + F.col("begin")))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken", moment(F.col("begin")).alias("position"), times.alias("positions")).orderBy("position", "doc_id")
 
 
 def digest(mixed: DataFrame) -> DataFrame:
-    """The contract columns of op8 from the operator's output."""
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
+    """The contract columns of op8 from the operator's output, with the first and the last position."""
+    last = F.round(F.try_element_at("positions", F.lit(-1)), 9)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"), last.alias("last_position"))
 
 
 def training_order(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs as the mix takes them, with their columns, range-sorted by the training position
-    of each copy, which comes a pass of its source after the one before: whole copies, then the first words of a document that is taken in part. The rows that the mix
-    does not take are left out. Rows are matched by identifier, source and size; repeated rows are
+    of each copy, which comes a pass of its source after the one before: whole copies, then the first
+    words of a document that is taken in part. The rows that the mix does not take are left out. Rows are matched by identifier, source and size; repeated rows are
     taken alike."""
     names = docs.columns
     mixed = drawn(docs, doc_id=doc_id, text=text, source=source, **options).where("taken > 0")

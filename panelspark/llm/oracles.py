@@ -45,9 +45,12 @@ MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text
  s3 AS (SELECT *, least(cap, weight * max(level) OVER ()) AS target FROM s2),
  r AS (SELECT d.doc_id, d.size, s3.*, CAST('0x' || substring(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 1, 15) AS BIGINT) AS draw FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source),
  b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins, CAST(floor(target + 1e-6) AS BIGINT) AS goal FROM r),
- c AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole, CASE WHEN target > 0 THEN least(begins / target, 1.0) ELSE 0.0 END AS part FROM b)
-SELECT doc_id, size, source_size, round(CAST(target AS DOUBLE), 6) AS target, CAST(whole * size + least(greatest(goal - whole * source_size - begins, 0), size) AS BIGINT) AS taken,
- round(CASE WHEN lean = 0 THEN part ELSE coalesce(2 * part / nullif(1 - lean + sqrt((1 - lean) * (1 - lean) + 4 * lean * part), 0), 0) END, 9) AS position FROM c"""
+ c AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole FROM b),
+ e AS (SELECT *, CAST(whole * size + least(greatest(goal - whole * source_size - begins, 0), size) AS BIGINT) AS taken FROM c),
+ f AS (SELECT *, CASE WHEN target > 0 THEN least(begins / target, 1.0) ELSE 0.0 END AS part, CASE WHEN taken > 0 THEN least((((taken - 1) // size) * source_size + begins) / target, 1.0) END AS last_part FROM e)
+SELECT doc_id, size, source_size, round(CAST(target AS DOUBLE), 6) AS target, taken,
+ round(CASE WHEN lean = 0 THEN part ELSE coalesce(2 * part / nullif(1 - lean + sqrt((1 - lean) * (1 - lean) + 4 * lean * part), 0), 0) END, 9) AS position,
+ round(CASE WHEN lean = 0 THEN last_part WHEN taken > 0 THEN coalesce(2 * last_part / nullif(1 - lean + sqrt((1 - lean) * (1 - lean) + 4 * lean * last_part), 0), 0) END, 9) AS last_position FROM f"""
 
 LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {PLAIN}) AS ws FROM documents),
  items AS (SELECT item_id, regexp_extract_all({LOWERED}, {PLAIN}) AS ws FROM benchmark),

@@ -59,8 +59,8 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Tasks that list blocks, and the bits that number the blocks of one of them.
-LISTERS, BLOCK_BITS = 64, 23
+#: Tasks that list blocks, at most, and the bits that number the blocks of one of them.
+LISTERS, BLOCK_BITS = 256, 23
 
 
 class Blocks:
@@ -79,7 +79,7 @@ def block_table(df: DataFrame, name: str, block_bytes: int = 16 << 20) -> Blocks
     path = new_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.block.size", block_bytes).parquet(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"))
-    listed, _ = materialise(files.repartition(LISTERS).mapInArrow(_groups(path), "block string, block_no long, size long"), "blocks")
+    listed, _ = materialise(files.repartition(min(LISTERS, partitions(spark))).mapInArrow(_groups(path), "block string, block_no long, size long"), "blocks")
     count, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     return Blocks(path, listed.select("block", "block_no").repartition(max(1, min(count, 20_000))), count, size)
 

@@ -9,7 +9,8 @@ as its rank in 1 to 4 bytes; two bits of a control byte give the length, four id
 Tokenising: a text is cut where the tokenizer's pre-tokenizer always cuts (a lone space or newline
 between characters that are not white space, a letter before ASCII punctuation); each distinct piece
 is encoded by the tokenizers library once a worker and its ids are looked up by hash from then on. A
-text with the string of a special token is encoded whole.
+text with the string of a special token is encoded whole, and so is every text where the tokenizer has
+another pre-tokenizer than the byte-level one, or a normalizer.
 
 Edge cases: null and empty texts have the end id alone; a null identifier sorts first; repeated rows
 are separate documents, those of one identifier in the order of a text hash; an empty table gives an
@@ -18,6 +19,7 @@ empty folder of shards and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Sequence
@@ -25,7 +27,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -76,6 +78,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plan = json.loads(self.tokenizer.to_str())
+        before = plan.get("pre_tokenizer") or {}
+        self.cuts = plan.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.reset()
 
@@ -123,7 +128,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents of a chunk, one after another, and how many each has."""
         raw = data.tobytes()
-        if any(s in raw for s in self.special):
+        if not self.cuts or any(s in raw for s in self.special):
             parts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             if len(parts) == 1:
                 ids = self.plain([raw.decode()])[0]
@@ -295,18 +300,21 @@ def writer(folder: str, vocabulary: str, end_id: int, shard_ids: int):
     return stage
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS, order: Sequence[Column] = ()) -> list[tuple[str, int, int]]:
-    """Writes the shards; returns (name, documents, ids) of each in ascending order of identifiers, or of
-    the columns `order` of docs where these are given.
-    The list has one entry a shard and is the file index."""
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS, order: Sequence[Column] = ()) -> DataFrame:
+    """Writes the shards; returns their index, a table of part, shard, name, n_docs, n_ids and base (the
+    ids before the shard), in ascending order of identifiers, or of the columns `order` of docs where
+    these are given. Bases are summed by part, so neither the driver nor one task lists all shards."""
     store.small_batches(docs.sparkSession)
     places = [f"place_{i}" for i in range(len(order))]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(c.alias(p) for c, p in zip(order, places, strict=True)))
     by_id = F.col("doc_id").asc_nulls_first()
     spread = rows.repartitionByRange(store.partitions(docs.sparkSession), *(places or [by_id]))
     dealt = spread.sortWithinPartitions(*(places or [by_id, F.xxhash64("text")])).select("doc_id", "text")
-    done = dealt.mapInArrow(store.lean(writer(folder, vocabulary, end_id, shard_ids)), "part long, shard long, name string, n_docs long, n_ids long")
-    return [(r["name"], r["n_docs"], r["n_ids"]) for r in sorted(done.collect(), key=lambda r: (r["part"], r["shard"]))]
+    done, _ = store.materialise(dealt.mapInArrow(store.lean(writer(folder, vocabulary, end_id, shard_ids)), "part long, shard long, name string, n_docs long, n_ids long"), "shards")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = done.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before(Window.orderBy("part")).alias("part_base"))
+    inside = done.withColumn("n", F.col("n_ids")).withColumn("inner", before(Window.partitionBy("part").orderBy("shard")))
+    return inside.join(parts, "part").select("part", "shard", "name", "n_docs", "n_ids", (F.col("part_base") + F.col("inner")).alias("base"))
 
 
 def reader(folder: str):
@@ -324,11 +332,7 @@ def reader(folder: str):
     return stage
 
 
-def read_ids(spark, folder: str, index: list[tuple[str, int, int]]) -> DataFrame:
+def read_ids(spark, folder: str, index: DataFrame) -> DataFrame:
     """Per document, read from the shards: doc_id, start, n_tokens and ids_crc32."""
-    rows, base = [], 0
-    for name, _, n in index:
-        rows.append((name, base))
-        base += n
-    files = spark.createDataFrame(rows, "name string, base long").repartition(max(1, min(len(rows), 10_000)))
+    files = index.select("name", "base").repartition(4 * store.partitions(spark))
     return files.mapInArrow(store.lean(reader(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,6 +1,7 @@
 """Plain versions of the operators over lists of (doc_id, text)."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -54,6 +55,51 @@ def secrets(text):
     return [(a, b, k) for a, _, b, k in sorted(found)]
 
 
+def linked(text, patterns, reach=160):
+    """All spans of a text, the weak parts by looking at every pair of parts. `patterns` are those of
+    names, mixed tokens and endpoints."""
+    meets = lambda s, lo, hi: s[0] < hi and s[1] > lo
+    base = secrets(text)
+    breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
+    parts = {"name": [(m.start(1), m.end(1), "name") for m in patterns[0].finditer(text)]}
+    parts |= {k: [(m.start(), m.end(), k) for m in p.finditer(text)] for k, p in (("mixed", patterns[1]), ("endpoint", patterns[2]))}
+    held = list(base)
+    for kind in ("name", "mixed", "endpoint"):
+        parts[kind] = [s for s in parts[kind] if not any(meets(x, s[0], s[1]) for x in held)]
+        held += parts[kind]
+    ids = [s for s in base if s[2] == "access"] + parts["name"]
+    keys = [s for s in base if s[2] != "access"] + parts["mixed"]
+
+    def near(span, others):
+        lo = max([span[0] - reach, 0, *(b for b in breaks if b <= span[0])])
+        hi = min([span[1] + reach, len(text), *(b for b in breaks if b > span[0])])
+        return any(meets(x, lo, hi) for x in others)
+
+    weak = [s for s in parts["name"] if near(s, keys)] + [s for s in parts["mixed"] if near(s, ids)] + [s for s in parts["endpoint"] if near(s, ids) and near(s, keys)]
+    order = ["assign", "access", "hex", "name", "mixed", "endpoint"]
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(base + weak, key=lambda s: (s[0], order.index(s[2]))))
+
+
+def language(net, text, window=256, filters=((2, 8), (3, 12), (4, 12))):
+    """Label and score of a text, window by window, position by position, filter by filter."""
+    raw, pad = text.encode(), net.embed.shape[0] - 1
+    total = [0.0] * len(net.labels)
+    for lo in range(0, len(raw), window):
+        piece = [*raw[lo : lo + window], *[pad] * (window - len(raw[lo : lo + window]) + 3)]
+        hidden, at = [], 0
+        for width, n in filters:
+            for f in range(at, at + n):
+                most = max(sum(float(net.embed[piece[i + k]] @ net.filters[k][:, f]) for k in range(width)) for i in range(window))
+                hidden.append(max(most + float(net.bias[f]), 0.0))
+            at += n
+        z = [sum(h * float(net.dense[i][c]) for i, h in enumerate(hidden)) + float(net.shift[c]) for c in range(len(net.labels))]
+        e = [math.exp(x - max(z)) for x in z]
+        for c, x in enumerate(e):
+            total[c] += x / sum(e) * len(raw[lo : lo + window])
+    best = max(range(len(total)), key=total.__getitem__)
+    return net.labels[best], total[best] / len(raw)
+
+
 def removed(rows, units, window):
     """Per row, in order: flags of the units that a window covers which a smaller identifier has."""
     first, whole = {}, [(k, units(t)) for k, t in rows]
@@ -95,8 +141,6 @@ def leaks(rows, items, width=10):
 
 def kneser_ney(rows, folds=5, fold=1):
     """Per row: identifier, tokens, known, training tokens, base score, score."""
-    import math
-
     texts = [(k, [*low(t).split(), None]) for k, t in rows]
     train = [t for k, t in texts if zlib.crc32(str(k).encode()) % folds != fold]
     count = Counter(w for t in train for w in t)
