@@ -38,18 +38,15 @@ def normal_bands(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.col("last") * F.exp(F.lit(z) * root_sigma()) for name, z in (("q10", -NORMAL_90), ("q50", 0.0), ("q90", NORMAL_90))})
 
 
-def higher_quantile(value: str, level: Column) -> Column:
-    """The smallest value that at least a part `level` of the way through the sorted values reaches."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, (F.ceil((F.count(value) - 1) * level) + 1).cast("int"))
-
-
 def one_sided_margins(calibration: DataFrame, alpha: float = 0.20) -> DataFrame:
     """h, lower and upper: how far logs of q10 and q90 must move apart, each on its own, never in."""
     scores = calibration.select("h", (safe_ln("q10") - safe_ln("y")).alias("below"), (safe_ln("y") - safe_ln("q90")).alias("above"))
-    level = F.least(F.lit(1.0), F.ceil((F.count("*") + 1) * F.lit(1 - alpha / 2)) / F.count("*"))
-    found = scores.groupBy("h").agg(higher_quantile("below", level).alias("lower"), higher_quantile("above", level).alias("upper"))
-    return found.select("h", F.greatest("lower", F.lit(0.0)).alias("lower"), F.greatest("upper", F.lit(0.0)).alias("upper"))
+    sizes = scores.groupBy("h").agg(F.count("*").alias("n"), F.count("below").alias("n_below"), F.count("above").alias("n_above"))
+    level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * F.lit(1 - alpha / 2)) / F.col("n"))
+    rank = lambda c: F.row_number().over(Window.partitionBy("h").orderBy(F.col(c).asc_nulls_last()))
+    ranked = scores.withColumns({"at_below": rank("below"), "at_above": rank("above")}).join(F.broadcast(sizes), "h")
+    at = {c: F.max(F.when(F.col(f"at_{c}") == F.ceil((F.col(f"n_{c}") - 1) * level) + 1, F.col(c))) for c in ("below", "above")}
+    return ranked.groupBy("h").agg(F.greatest(at["below"], F.lit(0.0)).alias("lower"), F.greatest(at["above"], F.lit(0.0)).alias("upper"))
 
 
 def widen(test: DataFrame, margins: DataFrame, model: str = "calibrated") -> DataFrame:

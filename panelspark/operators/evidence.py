@@ -16,7 +16,14 @@ from pathlib import Path, PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.operators.validate import RUN_ID
+from panelspark.operators.validate import RUN_ID, check_predictions
+from panelspark.schemas import PREDICTIONS
+
+# What the metadata of a finished run must state.
+REQUIRED = (
+    "run_id", "pipeline", "family", "data_path", "data_end", "data_start", "assets", "rows", "gap_stats", "features", "future_features", "config",
+    "train_end", "validation_start", "validation_end", "calibration_start", "calibration_end", "test_start", "test_end", "package_versions", "git_commit", "elapsed_seconds", "device",
+)
 
 
 def melted(metrics: DataFrame, run: str, tag: str, meta: Mapping[str, object], values: Sequence[str]) -> DataFrame:
@@ -90,9 +97,10 @@ def read_json(path: str | Path):
 
 
 def save_bundle(rows: DataFrame, folder: Path, metadata: Mapping[str, object]) -> None:
-    """Predictions and metadata into a reserved folder that is still empty."""
+    """Valid predictions and metadata into a reserved folder that is still empty."""
     if any(folder.iterdir()):
         raise ValueError(f"{folder} is not empty")
+    check_predictions(rows, [c.split()[0] for c in PREDICTIONS.split(", ")])
     rows.write.mode("errorifexists").parquet(str(folder / "predictions.parquet"))
     create_once(folder / "metadata.json", json.dumps(dict(metadata), sort_keys=True, default=str))
 
@@ -131,13 +139,15 @@ def compare_listing(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     return a.join(b, "name", "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select("name", state.alias("state"))
 
 
-def finalize(folder: Path, metadata: Mapping[str, object], required: Sequence[str]) -> None:
-    """Records the hash of every file and turns status to complete; needs all required metadata."""
+def finalize(folder: Path, metadata: Mapping[str, object], required: Sequence[str] = REQUIRED) -> None:
+    """Records the hash of every file, turns status to complete and reads the files again to verify them;
+    needs all required metadata."""
     lost = sorted(set(required) - set(metadata))
     if lost:
         raise ValueError(f"missing metadata: {lost}")
     listed = {p.relative_to(folder).as_posix(): file_hash(p) for p in sorted(folder.rglob("*")) if p.is_file() and p.name != "manifest.json"}
     replace(folder / "manifest.json", json.dumps({"status": "complete", "metadata": dict(metadata), "files": listed}, sort_keys=True, default=str))
+    verify(folder)
 
 
 def verify(folder: Path) -> None:

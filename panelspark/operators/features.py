@@ -16,8 +16,10 @@ WINDOWS = (5, 10, 21, 63)
 HAR = (1, 5, 22)
 HORIZONS = tuple(range(1, 8))
 FLOOR = 1e-6
-PREFIXES = ("ret_", "vol_", "drawdown_", "volume_", "range", "px_", "btc_", "fund_")
-GROUPS = {"funding": ("fund_",), "market": ("btc_",), "volatility": ("vol_", "har_"), "volume": ("volume_",), "price": ("ret_", "drawdown_", "range", "px_")}
+# Prefixes of the features that models may use, candidates among them, and groups.
+PREFIXES = ("ret_", "vol_", "range", "px_", "btc_", "fund", "drawdown_", "volume_")
+CANDIDATES = ("vol_regime", "drawdown_63d", "volume_z21")
+GROUPS = {"returns": ("ret_", "px_", "drawdown_"), "volatility": ("vol_", "range", "har_"), "volume": ("volume_",), "market": ("btc_",), "funding": ("fund",)}
 
 
 def with_return(panel: DataFrame) -> DataFrame:
@@ -84,14 +86,14 @@ def long_labels(labelled: DataFrame, *keep: str) -> DataFrame:
     return labelled.select("asset", "date", *keep, F.inline(rows))
 
 
-def feature_columns(columns: list[str], candidates: tuple[str, ...] = (), use_candidates: bool = False) -> list[str]:
-    """Columns that models may use, by prefix."""
+def feature_columns(columns: list[str], use_candidates: bool = False) -> list[str]:
+    """Columns that models may use, by prefix; the candidates only on request."""
     found = [c for c in columns if c.startswith(PREFIXES)]
-    return found if use_candidates else [c for c in found if c not in candidates]
+    return found if use_candidates else [c for c in found if c not in CANDIDATES]
 
 
 def feature_groups(columns: list[str]) -> dict[str, list[str]]:
-    """Columns by group; every column is in exactly one. The volume ratio counts as volatility."""
+    """Columns by group; every column is in exactly one."""
     groups = {name: [c for c in columns if c.startswith(p)] for name, p in GROUPS.items()}
     listed = [c for g in groups.values() for c in g]
     if sorted(listed) != sorted(columns):

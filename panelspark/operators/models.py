@@ -1,4 +1,4 @@
-"""Forecasters: point baselines, linear volatility models, GARCH, boosted trees and external rows."""
+"""Forecasters: point baselines, classical price models, least squares, GARCH, a linear network, external rows."""
 
 from __future__ import annotations
 
@@ -43,38 +43,93 @@ def trend_forecasts(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return rows.select("asset", F.col("date").alias("origin"), F.col("close").alias("last"), "naive_mae", F.inline(F.array(*made))).select("asset", "origin", "model", "h", "y", "yhat", "last", "naive_mae")
 
 
-def walk_forward(panel: DataFrame, predict: Callable[[np.ndarray], dict[str, np.ndarray]], horizon: int = HORIZON, context: int = 400) -> DataFrame:
-    """Rows of any predictor of (last closes) -> {model: forecasts}. Origins are dealt over the
-    cluster, each with its own last `context` closes; a predictor that raises or gives numbers that
-    are not finite falls back to the last close."""
-    w = along()
-    rows = origin_mask(panel).withColumns({"history": F.collect_list("close").over(last_rows(context)), "ahead": F.collect_list("close").over(w.rowsBetween(1, horizon)), "move": F.abs(F.col("close") - F.lag("close").over(w))})
-    rows = rows.withColumn("naive_mae", F.avg("move").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("is_origin").select("asset", "date", "close", "naive_mae", "history", "ahead")
+def walk_forward(panel: DataFrame, predict: Callable[..., dict[str, np.ndarray]], horizon: int = HORIZON, context: int = 400, batch: bool = False) -> DataFrame:
+    """Rows of any predictor of (last closes) -> {model: forecasts}, or, with `batch`, of one that takes
+    the last closes of all origins of an asset and gives a row of forecasts for each. An asset's series is
+    one group, of which each origin sees its last `context` closes; a predictor that raises or gives
+    numbers that are not finite falls back to the last close."""
+    rows = origin_mask(panel).select("asset", "date", "close", "is_origin")
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                history = np.asarray(r.history, float)
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("date")
+        close, at = group["close"].to_numpy(float), np.flatnonzero(group["is_origin"])
+        if not len(at):
+            return pd.DataFrame({c: [] for c in ("asset", "origin", "model", "h", "y", "yhat", "last", "naive_mae")})
+        naive = np.cumsum(np.abs(np.diff(close)))[at - 1] / at
+        if batch:
+            found = predict([close[max(0, i + 1 - context) : i + 1] for i in at])
+        else:
+            found = {}
+            for k, i in enumerate(at):
                 try:
-                    found = predict(history)
+                    made = predict(close[max(0, i + 1 - context) : i + 1])
                 except (ValueError, ArithmeticError, np.linalg.LinAlgError):
-                    found = {getattr(predict, "__name__", "model"): np.full(horizon, np.nan)}
-                for model, values in found.items():
-                    values = np.where(np.isfinite(values), values, r.close)
-                    out += [(r.asset, r.date, model, h + 1, r.ahead[h], float(values[h]), r.close, r.naive_mae) for h in range(horizon)]
-            yield pd.DataFrame(out, columns=["asset", "origin", "model", "h", "y", "yhat", "last", "naive_mae"])
-
-    return rows.mapInPandas(run, "asset string, origin timestamp_ntz, model string, h int, y double, yhat double, last double, naive_mae double")
-
+                    made = {getattr(predict, "__name__", "model"): np.full(horizon, np.nan)}
+                for model, values in made.items():
+                    found.setdefault(model, np.full((len(at), horizon), np.nan))[k] = values
+        steps = np.arange(1, horizon + 1)
+        out = []
+        for model, values in found.items():
+            values = np.where(np.isfinite(values), values, close[at][:, None])
+            each = {"asset": group["asset"].iloc[0], "origin": np.repeat(group["date"].to_numpy()[at], horizon), "model": model, "h": np.tile(steps.astype(np.int32), len(at))}
+            each |= {"y": close[at[:, None] + steps].ravel(), "yhat": values.ravel(), "last": np.repeat(close[at], horizon), "naive_mae": np.repeat(naive, horizon)}
+            out.append(pd.DataFrame(each))
+        return pd.concat(out)
+
+    return rows.groupBy("asset").applyInPandas(run, "asset string, origin timestamp_ntz, model string, h int, y double, yhat double, last double, naive_mae double")
+
+
+def arma_residuals(d: np.ndarray, size: np.ndarray, phi, theta, seasonal_phi, seasonal_theta, season: int = SEASON) -> np.ndarray:
+    """One-step residuals of (1 - phi B)(1 - Phi B^s) d = (1 + theta B)(1 + Theta B^s) e for series in the
+    rows of d, which end together and hold `size` values; parameters broadcast over the rows. Values
+    before a series begins count as 0."""
+    n = d.shape[-1]
+    shape = np.broadcast_shapes(d.shape[:-1], np.shape(phi))
+    e = np.zeros((n + season + 1, *shape))
+    x = np.concatenate([np.zeros((season + 1, *d.shape[:-1])), np.moveaxis(d, -1, 0)])
+    known = np.arange(n).reshape(-1, *[1] * len(d.shape[:-1])) >= n - size
+    for t in range(n):
+        at = t + season + 1
+        value = x[at] - phi * x[at - 1] - seasonal_phi * (x[at - season] - phi * x[at - season - 1])
+        value = value - theta * e[at - 1] - seasonal_theta * (e[at - season] + theta * e[at - season - 1])
+        e[at] = np.where(known[t], value, 0.0)
+    return e[season + 1 :]
+
+
+def arima(histories: Sequence[np.ndarray], seasonal: bool = False, horizon: int = HORIZON, rounds: int = 24, season: int = SEASON) -> np.ndarray:
+    """Forecasts of ARIMA(1,1,1), or with (1,0,1) every seventh step, by least squares of the one-step
+    residuals: a shrinking search over the parameters of all histories at once."""
+    width = max(len(h) for h in histories) - 1
+    size = np.array([len(h) - 1 for h in histories])
+    d = np.stack([np.concatenate([np.zeros(width - n), np.diff(h)]) for h, n in zip(histories, size, strict=True)])
+    k = 4 if seasonal else 2
+    moves = np.concatenate([np.zeros((1, k)), np.eye(k), -np.eye(k)])
+    best, step = np.zeros((len(d), k)), np.full(len(d), 0.4)
+
+    def parameters(p: np.ndarray) -> tuple:
+        return (p[..., 0], p[..., 1], p[..., 2], p[..., 3]) if seasonal else (p[..., 0], p[..., 1], 0.0, 0.0)
 
-def autoregression(history: np.ndarray, horizon: int = HORIZON) -> dict[str, np.ndarray]:
-    """An ARIMA(1,1,0) by least squares on differences."""
-    d = np.diff(history)
-    x, y = d[:-1], d[1:]
-    phi = float(x @ y / (x @ x))
-    steps = d[-1] * np.clip(phi, -0.99, 0.99) ** np.arange(1, horizon + 1)
-    return {"arima": history[-1] + np.cumsum(steps)}
+    for _ in range(rounds):
+        tried = np.clip(best[:, None] + step[:, None, None] * moves, -0.98, 0.98)
+        e = arma_residuals(d[:, None, :], size[:, None], *parameters(tried), season)
+        at = np.argmin(np.sum(e * e, axis=0), axis=1)
+        best = tried[np.arange(len(d)), at]
+        step = np.where(at == 0, step / 2, step)
+    phi, theta, sp, st = (np.broadcast_to(p, len(d)) for p in parameters(best))
+    e = arma_residuals(d, size, phi, theta, sp, st, season)
+    x = [np.zeros(len(d))] * (season + 1) + list(d.T)
+    r = [np.zeros(len(d))] * (season + 1) + list(e)
+    for _ in range(horizon):
+        x.append(phi * x[-1] + sp * (x[-season] - phi * x[-season - 1]) + theta * r[-1] + st * (r[-season] + theta * r[-season - 1]))
+        r.append(np.zeros(len(d)))
+    last = np.array([h[-1] for h in histories])
+    return last[:, None] + np.cumsum(np.stack(x[-horizon:], 1), axis=1)
+
+
+def classical(histories: Sequence[np.ndarray], block: int = 128) -> dict[str, np.ndarray]:
+    """ARIMA and seasonal ARIMA forecasts, a block of histories at a time."""
+    parts = [histories[i : i + block] for i in range(0, len(histories), block)]
+    return {name: np.concatenate([arima(p, seasonal) for p in parts]) for name, seasonal in (("arima", False), ("sarima", True))}
 
 
 def linear_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alpha: float = 0.0) -> DataFrame:
@@ -108,15 +163,15 @@ def linear_sigma(rows: DataFrame, fits: DataFrame, keys: Sequence[str], features
     value = F.col("intercept")
     for i, f in enumerate(features):
         value = value + F.col("coefficients")[i] * F.col(f)
-    return rows.join(F.broadcast(fits), list(keys)).withColumn("sigma", F.exp(value)).drop("intercept", "coefficients")
+    return rows.join(fits, list(keys)).withColumn("sigma", F.exp(value)).drop("intercept", "coefficients")
 
 
 def garch_filter(r: np.ndarray, omega: float, a: float, b: float) -> np.ndarray:
-    """Variance for the step after each return."""
-    v = np.empty(len(r) + 1)
+    """Variance for the step after each return; parameters may be arrays, one column each."""
+    v = np.empty((len(r) + 1, *np.shape(omega)))
     v[0] = r.var()
-    for t, x in enumerate(r):
-        v[t + 1] = omega + a * x * x + b * v[t]
+    for t, x in enumerate(r * r):
+        v[t + 1] = omega + a * x + b * v[t]
     return v[1:]
 
 
@@ -125,19 +180,18 @@ def garch_fit(r: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
     reaction and the persistence."""
     total = r.var()
 
-    def loss(a: float, p: float) -> float:
-        v = np.concatenate([[total], garch_filter(r, total * (1 - p), a, p - a)[:-1]])
-        return float(np.sum(np.log(v) + r * r / v))
+    def losses(a: np.ndarray, p: np.ndarray) -> np.ndarray:
+        v = np.concatenate([np.full((1, len(a)), total), garch_filter(r, total * (1 - p), a, p - a)[:-1]])
+        return np.where((a >= 0.001) & (a < p) & (p < 0.999), np.sum(np.log(v) + (r * r)[:, None] / v, axis=0), np.inf)
 
-    best, step = (0.08, 0.95), np.array([0.05, 0.04])
-    value = loss(*best)
+    around = np.array([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)])
+    best, step = np.array([0.08, 0.95]), np.array([0.05, 0.04])
     for _ in range(rounds):
-        moved = False
-        for d in ((1, 0), (-1, 0), (0, 1), (0, -1)):
-            a, p = np.array(best) + step * d
-            if 0.001 <= a < p < 0.999 and (v := loss(a, p)) < value:
-                best, value, moved = (float(a), float(p)), v, True
-        if not moved:
+        tried = best + step * around
+        inside = np.clip(tried, 0.0005, 0.9995)
+        at = int(np.argmin(np.where((tried == inside).all(axis=1), losses(*inside.T), np.inf)))
+        best = tried[at]
+        if not at:
             step /= 2
             if step.max() < 1e-4:
                 break
@@ -145,39 +199,6 @@ def garch_fit(r: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
     return total * (1 - p), a, p - a
 
 
-def garch_sigma(panel: DataFrame, fit_end: str, horizons: Sequence[int] = (1, 7)) -> DataFrame:
-    """asset, date, h and sigma: parameters from the returns before fit_end, then the whole series
-    filtered with them; sigma is the root of the mean variance over h steps. One series is one group."""
-    end = pd.Timestamp(fit_end)
-    rows = panel.select("asset", "date", (safe_ln("close") - safe_ln(F.lag("close").over(along()))).alias("lr")).na.drop()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        r = group.lr.to_numpy() * 100
-        before = r[(group.date < end).to_numpy()]
-        if len(before) < 30 or not before.var():
-            return pd.DataFrame({"asset": [], "date": [], "h": [], "sigma": []})
-        omega, a, b = garch_fit(before)
-        level, p, nxt = omega / (1 - a - b), a + b, garch_filter(r, omega, a, b)
-        parts = [pd.DataFrame({"asset": group.asset, "date": group.date, "h": h, "sigma": np.sqrt(level + (nxt - level) * np.mean(p ** np.arange(h))) / 100}) for h in horizons]
-        return pd.concat(parts)
-
-    return rows.groupBy("asset").applyInPandas(run, "asset string, date timestamp_ntz, h int, sigma double")
-
-
-def boosted_sigma(fit: DataFrame, rows: DataFrame, features: Sequence[str], target: str, trees: int = 300, depth: int = 5, rate: float = 0.05, seed: int = 42) -> DataFrame:
-    """Adds sigma = exp of boosted trees on the log volatility: the Spark ML analogue of the
-    gradient-boosting libraries, not equal to them in numbers."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    vector = VectorAssembler(inputCols=list(features), outputCol="_x")
-    model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=50, seed=seed)
-    known = fit.na.drop(subset=list(features)).withColumn("_y", safe_ln(target)).where("_y is not null")
-    fitted = model.fit(vector.transform(known))
-    return fitted.transform(vector.transform(rows.na.drop(subset=list(features)))).withColumn("sigma", F.exp("_p")).drop("_x", "_p", "rawPrediction")
-
-
 def pooled(window: np.ndarray, kernel: int = 25) -> np.ndarray:
     """Moving averages along time, zero-padded and the padding counted."""
     pad = kernel // 2
@@ -193,38 +214,31 @@ def window_matrix(column: pd.Series) -> np.ndarray:
     return np.concatenate([trend, raw - trend], axis=2).reshape(len(raw), -1)
 
 
-def decomposition_linear(windows: DataFrame, targets: Sequence[str], alpha: float = 1.0) -> np.ndarray:
+def decomposition_linear(windows: DataFrame, targets: Sequence[str], alpha: float = 1.0) -> dict:
     """Weights of a linear model on trend and remainder of each window, in closed form: tasks add
-    products, Spark sums them by place, the driver solves one small system. The reference fits the
-    same model by gradient steps with early stopping, so numbers differ."""
+    products, Spark sums them by fold and place, the driver solves one small system a fold. Fitting the
+    same model by gradient steps with early stopping gives other numbers."""
 
     def partial(batches):
-        total = None
+        total: dict = {}
         for b in batches:
-            x = np.hstack([np.ones((len(b), 1)), window_matrix(b["window"]), b[list(targets)].to_numpy(float)])
-            total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pd.DataFrame({"place": np.arange(total.size), "value": total.ravel()})
-
-    clean = windows.na.drop(subset=list(targets)).select("window", *targets)
-    sums = clean.mapInPandas(partial, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").toPandas()
-    size = int(np.sqrt(len(sums)))
-    m, k = sums.value.to_numpy().reshape(size, size), size - len(targets)
-    penalty = alpha * np.eye(k)
-    penalty[0, 0] = 0
-    return np.linalg.lstsq(m[:k, :k] + penalty, m[:k, k:], rcond=None)[0]
-
-
-def decomposition_predict(windows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """asset, date and one prediction a target."""
-    names = [f"p{i + 1}" for i in range(weights.shape[1])]
-
-    def run(batches):
-        for b in batches:
-            p = np.hstack([np.ones((len(b), 1)), window_matrix(b["window"])]) @ weights
-            yield pd.concat([b[["asset", "date"]].reset_index(drop=True), pd.DataFrame(p, columns=names)], axis=1)
-
-    return windows.select("asset", "date", "window").mapInPandas(run, "asset string, date timestamp_ntz, " + ", ".join(f"{n} double" for n in names))
+            for fold, g in b.groupby("fold"):
+                x = np.hstack([np.ones((len(g), 1)), window_matrix(g["window"]), g[list(targets)].to_numpy(float)])
+                total[fold] = total.get(fold, 0) + x.T @ x
+        for fold, m in total.items():
+            yield pd.DataFrame({"fold": fold, "place": np.arange(m.size), "value": m.ravel()})
+
+    clean = windows.na.drop(subset=list(targets)).select("fold", "window", *targets)
+    sums = clean.mapInPandas(partial, "fold timestamp_ntz, place int, value double").groupBy("fold", "place").agg(F.sum("value").alias("value")).toPandas()
+    out = {}
+    for fold, part in sums.groupby("fold"):
+        part = part.sort_values("place")
+        size = int(np.sqrt(len(part)))
+        m, k = part["value"].to_numpy().reshape(size, size), size - len(targets)
+        penalty = alpha * np.eye(k)
+        penalty[0, 0] = 0
+        out[fold] = np.linalg.lstsq(m[:k, :k] + penalty, m[:k, k:], rcond=None)[0]
+    return out
 
 
 def external_sigma(predictions: DataFrame, tests: DataFrame) -> DataFrame:

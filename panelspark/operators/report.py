@@ -58,6 +58,33 @@ def last_forecast(points: DataFrame, bars: DataFrame, context: int) -> tuple[Dat
     return points.join(F.broadcast(last), "cutoff", "left_semi"), past
 
 
+def forecast_path(test: DataFrame, model: str = "tft_calibrated") -> DataFrame:
+    """The last origin's path of each asset: h, y and quantiles."""
+    last = test.agg(F.max("origin").alias("origin"))
+    return test.where(F.col("model") == model).join(F.broadcast(last), "origin").select("asset", "origin", "h", "y", "q10", "q50", "q90")
+
+
+def next_day(test: DataFrame, horizon: int = 96) -> DataFrame:
+    """What every model expected of the last step, with its predicted and the realised return."""
+    rows = test.where(F.col("h") == horizon)
+    return rows.select("model", "asset", "origin", "y", "q50", (safe_div("y", "last") - 1).alias("realised"), (safe_div("q50", "last") - 1).alias("predicted"))
+
+
+def performance(test: DataFrame, key: str, horizon: int = 96) -> DataFrame:
+    """pinball_% and direction accuracy at the last step by model and key."""
+    return score.headline(test, ["model", key], horizon).select("model", key, "pinball_%", "direction_accuracy")
+
+
+def performance_by_regime(calibration: DataFrame, test: DataFrame, horizon: int = 96) -> DataFrame:
+    """The same by regimes whose bounds the calibration part fixes."""
+    return performance(score.apply_regimes(test, score.regime_cutpoints(calibration)), "regime", horizon)
+
+
+def calibration_comparison(test: DataFrame, models: Sequence[str] = ("tft_raw", "tft_calibrated")) -> DataFrame:
+    """Coverage by step, raw and calibrated."""
+    return score.score(test.where(F.col("model").isin(*models)), ["model", "h"]).select("model", "h", "coverage")
+
+
 def winners(scores: DataFrame, metric: str = "pinball") -> DataFrame:
     """asset, the best model and by how much the second is worse."""
     order = Window.partitionBy("asset").orderBy(F.round(metric, 10), "model")

@@ -42,11 +42,11 @@ def ohlcv_violations(panel: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def check_ohlcv(panel: DataFrame, cutoff: Column) -> None:
-    raise_first(ohlcv_violations(panel, cutoff), {"duplicates": "duplicate (asset, date)", "incomplete": "incomplete bar", "not_positive": "prices must be positive", "crossed": "high below low"})
+    raise_first(ohlcv_violations(panel, cutoff), {"duplicates": "duplicate bars of an asset", "incomplete": "incomplete bar", "not_positive": "prices must be positive", "crossed": "high below low"})
 
 
 # In the order in which they are reported.
-INTRADAY_RULES = {"unsupported": "unsupported assets", "duplicates": "duplicate (asset, date)", "unaligned": "dates must lie on 15 minutes", "unsorted": "rows of an asset must be in order", "missing": "values must be finite numbers", "not_positive": "prices must be positive", "negative_volume": "volume must not be negative", "high": "high below another price", "low": "low above another price", "incomplete": "last bar is not complete"}
+INTRADAY_RULES = {"unsupported": "unsupported assets", "duplicates": "duplicate bars of an asset", "unaligned": "dates must lie on 15 minutes", "unsorted": "rows of an asset must be in order", "missing": "values must be finite numbers", "not_positive": "prices must be positive", "negative_volume": "volume must not be negative", "high": "high below another price", "low": "low above another price", "incomplete": "last bar is not complete"}
 
 
 def intraday_violations(bars: DataFrame, assets: Sequence[str], as_of: Column, sequence: str | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def intraday_violations(bars: DataFrame, assets: Sequence[str], as_of: Column, s
     return violations(marked, {
         "unsupported": ~F.col("asset").isin(*assets),
         "duplicates": F.col("_dup"),
-        "unaligned": (F.minute("date") % 15 != 0) | (F.second("date") != 0),
+        "unaligned": F.pmod(F.unix_micros(F.col("date").cast("timestamp")), F.lit(900_000_000)) != 0,
         "unsorted": back,
         "missing": lacking,
         "not_positive": F.least("open", "high", "low", "close") <= 0,

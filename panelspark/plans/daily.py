@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +35,10 @@ def as_predictions(rows: DataFrame) -> DataFrame:
     return rows.select("model", "asset", F.col("date").alias("origin"), "fold", "h", (F.col("close") * F.exp("y")).alias("y"), F.col("close").alias("last"), "sigma", "rv", F.col("vol_21d").alias("regime_driver"))
 
 
-def predictions(panel: DataFrame, start: str, sigmas: Mapping[str, str] = SIGMAS) -> DataFrame:
+def predictions(panel: DataFrame, start: str, sigmas: Mapping[str, str] = SIGMAS, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Predictions of volatility baselines with calibrated intervals, one row a model, asset, origin
-    and horizon."""
-    ready = prepared(panel)
+    and horizon. `keep` may write the feature frame, which is read three times, to a table."""
+    ready = keep(prepared(panel), "features") if keep else prepared(panel)
     folds = splits.fold_calendar(ready, start)
     tests = long_sigmas(splits.test_rows(ready, folds, list(sigmas.values())), sigmas, "fold")
     z = calibrate.z_table(calibration_rows(ready, start, sigmas))

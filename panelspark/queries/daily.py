@@ -117,49 +117,9 @@ query("md2_bands", "model, asset, origin, h, q10:3, q50:3, q90:3", fr.preds, "SE
 query("md3_normal_bands", "asset, date, h, q10:3, q50:3, q90:3", lambda s, d: calibrate.normal_bands(fr.feats(s, d).where("vol_63d is not null").select("asset", "date", F.col("close").alias("last"), F.col("vol_63d").alias("sigma"), F.explode(F.array(F.lit(1), F.lit(7))).alias("h"))), "SELECT asset, date, CAST(k AS INTEGER) AS h, close * exp(-1.2815515655446004 * vol_63d * sqrt(k)) AS q10, close AS q50, close * exp(1.2815515655446004 * vol_63d * sqrt(k)) AS q90 FROM feat, unnest([1, 7]) AS u(k) WHERE vol_63d IS NOT NULL", D)
 query("md4_vol21_baseline", f"model, {fr.METRIC_SPEC}", lambda s, d: score.score(fr.preds(s, d).where("model = 'vol_21d'")), f"SELECT model, {fr.METRICS} FROM pred WHERE model = 'vol_21d' GROUP BY model", D)
 query("ag15_z_table", "fold, model, h, z10:6, z50:6, z90:6", lambda s, d: calibrate.z_table(daily.calibration_rows(fr.ready(s, d), fr.START)), "SELECT fold, model, h, z[1] AS z10, z[2] AS z50, z[3] AS z90 FROM z", D)
-HARS = ["har_1d", "har_5d", "har_22d"]
-
-
-def har(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
-    rows = features.long_labels(fr.ready(spark, d), *HARS).withColumn("target", safe_ln("rv"))
-    return rows, models.linear_fits(rows.where("date < '1998-01-01'"), ["asset", "h"], HARS, "target"), ["asset", "h"]
-
-
-query("md5_har_sigma", "asset, date, h, sigma:6", lambda s, d: (lambda r: models.linear_sigma(r[0].where("date >= '1998-01-01'").na.drop(subset=HARS), r[1], r[2], HARS))(har(s, d)))
 ONE = "one AS (SELECT asset, date, har_5d, ln(rv5) AS target FROM mask WHERE har_5d IS NOT NULL AND rv5 > 0 AND date < TIMESTAMP '1998-01-01')"
 query("md5_single_factor_fit", "asset, intercept:6, slope:6", lambda s, d: models.linear_fits(fr.ready(s, d).where("date < '1998-01-01'").withColumn("target", safe_ln("rv5")), ["asset"], ["har_5d"], "target").select("asset", "intercept", F.col("coefficients")[0].alias("slope")), "SELECT asset, regr_intercept(target, har_5d) AS intercept, regr_slope(target, har_5d) AS slope FROM one GROUP BY asset", f"{D}, {ONE}")
-RIDGE = ["vol_5d", "vol_21d", "vol_63d", "range_5d"]
-
-
-def ridge(spark, d) -> DataFrame:
-    rows = fr.ready(spark, d).withColumn("target", safe_ln("rv7"))
-    scaled = score.robust_scale(rows.select("asset", "date", "target", *RIDGE), RIDGE)
-    fits = models.linear_fits(scaled.where("date < '1998-01-01'"), ["asset"], RIDGE, "target", alpha=1.0)
-    return models.linear_sigma(scaled.where("date >= '1998-01-01'"), fits, ["asset"], RIDGE).withColumn("sigma", clip_sigma("sigma", 1e-4, 10.0))
-
-
-query("md6_ridge_sigma", "asset, date, sigma:6", ridge)
-query("md7_garch_sigma", "asset, date, h, sigma:6", lambda s, d: models.garch_sigma(fr.panel(s, d), fr.START))
-
-
-def boosted(spark, d) -> DataFrame:
-    rows = fr.ready(spark, d).select("asset", "date", "rv1", *RIDGE)
-    return models.boosted_sigma(rows.where("date < '1998-01-01'"), rows.where("date >= '1998-01-01'"), RIDGE, "rv1")
-
-
-query("md8_boosted_sigma", "asset, date, sigma:6", boosted)
-
-
-def dlinear(spark, d) -> DataFrame:
-    w = features.lookback_windows(fr.panel(spark, d))
-    y = fr.ready(spark, d).select("asset", "date", *(safe_ln(f"rv{h}").alias(f"t{h}") for h in features.HORIZONS))
-    weights = models.decomposition_linear(w.where("date < '1998-01-01'").join(y, ["asset", "date"]), [f"t{h}" for h in features.HORIZONS])
-    return models.decomposition_predict(w.where("date >= '1998-01-01'"), weights)
-
-
-query("md9_decomposition_linear", "asset, date, p1:6, p7:6", dlinear)
 query("md10_external_predictions", "asset, date, h, sigma:8", lambda s, d: models.external_sigma(fr.feats(s, d).where("vol_10d is not null").select("asset", "date", F.lit(3).alias("h"), F.col("vol_10d").alias("sigma")), features.long_labels(fr.ready(s, d).where("is_origin"))), "SELECT asset, date, 3 AS h, vol_10d AS sigma FROM mask WHERE is_origin AND vol_10d IS NOT NULL", D)
-query("md13_autoregression", "asset, origin, model, h, yhat:4", lambda s, d: models.walk_forward(fr.panel(s, d), models.autoregression))
 query("cv6_forecast_now", "asset, origin, h, q10:3, q50:3, q90:3, band_%:6", lambda s, d: daily.forecast_now(fr.panel(s, d), calibrate.z_table(daily.calibration_rows(fr.ready(s, d), fr.START, {"vol_21d": "vol_21d"}).where("fold = '2001-01-01'"), ["h"])), "SELECT *, (q90 - q10) / last * 100 AS \"band_%\" FROM (SELECT asset, origin, h, close AS last, close * exp(z[1] * vol_21d * sqrt(h)) AS q10, close * exp(z[2] * vol_21d * sqrt(h)) AS q50, close * exp(z[3] * vol_21d * sqrt(h)) AS q90 FROM (SELECT asset, date AS origin, close, vol_21d FROM feat QUALIFY row_number() OVER (PARTITION BY asset ORDER BY date DESC) = 1), z21)", f"""{D}, train21 AS (SELECT * FROM mask JOIN years ON date < fold WHERE vol_21d IS NOT NULL AND fold = TIMESTAMP '2001-01-01' AND {fr.ENDS_FOLD}),
  cut21 AS (SELECT quantile_cont(CAST(epoch_us(date) AS DOUBLE), 0.8) AS cut FROM train21), cal21 AS ({' UNION ALL '.join(f'SELECT CAST({h} AS INTEGER) AS h, y{h} AS y, vol_21d AS sigma FROM train21, cut21 WHERE epoch_us(date) >= cut' for h in features.HORIZONS)}),
  z21 AS (SELECT h, quantile_cont(y / nullif(sigma * sqrt(h), 0), [0.1, 0.5, 0.9]) AS z FROM cal21 GROUP BY h)""")
@@ -197,16 +157,6 @@ def pair(spark, d):
 query("cv1_blend", "model, asset, origin, h, sigma:6, q10:3, q50:3, q90:3", lambda s, d: ensemble.blend(*pair(s, d), 0.25), "SELECT *, 'blend' AS model FROM blended WHERE w = 0.25", f"{D}, {BLENDED}")
 query("cv2_weight_losses", "weight:2, loss:6", lambda s, d: ensemble.weight_losses(*pair(s, d)), f"SELECT w AS weight, \"pinball_%\" AS loss FROM (SELECT w, {fr.METRICS} FROM blended GROUP BY w)", f"{D}, {BLENDED}")
 query("cv2_select_weight", "weight:2, loss:6", lambda s, d: ensemble.select_weight(*pair(s, d)), f"SELECT w AS weight, \"pinball_%\" AS loss FROM (SELECT w, {fr.METRICS} FROM blended GROUP BY w) ORDER BY round(loss, 10), round(abs(w - 0.5), 10), w LIMIT 1", f"{D}, {BLENDED}")
-query("cv7_ablation_candidates", "candidate, columns", lambda s, d: s.createDataFrame([(k, ",".join(v)) for k, v in candidates(fr.feats(s, d).columns).items()], "candidate string, columns string"))
-
-
-def candidates(columns: list[str]) -> dict[str, list[str]]:
-    """All features, and all but each group."""
-    cols = features.feature_columns(columns)
-    groups = features.feature_groups(cols)
-    return {"all": cols} | {f"without_{g}": [c for c in cols if c not in v] for g, v in groups.items()}
-
-
 # Validation
 query("val1_ohlcv_violations", "duplicates:i, incomplete:i, not_positive:i, crossed:i", lambda s, d: validate.ohlcv_violations(fr.panel(s, d).unionByName(fr.panel(s, d).where("date >= '2001-01-01'")), F.lit("2001-06-01").cast("timestamp_ntz")), "SELECT (SELECT count(*) FROM panel WHERE date >= TIMESTAMP '2001-01-01') AS duplicates, 2 * (SELECT count(*) FROM panel WHERE date >= TIMESTAMP '2001-06-01') AS incomplete, 0 AS not_positive, 0 AS crossed", P)
 query("val3_prediction_violations", "nulls:i, duplicates:i, crossed:i, horizons:i", lambda s, d: validate.prediction_violations(fr.preds(s, d).withColumn("q50", F.when(F.col("h") == 2, F.col("q90") + 1).otherwise(F.col("q50"))).withColumn("h", F.when(F.col("h") == 7, 9).otherwise(F.col("h"))), COLUMNS), "SELECT 0 AS nulls, 0 AS duplicates, count(*) FILTER (h = 2) AS crossed, count(*) FILTER (h = 7) AS horizons FROM pred", D)
@@ -224,6 +174,18 @@ def audit(spark, d) -> DataFrame:
 
 
 query("val8_causality_audit", "differing:i", audit, "SELECT 0 AS differing")
+
+
+def injected(spark, d) -> DataFrame:
+    """The same audit of a frame with a column that looks one row ahead, which it must find."""
+    p = fr.panel(spark, d)
+    until = F.lit("2000-01-01").cast("timestamp_ntz")
+    worse = p.withColumn("close", F.when(F.col("date") >= until, F.col("close") * 3).otherwise(F.col("close")))
+    ahead = lambda x: x.withColumn("next_close", F.lead("close").over(along()))
+    return features.altered(ahead(p), ahead(worse), until, ["close", "next_close"]).agg(F.count("*").alias("differing"))
+
+
+query("val8_injected_look_ahead", "differing:i", injected, f"SELECT 2 * count(*) AS differing FROM (SELECT date, lead(date) OVER ({fr.W}) AS later FROM panel) WHERE date < TIMESTAMP '2000-01-01' AND later >= TIMESTAMP '2000-01-01'", P)
 query("val10_report_inputs", "not_test:i, lacking:i", lambda s, d: validate.report_inputs(fr.preds(s, d).withColumn("split", F.when(F.col("fold") < "2000-01-01", "calibration").otherwise("test")), ["vol_5d", "persistence_vol"]), "SELECT count(*) FILTER (fold < TIMESTAMP '2000-01-01') AS not_test, 1 AS lacking FROM pred", D)
 query("val11_staleness", "last, stale", lambda s, d: validate.staleness(fr.panel(s, d), F.lit("2001-08-20").cast("timestamp_ntz")), "SELECT max(date) AS last, max(date) < TIMESTAMP '2001-08-17' AS stale FROM panel", P)
 

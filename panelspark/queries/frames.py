@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import features
 from panelspark.plans import daily
 from panelspark.sources import ingest
+from panelspark.spark import kept
 
 START = "1998-01-01"
 MARKET = "1-URGENT"
@@ -57,7 +58,8 @@ def ready(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preds(spark: SparkSession, d: str) -> DataFrame:
-    return daily.predictions(panel(spark, d), START)
+    """Predictions of the baselines, written once: most readers use them more than once."""
+    return kept(daily.predictions(panel(spark, d), START, keep=kept), "predictions")
 
 
 W = "PARTITION BY asset ORDER BY date"
@@ -75,7 +77,7 @@ def floor_sql(x: str, least: str = "1e-6") -> str:
     return f"CASE WHEN ({x}) IS NOT NULL THEN greatest({x}, {least}) END"
 
 
-PANEL = """panel AS (SELECT o_orderpriority AS asset, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS date, arg_min(o_totalprice, o_orderkey) AS open,
+PANEL = """panel AS MATERIALIZED (SELECT o_orderpriority AS asset, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS date, arg_min(o_totalprice, o_orderkey) AS open,
  max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 1, 2)"""
 FUNDING = """funding AS (SELECT o_orderpriority AS asset, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS date, sum(l_discount - l_tax) AS funding_sum, count(*) AS funding_n
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
@@ -106,17 +108,17 @@ MASK = (
     "mask0 AS (SELECT *, "
     + ", ".join(label_columns(h) for h in features.HORIZONS)
     + f", row_number() OVER ({W}) - 1 AS idx, count(*) OVER (PARTITION BY asset) AS n FROM feat), "
-    + "mask AS (SELECT *, idx >= 60 AND idx < n - 7 AND (idx - 60) % 7 = 0 AS is_origin FROM mask0)"
+    + "mask AS MATERIALIZED (SELECT *, idx >= 60 AND idx < n - 7 AND (idx - 60) % 7 = 0 AS is_origin FROM mask0)"
 )
 FOLDS = f"""folds AS (SELECT CAST(unnest(generate_series(TIMESTAMP '{START}', (SELECT max(date) FROM panel), INTERVAL 1 YEAR)) AS TIMESTAMP) AS fold),
  years AS (SELECT fold, fold + INTERVAL 1 YEAR AS fold_end FROM folds)"""
 ENDS_FOLD = " AND ".join(f"label_end{h} <= fold" for h in features.HORIZONS)
 ENDS_CUT = " AND ".join(f"epoch_us(label_end{h}) <= cut" for h in features.HORIZONS)
 KNOWN = "vol_5d IS NOT NULL AND vol_21d IS NOT NULL AND vol_63d IS NOT NULL"
-SPLIT = f"""train AS (SELECT * FROM mask JOIN years ON date < fold WHERE {KNOWN} AND {ENDS_FOLD}),
+SPLIT = f"""train AS MATERIALIZED (SELECT * FROM mask JOIN years ON date < fold WHERE {KNOWN} AND {ENDS_FOLD}),
  cuts AS (SELECT fold, quantile_cont(CAST(epoch_us(date) AS DOUBLE), 0.8) AS cut FROM train GROUP BY fold),
- split AS (SELECT * FROM (SELECT train.*, cut, CASE WHEN epoch_us(date) >= cut THEN 'cal' WHEN {ENDS_CUT} THEN 'fit' END AS part FROM train JOIN cuts USING (fold)) WHERE part IS NOT NULL),
- tests AS (SELECT * FROM mask JOIN years ON date >= fold AND date < fold_end WHERE is_origin AND {KNOWN})"""
+ split AS MATERIALIZED (SELECT * FROM (SELECT train.*, cut, CASE WHEN epoch_us(date) >= cut THEN 'cal' WHEN {ENDS_CUT} THEN 'fit' END AS part FROM train JOIN cuts USING (fold)) WHERE part IS NOT NULL),
+ tests AS MATERIALIZED (SELECT * FROM mask JOIN years ON date >= fold AND date < fold_end WHERE is_origin AND {KNOWN})"""
 
 
 def long_sql(source: str, keep: str) -> str:
@@ -126,7 +128,7 @@ def long_sql(source: str, keep: str) -> str:
 PRED = f"""cal AS ({long_sql("(SELECT * FROM split WHERE part = 'cal')", "fold")}),
  z AS (SELECT fold, model, h, quantile_cont(y / nullif(sigma * sqrt(h), 0), [0.1, 0.5, 0.9]) AS z FROM cal GROUP BY ALL),
  test_long AS ({long_sql("tests", "fold")}),
- pred AS (SELECT model, asset, date AS origin, fold, h, close * exp(y) AS y, close AS last, sigma, rv, driver AS regime_driver, close * exp(z[1] * sigma * sqrt(h)) AS q10,
+ pred AS MATERIALIZED (SELECT model, asset, date AS origin, fold, h, close * exp(y) AS y, close AS last, sigma, rv, driver AS regime_driver, close * exp(z[1] * sigma * sqrt(h)) AS q10,
  close * exp(z[2] * sigma * sqrt(h)) AS q50, close * exp(z[3] * sigma * sqrt(h)) AS q90 FROM test_long JOIN z USING (fold, model, h)),
  cuts3 AS (SELECT fold, quantile_cont(regime_driver, [1/3, 2/3]) AS c FROM (SELECT DISTINCT fold, asset, origin, regime_driver FROM pred) GROUP BY fold),
  regimes AS (SELECT pred.*, CASE WHEN regime_driver <= c[1] THEN 'low' WHEN regime_driver <= c[2] THEN 'medium' ELSE 'high' END AS regime FROM pred JOIN cuts3 USING (fold))"""
@@ -146,7 +148,7 @@ BARS = """ticks AS (SELECT event_type AS asset, CAST(time_bucket(INTERVAL 15 MIN
 GRID = f"""cells AS (SELECT asset, CAST(unnest(generate_series(min(date), max(date), INTERVAL 15 MINUTE)) AS TIMESTAMP) AS date FROM bars GROUP BY asset),
  wide AS (SELECT cells.asset, cells.date, open, high, low, close, volume, CASE WHEN close IS NULL THEN 1 ELSE 0 END AS missing_bar,
  last_value(close IGNORE NULLS) OVER (PARTITION BY cells.asset ORDER BY cells.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM cells LEFT JOIN bars ON cells.asset = bars.asset AND cells.date = bars.date),
- grid AS (SELECT asset, date, coalesce(open, kept) AS open, coalesce(high, kept) AS high, coalesce(low, kept) AS low, coalesce(close, kept) AS close, coalesce(volume, 0) AS volume, missing_bar FROM wide),
+ grid AS MATERIALIZED (SELECT asset, date, coalesce(open, kept) AS open, coalesce(high, kept) AS high, coalesce(low, kept) AS low, coalesce(close, kept) AS close, coalesce(volume, 0) AS volume, missing_bar FROM wide),
  flips AS (SELECT *, CASE WHEN missing_bar = lag(missing_bar) OVER ({W}) THEN 0 ELSE 1 END AS flip FROM grid),
  gaps AS (SELECT *, sum(flip) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM flips)"""
 TURN = "6.283185307179586"

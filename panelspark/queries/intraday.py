@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from panelspark.functions.exprs import along, safe_div
 from panelspark.operators import calibrate, intraday, report, score, splits, validate
 from panelspark.queries import frames as fr
 from panelspark.queries.registry import query
+from panelspark.sources import ingest
+from panelspark.spark import kept, scratch
 from panelspark.streaming import bars as stream
 
 I = fr.INTRA
@@ -96,7 +98,22 @@ feature("wn25_calendar", "tod_sin:8, tod_cos:8, dow_sin:8, dow_cos:8")
 SHORT = f"""{fr.BARS}, {fr.GRID}, kept AS (SELECT asset, date, close, (high - low) / close AS rng, ln(close) AS y, last_value(CASE WHEN volume > 0 THEN ln(volume) END IGNORE NULLS) OVER ({fr.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lv FROM
  (SELECT asset, date, {", ".join(f"last_value({c} IGNORE NULLS) OVER ({fr.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("high", "low", "close", "volume"))} FROM wide))"""
 query("wn26_known_log_volume", "unique_id, ds, y:8, lret:8, aret:8, rng:8, lvol:8", lambda s, d: intraday.short_features(fr.bars(s, d)), f"SELECT * FROM (SELECT asset AS unique_id, date AS ds, y, y - lag(y) OVER ({fr.W}) AS lret, abs(y - lag(y) OVER ({fr.W})) AS aret, rng, lv - lag(lv) OVER ({fr.W}) AS lvol FROM kept) WHERE lret IS NOT NULL AND lvol IS NOT NULL", SHORT)
-query("bt8_eligible_origins", "origin", lambda s, d: intraday.eligible_origins(context(s, d), 4), "SELECT ds AS origin FROM (SELECT *, count(*) OVER f AS n, sum(missing_bar) OVER f AS gaps, max(ds) OVER f AS e, lag(ds) OVER (PARTITION BY asset ORDER BY ds) AS b FROM context WINDOW f AS (PARTITION BY asset ORDER BY ds ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE hour(ds) = 0 AND minute(ds) = 0 AND n = 4 AND gaps = 0 AND e = ds + INTERVAL 45 MINUTE AND b = ds - INTERVAL 15 MINUTE GROUP BY ds HAVING count(*) = (SELECT count(DISTINCT asset) FROM context)", I)
+
+
+def dense_bars(spark, d) -> DataFrame:
+    """Bars of all events, and of those of two users in three."""
+    kind = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("some")))
+    ticks = fr.table(spark, d, "events").withColumn("event_type", F.explode(kind)).select("event_id", "ts", "event_type", "value")
+    return ingest.ticks_to_bars(ticks, "event_type", "ts", "value", "event_id", fr.quarter("ts"))
+
+
+def dense_context(spark, d) -> DataFrame:
+    made = intraday.intraday_features(intraday.complete_grid(dense_bars(spark, d)))
+    return made.na.drop(subset=["rv_672", "momentum_672"]).select("asset", F.col("date").alias("ds"), "missing_bar")
+
+
+DENSE = I.replace("event_type AS asset", "unnest(CASE WHEN user_id % 3 = 0 THEN ['all'] ELSE ['all', 'some'] END) AS asset", 1)
+query("bt8_eligible_origins", "origin", lambda s, d: intraday.eligible_origins(dense_context(s, d), 4), "SELECT ds AS origin FROM (SELECT *, count(*) OVER f AS n, sum(missing_bar) OVER f AS gaps, max(ds) OVER f AS e, lag(ds) OVER (PARTITION BY asset ORDER BY ds) AS b FROM context WINDOW f AS (PARTITION BY asset ORDER BY ds ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE hour(ds) = 0 AND minute(ds) = 0 AND n = 4 AND gaps = 0 AND e = ds + INTERVAL 45 MINUTE AND b = ds - INTERVAL 15 MINUTE GROUP BY ds HAVING count(*) = (SELECT count(DISTINCT asset) FROM context)", DENSE)
 query("so3_shared_midnights", "ds", lambda s, d: (lambda c: c.where("hour(ds) = 0 and minute(ds) = 0").groupBy("ds").agg(F.count_distinct("asset").alias("n")).join(F.broadcast(c.agg(F.count_distinct("asset").alias("m"))), F.col("n") == F.col("m")))(context(s, d)), "SELECT ds FROM context WHERE hour(ds) = 0 AND minute(ds) = 0 GROUP BY ds HAVING count(DISTINCT asset) = (SELECT count(DISTINCT asset) FROM context)", I)
 DONE = "done AS (SELECT *, (SELECT CASE WHEN x > e THEN x - INTERVAL 1 DAY ELSE x END FROM (SELECT e, CAST(date_trunc('day', e) AS TIMESTAMP) + INTERVAL '23 hours 45 minutes' AS x FROM (SELECT min(m) AS e FROM (SELECT max(date) AS m FROM grid GROUP BY asset)))) AS data_end FROM intra)"
 query("bt12_prepared_frames", "asset, n:i, y_sum:3, sigma_sum:3", lambda s, d: (lambda f: f[0].groupBy(F.col("unique_id").alias("asset")).agg(F.count("*").alias("n"), F.sum("y").alias("y_sum"), F.sum("sigma_672").alias("sigma_sum")))(intraday.prepare(fr.bars(s, d))), "SELECT asset, count(*) AS n, sum(ln(close)) AS y_sum, sum(sigma_672) AS sigma_sum FROM done WHERE date <= data_end AND rv_672 IS NOT NULL AND momentum_672 IS NOT NULL GROUP BY asset", f"{I}, {DONE}")
@@ -158,10 +175,28 @@ query("pl8_last_forecast", "unique_id, ds, y:6", lambda s, d: report.last_foreca
 query("pl9_report_tables", "model, h, coverage:6, width:6", lambda s, d: score.score(calibrated(s, d), ["model", "h"]), f"SELECT model, h, {fr.METRICS} FROM (SELECT 'tft_calibrated' AS model, h, y, last, q10 * exp(-lower) AS q10, q50, q90 * exp(upper) AS q90 FROM parts JOIN margins USING (h) WHERE split = 'test') GROUP BY 1, 2", CV)
 
 
+def tested(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Calibration rows, and test rows raw and calibrated."""
+    rows = kept(split(spark, d), "split")
+    calibration, test = (rows.where(F.col("split") == p) for p in ("calibration", "test"))
+    return calibration, kept(calibrate.widen(test, calibrate.one_sided_margins(calibration), "tft_calibrated").unionByName(test.withColumn("model", F.lit("tft_raw"))), "tested")
+
+
+BOTH = f"""{CV}, tested AS (SELECT 'tft_calibrated' AS model, asset, origin, h, y, last, regime_driver, q10 * exp(-lower) AS q10, q50, q90 * exp(upper) AS q90 FROM parts JOIN margins USING (h) WHERE split = 'test'
+ UNION ALL SELECT 'tft_raw', asset, origin, h, y, last, regime_driver, q10, q50, q90 FROM parts WHERE split = 'test'),
+ ends AS (SELECT *, y / last - 1 AS ar, q50 / last - 1 AS pr FROM tested WHERE h = 96),
+ bounds AS (SELECT quantile_cont(regime_driver, [1/3, 2/3]) AS c FROM (SELECT DISTINCT asset, origin, regime_driver FROM parts WHERE split = 'calibration'))"""
+query("pl9_forecast_path", "asset, origin, h, y:4, q10:4, q50:4, q90:4", lambda s, d: report.forecast_path(tested(s, d)[1]), "SELECT * FROM tested WHERE model = 'tft_calibrated' AND origin = (SELECT max(origin) FROM tested)", BOTH)
+query("pl9_next_day", "model, asset, origin, y:4, q50:4, realised:6, predicted:6", lambda s, d: report.next_day(tested(s, d)[1]), "SELECT *, ar AS realised, pr AS predicted FROM ends", BOTH)
+query("pl9_by_asset", "model, asset, pinball_%:6, direction_accuracy:6", lambda s, d: report.performance(tested(s, d)[1], "asset"), f"SELECT model, asset, {HEADLINE} FROM ends GROUP BY 1, 2", BOTH)
+query("pl9_by_regime", "model, regime, pinball_%:6, direction_accuracy:6", lambda s, d: report.performance_by_regime(*tested(s, d)), f"SELECT model, regime, {HEADLINE} FROM (SELECT *, CASE WHEN regime_driver <= c[1] THEN 'low' WHEN regime_driver <= c[2] THEN 'medium' ELSE 'high' END AS regime FROM ends, bounds) GROUP BY 1, 2", BOTH)
+query("pl9_calibration_comparison", "model, h, coverage:6", lambda s, d: report.calibration_comparison(tested(s, d)[1]), f"SELECT model, h, {fr.METRICS} FROM tested GROUP BY 1, 2", BOTH)
+
+
 def drained(streaming: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over what there is and returns what it wrote."""
-    folder = tempfile.mkdtemp(prefix="panelspark-stream-")
     spark = streaming.sparkSession
+    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     run = streaming.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
@@ -175,3 +210,15 @@ def event_stream(spark, d) -> DataFrame:
 query("stream_daily_settlements", "asset, date, funding_sum:4, funding_n:i", lambda s, d: drained(stream.daily_settlements(event_stream(s, d).select(F.col("event_type").alias("asset"), "ts", F.col("value").alias("rate"))), "complete", "daily_settlements"), "SELECT event_type AS asset, CAST(date_trunc('day', ts) AS TIMESTAMP) AS date, sum(value) AS funding_sum, count(*) AS funding_n FROM events GROUP BY 1, 2")
 query("stream_bars", "asset, date, open:6, high:6, low:6, close:6, volume:1", lambda s, d: drained(stream.closed_bars(event_stream(s, d), "event_type", "ts", "value", "event_id"), "complete", "stream_bars"), "SELECT * FROM bars", fr.BARS)
 query("stream_without_repeats", "asset, date", lambda s, d: drained(stream.without_repeats(event_stream(s, d).select(F.col("event_type").alias("asset"), F.date_trunc("day", "ts").alias("date")), "40 days"), "append", "without_repeats").withColumn("date", F.col("date").cast("timestamp_ntz")), "SELECT DISTINCT event_type AS asset, CAST(date_trunc('day', ts) AS TIMESTAMP) AS date FROM events")
+
+
+def bar_stream(spark, d) -> DataFrame:
+    """Bars of the events, written in two files by date and read as a stream of them, the earlier first."""
+    bars = kept(fr.bars(spark, d), "bars")
+    folder = f"{scratch(spark)}/bar-files-{uuid.uuid4().hex}"
+    for late in (False, True):
+        bars.where((F.col("date") >= "2024-01-15") == F.lit(late)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+query("stream_gap_bars", "asset, date, open:6, high:6, low:6, close:6, volume:1, missing_bar:i", lambda s, d: drained(stream.gap_bars(bar_stream(s, d)), "append", "gap_bars"), "SELECT * FROM grid", fr.INTRA)

@@ -39,7 +39,7 @@ def ohlcv(pages: DataFrame, as_of: Column, preset: Preset, min_bars: int | None
     bars = pages.select("seq", F.split_part("symbol", F.lit("/"), F.lit(1)).alias("asset"), F.timestamp_millis("ts_ms").cast("timestamp_ntz").alias("date"), "open", "high", "low", "close", "volume")
     bars = first_by(bars.where(F.col("date") < cutoff(as_of, preset)), ["asset", "date"], [F.col("seq")]).drop("seq")
     enough = bars.groupBy("asset").count().where(F.col("count") >= (preset.min_bars if min_bars is None else min_bars)).select("asset")
-    return bars.join(F.broadcast(enough), "asset", "left_semi")
+    return bars.join(enough, "asset", "left_semi")
 
 
 def funding(settlements: DataFrame, before: Column | None = None) -> DataFrame:
@@ -50,10 +50,12 @@ def funding(settlements: DataFrame, before: Column | None = None) -> DataFrame:
     return days.groupBy("asset", "date").agg(F.sum("rate").alias("funding_sum"), F.count("*").alias("funding_n"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both; where keys meet, the new row stays."""
-    both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    return first_by(both, keys, [F.col("_batch").desc()]).drop("_batch")
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
+    """Rows of both; where keys meet, the new row stays, and of several new rows the one that arrived
+    last: by the column `arrival`, or else by their order in the table."""
+    order = F.col(arrival).cast("long") if arrival else F.monotonically_increasing_id()
+    both = old.withColumns({"_batch": F.lit(0), "_order": order}).unionByName(new.withColumns({"_batch": F.lit(1), "_order": order}))
+    return first_by(both, keys, [F.col("_batch").desc(), F.col("_order").desc()]).drop("_batch", "_order")
 
 
 def universe(tickers: DataFrame, n: int, quote: str = "USDT", stable: tuple[str, ...] = ("USDC", "FDUSD", "TUSD", "DAI", "BUSD", "USDP", "EUR")) -> DataFrame:
@@ -67,6 +69,11 @@ def symbol_candidates(asset: str, quote: str = "USDT") -> list[str]:
     return [f"{asset}/{quote}:{quote}", f"1000{asset}/{quote}:{quote}"]
 
 
+def perpetual_symbols(chosen: DataFrame, quote: str = "USDT") -> str:
+    """The option `symbols` of the paged source for the bases of a universe, which has n rows."""
+    return ",".join("|".join(symbol_candidates(r["base"], quote)) for r in chosen.select("base").collect())
+
+
 def ticks_to_bars(ticks: DataFrame, asset: str, ts: str, price: str, order: str, unit: Column) -> DataFrame:
     """Bars of positive prices; opening and closing prices by (ts, order)."""
     when = F.struct(F.col(ts), F.col(order))

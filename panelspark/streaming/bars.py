@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +35,46 @@ def without_repeats(bars: DataFrame, late: str = "1 day") -> DataFrame:
     return event_time(bars, "date").withWatermark("date", late).dropDuplicatesWithinWatermark(["asset", "date"])
 
 
-def keep_latest(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+GAP_BARS = "asset string, date timestamp_ntz, open double, high double, low double, close double, volume double, missing_bar int"
+
+
+def gap_bars(bars: DataFrame, step_minutes: int = 15) -> DataFrame:
+    """A stream of bars with one bar for every missing step of an asset: the last close, no volume,
+    missing_bar 1. Bars of an asset must come in order of date over the batches; one that is not later
+    than the last is left out. The state of an asset is its last date and close."""
+    step = step_minutes * 60_000_000
+
+    def fill(key, frames, state):
+        held = state.get if state.exists else None
+        group = pd.concat(list(frames)).sort_values("date")
+        at = group["date"].astype("datetime64[us]").astype("int64").to_numpy()
+        out = []
+        for when, row in zip(at.tolist(), group.itertuples(index=False), strict=True):
+            if held is not None:
+                if when <= held[0]:
+                    continue
+                out += [(key[0], t, *[held[1]] * 4, 0.0, 1) for t in range(held[0] + step, when, step)]
+            out.append((key[0], when, row.open, row.high, row.low, row.close, row.volume, 0))
+            held = (when, float(row.close))
+        if held is not None:
+            state.update(held)
+        made = pd.DataFrame(out, columns=[c.split()[0] for c in GAP_BARS.split(", ")])
+        made["date"] = pd.to_datetime(made["date"], unit="us")
+        yield made.astype({"missing_bar": "int32"})
+
+    return bars.groupBy("asset").applyInPandasWithState(fill, GAP_BARS, "at long, close double", "append", "NoTimeout")
+
+
+def keep_latest(path: str, keys: list[str], arrival: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: each batch is a new version of the table, and the last two stay, so that
-    a batch that is run again reads what it read before."""
+    a batch that is run again reads what it read before. Of rows of one key the last to arrive stays: by
+    the column `arrival`, or else by their order in the batch."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = [v for v in versions(spark, path) if v < number]
-        rows = batch.dropDuplicates(keys)
-        table = upsert(spark.read.parquet(f"{path}/v{before[-1]}"), rows, keys) if before else rows
+        known = spark.read.parquet(f"{path}/v{before[-1]}") if before else batch.limit(0)
+        table = upsert(known, batch, keys, arrival)
         table.write.mode("overwrite").parquet(f"{path}/v{number}")
         for old in before[:-1]:
             root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")

@@ -4,11 +4,12 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import exprs
-from panelspark.operators import calibrate, ensemble, features, intraday, models, report, score, splits, validate
+from panelspark.operators import boosting, calibrate, ensemble, features, intraday, models, report, score, splits, validate, walk
 from panelspark.schemas import OHLCV, PREDICTIONS
 from panelspark.sources import ingest
 
@@ -282,21 +283,183 @@ def test_winner_and_margin(spark):
     assert tuple(report.winners(rows).first()) == ("A", "y", 1.0)
 
 
-def test_boosted_query_has_the_production_parameters(monkeypatch):
-    import inspect
-    from unittest.mock import MagicMock
-
-    from panelspark.operators import models
-    from panelspark.queries import daily
-
-    sign, seen = inspect.signature(models.boosted_sigma), {}
-
-    def capture(*a, **k):
-        held = sign.bind(*a, **k)
-        held.apply_defaults()
-        seen.update(held.arguments)
-
-    monkeypatch.setattr(models, "boosted_sigma", capture)
-    monkeypatch.setattr(daily.fr, "ready", MagicMock())
-    daily.boosted(None, None)
-    assert (seen["trees"], seen["depth"], seen["rate"]) == (300, 5, 0.05)
+def test_upsert_keeps_the_last_arrival(spark):
+    old = spark.createDataFrame([("A", 9, 1)], "asset string, at long, v int")
+    new = spark.createDataFrame([("A", 3, 2), ("A", 7, 3), ("A", 5, 4)], "asset string, at long, v int").coalesce(1)
+    assert ingest.upsert(old, new, ["asset"], "at").first()["v"] == 3
+    assert ingest.upsert(old, new, ["asset"]).first()["v"] == 4
+
+
+def test_dates_off_the_grid_by_a_microsecond(spark):
+    rows = bars(spark).withColumn("date", F.col("date") + F.expr("interval 1 microsecond"))
+    assert validate.intraday_violations(rows, ["BTC", "ETH"], F.lit("2030-01-01").cast("timestamp_ntz")).first()["unaligned"] == rows.count()
+
+
+def test_losses_of_forecasts_that_do_not_align(spark):
+    left = frame(spark, prediction(asset="BTC"), prediction(asset="ETH"))
+    for bad in (left.where("asset = 'BTC'"), left.unionByName(left), left.withColumn("rv", F.col("rv") + 1), left.withColumn("fold", F.col("fold") + F.expr("interval 1 day"))):
+        with pytest.raises(Exception, match="align|repeat"):
+            ensemble.weight_losses(left, bad).collect()
+
+
+def test_model_features_and_groups(spark):
+    from panelspark.queries import walks
+
+    panel = ramp(spark)
+    funding = panel.select("asset", "date", F.lit(0.1).alias("funding_sum"))
+    names = walk.feature_frame(panel, "BTC", funding).columns
+    assert sorted(features.feature_columns(names)) == sorted(walks.COLUMNS) and len(walks.COLUMNS) == 24
+    assert len(features.feature_columns(names, use_candidates=True)) == 27
+    listed = walk.ablation_candidates(features.feature_columns(names, use_candidates=True))
+    assert {k: len(v) for k, v in listed.items()} == {"all": 27, "legacy": 24, "without_returns": 15, "without_volatility": 19, "without_volume": 26, "without_market": 25, "without_funding": 23}
+
+
+def plain_boost(x, y, shape, trees):
+    """Boosting without bins, samples or missing values, by trying every split of every leaf."""
+    out, fitted = np.full(len(y), y.mean()), []
+    for _ in range(trees):
+        left = y - out
+        leaves = [(np.arange(len(y)), 0)]
+        while len(leaves) < shape.leaves:
+            best = (1e-12, None, None, None)
+            for k, (rows, depth) in enumerate(leaves):
+                if depth >= shape.depth:
+                    continue
+                g, n = left[rows].sum(), len(rows)
+                for c in range(x.shape[1]):
+                    for v in np.unique(x[rows, c])[:-1]:
+                        a = rows[x[rows, c] <= v]
+                        if len(a) < shape.least or n - len(a) < shape.least:
+                            continue
+                        s = left[a].sum()
+                        gain = s * s / (len(a) + shape.ridge) + (g - s) ** 2 / (n - len(a) + shape.ridge) - g * g / (n + shape.ridge)
+                        if gain > best[0]:
+                            best = (gain, k, c, v)
+            if best[1] is None:
+                break
+            rows, depth = leaves.pop(best[1])
+            low = x[rows, best[2]] <= best[3]
+            leaves += [(rows[low], depth + 1), (rows[~low], depth + 1)]
+        for rows, _ in leaves:
+            out[rows] += shape.rate * left[rows].sum() / (len(rows) + shape.ridge)
+        fitted.append(out.copy())
+    return fitted[-1]
+
+
+@pytest.mark.parametrize("shape", [boosting.Shape(6, 64, 0.0, 5, 0.3, 5, 1.1, 1.0), boosting.Shape(8, 2, 1.0, 5, 0.3, 5, 1.1, 1.0)])
+def test_trees_on_histograms_are_those_on_all_splits(shape):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (80, 3)).astype(float)
+    y = x[:, 0] * 0.3 + (x[:, 1] > 4) + rng.normal(0, 0.1, 80)
+    model = boosting.fit(x, y, shape)
+    assert np.allclose(model.predict(x), plain_boost(x, y, shape, 5))
+    again = boosting.from_bytes(boosting.to_bytes(model))
+    assert np.array_equal(again.predict(x), model.predict(x))
+
+
+def test_trees_send_missing_values_where_they_gain():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 2))
+    x[:300, 0] = np.nan
+    y = np.where(np.isnan(x[:, 0]) | (x[:, 0] > 1), 3.0, 0.0) + rng.normal(0, 0.05, 900)
+    model = boosting.fit(x, y, boosting.KINDS["xgb"])
+    assert np.abs(model.predict(x) - y).mean() < 0.1
+
+
+def walk_rows(n=420, seed=8):
+    rng = np.random.default_rng(seed)
+    names = [f"x{i}" for i in range(4)]
+    rows = pd.DataFrame(rng.normal(size=(n, 4)), columns=names)
+    rows.iloc[::9, 1] = np.nan
+    rows.iloc[5, 2] = 1e6
+    for h in features.HORIZONS:
+        rows[f"rv{h}"] = np.exp(-3 + 0.2 * rows["x0"] + 0.01 * h + rng.normal(0, 0.1, n))
+    return rows.assign(part=["fit"] * 300 + ["cal"] * 60 + ["test"] * (n - 360)), names
+
+
+def test_ridge_is_the_closed_form_of_its_fit_part():
+    rows, names = walk_rows()
+    found = walk.ridge_sigma(rows, names)
+    x = rows[names].fillna(0).to_numpy()
+    fit = x[:300]
+    q = np.quantile(fit, [0.25, 0.5, 0.75], axis=0)
+    x = np.clip((x - q[1]) / (q[2] - q[0]), -10, 10)
+    wide = np.hstack([np.ones((len(x), 1)), x])
+    penalty = np.diag([0, 1, 1, 1, 1])
+    for h in features.HORIZONS:
+        beta = np.linalg.solve(wide[:300].T @ wide[:300] + penalty, wide[:300].T @ np.log(rows[f"rv{h}"].to_numpy()[:300]))
+        assert np.allclose(found[:, h - 1], np.exp(wide @ beta))
+    other = rows.copy()
+    other.loc[300:, names] = 7.0
+    assert np.allclose(walk.ridge_sigma(other, names)[:300], found[:300])
+
+
+def test_models_learn_from_the_fit_part_alone(spark):
+    """What the calibration and test rows say of volatility changes no model."""
+    rng = np.random.default_rng(3)
+    n = 700
+    price = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+    data = [("BTC", START + i * DAY, p, p * 1.01, p * 0.99, p, 10.0 + i % 5) for i, p in enumerate(price.tolist())]
+    panel = spark.createDataFrame(data, ramp(spark, 3).schema)
+    ready = walk.feature_frame(panel).cache()
+    folds = splits.fold_calendar(ready, "2025-01-01").where("fold < '2026-01-01'")
+    columns = ["ret_5d", "vol_5d", "vol_21d", "range_5d"]
+    rows = walk.parts(ready, folds, columns, also=walk.HARS).cache()
+    cut = rows.where("part = 'cal'").agg(F.min("date")).first()[0]
+    assert rows.where("part = 'fit'").agg(F.max("date")).first()[0] < cut and {r[0] for r in rows.select("part").distinct().collect()} == {"fit", "cal", "test"}
+    worse = rows
+    for h in features.HORIZONS:
+        worse = worse.withColumn(f"rv{h}", F.when(F.col("part") != "fit", F.lit(0.2)).otherwise(F.col(f"rv{h}")))
+    shape = {"xgb": boosting.Shape(8, 3, 1.0, trees=5)}
+    for family in (walk.har, lambda r: walk.ridge(r, columns), lambda r: walk.trees(r, columns, shape), lambda r: walk.garch(r, panel)):
+        a, b = (sorted((str(r["date"]), r["h"], round(r["sigma"], 12)) for r in family(x).collect()) for x in (rows, worse))
+        assert a == b and len(a) == 7 * rows.where("part <> 'fit'").count() and all(0 < s <= 0.3 for _, _, s in a)
+    long = walk.baseline(rows).unionByName(walk.har(rows))
+    out = walk.predictions(long)
+    assert out.where("q10 > q50 or q50 > q90").count() == 0 and out.select("model").distinct().count() == 2
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    rows, names = walk_rows()
+    rows = rows.assign(fold=START, asset="BTC", date=[START + i * DAY for i in range(len(rows))], close=1.0, vol_21d=0.02, **{f"y{h}": 0.01 for h in features.HORIZONS})
+    df = spark.createDataFrame(rows).withColumns({"fold": F.col("fold").cast("timestamp_ntz"), "date": F.col("date").cast("timestamp_ntz")})
+    fitted = walk.fit_trees(df, names, {"xgb": boosting.Shape(4, 3, 1.0, trees=3)})
+    z = calibrate.z_table(walk.tree_sigma(df, fitted, names).where("part = 'cal'"))
+    walk.save(str(tmp_path / "m"), fitted, z, names)
+    again, z2, columns = walk.load(spark, str(tmp_path / "m"))
+    assert columns == names and z2.count() == 7
+    assert walk.tree_sigma(df, again, columns).exceptAll(walk.tree_sigma(df, fitted, names)).count() == 0
+    with pytest.raises(Exception, match="exists"):
+        walk.save(str(tmp_path / "m"), fitted, z, names)
+
+
+def test_arma_residuals_step_by_step():
+    rng = np.random.default_rng(2)
+    d = rng.normal(size=40)
+    p, t, sp, st = 0.5, -0.3, 0.2, 0.4
+    e = []
+    at = lambda a, i: a[i] if i >= 0 else 0.0
+    for i in range(40):
+        e.append(d[i] - p * at(d, i - 1) - sp * (at(d, i - 7) - p * at(d, i - 8)) - t * at(e, i - 1) - st * (at(e, i - 7) + t * at(e, i - 8)))
+    assert np.allclose(models.arma_residuals(d[None], np.array([40]), np.array([p]), np.array([t]), np.array([sp]), np.array([st]))[:, 0], e)
+
+
+def test_arima_finds_its_parameters_and_continues():
+    rng = np.random.default_rng(5)
+    e, d = rng.normal(size=600), np.zeros(600)
+    for i in range(1, 600):
+        d[i] = 0.6 * d[i - 1] + e[i] + 0.3 * e[i - 1]
+    history = 100 + np.cumsum(d)
+    short = history[:200]
+    found = models.arima([history, short])
+    steps = np.diff(np.concatenate([history[-1:], found[0]]))
+    assert np.allclose(steps[2:] / steps[1:-1], 0.6, atol=0.1)
+    assert np.allclose(models.arima([short])[0], found[1])
+    assert np.allclose(models.arima([np.full(90, 5.0)], seasonal=True), 5.0)
+
+
+def test_gap_bars_and_cursor_are_streams(spark):
+    import __spark_entry__ as entry
+
+    for name in ("stream_gap_bars", "stream_cursor", "src9_symbol_fallback"):
+        assert name in entry.queries() and name in entry.oracle_sql()
