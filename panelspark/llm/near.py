@@ -492,8 +492,8 @@ class Near:
         buckets, tasks = repeats.buckets_for(spark, self.blocks.size), max(store.partitions(spark), min(self.blocks.count, 20_000))
         dealt = left.repartition(tasks, "block")
         counts = dealt.groupBy("block").applyInArrow(store.lean_group(ask_counts(self.folder, self.words, buckets)), repeats.ASK)
-        ranks = counts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge_counts, repeats.ANSWER)
-        stage = send_prefixes(self.folder, self.words, self.percent, buckets)
+        ranks = counts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(store.lean_group(judge_counts), repeats.ANSWER)
+        stage = store.lean_cogroup(send_prefixes(self.folder, self.words, self.percent, buckets))
         return store.materialise(dealt.groupBy("block").cogroup(ranks.repartition(tasks, "block").groupBy("block")).applyInArrow(stage, PREFIX), "prefixes")[0]
 
     def labelled(self) -> DataFrame:

@@ -158,3 +158,16 @@ def lean_group(stage):
             give_back()
 
     return run
+
+
+def lean_cogroup(stage):
+    """A stage over two groups that gives memory back after them."""
+
+    @functools.wraps(stage)
+    def run(left, right):
+        try:
+            return stage(left, right)
+        finally:
+            give_back()
+
+    return run

@@ -35,9 +35,9 @@ from . import textkit as tk
 
 MAGIC = b"PSIDS1\0\0"
 HEAD = struct.Struct("<8sqqqqq")
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 CACHE_UNITS = 1 << 20
-PIECE_BYTES = (2 << 20) - 64
+PIECE_BYTES = (1 << 20) - 64
 PACK_IDS = 1 << 19
 
 _ASCII = np.zeros(256, bool)
