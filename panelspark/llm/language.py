@@ -7,7 +7,9 @@ For prediction the embedding and the filters fold into two tables over pairs of
 costs two lookups a byte.
 
 The network learns from at most `max_windows` labelled windows, one drawn from each labelled document
-in the order of a hash; that bound is a parameter, and predictions cover all rows and whole texts.
+in the order of a hash; that bound is a parameter, and predictions cover all rows and whole texts. The
+sample is drawn from all labels alike: a language with fewer than 1 in `max_windows` of the labelled
+documents may have no window in it, and is then never predicted.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; rows without a label are not
 learned from; if no row can be learned from, everything is `und`; repeated rows are predicted alike;

@@ -113,11 +113,12 @@ def digest(mixed: DataFrame) -> DataFrame:
 def training_order(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs as the mix takes them, with their columns, range-sorted by the training position
     of each copy, which comes a pass of its source after the one before: whole copies, then the first
-    words of a document that is taken in part. The rows that the mix does not take are left out. Rows are matched by identifier, source and size; repeated rows are
-    taken alike."""
+    words of a document that is taken in part. The rows that the mix does not take are left out. Rows are
+    matched by identifier, source and size; of repeated rows each takes an equal share of their words,
+    so a source stays at its target."""
     names = docs.columns
-    mixed = drawn(docs, doc_id=doc_id, text=text, source=source, **options).where("taken > 0")
-    plan = mixed.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("mix_taken"), *(F.min(c).alias(c) for c in ("begin", "source_size", "target", "lean")))
+    mixed = drawn(docs, doc_id=doc_id, text=text, source=source, **options)
+    plan = mixed.groupBy("doc_id", "source", "size").agg(F.expr("sum(taken) div count(*)").alias("mix_taken"), *(F.min(c).alias(c) for c in ("begin", "source_size", "target", "lean"))).where("mix_taken > 0")
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*(F.col(c) for c in names)).alias("doc"), F.col(doc_id).alias("mix_id"), F.col(source).cast("string").alias("mix_source"), size.alias("mix_size"))
     joined = rows.join(plan, F.col("mix_id").eqNullSafe(F.col("doc_id")) & F.col("mix_source").eqNullSafe(F.col("source")) & (F.col("mix_size") == F.col("size")))

@@ -6,7 +6,6 @@ import atexit
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -16,18 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.spark import scratch
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        base = tempfile.mkdtemp(prefix="panelspark-")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base
+    """The folder of spark.checkpoint.dir; one of our own only in a local session that names none."""
+    return scratch(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

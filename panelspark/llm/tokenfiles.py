@@ -8,7 +8,7 @@ as its rank in 1 to 4 bytes; two bits of a control byte give the length, four id
 
 Tokenising: a text is cut where the tokenizer's pre-tokenizer always cuts (a lone space or newline
 between characters that are not white space, a letter before ASCII punctuation); each distinct piece
-is encoded by the tokenizers library once a worker and its ids are looked up by hash from then on. A
+is encoded by the tokenizers library once a task and its ids are looked up by hash from then on. A
 text with the string of a special token is encoded whole, and so is every text where the tokenizer has
 another pre-tokenizer than the byte-level one, or a normalizer.
 
@@ -168,7 +168,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder for a vocabulary file."""
+    """The task's encoder for a vocabulary file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -296,6 +296,8 @@ def writer(folder: str, vocabulary: str, end_id: int, shard_ids: int):
                     keys, sizes, ids, held, shard = [], [], [], 0, shard + 1
         if keys:
             yield flush()
+        # An idle worker would keep the vocabulary while other stages need the memory.
+        _encoders.clear()
 
     return stage
 

@@ -385,6 +385,17 @@ def test_training_order_takes_what_the_mix_takes(docs):
             assert out.get(key, 0) == values[0]
 
 
+def test_repeated_rows_stay_at_the_target(spark):
+    """A source of which most rows are repeats of a few is taken no more than its target."""
+    data = [(i % 4, f"w{i % 4} " * (3 + i % 4), "a") for i in range(40)] + [(100 + i, "v " * 5, "b") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    got = dict.fromkeys(want, 0)
+    for r in mixing.training_order(docs).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert all(want[s] - 40 <= got[s] <= want[s] + 1 for s in want)
+
+
 def test_each_copy_has_its_own_position(spark):
     data = [(i, "w " * (1 + i * 7 % 11), "abc"[i % 3]) for i in range(60)]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string")
