@@ -30,15 +30,17 @@ def raise_first(counts: DataFrame, messages: dict[str, str]) -> None:
             raise ValueError(f"{message} ({row[name]} rows)")
 
 
-def duplicated(keys: Sequence[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))) > 1
+def with_duplicates(rows: DataFrame, keys: Sequence[str], rules: dict[str, Column]) -> DataFrame:
+    """The violations of rules, and as `duplicates` the rows beyond the first of each key. Keys are counted
+    before they move; two single rows are joined."""
+    more = rows.groupBy(*keys).agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).cast("long").alias("duplicates"))
+    return violations(rows, rules).crossJoin(more)
 
 
 def ohlcv_violations(panel: DataFrame, cutoff: Column) -> DataFrame:
     """Rules of a daily panel: no duplicate, nothing from the cutoff on, prices positive, high >= low."""
-    marked = panel.withColumn("_dup", duplicated(["asset", "date"]))
     prices = F.least("open", "high", "low", "close")
-    return violations(marked, {"duplicates": F.col("_dup"), "incomplete": F.col("date") >= cutoff, "not_positive": (prices <= 0) | prices.isNull(), "crossed": F.col("high") < F.col("low")})
+    return with_duplicates(panel, ["asset", "date"], {"incomplete": F.col("date") >= cutoff, "not_positive": (prices <= 0) | prices.isNull(), "crossed": F.col("high") < F.col("low")})
 
 
 def check_ohlcv(panel: DataFrame, cutoff: Column) -> None:
@@ -52,17 +54,15 @@ INTRADAY_RULES = {"unsupported": "unsupported assets", "duplicates": "duplicate
 def intraday_violations(bars: DataFrame, assets: Sequence[str], as_of: Column, sequence: str | None = None) -> DataFrame:
     """Rules of 15-minute bars. sequence: a column with the order of arrival, if order is to be checked."""
     numbers = ["open", "high", "low", "close", "volume"]
-    marked = bars.withColumn("_dup", duplicated(["asset", "date"]))
-    back = F.lit(False)
+    marked, back = bars, F.lit(False)
     if sequence:
-        marked = marked.withColumn("_last", F.lag("date").over(Window.partitionBy("asset").orderBy(sequence)))
+        marked = bars.withColumn("_last", F.lag("date").over(Window.partitionBy("asset").orderBy(sequence)))
         back = F.col("date") < F.col("_last")
     lacking = F.lit(False)
     for c in numbers:
         lacking = lacking | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return violations(marked, {
+    return with_duplicates(marked, ["asset", "date"], {
         "unsupported": ~F.col("asset").isin(*assets),
-        "duplicates": F.col("_dup"),
         "unaligned": F.pmod(F.unix_micros(F.col("date").cast("timestamp")), F.lit(900_000_000)) != 0,
         "unsorted": back,
         "missing": lacking,
@@ -95,8 +95,7 @@ def prediction_violations(rows: DataFrame, columns: Sequence[str], horizon: int
     nulls = F.lit(False)
     for c in columns:
         nulls = nulls | F.col(c).isNull()
-    marked = rows.withColumn("_dup", duplicated(KEY))
-    return violations(marked, {"nulls": nulls, "duplicates": F.col("_dup"), "crossed": (F.col("q10") > F.col("q50")) | (F.col("q50") > F.col("q90")), "horizons": ~F.col("h").between(1, horizon)})
+    return with_duplicates(rows, KEY, {"nulls": nulls, "crossed": (F.col("q10") > F.col("q50")) | (F.col("q50") > F.col("q90")), "horizons": ~F.col("h").between(1, horizon)})
 
 
 def check_predictions(rows: DataFrame, columns: Sequence[str], horizon: int = 7) -> None:
@@ -143,10 +142,10 @@ def forecast_violations(rows: DataFrame, horizons: Sequence[int], step: str = "1
     nulls = F.lit(False)
     for c in ("y", "last", "q10", "q50", "q90", "origin", "target_time"):
         nulls = nulls | F.col(c).isNull()
-    marked = rows.withColumns({"_dup": duplicated(KEY), "_n": F.count("*").over(Window.partitionBy("model", "asset", "origin"))})
+    marked = rows.withColumn("_n", F.count("*").over(Window.partitionBy("model", "asset", "origin")))
     minutes = int(re.match(r"\d+", step)[0])
     due = F.col("origin") + F.make_dt_interval(mins=F.col("h") * minutes)
-    return violations(marked, {"nulls": nulls, "duplicates": F.col("_dup"), "horizons": ~F.col("h").isin(*horizons), "not_positive": F.least("y", "last", "q10", "q50", "q90") <= 0, "incomplete": F.col("_n") != len(horizons), "crossed": (F.col("q10") > F.col("q50")) | (F.col("q50") > F.col("q90")), "target": F.col("target_time") != due})
+    return with_duplicates(marked, KEY, {"nulls": nulls, "horizons": ~F.col("h").isin(*horizons), "not_positive": F.least("y", "last", "q10", "q50", "q90") <= 0, "incomplete": F.col("_n") != len(horizons), "crossed": (F.col("q10") > F.col("q50")) | (F.col("q50") > F.col("q90")), "target": F.col("target_time") != due})
 
 
 def has_model(rows: DataFrame, model: str) -> DataFrame:

@@ -1,5 +1,6 @@
-"""The engine works where the training-data subpackage has been deleted."""
+"""The engine and its tests work where the training-data subpackage has been deleted."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -8,8 +9,22 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parents[1]
 
 
-def test_import_without_the_subpackage(tmp_path):
-    shutil.copytree(ROOT / "panelspark", tmp_path / "panelspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+def without(tmp_path):
+    """A copy of the repository without the subpackage, its tests and the pipeline."""
+    for name in ("panelspark", "tests"):
+        shutil.copytree(ROOT / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    return tmp_path
+
+
+def test_import_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    subprocess.run([sys.executable, "-c", code], cwd=without(tmp_path), check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_other_tests_without_the_subpackage(tmp_path):
+    """All are collected, and those of evidence and the flagship query pass."""
+    own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider"]
+    subprocess.run([*run, "--collect-only", "tests"], cwd=without(tmp_path), check=True, env=own, stdout=subprocess.DEVNULL)
+    subprocess.run([*run, "tests/test_evidence.py", "tests/test_queries.py::test_entry"], cwd=tmp_path, check=True, env=own, stdout=subprocess.DEVNULL)
