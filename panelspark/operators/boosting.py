@@ -127,7 +127,7 @@ class Booster:
         self.cuts, self.start, self.trees, self.bins = cuts, start, trees, bins
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        at = binned(x, self.cuts, self.bins)
+        at = binned(np.asarray(x, float), self.cuts, self.bins)
         return self.start + sum((t.predict(at, self.bins) for t in self.trees), np.zeros(len(x)))
 
 

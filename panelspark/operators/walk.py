@@ -11,7 +11,7 @@ rows, drawn by a hash; fitted models are a table, and all rows are predicted whe
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -142,46 +142,70 @@ def garch(rows: DataFrame, panel: DataFrame, model: str = "garch") -> DataFrame:
 MODELS = "fold timestamp_ntz, model string, h int, n_fit long, body binary"
 
 
-def fit_trees(rows: DataFrame, columns: Sequence[str], kinds: Mapping[str, boosting.Shape] = boosting.KINDS, max_rows: int = MAX_ROWS, seed: int = 42) -> DataFrame:
-    """A table of boosted trees (MODELS), one a fold, kind and horizon, learned on the log volatility of
-    at most about max_rows rows of the fit part, drawn by a hash of asset and date."""
+def fit_each(rows: DataFrame, columns: Sequence[str], names: Sequence[str], make: Callable[[str, pd.DataFrame, int], bytes], max_rows: int = MAX_ROWS, seed: int = 42) -> DataFrame:
+    """A table of models (MODELS), one a fold, name and horizon: make(name, rows, h) gives a model as bytes
+    from at most about max_rows rows of the fit part, drawn by a hash of asset and date. Its rows have the
+    columns, asset, date and rv, the volatility over h steps."""
     fit = rows.where("part = 'fit'")
     share = fit.groupBy("fold").agg(F.least(F.lit(1.0), F.lit(float(max_rows)) / F.count("*")).alias("share"))
     drawn = fit.join(F.broadcast(share), "fold").where(F.pmod(F.xxhash64("asset", "date", F.lit(seed)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     each = long_rows(drawn, *(c for c in columns if c != "vol_21d")).select("fold", "asset", "date", "h", "rv", *columns)
-    each = each.withColumn("model", F.explode(F.array(*(F.lit(k) for k in kinds))))
-    shapes = dict(kinds)
+    each = each.withColumn("model", F.explode(F.array(*(F.lit(k) for k in names))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["asset", "date"])
+        group = group.sort_values(["asset", "date"], ignore_index=True)
         first = group.iloc[0]
-        b = boosting.fit(group[list(columns)].to_numpy(float), np.log(group["rv"].to_numpy(float)), shapes[first["model"]], seed)
-        return pd.DataFrame({"fold": [first["fold"]], "model": [first["model"]], "h": [first["h"]], "n_fit": [len(group)], "body": [boosting.to_bytes(b)]})
+        body = make(first["model"], group, int(first["h"]))
+        return pd.DataFrame({"fold": [first["fold"]], "model": [first["model"]], "h": [first["h"]], "n_fit": [len(group)], "body": [body]})
 
     return each.repartition(FIT_TASKS, "fold", "model", "h").groupBy("fold", "model", "h").applyInPandas(run, MODELS)
 
 
-def tree_sigma(rows: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of the parts after the fit, with the volatility of each model of their fold. The models, one
-    a fold, kind and horizon and some 100 kB each, go to all workers."""
+def sigma_each(rows: DataFrame, fitted: DataFrame, columns: Sequence[str], load: Callable[[bytes], object]) -> DataFrame:
+    """Rows of the parts after the fit, with the volatility exp(predict(columns)) of each model of their
+    fold. The models, one a fold, name and horizon and some 100 kB each, go to all workers."""
     held: dict = {}
     for r in fitted.select("fold", "model", "h", "body").collect():
         held.setdefault(pd.Timestamp(r["fold"]), {}).setdefault(r["model"], {})[r["h"]] = bytes(r["body"])
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
-        loaded = {f: {m: {h: boosting.from_bytes(raw) for h, raw in hs.items()} for m, hs in ms.items()} for f, ms in shared.value.items()}
+        loaded = {f: {m: {h: load(raw) for h, raw in hs.items()} for m, hs in ms.items()} for f, ms in shared.value.items()}
         for batch in batches:
             for fold, group in batch.groupby("fold"):
-                x = group[list(columns)].to_numpy(float)
+                x = group[list(columns)].astype(float)
                 for model, hs in loaded.get(fold, {}).items():
                     with np.errstate(over="ignore"):
-                        sigma = np.stack([np.exp(hs[h].predict(x)) for h in features.HORIZONS], 1)
+                        sigma = np.stack([np.exp(np.asarray(hs[h].predict(x), float)) for h in features.HORIZONS], 1)
                     yield long_frame(group, sigma, model)
 
     return rows.where("part <> 'fit'").mapInPandas(run, LONG)
 
 
+def fit_trees(rows: DataFrame, columns: Sequence[str], kinds: Mapping[str, boosting.Shape] = boosting.KINDS, max_rows: int = MAX_ROWS, seed: int = 42) -> DataFrame:
+    """Boosted trees of each kind on the log volatility."""
+    shapes = dict(kinds)
+
+    def make(name: str, group: pd.DataFrame, h: int) -> bytes:
+        return boosting.to_bytes(boosting.fit(group[list(columns)].to_numpy(float), np.log(group["rv"].to_numpy(float)), shapes[name], seed))
+
+    return fit_each(rows, columns, list(shapes), make, max_rows, seed)
+
+
+def tree_sigma(rows: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return sigma_each(rows, fitted, columns, boosting.from_bytes)
+
+
+def fit_all(rows: DataFrame, columns: Sequence[str], fitters: Mapping[str, Callable[[pd.DataFrame, list[str], int], object]], max_rows: int = MAX_ROWS) -> DataFrame:
+    """LONG rows of any fitters: each takes (rows of the fit part, columns, h) and gives an object whose
+    predict(columns) is a log volatility. Fits are tasks; fitted objects travel pickled."""
+    from pyspark import cloudpickle
+
+    own = dict(fitters)
+    fitted = fit_each(rows, columns, list(own), lambda name, group, h: cloudpickle.dumps(own[name](group, list(columns), h)), max_rows)
+    return sigma_each(rows, fitted, columns, cloudpickle.loads)
+
+
 def trees(rows: DataFrame, columns: Sequence[str], kinds: Mapping[str, boosting.Shape] = boosting.KINDS) -> DataFrame:
     return tree_sigma(rows, fit_trees(rows, columns, kinds), columns)
 

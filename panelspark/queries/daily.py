@@ -199,6 +199,7 @@ query("so1_union_all", "kind, n:i", lambda s, d: fr.panel(s, d).select(F.lit("ba
 query("so2_distinct", "fold, asset, origin, regime_driver:8", lambda s, d: fr.preds(s, d).select("fold", "asset", "origin", "regime_driver").distinct(), "SELECT DISTINCT fold, asset, origin, regime_driver FROM pred", D)
 query("so4_except", "asset, date", lambda s, d: fr.panel(s, d).select("asset", "date").exceptAll(fr.funding(s, d).select("asset", "date")), "SELECT asset, date FROM panel EXCEPT SELECT asset, date FROM funding", D)
 query("so5_key_set_equality", "differing:i", lambda s, d: ensemble.misaligned(*pair(s, d)).agg(F.count("*").alias("differing")), "SELECT 0 AS differing")
+query("so5_key_set_difference", "differing:i", lambda s, d: (lambda p: ensemble.misaligned(p[0], p[1].where("asset <> '5-LOW' and h < 7")).agg(F.count("*").alias("differing")))(pair(s, d)), "SELECT count(*) AS differing FROM pred WHERE model = 'vol_5d' AND (asset = '5-LOW' OR h = 7)", D)
 query("so6_pivot", "date, " + ", ".join(f"a{i}:4" for i in range(1, 6)), lambda s, d: fr.panel(s, d).groupBy("date").pivot("asset", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).agg(F.first("close")).toDF("date", "a1", "a2", "a3", "a4", "a5"), "SELECT date, " + ", ".join(f"max(close) FILTER (asset LIKE '{i}-%') AS a{i}" for i in range(1, 6)) + " FROM panel GROUP BY date", P)
 query("so7_unpivot", "asset, date, field, value:4", lambda s, d: fr.panel(s, d).unpivot(["asset", "date"], ["open", "close"], "field", "value"), "SELECT asset, date, 'open' AS field, open AS value FROM panel UNION ALL SELECT asset, date, 'close', close FROM panel", P)
 

@@ -171,6 +171,20 @@ def audit(spark, d) -> DataFrame:
 
 
 query("val9_causality_audit", "differing:i", audit, "SELECT 0 AS differing")
+
+
+def injected(spark, d) -> DataFrame:
+    """The same audit of a column that looks one bar ahead, which it must find."""
+    from panelspark.operators.features import altered
+
+    g = grid(spark, d)
+    until = F.lit("2024-01-20").cast("timestamp_ntz")
+    worse = g.withColumn("close", F.when(F.col("date") >= until, F.col("close") * 1.1).otherwise(F.col("close")))
+    ahead = lambda x: x.withColumn("next_close", F.lead("close").over(along()))
+    return altered(ahead(g), ahead(worse), until, ["close", "next_close"]).agg(F.count("*").alias("differing"))
+
+
+query("val9_injected_look_ahead", "differing:i", injected, f"SELECT 2 * count(*) AS differing FROM (SELECT date, lead(date) OVER ({fr.W}) AS later FROM grid) WHERE date < TIMESTAMP '2024-01-20' AND later >= TIMESTAMP '2024-01-20'", I)
 query("pl8_last_forecast", "unique_id, ds, y:6", lambda s, d: report.last_forecast(cv_frame(s, d), fr.bars(s, d), 50)[0], "SELECT asset AS unique_id, ds, ln(y) AS y FROM cv WHERE cutoff = (SELECT max(cutoff) FROM cv)", CV)
 query("pl9_report_tables", "model, h, coverage:6, width:6", lambda s, d: score.score(calibrated(s, d), ["model", "h"]), f"SELECT model, h, {fr.METRICS} FROM (SELECT 'tft_calibrated' AS model, h, y, last, q10 * exp(-lower) AS q10, q50, q90 * exp(upper) AS q90 FROM parts JOIN margins USING (h) WHERE split = 'test') GROUP BY 1, 2", CV)
 

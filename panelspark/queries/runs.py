@@ -104,3 +104,58 @@ def verified(spark, d) -> DataFrame:
 
 
 query("snk8_verified_run", "state, verdict", verified, "SELECT * FROM (VALUES ('whole', 'ok'), ('extra', 'extra'), ('changed', 'changed'), ('missing', 'missing')) AS t(state, verdict)")
+
+
+def attempt(act) -> str:
+    """ok, or the kind of error."""
+    try:
+        act()
+    except (ValueError, OSError) as e:
+        return type(e).__name__
+    return "ok"
+
+
+def base(spark) -> Path:
+    root = Path(scratch(spark).removeprefix("file://").removeprefix("file:")) / f"files-{uuid.uuid4().hex}"
+    root.mkdir(parents=True)
+    return root
+
+
+def verdicts(spark, rows: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "step string, verdict string")
+
+
+def reserved(spark, d) -> DataFrame:
+    root = str(base(spark))
+    names = (("first", "r1"), ("taken", "r1"), ("other", "r2"), ("parent", "../x"), ("nested", "a/b"), ("hidden", ".x"), ("dot", "x."))
+    return verdicts(spark, [(step, attempt(lambda n=name: evidence.reserve(root, "tree", "t", n))) for step, name in names])
+
+
+def written(spark, d) -> DataFrame:
+    file = base(spark) / "x"
+    steps = (("create", lambda: evidence.create_once(file, "1")), ("again", lambda: evidence.create_once(file, "2")), ("replace", lambda: evidence.replace(file, "3")))
+    rows = [(step, attempt(act)) for step, act in steps]
+    return verdicts(spark, [*rows, ("text", file.read_text()), ("files", str(len(list(file.parent.iterdir()))))])
+
+
+def portable(spark, d) -> DataFrame:
+    root = base(spark)
+    rows = [("inside", evidence.portable([str(root / "a")], root)[0]), ("plain", evidence.portable("plain", root))]
+    return verdicts(spark, rows + [(step, attempt(lambda p=path: evidence.inside(Path(p), root))) for step, path in (("outside", "/elsewhere"), ("drive", r"C:\x"), ("leaves", "a/../../b"))])
+
+
+def failed(spark, d) -> DataFrame:
+    root = base(spark)
+    evidence.record_failure(root, ValueError("first line\nsecond line"))
+    body = evidence.read_json(root / "failure.json")
+    return verdicts(spark, sorted(body.items()))
+
+
+def listed(*rows: tuple[str, str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in rows) + ") AS t(step, verdict)"
+
+
+query("snk4_reserved_runs", "step, verdict", reserved, listed(("first", "ok"), ("taken", "FileExistsError"), ("other", "ok"), *((s, "ValueError") for s in ("parent", "nested", "hidden", "dot"))))
+query("snk6_files_once", "step, verdict", written, listed(("create", "ok"), ("again", "FileExistsError"), ("replace", "ok"), ("text", "3"), ("files", "1")))
+query("snk9_portable_paths", "step, verdict", portable, listed(("inside", "a"), ("plain", "plain"), *((s, "ValueError") for s in ("outside", "drive", "leaves"))))
+query("snk10_failure_record", "step, verdict", failed, listed(("message", "first line"), ("status", "incomplete"), ("type", "ValueError")))

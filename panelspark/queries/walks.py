@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +116,28 @@ query("md14_linear_family", f"model, {fr.METRIC_SPEC}", lambda s, d: score.score
 query("md14_fit_all", f"model, {fr.METRIC_SPEC}", lambda s, d: score.score(walk.daily_backtest(pooled(s, d), COLUMNS, lambda df: kept(df, "long"))))
 
 
+class Mean:
+    """A fitter's result that predicts one number."""
+
+    def __init__(self, value: float):
+        self.value = value
+
+    def predict(self, x):
+        return [self.value] * len(x)
+
+
+POOLED = f"""ptrain AS (SELECT * FROM mask JOIN years ON date < fold WHERE {KNOWN} AND {" AND ".join(f"rv{h} IS NOT NULL" for h in H)} AND {fr.ENDS_FOLD}),
+ pcuts AS (SELECT fold, quantile_cont(CAST(epoch_us(date) AS DOUBLE), 0.8) AS cut FROM ptrain GROUP BY fold),
+ pmean AS (SELECT fold, {", ".join(f"avg(ln(rv{h})) AS m{h}" for h in H)} FROM ptrain JOIN pcuts USING (fold) WHERE epoch_us(date) < cut AND {fr.ENDS_CUT} GROUP BY fold)"""
+query(
+    "md14_fit_registry",
+    f"model, {TEST}",
+    lambda s, d: walk.fit_all(pooled(s, d), COLUMNS, {"mean": lambda fit, cols, h: Mean(float(np.log(fit["rv"]).mean())), "half": lambda fit, cols, h: Mean(float(np.log(fit["rv"] / 2).mean()))}).where("part = 'test'"),
+    " UNION ALL ".join(f"SELECT '{m}' AS model, fold, asset, date, CAST({h} AS INTEGER) AS h, {CLIPPED.format(f'm{h} - ln({k})')} AS sigma FROM wtests JOIN pmean USING (fold)" for h in H for m, k in (("mean", 1), ("half", 2))),
+    f"{WALK}, {POOLED}",
+)
+
+
 def ablation(spark, d) -> DataFrame:
     return walk.ablation(*ready(spark, d), (*COLUMNS, *CANDIDATES))
 
