@@ -61,4 +61,46 @@ LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {PLAIN}) AS
  ids AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
-SQL = {"op2_exact_dedup": EXACT, "op3_odd_sketches": NEAR, "op5_previous_factors": COPIES, "op7_passage_doubling": PASSAGES, "op8_curriculum_mix": MIX, "op10_decontaminate": LEAKS}
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+CRC_TABLE = "crcs AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) AS r(i))"
+
+REPAIRS = f"""WITH RECURSIVE {CRC_TABLE},
+ drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS draw FROM conversations, crcs),
+ hurt AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE draw WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE draw <> 0),
+ seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, trim(text, E' \\t\\n\\x0b\\x0c\\r') AS bare FROM hurt),
+ lines_of AS (SELECT conv_id, pos, turn, role, text, role[1] AS x, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS y FROM seen),
+ step(p, x, q, name) AS (VALUES (0, 's', 1, 'system'), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+ begun AS (SELECT p, p AS spot, 0 AS cost, '' AS letters, '' AS line FROM range(4) AS r(p) UNION ALL SELECT p, q, 2, 'I', CASE WHEN p = 0 THEN '' ELSE chr(10) END || name || ':' FROM step WHERE x <> 's'),
+ ways AS (SELECT p, spot AS q, cost + 3 AS cost, letters || 'D' AS letters, line, CAST(NULL AS VARCHAR) AS wants, CAST(NULL AS VARCHAR) AS gives, false AS stays, spot = 0 AS opens FROM begun
+  UNION ALL SELECT b.p, q, b.cost, letters || 'K', line, x, NULL, true, spot = 0 FROM begun b JOIN step s ON s.p = b.spot
+  UNION ALL SELECT b.p, q, b.cost + 2, letters || 'R', line, NULL, name, true, spot = 0 FROM begun b JOIN step s ON s.p = b.spot WHERE x <> 's'),
+ walk AS (SELECT conv_id, 0 AS state, CAST(0 AS BIGINT) AS pos, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': ''}} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT w.conv_id, q, r.pos, min({{'cost': w.best.cost + m.cost + CASE WHEN stays AND fault = 'truncated' THEN 1 ELSE 0 END, 'audit': w.best.audit || letters, 'lines': w.best.lines || line || CASE WHEN stays THEN CASE WHEN opens THEN '' ELSE chr(10) END || coalesce(gives, role) || ':' || text ELSE '' END}})
+  FROM walk w JOIN lines_of r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1 JOIN ways m ON m.p = w.state AND (wants IS NULL OR wants = r.x) AND NOT (stays AND fault IN ('blank', 'duplicate')) GROUP BY w.conv_id, q, r.pos),
+ counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pos > 1 AND y || x NOT IN ('su', 'ua', 'au')) AS illegal FROM lines_of GROUP BY conv_id),
+ ended AS (SELECT w.conv_id, min({{'cost': w.best.cost + t.cost, 'audit': w.best.audit || t.letters, 'lines': w.best.lines || t.line}}) AS best FROM walk w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN (VALUES (0, 0, '', ''), (3, 0, '', ''), (2, 2, 'I', chr(10) || 'assistant:'), (1, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')) AS t(state, cost, letters, line) ON t.state = w.state WHERE w.pos = coalesce(c.n, 0) GROUP BY w.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.best.cost AS cost, e.best.audit AS audit, sha256(e.best.lines) AS repaired_sha256 FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+HEAD = " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+MERKLE = f"""WITH RECURSIVE {CRC_TABLE},
+ d AS (SELECT doc_id, coalesce('1' || lang, '0') AS unit, sha256({HEAD} || {FIELD.format("text")}) AS leaf, CASE WHEN {CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({HEAD} || {FIELD.format(f"translate(text, '{UPPER}', '{LOWER}')")}) END AS struck FROM documents, crcs),
+ l AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS FIRST, leaf, struck) - 1 AS place, count(*) OVER (PARTITION BY unit) AS n FROM d),
+ up AS (SELECT unit, 0 AS level, place AS spot, leaf AS h, n FROM l
+  UNION ALL SELECT unit, level + 1, spot // 8, sha256(string_agg(h, '' ORDER BY spot)), any_value((n + 7) // 8) FROM up WHERE n > 1 GROUP BY unit, level + 1, spot // 8),
+ subs AS (SELECT unit, level AS tall, h AS subroot, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+ higher AS (SELECT 0 AS level, place AS spot, subroot AS h, n FROM subs
+  UNION ALL SELECT level + 1, spot // 8, sha256(string_agg(h, '' ORDER BY spot)), any_value((n + 7) // 8) FROM higher WHERE n > 1 GROUP BY level + 1, spot // 8),
+ runs AS (SELECT unit, level, spot // 8 AS run, list(h ORDER BY spot) AS hs FROM up WHERE n > 1 GROUP BY ALL),
+ over_runs AS (SELECT level, spot // 8 AS run, list(h ORDER BY spot) AS hs FROM higher WHERE n > 1 GROUP BY ALL),
+ way AS (SELECT unit, place AS nth, place AS spot, 0 AS level, 0 AS above, coalesce(struck, leaf) AS h, '' AS proof FROM l
+  UNION ALL SELECT w.unit, w.nth, CASE WHEN r.hs IS NULL THEN s.place // 8 ELSE w.spot // 8 END, w.level + 1, CASE WHEN r.hs IS NULL THEN 1 ELSE 0 END + w.above,
+   sha256(array_to_string(list_concat(coalesce(r.hs, o.hs)[1:k], [w.h], coalesce(r.hs, o.hs)[k + 2:]), '')), w.proof || array_to_string(list_concat(coalesce(r.hs, o.hs)[1:k], coalesce(r.hs, o.hs)[k + 2:]), '')
+   FROM (SELECT way.*, subs.place, tall, CASE WHEN level < tall THEN spot % 8 WHEN level = tall THEN place % 8 ELSE spot % 8 END AS k FROM way JOIN subs USING (unit)) AS w
+   JOIN subs s ON s.unit = w.unit LEFT JOIN runs r ON r.unit = w.unit AND r.level = w.level AND r.run = w.spot // 8
+   LEFT JOIN over_runs o ON w.level >= w.tall AND o.level = w.level - w.tall AND o.run = CASE WHEN w.level = w.tall THEN s.place // 8 ELSE w.spot // 8 END
+   WHERE r.hs IS NOT NULL OR o.hs IS NOT NULL),
+ ends AS (SELECT unit, nth, max_by(h, level) AS h, max_by(proof, level) AS proof FROM way GROUP BY unit, nth)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, ends.h AS folded_root, ends.h = top.h AS verified FROM l JOIN ends ON ends.unit = l.unit AND ends.nth = l.place JOIN subs ON subs.unit = l.unit, (SELECT h FROM higher WHERE n = 1) AS top"""
+
+SQL = {"op11_talk_repair": REPAIRS, "op13_merkle_manifest": MERKLE, "op2_exact_dedup": EXACT, "op3_odd_sketches": NEAR, "op5_previous_factors": COPIES, "op7_passage_doubling": PASSAGES, "op8_curriculum_mix": MIX, "op10_decontaminate": LEAKS}
