@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, dialogue, exact, language, merkle, mixing, near, ngrams, oracles, passages, secrets, store, suffixes, tokenfiles
+from . import decontaminate, dialogue, exact, language, merkle, mixing, near, ngrams, oracles, passages, pii, secrets, store, suffixes, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +61,17 @@ def op11_talk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repairs(dialogue.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), gone="gone")
 
 
+def op12_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return merkle.manifest(docs, altered=merkle.lowered(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_exact_dedup, op3_odd_sketches, op4_secret_links, op5_previous_factors, op6_kneser_ney, op7_passage_doubling, op8_curriculum_mix, op9_language_id, op10_decontaminate, op11_talk_repair, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_token_ids, op2_exact_dedup, op3_odd_sketches, op4_secret_links, op5_previous_factors, op6_kneser_ney, op7_passage_doubling, op8_curriculum_mix, op9_language_id, op10_decontaminate, op11_talk_repair, op12_context_pii, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
