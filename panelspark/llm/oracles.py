@@ -67,7 +67,8 @@ CRC_TABLE = "crcs AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), ra
 REPAIRS = f"""WITH RECURSIVE {CRC_TABLE},
  drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS draw FROM conversations, crcs),
  hurt AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE draw WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE draw <> 0),
- seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, trim(text, E' \\t\\n\\x0b\\x0c\\r') AS bare FROM hurt),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM hurt),
+ seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, trim(text, E' \\t\\n\\x0b\\x0c\\r') AS bare FROM placed),
  lines_of AS (SELECT conv_id, pos, turn, role, text, role[1] AS x, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS y FROM seen),
  step(p, x, q, name) AS (VALUES (0, 's', 1, 'system'), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
  begun AS (SELECT p, p AS spot, 0 AS cost, '' AS letters, '' AS line FROM range(4) AS r(p) UNION ALL SELECT p, q, 2, 'I', CASE WHEN p = 0 THEN '' ELSE chr(10) END || name || ':' FROM step WHERE x <> 's'),
