@@ -1,8 +1,12 @@
-"""Boosted regression trees on histograms, in numpy, for one training set that fits a task.
+"""Boosted regression trees on histograms, in numpy.
 
 Features are cut into bins at quantiles; a missing value has a bin of its own, which each split sends
 to the side that gains more. A tree grows at the leaf of the largest gain, up to a number of leaves
 and a depth, so both usual shapes (31 leaves, or five levels) are settings.
+
+Residuals enter histograms as whole numbers (of 2**-22), so that sums don't depend on their order, and
+the rows of a tree are drawn by a hash of their keys: a fit in one task and one whose histograms are
+summed over a cluster (forest.py) give the same trees.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ class Shape:
 # 300 trees at rate 0.05; 31 leaves, or depth 5; 50 rows a leaf; 0.8 of rows and columns.
 KINDS = {"lgbm": Shape(leaves=31, depth=64, ridge=0.0), "xgb": Shape(leaves=32, depth=5, ridge=1.0)}
 BINS = 64
+#: One in residuals, as a whole number; the most that a residual counts.
+UNIT, MOST = float(1 << 22), 256.0
 
 
 def cut_points(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
@@ -87,37 +93,126 @@ def best_split(total: np.ndarray, count: np.ndarray, shape: Shape) -> tuple[floa
     return best
 
 
+def whole(residual: np.ndarray) -> np.ndarray:
+    """Residuals as whole numbers, held as floats: sums of some 8 million of them are exact."""
+    return np.rint(np.clip(residual, -MOST, MOST) * UNIT)
+
+
+def drawn(keys: np.ndarray, tree: int, shape: Shape, seed: int, n: int) -> np.ndarray:
+    """Which rows tree number `tree` is grown on; all where a share of n rows is too few to split."""
+    if shape.rows >= 1 or n * shape.rows < 2 * shape.least:
+        return np.ones(len(keys), bool)
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + tree * 0xD6E8FEB86659FD93) % (1 << 64))
+        for turn in (30, 27):
+            x = (x ^ (x >> np.uint64(turn))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(11)).astype(float) < shape.rows * 2.0**53
+
+
+def drawn_columns(tree: int, shape: Shape, seed: int, width: int) -> np.ndarray:
+    k = max(1, round(shape.columns * width))
+    return np.sort(np.random.default_rng((seed, tree)).choice(width, k, replace=False))
+
+
+def judged(total: np.ndarray, count: np.ndarray, shape: Shape) -> tuple[float, int, tuple[float, int, int, bool]]:
+    """Sum, number and best split of rows whose whole residuals add up to total."""
+    return float(total[0].sum() / UNIT), int(count[0].sum()), best_split(total / UNIT, count, shape)
+
+
+class Growth:
+    """A tree as it grows: nodes whose histograms are known, and which to divide next. With a width
+    over 1 it divides leaves that may turn out not to be needed; the tree is the same."""
+
+    def __init__(self, shape: Shape, columns: np.ndarray):
+        self.shape, self.columns = shape, columns
+        self.split, self.value, self.depth, self.children = {}, {}, {0: 0}, {}
+
+    def give(self, node: int, total: np.ndarray, count: np.ndarray) -> None:
+        """The sums of whole residuals and the counts of a node's rows, of columns by bins."""
+        self.put(node, *judged(total, count, self.shape))
+
+    def put(self, node: int, g: float, n: int, split: tuple[float, int, int, bool]) -> None:
+        """The sum and the number of a node's rows, and the best split of them."""
+        self.value[node] = float(self.shape.rate * g / (n + self.shape.ridge)) if n + self.shape.ridge else 0.0
+        self.split[node] = split if self.depth[node] < self.shape.depth else (0.0, -1, 0, False)
+
+    def replay(self) -> tuple[list[int], list[int], int]:
+        """The splits made so far in their order, the leaves, and how many splits may follow."""
+        leaves, made = [0], []
+        while len(made) < self.shape.leaves - 1:
+            i = max(range(len(leaves)), key=lambda j: self.split[leaves[j]][0])
+            if self.split[leaves[i]][0] <= 0:
+                return made, leaves, 0
+            if leaves[i] not in self.children:
+                return made, leaves, self.shape.leaves - 1 - len(made)
+            made.append(leaves[i])
+            leaves[i : i + 1] = self.children[leaves[i]]
+        return made, leaves, 0
+
+    def divide(self, width: int = 1) -> list[tuple[int, int, int]]:
+        """Divides the leaves of the largest gains: (node, left, right) of each. Empty when the tree is done."""
+        _, leaves, more = self.replay()
+        if not more:
+            return []
+        best = sorted((n for n in leaves if n not in self.children and self.split[n][0] > 0), key=lambda n: -self.split[n][0])[: min(width, more)]
+        for n in best:
+            at = len(self.depth)
+            self.children[n] = (at, at + 1)
+            self.depth[at] = self.depth[at + 1] = self.depth[n] + 1
+        return [(n, *self.children[n]) for n in best]
+
+    def goes_left(self, node: int, at: np.ndarray, bins: int) -> np.ndarray:
+        _, column, cut, missing_left = self.split[node]
+        b = at[:, self.columns[column]]
+        return np.where(b == bins - 1, missing_left, b <= cut)
+
+    def place(self, at: np.ndarray, bins: int) -> np.ndarray:
+        """The node that each row has come to."""
+        node = np.zeros(len(at), np.int64)
+        for n in sorted(self.children):
+            rows = np.flatnonzero(node == n)
+            left = self.goes_left(n, at[rows], bins)
+            node[rows] = np.where(left, *self.children[n])
+        return node
+
+    def tree(self) -> Tree:
+        made, _, _ = self.replay()
+        tree = Tree()
+        name = {0: tree.add(self.value[0])}
+        for n in made:
+            _, column, cut, missing_left = self.split[n]
+            i = name[n]
+            tree.column[i], tree.bin[i], tree.missing_left[i] = int(self.columns[column]), cut, missing_left
+            for side, child in zip((tree.left, tree.right), self.children[n], strict=True):
+                name[child] = tree.add(self.value[child])
+                side[i] = name[child]
+        return tree
+
+
+def histogram(flat: np.ndarray, residual: np.ndarray, rows: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of whole residuals and counts of the rows, of columns by bins. flat: the bin of each value,
+    plus that of its column's first."""
+    k = flat.shape[1]
+    cells = flat[rows].ravel()
+    return np.bincount(cells, np.repeat(residual[rows], k), k * bins).reshape(k, bins), np.bincount(cells, minlength=k * bins).reshape(k, bins)
+
+
 def grow(at: np.ndarray, flat: np.ndarray, residual: np.ndarray, rows: np.ndarray, columns: np.ndarray, shape: Shape, bins: int) -> Tree:
-    """One tree on the residuals of `rows`."""
-    size, k = len(columns) * bins, len(columns)
-
-    def histogram(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cells = flat[r].ravel()
-        return np.bincount(cells, np.repeat(residual[r], k), size).reshape(k, bins), np.bincount(cells, minlength=size).reshape(k, bins)
-
-    tree = Tree()
-    leaf = lambda r: shape.rate * residual[r].sum() / (len(r) + shape.ridge)
-    first = histogram(rows)
-    open_leaves = [(best_split(*first, shape), tree.add(leaf(rows)), rows, first, 0)]
-    for _ in range(shape.leaves - 1):
-        i = max(range(len(open_leaves)), key=lambda j: open_leaves[j][0][0])
-        (gain, column, cut, missing_left), node, r, held, depth = open_leaves[i]
-        if gain <= 0:
-            break
-        b = at[r, columns[column]]
-        goes = np.where(b == bins - 1, missing_left, b <= cut)
-        parts = (r[goes], r[~goes])
-        small = histogram(min(parts, key=len))
-        rest = (held[0] - small[0], held[1] - small[1])
-        both = (small, rest) if len(parts[0]) <= len(parts[1]) else (rest, small)
-        tree.column[node], tree.bin[node], tree.missing_left[node] = int(columns[column]), cut, missing_left
-        children = []
-        for part, h in zip(parts, both, strict=True):
-            split = best_split(*h, shape) if depth + 1 < shape.depth else (0.0, -1, 0, False)
-            children.append((split, tree.add(leaf(part)), part, h, depth + 1))
-        tree.left[node], tree.right[node] = children[0][1], children[1][1]
-        open_leaves[i : i + 1] = children
-    return tree
+    """One tree on the whole residuals of `rows`."""
+    tree = Growth(shape, columns)
+    held = {0: (rows, *histogram(flat, residual, rows, bins))}
+    tree.give(0, *held[0][1:])
+    while parts := tree.divide():
+        node, left, right = parts[0]
+        r, total, count = held.pop(node)
+        goes = tree.goes_left(node, at[r], bins)
+        a, b = r[goes], r[~goes]
+        less = histogram(flat, residual, min(a, b, key=len), bins)
+        rest = (total - less[0], count - less[1])
+        held[left], held[right] = ((a, *less), (b, *rest)) if len(a) <= len(b) else ((a, *rest), (b, *less))
+        for child in (left, right):
+            tree.give(child, *held[child][1:])
+    return tree.tree()
 
 
 class Booster:
@@ -131,23 +226,23 @@ class Booster:
         return self.start + sum((t.predict(at, self.bins) for t in self.trees), np.zeros(len(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, shape: Shape, seed: int = 42, bins: int = BINS) -> Booster:
-    """Least squares by gradient boosting; rows and columns of each tree are drawn by a seeded generator."""
-    rng = np.random.default_rng(seed)
-    cuts = cut_points(x, bins)
+def fit(x: np.ndarray, y: np.ndarray, shape: Shape, seed: int = 42, bins: int = BINS, cuts: list[np.ndarray] | None = None, keys: np.ndarray | None = None) -> Booster:
+    """Least squares by gradient boosting. Rows whose y is not finite are left out; the rows of each tree
+    are drawn by their keys, its columns by the seed."""
+    known = np.isfinite(y)
+    keys = np.arange(len(y), dtype=np.uint64) if keys is None else keys
+    x, y, keys = x[known], y[known], keys[known]
+    cuts = cut_points(x, bins) if cuts is None else cuts
     at = binned(x, cuts, bins)
-    start, trees = float(y.mean()), []
-    left = y - start
-    n, k = len(y), max(1, round(shape.columns * x.shape[1]))
-    for _ in range(shape.trees):
-        rows = np.flatnonzero(rng.random(n) < shape.rows)
-        if len(rows) < 2 * shape.least:
-            rows = np.arange(n)
-        columns = np.sort(rng.choice(x.shape[1], k, replace=False))
-        flat = at[:, columns] + np.arange(k) * bins
-        tree = grow(at, flat, left, rows, columns, shape, bins)
+    n = len(y)
+    start, trees = float(whole(y).sum() / UNIT / max(n, 1)), []
+    predicted = np.full(n, start)
+    for t in range(shape.trees):
+        rows = np.flatnonzero(drawn(keys, t, shape, seed, n))
+        columns = drawn_columns(t, shape, seed, x.shape[1])
+        tree = grow(at, at[:, columns] + np.arange(len(columns)) * bins, whole(y - predicted), rows, columns, shape, bins)
         trees.append(tree)
-        left = left - tree.predict(at, bins)
+        predicted = predicted + tree.predict(at, bins)
     return Booster(cuts, start, trees, bins)
 
 

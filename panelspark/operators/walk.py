@@ -5,8 +5,9 @@ test parts, with its volatility as sigma; nothing of the test part reaches a fit
 and scores are the same for all families.
 
 Per-series families (HAR, ridge, GARCH) have one group a fold and asset, whose size is the history of
-one asset. Trees are pooled over assets: a fold, kind and horizon is one fit on at most `max_rows`
-rows, drawn by a hash; fitted models are a table, and all rows are predicted where they lie.
+one asset. Trees are pooled over assets and fitted on all rows of a fold: in one task for each fold, kind
+and horizon up to TASK_ROWS rows, beyond that by histograms summed over the cluster (forest.py); both
+give the same trees. Fitted models are a table, and all rows are predicted where they lie.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import clip_sigma, safe_ln
-from panelspark.operators import boosting, calibrate, ensemble, features, models, splits
+from panelspark.operators import boosting, calibrate, ensemble, features, forest, models, splits
 
 HARS = ("har_1d", "har_5d", "har_22d")
 LONG = "model string, fold timestamp_ntz, part string, asset string, date timestamp_ntz, h int, y double, rv double, close double, vol_21d double, sigma double"
 NAMES = [c.split()[0] for c in LONG.split(", ")]
-MAX_ROWS = 500_000
+#: Rows of a fold that one task fits trees on; larger folds are fitted by the cluster.
+TASK_ROWS = 500_000
 #: Tasks that fits are dealt to; a task has few of them, most one or none.
 FIT_TASKS = 192
 LEAST_FIT = 200
@@ -142,14 +144,17 @@ def garch(rows: DataFrame, panel: DataFrame, model: str = "garch") -> DataFrame:
 MODELS = "fold timestamp_ntz, model string, h int, n_fit long, body binary"
 
 
-def fit_each(rows: DataFrame, columns: Sequence[str], names: Sequence[str], make: Callable[[str, pd.DataFrame, int], bytes], max_rows: int = MAX_ROWS, seed: int = 42) -> DataFrame:
+def row_key():
+    """Hash of a row, by which the rows of a tree are drawn."""
+    return F.xxhash64("asset", "date").alias("key")
+
+
+def fit_each(rows: DataFrame, columns: Sequence[str], names: Sequence[str], make: Callable[[str, pd.DataFrame, int], bytes]) -> DataFrame:
     """A table of models (MODELS), one a fold, name and horizon: make(name, rows, h) gives a model as bytes
-    from at most about max_rows rows of the fit part, drawn by a hash of asset and date. Its rows have the
-    columns, asset, date and rv, the volatility over h steps."""
+    from all rows of the fit part, which one task holds. Its rows have the columns, fold, asset, date, key
+    (their hash) and rv, the volatility over h steps."""
     fit = rows.where("part = 'fit'")
-    share = fit.groupBy("fold").agg(F.least(F.lit(1.0), F.lit(float(max_rows)) / F.count("*")).alias("share"))
-    drawn = fit.join(F.broadcast(share), "fold").where(F.pmod(F.xxhash64("asset", "date", F.lit(seed)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    each = long_rows(drawn, *(c for c in columns if c != "vol_21d")).select("fold", "asset", "date", "h", "rv", *columns)
+    each = long_rows(fit, *(c for c in columns if c != "vol_21d")).select("fold", "asset", "date", "h", "rv", row_key(), *columns)
     each = each.withColumn("model", F.explode(F.array(*(F.lit(k) for k in names))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -182,27 +187,43 @@ def sigma_each(rows: DataFrame, fitted: DataFrame, columns: Sequence[str], load:
     return rows.where("part <> 'fit'").mapInPandas(run, LONG)
 
 
-def fit_trees(rows: DataFrame, columns: Sequence[str], kinds: Mapping[str, boosting.Shape] = boosting.KINDS, max_rows: int = MAX_ROWS, seed: int = 42) -> DataFrame:
-    """Boosted trees of each kind on the log volatility."""
-    shapes = dict(kinds)
+def fit_trees(rows: DataFrame, columns: Sequence[str], kinds: Mapping[str, boosting.Shape] = boosting.KINDS, task_rows: int = TASK_ROWS, seed: int = 42) -> DataFrame:
+    """Boosted trees of each kind on the log volatility, from all rows of the fit part. Folds of up to
+    task_rows rows are a task for each kind and horizon; the others are fitted together by the cluster."""
+    shapes, columns = dict(kinds), list(columns)
+    fit = rows.where("part = 'fit'")
+    cuts = forest.fold_cuts(fit, columns)
+    sizes = {r["fold"]: r["count"] for r in fit.groupBy("fold").count().collect()}
+    large = [f for f, n in sizes.items() if n > task_rows]
 
     def make(name: str, group: pd.DataFrame, h: int) -> bytes:
-        return boosting.to_bytes(boosting.fit(group[list(columns)].to_numpy(float), np.log(group["rv"].to_numpy(float)), shapes[name], seed))
+        own = cuts[group["fold"].iloc[0].to_pydatetime()]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = np.log(group["rv"].to_numpy(float))
+        return boosting.to_bytes(boosting.fit(group[columns].to_numpy(float), y, shapes[name], seed, cuts=own, keys=group["key"].to_numpy().view(np.uint64)))
 
-    return fit_each(rows, columns, list(shapes), make, max_rows, seed)
+    if not large:
+        return fit_each(rows, columns, list(shapes), make)
+    targets = [f"t{h}" for h in features.HORIZONS]
+    wide = fit.where(F.col("fold").isin(large)).select("fold", row_key(), *columns, *(F.ln(F.col(f"rv{h}")).alias(t) for h, t in zip(features.HORIZONS, targets, strict=True)))
+    found = forest.fit(wide, columns, targets, shapes, cuts, seed)
+    made = [(fold, model, features.HORIZONS[t], n, bytearray(boosting.to_bytes(b))) for (fold, model, t), (b, n) in found.items()]
+    grown = rows.sparkSession.createDataFrame(made, MODELS)
+    return grown.unionByName(fit_each(rows.where(~F.col("fold").isin(large)), columns, list(shapes), make)) if len(large) < len(sizes) else grown
 
 
 def tree_sigma(rows: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sigma_each(rows, fitted, columns, boosting.from_bytes)
 
 
-def fit_all(rows: DataFrame, columns: Sequence[str], fitters: Mapping[str, Callable[[pd.DataFrame, list[str], int], object]], max_rows: int = MAX_ROWS) -> DataFrame:
+def fit_all(rows: DataFrame, columns: Sequence[str], fitters: Mapping[str, Callable[[pd.DataFrame, list[str], int], object]]) -> DataFrame:
     """LONG rows of any fitters: each takes (rows of the fit part, columns, h) and gives an object whose
-    predict(columns) is a log volatility. Fits are tasks; fitted objects travel pickled."""
+    predict(columns) is a log volatility. A fit is a task that holds the fold's rows; fitted objects travel
+    pickled."""
     from pyspark import cloudpickle
 
     own = dict(fitters)
-    fitted = fit_each(rows, columns, list(own), lambda name, group, h: cloudpickle.dumps(own[name](group, list(columns), h)), max_rows)
+    fitted = fit_each(rows, columns, list(own), lambda name, group, h: cloudpickle.dumps(own[name](group, list(columns), h)))
     return sigma_each(rows, fitted, columns, cloudpickle.loads)
 
 

@@ -31,16 +31,22 @@ def scratch(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, computed once; deleted when the driver ends."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, written now, and its path; deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(dropped, spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, computed now, once; deleted when the driver ends."""
+    return written(df, name)[0]
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a path through Hadoop, so any store works; a stopped session is left alone."""
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
