@@ -1,6 +1,7 @@
 """Daily panel features and labels: rows of an asset in order of date; frames count rows, not days.
 
-All windows share one partitioning and order, so they run in one shuffle and one sort.
+All windows share one partitioning and order, so they run in one shuffle and one sort. With block_rows
+the windows are those of blocks (blocks.py), for series that one task should not hold; columns are equal.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import along, floor_at, rolling, safe_div, safe_ln
+from panelspark.operators import blocks
 
 # Lags, windows and horizons of the daily features.
 RETURN_LAGS = (1, 2, 3, 5, 8, 13)
@@ -27,8 +29,17 @@ def with_return(panel: DataFrame) -> DataFrame:
     return panel.withColumn("lr", safe_ln("close") - safe_ln(F.lag("close").over(along())))
 
 
-def daily_features(panel: DataFrame) -> DataFrame:
+def daily_features(panel: DataFrame, block_rows: int | None = None) -> DataFrame:
     """The features that need the asset's own bars alone."""
+    if block_rows:
+        made = blocks.blocked(panel, _daily, back=max(WINDOWS) + 1, rows=block_rows, sums=["move"])
+        made = blocks.running_mean(made, "move", "naive_mae")
+    else:
+        made = _daily(panel).withColumn("naive_mae", F.avg("move").over(along().rowsBetween(Window.unboundedPreceding, 0)))
+    return made.withColumn("vol_regime", safe_div("vol_21d", floor_at("vol_63d", FLOOR))).drop("lv", "sq", "move")
+
+
+def _daily(panel: DataFrame) -> DataFrame:
     w = along()
     bars = with_return(panel).withColumns({"lv": safe_ln("volume"), "sq": F.col("lr") * F.col("lr"), "move": F.abs(F.col("close") - F.lag("close").over(w)), "range": safe_div(F.col("high") - F.col("low"), "close")})
     made: dict[str, Column] = {f"ret_lag{k}": F.lag("lr", k - 1).over(w) for k in RETURN_LAGS}
@@ -40,25 +51,28 @@ def daily_features(panel: DataFrame) -> DataFrame:
         "range_5d": rolling(F.avg, "range", 5),
         "vol_ratio": safe_div("volume", rolling(F.avg, "volume", 21)),
         "px_vs_ma63": safe_ln(safe_div("close", rolling(F.avg, "close", 63))),
-        "naive_mae": F.avg("move").over(w.rowsBetween(Window.unboundedPreceding, 0)),
     }
     made |= {f"har_{n}d": safe_ln(floor_at(F.sqrt(rolling(F.avg, "sq", n)), FLOOR)) for n in HAR}
-    out = bars.withColumns(made)
-    return out.withColumn("vol_regime", safe_div("vol_21d", floor_at("vol_63d", FLOOR))).drop("lv", "sq", "move")
+    return bars.withColumns(made)
+
+
+def over(df: DataFrame, build, back: int, ahead: int, block_rows: int | None) -> DataFrame:
+    """build(df) with windows by asset, or over blocks."""
+    return blocks.blocked(df, build, back=back, ahead=ahead, rows=block_rows) if block_rows else build(df)
 
 
-def with_market(features: DataFrame, market: str) -> DataFrame:
+def with_market(features: DataFrame, market: str, block_rows: int | None = None) -> DataFrame:
     """Adds the return of one asset to the rows of all by date, and its sum over each asset's rows."""
     one = features.where(F.col("asset") == market).select("date", F.col("lr").alias("btc_ret"))
-    return features.join(one, "date", "left").withColumn("btc_ret_5d", rolling(F.sum, "btc_ret", 5))
+    return over(features.join(one, "date", "left"), lambda df: df.withColumn("btc_ret_5d", rolling(F.sum, "btc_ret", 5)), 5, 0, block_rows)
 
 
-def with_funding(features: DataFrame, funding: DataFrame) -> DataFrame:
+def with_funding(features: DataFrame, funding: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Adds rolling means and a z-score of the daily funding sums."""
     joined = features.join(funding.select("asset", "date", "funding_sum"), ["asset", "date"], "left")
     made = {f"fund_{n}d": rolling(F.avg, "funding_sum", n) for n in (7, 21)}
     made["fund_z"] = safe_div(F.col("funding_sum") - rolling(F.avg, "funding_sum", 63), rolling(F.stddev_samp, "funding_sum", 63))
-    return joined.withColumns(made)
+    return over(joined, lambda df: df.withColumns(made), 63, 0, block_rows)
 
 
 def without_funding(features: DataFrame, funding: DataFrame) -> DataFrame:
@@ -66,7 +80,7 @@ def without_funding(features: DataFrame, funding: DataFrame) -> DataFrame:
     return features.select("asset").distinct().join(funding.select("asset").distinct(), "asset", "left_anti")
 
 
-def with_labels(features: DataFrame) -> DataFrame:
+def with_labels(features: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Adds label_end, y and rv for each horizon, all of them later rows."""
     w = along()
     ahead = {h: w.rowsBetween(1, h) for h in HORIZONS}
@@ -77,7 +91,7 @@ def with_labels(features: DataFrame) -> DataFrame:
         made[f"y{h}"] = safe_ln(safe_div(F.lead("close", h).over(w), "close"))
         full = F.when(F.count("lr").over(ahead[h]) == h, F.sqrt(F.sum(square).over(ahead[h]) / h))
         made[f"rv{h}"] = floor_at(full, FLOOR)
-    return features.withColumns(made)
+    return over(features, lambda df: df.withColumns(made), 0, max(HORIZONS), block_rows)
 
 
 def long_labels(labelled: DataFrame, *keep: str) -> DataFrame:
@@ -102,8 +116,13 @@ def feature_groups(columns: list[str]) -> dict[str, list[str]]:
 
 
 def origin_mask(df: DataFrame, least: int = 60, horizon: int = 7, stride: int = 7) -> DataFrame:
-    """Adds idx, n and is_origin: every stride-th row with `least` rows before and `horizon` after."""
-    out = df.withColumns({"idx": F.row_number().over(along()) - 1, "n": F.count("*").over(Window.partitionBy("asset"))})
+    """Adds idx, n and is_origin: every stride-th row with `least` rows before and `horizon` after. Rows
+    that have positions keep them as idx, and their number is an aggregation."""
+    if "pos" in df.columns:
+        counts = df.groupBy(F.col("asset").alias("_a")).agg(F.count("*").alias("n"))
+        out = df.join(counts, F.col("asset").eqNullSafe(F.col("_a"))).drop("_a").withColumnRenamed("pos", "idx")
+    else:
+        out = df.withColumns({"idx": F.row_number().over(along()) - 1, "n": F.count("*").over(Window.partitionBy("asset"))})
     return out.withColumn("is_origin", (F.col("idx") >= least) & (F.col("idx") < F.col("n") - horizon) & ((F.col("idx") - least) % stride == 0))
 
 

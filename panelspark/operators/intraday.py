@@ -6,24 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import along, long_sums, safe_div, safe_ln
+from panelspark.operators import blocks
 
 STEP = "15 minutes"
+LONGEST = 672
 HISTORY = ("log_return", "abs_return", "range_pct", "log_volume", "log_volume_change", "rv_96", "rv_672", "sigma_672", "momentum_96", "momentum_672", "volume_z96")
 
 
-def complete_grid(bars: DataFrame, step: str = STEP) -> DataFrame:
+def complete_grid(bars: DataFrame, step: str = STEP, block_rows: int | None = None) -> DataFrame:
     """Every step from an asset's first to its last bar. A missing bar has the last close as its
-    prices, volume 0 and missing_bar 1. The calendar is made an asset at a time by the executors."""
+    prices, volume 0 and missing_bar 1. The calendar is made an asset at a time by the executors; with
+    block_rows the last close is carried over blocks, and rows have pos."""
     ends = bars.groupBy("asset").agg(F.min("date").alias("a"), F.max("date").alias("b"))
     grid = ends.select("asset", F.explode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("date"))
     joined = grid.join(bars, ["asset", "date"], "left").withColumn("missing_bar", F.col("close").isNull().cast("tinyint"))
-    last = F.last("close", ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0))
+    if block_rows:
+        joined = blocks.carried(joined, ["close"], block_rows).withColumnRenamed("last_close", "_last")
+    else:
+        joined = joined.withColumn("_last", F.last("close", ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0)))
     filled = {c: F.coalesce(c, "_last") for c in ("open", "high", "low", "close")}
-    return joined.withColumn("_last", last).withColumns(filled | {"volume": F.coalesce("volume", F.lit(0.0))}).drop("_last")
+    return joined.withColumns(filled | {"volume": F.coalesce("volume", F.lit(0.0))}).drop("_last")
 
 
-def gap_runs(grid: DataFrame) -> DataFrame:
+def gap_runs(grid: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Adds run: a number for each stretch of bars that are all missing or all observed."""
+    if block_rows:
+        turned = (F.col("missing_bar") != F.lag("missing_bar").over(along())).cast("double")
+        made = blocks.blocked(grid, lambda df: df.withColumn("_flip", turned), back=1, rows=block_rows, sums=["_flip"])
+        return made.withColumn("run", F.col("sum__flip").cast("long") + 1).drop("_flip", "sum__flip", "count__flip")
     flip = F.coalesce((F.col("missing_bar") != F.lag("missing_bar").over(along())).cast("long"), F.lit(1).cast("long"))
     return grid.withColumn("_flip", flip).withColumn("run", F.sum("_flip").over(along().rowsBetween(Window.unboundedPreceding, 0))).drop("_flip")
 
@@ -50,8 +60,11 @@ def calendar(date: str = "date") -> dict[str, Column]:
     return {"tod_sin": F.sin(turn * day), "tod_cos": F.cos(turn * day), "dow_sin": F.sin(turn * week), "dow_cos": F.cos(turn * week)}
 
 
-def intraday_features(grid: DataFrame) -> DataFrame:
-    """Returns, range, volume, volatility, momentum and calendar of a whole grid."""
+def intraday_features(grid: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Returns, range, volume, volatility, momentum and calendar of a whole grid; with block_rows over
+    blocks, where volumes are centred on the first of a block instead of the first of all."""
+    if block_rows:
+        return blocks.blocked(grid, intraday_features, back=LONGEST + 1, rows=block_rows).drop("pos")
     w = along()
     lnc = F.ln("close")
     first = grid.withColumns({"log_return": lnc - F.lag(lnc).over(w), "log_volume": F.log1p("volume"), "range_pct": safe_div(F.col("high") - F.col("low"), "close")})

@@ -33,12 +33,13 @@ LEAST_FIT = 200
 LEAST_SIGMA, MOST_SIGMA = 1e-4, 0.30
 
 
-def feature_frame(panel: DataFrame, market: str | None = None, funding: DataFrame | None = None) -> DataFrame:
-    """Features of the asset, the market and funding, labels and the origin mask."""
-    out = features.daily_features(panel)
-    out = features.with_market(out, market) if market is not None else out
-    out = features.with_funding(out, funding) if funding is not None else out
-    return features.origin_mask(features.with_labels(out))
+def feature_frame(panel: DataFrame, market: str | None = None, funding: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+    """Features of the asset, the market and funding, labels and the origin mask; with block_rows, in
+    blocks of so many rows (see blocks.block_rows)."""
+    out = features.daily_features(panel, block_rows)
+    out = features.with_market(out, market, block_rows) if market is not None else out
+    out = features.with_funding(out, funding, block_rows) if funding is not None else out
+    return features.origin_mask(features.with_labels(out, block_rows))
 
 
 def parts(ready: DataFrame, folds: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("fold",), also: Sequence[str] = ()) -> DataFrame:

@@ -66,6 +66,15 @@ feature("wn9_volume_ratio", "vol_ratio:8")
 feature("wn10_price_to_mean", "px_vs_ma63:8")
 feature("wn11_naive_mae", "naive_mae:2")
 feature("wn12_har", ", ".join(f"har_{n}d:8" for n in features.HAR))
+BLOCK = 256
+query(
+    "wn35_blocked_features",
+    "asset, date, lr:8, ret_63d:8, vol_5d:8, vol_63d:8, vol_regime:8, drawdown_63d:8, volume_z21:6, range_5d:8, vol_ratio:8, px_vs_ma63:8, naive_mae:2, har_22d:8",
+    lambda s, d: features.daily_features(fr.panel(s, d), BLOCK),
+    "SELECT * FROM feat",
+    D,
+)
+query("wn36_blocked_labels", "asset, date, idx:i, n:i, is_origin, " + ", ".join(f"y{h}:8, rv{h}:8, label_end{h}" for h in features.HORIZONS), lambda s, d: features.origin_mask(features.with_labels(features.daily_features(fr.panel(s, d), BLOCK), BLOCK)), "SELECT * FROM mask", D)
 query("wn13_label_ends", "asset, date, " + ", ".join(f"label_end{h}" for h in features.HORIZONS), fr.ready, "SELECT * FROM mask", D)
 query("wn14_forward_returns", "asset, date, " + ", ".join(f"y{h}:8" for h in features.HORIZONS), fr.ready, "SELECT * FROM mask", D)
 query("wn15_forward_volatility", "asset, date, " + ", ".join(f"rv{h}:8" for h in features.HORIZONS), fr.ready, "SELECT * FROM mask", D)

@@ -89,6 +89,15 @@ query("jn11_carry_forward", "asset, date, close:6", lambda s, d: grid(s, d).wher
 query("ag18_gap_statistics", "asset, observed_bars:i, synthetic_bars:i, gap_events:i, max_gap_bars:i", lambda s, d: intraday.gap_statistics(grid(s, d)), "SELECT asset, sum(n) FILTER (missing_bar = 0) AS observed_bars, coalesce(sum(n) FILTER (missing_bar = 1), 0) AS synthetic_bars, count(*) FILTER (missing_bar = 1) AS gap_events, coalesce(max(n) FILTER (missing_bar = 1), 0) AS max_gap_bars FROM (SELECT asset, run, missing_bar, count(*) AS n FROM gaps GROUP BY 1, 2, 3) GROUP BY asset", I)
 query("wn33_gap_runs", "asset, date, run:i", lambda s, d: intraday.gap_runs(grid(s, d)), "SELECT * FROM gaps", I)
 query("bt9_shared_daily_end", "data_end", lambda s, d: intraday.shared_daily_end(grid(s, d)), "SELECT CASE WHEN x > e THEN x - INTERVAL 1 DAY ELSE x END AS data_end FROM (SELECT e, CAST(date_trunc('day', e) AS TIMESTAMP) + INTERVAL '23 hours 45 minutes' AS x FROM (SELECT min(m) AS e FROM (SELECT max(date) AS m FROM grid GROUP BY asset)))", I)
+BLOCK = 1024
+query("wn37_blocked_gap_runs", "asset, date, run:i", lambda s, d: intraday.gap_runs(intraday.complete_grid(fr.bars(s, d), block_rows=BLOCK), BLOCK), "SELECT * FROM gaps", I)
+query(
+    "wn38_blocked_intraday",
+    "asset, date, log_return:8, range_pct:8, rv_96:6, rv_672:6, sigma_672:6, momentum_96:8, momentum_672:8, volume_z96:5, log_volume_change:8",
+    lambda s, d: intraday.intraday_features(intraday.complete_grid(fr.bars(s, d), block_rows=BLOCK), BLOCK),
+    "SELECT * FROM intra",
+    I,
+)
 feature("wn20_bar_returns", "log_return:8, abs_return:8, range_pct:8, log_volume:8, log_volume_change:8")
 feature("wn21_realised_volatility", "rv_96:6, rv_672:6")
 feature("wn22_sigma_672", "sigma_672:6")
