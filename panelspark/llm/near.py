@@ -9,12 +9,14 @@ Equal sets are one representative. In a first round each band's bucket gives the
 pairs by sketch, and the closest few edges of each member are confirmed, so a group of copies joins
 at once. What then still shares a bucket with another component is settled exactly: its shingles are
 ordered by rarity, and two sets that link share a shingle among the first few of each, at places that
-leave room for the overlap (prefix and positional bounds). Documents that meet on such a shingle, and
-whose sketches come close, name each other's components: those outside the shingle's largest ask it,
-and of two others the smaller one asks. A document that asks meets the sets of all members, in
-blocks, and one link a block is told. So a family of texts that are alike but below the threshold
-asks for nothing: what they have in common is too frequent to be among the first shingles. Neither
-round lists the pairs of a group.
+leave room for the overlap (prefix and positional bounds). Documents that meet on such a shingle are
+held against each other by their sketches and by parity bitmaps of their whole sets, whose XOR has no
+more ones than shingles differ. Those that pass name each other's components: rows outside the shingle's
+largest ask it, and of two others the smaller one asks. A document that asks meets the sets of all
+members, in blocks, and one link a block is told. A family of texts that are alike but below the
+threshold is compared bit by bit where it meets, in the task of its shingle, and asks for next to
+nothing (about what lies within 0.01 of the threshold, more for texts of over 5000 words, whose bitmaps
+fill). No pairs are written for a group.
 
 Documents stay in blocks in the shared folder; only the sets of candidates move. Two documents with
 the least similarity linked miss every band with probability (1 - s**4)**24, 2e-8 at s = 0.85.
@@ -41,6 +43,9 @@ BANDS, ROWS = 24, 4
 SAMPLES = 256
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
+#: Bits of the parity bitmap of a whole set.
+PARITY_WORDS = 32
+PARITY_BITS = 64 * PARITY_WORDS
 #: Members of a bucket or component that meet in one step.
 BLOCK = 2048
 #: Rows of a bucket from which it is handed over in parts.
@@ -104,6 +109,24 @@ def most_ones(similarity: float) -> int:
     return math.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ))
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity bitmaps of whole sets. Equal shingles cancel in their XOR and others only in pairs, so
+    its ones are never more than the shingles that one of two sets has alone."""
+    at = (tk.mix(np.concatenate(sets) ^ tk.U(0x8CB92BA72F3D8DD7)) % tk.U(PARITY_BITS)).astype(np.int64)
+    cells = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * PARITY_BITS + at
+    bits = np.bincount(cells, minlength=len(sets) * PARITY_BITS) & 1
+    return np.packbits(bits.reshape(len(sets), -1).astype(np.uint8), axis=1)
+
+
+def most_odd(total: np.ndarray, percent: int) -> np.ndarray:
+    """How many ones the XOR of two parity bitmaps may have where sets of `total` shingles together are
+    linked: as many as shingles may differ, or, where that many fill the bitmap, 4.5 deviations over
+    what is expected."""
+    differ = (100 - percent) * total // (100 + percent)
+    odd = (1 - np.exp(-2 * differ / PARITY_BITS)) / 2
+    return np.minimum(differ, np.ceil(PARITY_BITS * odd + 4.5 * np.sqrt(PARITY_BITS * odd * (1 - odd))))
+
+
 SIGNED = "node long, block string, doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
@@ -194,6 +217,8 @@ class Rows:
         self.key, self.node, self.n = (np.asarray(table.column(c)) for c in ("key", "node", "n"))
         sketch = table.column("sketch").combine_chunks()
         self.sketch = tk.flat(sketch)[0].view(np.uint64).reshape(len(table), SKETCH_WORDS)
+        if "parity" in table.column_names:
+            self.parity = tk.flat(table.column("parity").combine_chunks())[0].view(np.uint64).reshape(len(table), PARITY_WORDS)
         self.root = np.asarray(table.column("root")) if "root" in table.column_names else None
         self.size = np.asarray(table.column("size")) if "size" in table.column_names else None
         self.pos, self.index, self.main = (np.asarray(table.column(c)) if c in table.column_names else None for c in ("pos", "is_index", "is_main"))
@@ -261,8 +286,8 @@ def closest_pairs(percent: int):
     return stage
 
 
-def prefixes(sets: list[np.ndarray], rank: np.ndarray, nodes: np.ndarray, percent: int) -> dict[str, np.ndarray]:
-    """key, node, n, pos and is_index of the first shingles of each set, the rarest first (`rank` of the
+def prefixes(sets: list[np.ndarray], rank: np.ndarray, nodes: np.ndarray, percent: int) -> dict[str, object]:
+    """key, node, n, pos, is_index and parity (of the whole set) of the first shingles of each set, the rarest first (`rank` of the
     sets one after another, 0 for a shingle of one document alone). A set meets larger ones on its index
     prefix and smaller ones on the longer probing prefix."""
     size = np.array([len(x) for x in sets], np.int64)
@@ -274,16 +299,19 @@ def prefixes(sets: list[np.ndarray], rank: np.ndarray, nodes: np.ndarray, percen
     index = size + 1 + (-2 * percent * size // (100 + percent))
     keep = (pos < probe[doc]) & (rank[order] > 0)
     doc, pos = doc[keep], pos[keep]
-    return {"key": flat[order][keep].view(np.int64), "node": nodes[doc], "n": size[doc], "pos": pos, "is_index": pos < index[doc]}
+    odd = [x.tobytes() for x in parities(sets)]
+    return {"key": flat[order][keep].view(np.int64), "node": nodes[doc], "n": size[doc], "pos": pos, "is_index": pos < index[doc], "parity": pa.array([odd[d] for d in doc], pa.binary())}
 
 
 def may_link(r: Rows, i: np.ndarray, j: np.ndarray, percent: int, most: int) -> np.ndarray:
-    """Which rows i and j of one shingle, of different components, pass the bounds and the sketches."""
-    n, m = r.n[i], r.n[j]
+    """Which rows i and j of one shingle, of different components, pass the bounds, the sketches and the
+    parities of their whole sets."""
+    n, m = np.broadcast_arrays(r.n[i], r.n[j])
     first = (n < m) | (n == m) & (r.node[i] < r.node[j])
     room = 1 + np.minimum(n - r.pos[i], m - r.pos[j]) - 1
     ok = (r.root[i] != r.root[j]) & np.where(first, r.index[i], r.index[j]) & near_sizes(n, m, percent) & (room * (100 + percent) >= percent * (n + m))
     ok[ok] = ones(r.sketch[i[ok]], r.sketch[j[ok]]) <= most
+    ok[ok] = ones(r.parity[i[ok]], r.parity[j[ok]]) <= most_odd(n[ok] + m[ok], percent)
     return ok
 
 
@@ -293,7 +321,7 @@ def asks(r: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.stack([np.where(mine, r.node[i], r.node[j]), np.where(mine, r.root[j], r.root[i])], 1)
 
 
-COLUMNS = ("key", "node", "n", "sketch", "root", "size", "pos", "is_index", "is_main")
+COLUMNS = ("key", "node", "n", "sketch", "parity", "root", "size", "pos", "is_index", "is_main")
 
 
 def close_components(percent: int):
@@ -364,7 +392,7 @@ def judge_counts(table: pa.Table) -> pa.Table:
     return repeats.answers(table, 1, flags, np.array([len(x.as_buffer()) for x in table.column("marks")]))
 
 
-PREFIX = "key long, node long, n long, pos long, is_index boolean"
+PREFIX = "key long, node long, n long, pos long, is_index boolean, parity binary"
 
 
 def send_prefixes(folder: str, words: int, percent: int, buckets: int):
@@ -372,7 +400,7 @@ def send_prefixes(folder: str, words: int, percent: int, buckets: int):
 
     def stage(wanted: pa.Table, ranks: pa.Table) -> pa.Table:
         if not len(wanted) or not len(ranks):
-            return pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()), "is_index": pa.array([], pa.bool_())})
+            return pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()), "is_index": pa.array([], pa.bool_()), "parity": pa.array([], pa.binary())})
         nodes = np.sort(np.asarray(wanted.column("node")))
         sets = sets_of(folder, wanted.column("block")[0].as_py(), nodes, words)
         flat = np.concatenate(sets)
@@ -474,7 +502,7 @@ class Near:
         met = self.meeting(left).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         counted = met.groupBy("key", "root").agg(F.count("*").alias("here"), F.max("is_index").alias("index"))
         open_keys = counted.groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("roots"), F.max("index").alias("index")).where("roots > 1 and index").select("key", "main")
-        rows = met.join(open_keys, "key").join(sizes, "root", "left").join(brief.select("node", "sketch"), "node").select("key", "node", "n", "sketch", "root", F.coalesce("size", F.lit(1)).cast("long").alias("size"), "pos", "is_index", (F.col("root") == F.col("main")).alias("is_main"))
+        rows = met.join(open_keys, "key").join(sizes, "root", "left").join(brief.select("node", "sketch"), "node").select("key", "node", "n", "sketch", "root", F.coalesce("size", F.lit(1)).cast("long").alias("size"), "pos", "is_index", "parity", (F.col("root") == F.col("main")).alias("is_main"))
         asked, _ = store.materialise(rows.repartition(parts, "key").sortWithinPartitions("key", "is_main").mapInArrow(store.lean(close_components(self.percent)), "node long, root long").distinct(), "asked")
         wide = asked.select("root").distinct().join(sizes, "root", "left").select("root", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("long").alias("blocks"))
         all_roots = brief.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

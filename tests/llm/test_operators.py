@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import random
 import zlib
 
 import numpy as np
@@ -149,6 +150,39 @@ def test_near_family_below_the_threshold_asks_for_little(spark, monkeypatch):
     assert tables["pairs"][0].count() <= near.EDGES * 600 and tables["open"][0].count() >= 500 and tables["asked"][0].count() <= 600
 
 
+@pytest.mark.parametrize("n", [300, 600, 1200])
+def test_near_family_with_scattered_words_asks_for_little(spark, monkeypatch, n):
+    """Texts from a template with words replaced at random places, most pairs at 0.78 to 0.83: what is
+    asked stays in proportion to the texts, and components are those of all pairs."""
+    rng, rows = random.Random(n), []
+    template = [f"t{i}" for i in range(300)]
+    for i in range(n):
+        words = list(template)
+        for p in rng.sample(range(300), 6):
+            words[p] = f"own{i}_{p}"
+        rows.append((i, " ".join(words)))
+    tables = {}
+    real = store.materialise
+
+    def kept(df, name):
+        tables[name] = real(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(store, "materialise", kept)
+    found = near.digest(near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)).collect()
+    assert tables["open"][0].count() > 0.9 * n and tables["asked"][0].count() <= 3 * n
+    if n <= 600:
+        assert sorted(map(tuple, found)) == brute.near(rows, 3, 85)
+
+
+@given(st.sets(st.integers(0, 5000), max_size=300), st.sets(st.integers(0, 5000), max_size=300))
+@settings(max_examples=100, deadline=None)
+def test_parities_never_show_more_than_differs(a, b):
+    x, y = (tk.mix(np.array(sorted(s), tk.U) + tk.U(1)) for s in (a, b))
+    bits = near.parities([x, y, x]).view(np.uint64)
+    assert near.ones(bits[0], bits[1]) <= len(a ^ b) and near.ones(bits[0], bits[2]) == 0
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_sets_that_link_meet_on_their_prefixes(percent):
     rng = np.random.default_rng(percent)
