@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import clip_sigma, safe_ln
-from panelspark.operators import boosting, calibrate, ensemble, features, forest, models, splits
+from panelspark.operators import boosting, calibrate, ensemble, features, forest, models, recurrent, splits
 
 HARS = ("har_1d", "har_5d", "har_22d")
 LONG = "model string, fold timestamp_ntz, part string, asset string, date timestamp_ntz, h int, y double, rv double, close double, vol_21d double, sigma double"
@@ -251,6 +251,27 @@ def decomposition(rows: DataFrame, windows: DataFrame, model: str = "dlinear") -
     return joined.where("part <> 'fit'").mapInPandas(run, LONG)
 
 
+def lstm(rows: DataFrame, windows: DataFrame, model: str = "lstm", plan: recurrent.Plan | None = None, task_rows: int = recurrent.TASK_ROWS, tasks: int = 4) -> DataFrame:
+    """A recurrent network on the last bars, trained on the fit part of each fold and stopped by its
+    calibration part; rows whose volatility is not known, or that have no window, are left out of both."""
+    joined = rows.join(windows, ["asset", "date"])
+    targets = [f"t{h}" for h in features.HORIZONS]
+    seen = joined.where("part <> 'test'").select("fold", "part", "asset", "date", "window", *(safe_ln(f"rv{h}").alias(t) for h, t in zip(features.HORIZONS, targets, strict=True))).na.drop(subset=targets)
+    plan = plan or recurrent.Plan()
+    shared = rows.sparkSession.sparkContext.broadcast(recurrent.networks(seen, targets, plan, task_rows, tasks))
+
+    def run(batches):
+        for batch in batches:
+            for fold, group in batch.groupby("fold"):
+                net = shared.value.get(fold.to_pydatetime())
+                if net:
+                    x = recurrent.scaled(group, net[0], net[1])
+                    with np.errstate(over="ignore"):
+                        yield long_frame(group, np.exp(recurrent.predict(net[2], x, plan, len(targets))), model)
+
+    return joined.where("part <> 'fit'").mapInPandas(run, LONG)
+
+
 def predictions(long: DataFrame, keys: Sequence[str] = ("fold", "model", "h"), part: str = "test") -> DataFrame:
     """Rows of a part with the intervals that the calibration part gives, in the columns of PREDICTIONS."""
     z = calibrate.z_table(long.where("part = 'cal'"), keys)

@@ -103,6 +103,7 @@ query("md6_ridge_sigma", TEST, lambda s, d: walk.ridge(series(s, d), COLUMNS).wh
 query("md7_garch_sigma", TEST, lambda s, d: walk.garch(series(s, d), panel(s, d)).where("part = 'test'"))
 query("md8_boosted_sigma", f"model, {TEST}", lambda s, d: walk.trees(pooled(s, d), COLUMNS).where("part = 'test'"))
 query("md9_decomposition_linear", TEST, lambda s, d: walk.decomposition(pooled(s, d), features.lookback_windows(panel(s, d))).where("part = 'test'"))
+query("md10_lstm_sigma", TEST, lambda s, d: walk.lstm(pooled(s, d), features.lookback_windows(panel(s, d))).where("part = 'test'"))
 query("md13_classical_prices", "asset, origin, model, h, yhat:4", lambda s, d: models.walk_forward(panel(s, d), models.classical, batch=True))
 
 
