@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import along, safe_div
-from panelspark.operators import calibrate, intraday, report, score, splits, validate
+from panelspark.operators import calibrate, intraday, nhits, report, score, splits, validate
 from panelspark.queries import frames as fr
 from panelspark.queries.registry import query
 from panelspark.sources import ingest
@@ -164,6 +164,16 @@ query("ag14_headline_by_asset", f"model, asset, {HEAD}", lambda s, d: score.head
 query("ag14_headline_by_regime", "model, regime, return_mae:6, direction_accuracy:6", lambda s, d: score.headline(score.apply_regimes(forecasts(s, d), score.regime_cutpoints(split(s, d).where("split = 'calibration'"))), ["model", "regime"]), f"SELECT model, regime, {HEADLINE} FROM (SELECT *, CASE WHEN regime_driver <= c[1] THEN 'low' WHEN regime_driver <= c[2] THEN 'medium' ELSE 'high' END AS regime FROM {FINAL}, (SELECT quantile_cont(regime_driver, [1/3, 2/3]) AS c FROM (SELECT DISTINCT asset, origin, regime_driver FROM parts WHERE split = 'calibration'))) GROUP BY 1, 2", CV)
 query("jn15_metric_join", "model, pinball:4, clusters:i", lambda s, d: score.headline(forecasts(s, d)).join(score.direction_clusters(forecasts(s, d)).groupBy("model").agg(F.count("*").alias("clusters")), "model"), f"SELECT model, pinball, clusters FROM (SELECT model, {HEADLINE} FROM {FINAL} GROUP BY model) JOIN (SELECT model, count(DISTINCT origin) AS clusters FROM {FINAL} GROUP BY model) USING (model)", CV)
 query("md11_external_cv_scores", "asset, h, coverage:6", lambda s, d: score.score(scores(s, d).where("h <= 8"), ["asset", "h"]), "SELECT asset, h, 100 * avg(CASE WHEN exp(mid - band) <= y AND y <= exp(mid + band) THEN 1.0 ELSE 0.0 END) AS coverage FROM cv WHERE h <= 8 GROUP BY 1, 2", CV)
+
+
+def network_scores(spark, d) -> DataFrame:
+    """Scores of the multi-quantile network on its cross-validation; 200 steps, as the bars are few."""
+    frame = intraday.short_features(fr.bars(spark, d))
+    cv = kept(nhits.cross_validation(frame, windows=20, step=48, shape=nhits.Shape(steps=200)), "cv")
+    return score.score(intraday.cross_validation_scores(cv, frame.select("unique_id", "ds", "y"), "nhits"), ["asset", "h"])
+
+
+query("md11_network_scores", "asset, h, coverage:6, pinball:4", network_scores)
 query("md12_external_forecasts", "model, pinball:4, coverage:6", lambda s, d: score.score(forecasts(s, d).unionByName(calibrated(s, d))), f"SELECT model, {fr.METRICS} FROM (SELECT model, y, last, q10, q50, q90 FROM fc UNION ALL SELECT 'tft_calibrated', y, last, q10 * exp(-lower), q50, q90 * exp(upper) FROM parts JOIN margins USING (h) WHERE split = 'test') GROUP BY model", CV)
 query("val2_intraday_violations", "unsupported:i, duplicates:i, unaligned:i, missing:i, not_positive:i, high:i, low:i, incomplete:i", lambda s, d: validate.intraday_violations(fr.bars(s, d).withColumn("high", F.when(F.minute("date") == 0, F.col("low") / 2).otherwise(F.col("high"))), ["click", "view"], F.lit("2024-01-20").cast("timestamp_ntz")), "SELECT count(*) FILTER (asset NOT IN ('click', 'view')) AS unsupported, 0 AS duplicates, 0 AS unaligned, 0 AS missing, 0 AS not_positive, count(*) FILTER (minute(date) = 0) AS high, count(*) FILTER (minute(date) = 0) AS low, count(*) FILTER (date + INTERVAL 15 MINUTE > TIMESTAMP '2024-01-20') AS incomplete FROM bars", fr.BARS)
 query("val5_forecast_violations", "nulls:i, duplicates:i, horizons:i, not_positive:i, incomplete:i, crossed:i, target:i", lambda s, d: validate.forecast_violations(forecasts(s, d).withColumn("q10", F.when(F.col("h") == 5, F.col("q90") + 1).otherwise(F.col("q10"))), range(1, 97)), "SELECT 0 AS nulls, 0 AS duplicates, 0 AS horizons, 0 AS not_positive, count(*) FILTER (n <> 96) AS incomplete, count(*) FILTER (h = 5) AS crossed, 0 AS target FROM (SELECT *, count(*) OVER (PARTITION BY asset, origin) AS n FROM fc)", CV)
