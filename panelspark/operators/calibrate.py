@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import NORMAL_90, QUANTILES, safe_div, safe_ln
+from panelspark.operators.quantiles import quantiles, select
 
 
 def root_sigma() -> Column:
     return F.col("sigma") * F.sqrt(F.col("h").cast("double"))
 
 
-def z_table(calibration: DataFrame, keys: Sequence[str] = ("fold", "model", "h")) -> DataFrame:
-    """Quantiles of y / (sigma sqrt(h)) for each key; rows with sigma 0 have no z."""
-    z = safe_div("y", root_sigma())
-    cut = calibration.groupBy(*keys).agg(F.percentile(z, F.array(*(F.lit(q) for q in QUANTILES.values()))).alias("z"))
+def z_table(calibration: DataFrame, keys: Sequence[str] = ("fold", "model", "h"), limit: int | None = None) -> DataFrame:
+    """Quantiles of y / (sigma sqrt(h)) for each key; rows with sigma 0 have no z. With a limit, groups of
+    more rows are narrowed before a task sorts them (quantiles.py)."""
+    cut = quantiles(calibration, keys, {"z": (safe_div("y", root_sigma()), list(QUANTILES.values()))}, limit)
     return cut.select(*keys, *(F.col("z")[i].alias(f"z{int(q * 100)}") for i, q in enumerate(QUANTILES.values())))
 
 
@@ -38,11 +39,19 @@ def normal_bands(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.col("last") * F.exp(F.lit(z) * root_sigma()) for name, z in (("q10", -NORMAL_90), ("q50", 0.0), ("q90", NORMAL_90))})
 
 
-def one_sided_margins(calibration: DataFrame, alpha: float = 0.20) -> DataFrame:
-    """h, lower and upper: how far logs of q10 and q90 must move apart, each on its own, never in."""
+def one_sided_margins(calibration: DataFrame, alpha: float = 0.20, limit: int | None = None) -> DataFrame:
+    """h, lower and upper: how far logs of q10 and q90 must move apart, each on its own, never in. A
+    horizon is one sort; with a limit its ranks are selected instead."""
     scores = calibration.select("h", (safe_ln("q10") - safe_ln("y")).alias("below"), (safe_ln("y") - safe_ln("q90")).alias("above"))
     sizes = scores.groupBy("h").agg(F.count("*").alias("n"), F.count("below").alias("n_below"), F.count("above").alias("n_above"))
     level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * F.lit(1 - alpha / 2)) / F.col("n"))
+    if limit is not None:
+        found = sizes.select("h")
+        for c, name in (("below", "lower"), ("above", "upper")):
+            wanted = sizes.select(F.struct("h").alias("_k"), F.ceil((F.col(f"n_{c}") - 1) * level).alias("rank"))
+            one = select(scores.select(F.struct("h").alias("_k"), F.col(c).alias("_v")), [], limit, wanted)
+            found = found.join(one.select("_k.h", F.greatest("_v", F.lit(0.0)).alias(name)), "h", "left")
+        return found.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("lower", "upper")})
     rank = lambda c: F.row_number().over(Window.partitionBy("h").orderBy(F.col(c).asc_nulls_last()))
     ranked = scores.withColumns({"at_below": rank("below"), "at_above": rank("above")}).join(F.broadcast(sizes), "h")
     at = {c: F.max(F.when(F.col(f"at_{c}") == F.ceil((F.col(f"n_{c}") - 1) * level) + 1, F.col(c))) for c in ("below", "above")}
@@ -55,11 +64,11 @@ def widen(test: DataFrame, margins: DataFrame, model: str = "calibrated") -> Dat
     return joined.withColumns({"q10": F.col("q10") * F.exp(-F.col("lower")), "q90": F.col("q90") * F.exp(F.col("upper")), "model": F.lit(model)}).drop("lower", "upper")
 
 
-def symmetric_factors(calibration: DataFrame, level: float = 0.80) -> DataFrame:
+def symmetric_factors(calibration: DataFrame, level: float = 0.80, limit: int | None = None) -> DataFrame:
     """h and k: by horizon the quantile of |y - q50| over the upper half band, smoothed by a centred
     median of five horizons, at least 1."""
     ratio = F.abs(F.col("y") - F.col("q50")) / F.greatest(F.col("q90") - F.col("q50"), F.lit(1e-9))
-    raw = calibration.groupBy("h").agg(F.percentile(ratio, F.lit(level)).alias("raw"))
+    raw = quantiles(calibration, ["h"], {"cut": (ratio, [level])}, limit).select("h", F.col("cut")[0].alias("raw"))
     near = Window.orderBy("h").rowsBetween(-2, 2)
     return raw.select("h", F.greatest(F.percentile("raw", F.lit(0.5)).over(near), F.lit(1.0)).alias("k"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import QUANTILES, pinball, safe_div, safe_ln
+from panelspark.operators.quantiles import quantiles
 
 
 def interval_metrics() -> list[Column]:
@@ -27,14 +28,18 @@ def interval_metrics() -> list[Column]:
     ]
 
 
+#: Where terciles are cut.
+THIRDS = (1 / 3, 2 / 3)
+
+
 def score(rows: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     return rows.groupBy(*keys).agg(*interval_metrics())
 
 
-def with_regimes(rows: DataFrame) -> DataFrame:
+def with_regimes(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Adds regime: terciles of the driver within a fold, each (asset, origin) counted once."""
     once = rows.select("fold", "asset", "origin", "regime_driver").distinct()
-    cuts = once.groupBy("fold").agg(F.percentile("regime_driver", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cut"))
+    cuts = quantiles(once, ["fold"], {"cut": (F.col("regime_driver"), THIRDS)}, limit)
     return labelled(rows.join(F.broadcast(cuts), "fold"), F.col("cut")[0], F.col("cut")[1]).drop("cut")
 
 
@@ -42,10 +47,10 @@ def labelled(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     return rows.withColumn("regime", F.when(F.col("regime_driver") <= low, "low").when(F.col("regime_driver") <= high, "medium").otherwise("high"))
 
 
-def regime_cutpoints(calibration: DataFrame) -> DataFrame:
+def regime_cutpoints(calibration: DataFrame, limit: int | None = None) -> DataFrame:
     """low and high: terciles of the drivers of distinct calibration origins."""
     once = calibration.select("asset", "origin", "regime_driver").distinct()
-    cut = once.agg(F.percentile("regime_driver", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cut"))
+    cut = quantiles(once, [], {"cut": (F.col("regime_driver"), THIRDS)}, limit)
     return cut.select(F.col("cut")[0].alias("low"), F.col("cut")[1].alias("high"))
 
 
@@ -161,10 +166,9 @@ def ensemble_mean(rows: DataFrame, keys: Sequence[str], name: str = "ensemble")
     return rows.groupBy(*keys).agg(*(F.avg(q).alias(q) for q in QUANTILES)).withColumn("model", F.lit(name))
 
 
-def robust_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def robust_statistics(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """Exact median and interquartile range of each column."""
-    cut = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns}
-    wide = df.agg(*cut.values())
+    wide = quantiles(df, [], {c: (F.col(c), (0.25, 0.5, 0.75)) for c in columns}, limit)
     return wide.select(*(x for c in columns for x in (F.col(c)[1].alias(f"{c}_median"), (F.col(c)[2] - F.col(c)[0]).alias(f"{c}_iqr"))))
 
 

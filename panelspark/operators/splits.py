@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.features import HORIZONS
+from panelspark.operators.quantiles import quantiles
 
 
 def micros(ts: str | Column) -> Column:
@@ -43,9 +44,9 @@ def test_rows(masked: DataFrame, folds: DataFrame, needed: Sequence[str]) -> Dat
     return masked.where("is_origin").na.drop(subset=list(needed)).join(F.broadcast(folds), (F.col("date") >= F.col("fold")) & (F.col("date") < F.col("fold_end")))
 
 
-def calibration_cut(train: DataFrame, keys: Sequence[str] = ("fold",), part: float = 0.2) -> DataFrame:
+def calibration_cut(train: DataFrame, keys: Sequence[str] = ("fold",), part: float = 0.2, limit: int | None = None) -> DataFrame:
     """keys and cut: the linear quantile of the dates, in microseconds, from which rows calibrate."""
-    return train.groupBy(*keys).agg(F.percentile(micros("date"), F.lit(1 - part)).alias("cut"))
+    return quantiles(train, keys, {"cuts": (micros("date"), [1 - part])}, limit).select(*keys, F.col("cuts")[0].alias("cut"))
 
 
 def split_calibration(train: DataFrame, keys: Sequence[str] = ("fold",), part: float = 0.2, horizons: Sequence[int] = HORIZONS) -> DataFrame:

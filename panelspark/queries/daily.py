@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import along, clip_sigma, safe_div, safe_ln
-from panelspark.operators import calibrate, ensemble, evidence, features, models, report, score, splits, validate
+from panelspark.operators import calibrate, ensemble, evidence, features, models, quantiles, report, score, splits, validate
 from panelspark.plans import daily
 from panelspark.queries import frames as fr
-from panelspark.queries.registry import query
+from panelspark.queries.registry import another, query
 from panelspark.sources import ingest
 
 D = fr.DAILY
@@ -221,3 +221,15 @@ query("pl5_by_asset", "model, asset, pinball_%:6", lambda s, d: score.score(fr.p
 query("pl6_price_grid", "asset, date, close:4, growth:8", lambda s, d: report.cumulative_returns(fr.panel(s, d)), f"SELECT *, close / first_value(close) OVER ({fr.W}) AS growth FROM panel", P)
 query("pl7_split_line", "asset, origin, fold, sigma:8, rv:8, new_year", lambda s, d: report.split_line(fr.preds(s, d).where("model = 'vol_21d' and h = 1")), "SELECT *, coalesce(year(origin) <> lag(year(origin)) OVER (PARTITION BY asset ORDER BY origin), true) AS new_year FROM pred WHERE model = 'vol_21d' AND h = 1", D)
 query("fn_scalars", "asset, date, a:8, b:8, c:8, e:8, f, g", lambda s, d: fr.feats(s, d).where("vol_5d is not null").select("asset", "date", F.log1p("volume").alias("a"), F.exp(F.least("vol_5d", F.lit(2.0))).alias("b"), F.pow("range", F.lit(2)).alias("c"), safe_div("close", F.col("volume") - 1).alias("e"), F.date_format("date", "yyyyMMdd").alias("f"), F.lower(F.replace("asset", F.lit("-"), F.lit("="))).alias("g")), "SELECT asset, date, ln(1 + volume) AS a, exp(least(vol_5d, 2.0)) AS b, range * range AS c, close / nullif(volume - 1, 0) AS e, strftime(date, '%Y%m%d') AS f, lower(replace(asset, '-', '=')) AS g FROM feat WHERE vol_5d IS NOT NULL", D)
+
+# Exact quantiles of groups that no task holds: ranks are narrowed until LIMIT rows are left.
+LIMIT = 100
+another("ag15_selected_z_table", "ag15_z_table", "fold, model, h, z10:6, z50:6, z90:6", lambda s, d: calibrate.z_table(daily.calibration_rows(fr.ready(s, d), fr.START), limit=LIMIT))
+another("ag24_selected_statistics", "ag24_robust_statistics", "vol_5d_median:8, vol_5d_iqr:8, range_median:8, range_iqr:8", lambda s, d: score.robust_statistics(fr.feats(s, d), ["vol_5d", "range"], LIMIT))
+PRICED = "l_returnflag, low:4, middle:4, high:4"
+query(
+    "ag27_selected_prices",
+    PRICED,
+    lambda s, d: quantiles.quantiles(fr.table(s, d, "lineitem"), ["l_returnflag"], {"q": (F.col("l_extendedprice"), (0.1, 0.5, 0.9))}, LIMIT).select("l_returnflag", *(F.col("q")[i].alias(n) for i, n in enumerate(("low", "middle", "high")))),
+    "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS low, quantile_cont(l_extendedprice, 0.5) AS middle, quantile_cont(l_extendedprice, 0.9) AS high FROM lineitem GROUP BY 1",
+)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.exprs import along, safe_div
 from panelspark.operators import calibrate, intraday, nhits, report, score, splits, validate
 from panelspark.queries import frames as fr
-from panelspark.queries.registry import query
+from panelspark.queries.registry import another, query
 from panelspark.sources import ingest
 from panelspark.spark import kept, scratch
 from panelspark.streaming import bars as stream
@@ -136,6 +136,7 @@ query("bt11_scheduled_split", "split, rows:i, origins:i", lambda s, d: split(s,
 query("st5_last_context_bars", "asset, date, close:6", lambda s, d: report.last_forecast(cv_frame(s, d), fr.bars(s, d), 50)[1], "SELECT bars.* FROM bars WHERE date <= (SELECT max(cutoff) FROM cv) QUALIFY row_number() OVER (PARTITION BY asset ORDER BY date DESC) <= 50", CV)
 query("cv5_volatility_baselines", "model, asset, origin, h, q10:4, q50:4, q90:4", lambda s, d: calibrate.volatility_baselines(forecasts(s, d)), "SELECT m AS model, asset, origin, h, exp(mid - b) AS q10, exp(mid) AS q50, exp(mid + b) AS q90 FROM (SELECT *, ln(last) + CASE WHEN m = 'momentum_vol' THEN h / 96.0 * origin_momentum ELSE 0 END AS mid, 1.2815515655446004 * origin_sigma * sqrt(h) AS b FROM fc, unnest(['persistence_vol', 'momentum_vol']) AS u(m))", CV)
 query("cv4_one_sided_margins", "h, lower:6, upper:6", lambda s, d: calibrate.one_sided_margins(split(s, d).where("split = 'calibration'")), "SELECT * FROM margins", CV)
+another("cv4_selected_margins", "cv4_one_sided_margins", "h, lower:6, upper:6", lambda s, d: calibrate.one_sided_margins(split(s, d).where("split = 'calibration'"), limit=10))
 query("cv4_one_sided_intervals", "model, asset, origin, h, q10:4, q50:4, q90:4", calibrated, "SELECT 'tft_calibrated' AS model, asset, origin, h, q10 * exp(-lower) AS q10, q50, q90 * exp(upper) AS q90 FROM parts JOIN margins USING (h) WHERE split = 'test'", CV)
 KH = """cutoffs AS (SELECT cutoff, row_number() OVER (ORDER BY cutoff) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT cutoff FROM cv)),
  halves AS (SELECT cutoff AS split_at FROM cutoffs WHERE i = CAST(floor(m * 0.6) AS BIGINT)), rows8 AS (SELECT *, exp(mid) AS q50, exp(mid + band) AS q90 FROM cv, halves),

@@ -33,3 +33,9 @@ def query(name: str, spec: str, run: Callable[[SparkSession, str], DataFrame], s
     QUERIES[name] = lambda spark, sf_dir: select_spark(run(spark, sf_dir), spec)
     if sql is not None:
         SQL[name] = (f"WITH {ctes} " if ctes else "") + f"SELECT {select_sql(spec)} FROM ({sql}) AS result"
+
+
+def another(name: str, of: str, spec: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Adds a query that gives the rows of another one, with the same spec, by another way."""
+    query(name, spec, run)
+    SQL[name] = SQL[of]
