@@ -256,3 +256,20 @@ def bar_stream(spark, d) -> DataFrame:
 
 
 query("stream_gap_bars", "asset, date, open:6, high:6, low:6, close:6, volume:1, missing_bar:i", lambda s, d: drained(stream.gap_bars(bar_stream(s, d)), "append", "gap_bars"), "SELECT * FROM grid", fr.INTRA)
+
+
+def latest_bars(spark, d) -> DataFrame:
+    """Bars of the events in a first batch, doubled from 20 January on in a second one; the last arrival stays."""
+    bars = kept(fr.bars(spark, d).select("asset", "date", "close"), "bars")
+    folder = f"{scratch(spark)}/latest-{uuid.uuid4().hex}"
+    for number in (0, 1):
+        part = bars.withColumns({"close": F.col("close") * (number + 1), "arrival": F.lit(number)}).where(F.lit(number == 0) | (F.col("date") >= "2024-01-20"))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    schema = spark.read.parquet(f"{folder}/in").schema
+    table = stream.Latest(f"{folder}/table", ["asset", "date"], "arrival", "date_format(date, 'yyyyMMdd')")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    arriving.writeStream.foreachBatch(table.write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return table.read(spark, schema)
+
+
+query("stream_keep_latest", "asset, date, close:6, arrival:i", latest_bars, "SELECT asset, date, CASE WHEN date >= '2024-01-20' THEN 2 * close ELSE close END AS close, CASE WHEN date >= '2024-01-20' THEN 1 ELSE 0 END AS arrival FROM bars", fr.BARS)

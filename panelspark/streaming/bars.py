@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.sources.ingest import upsert
+from panelspark.sources.ingest import first_by, upsert
 
 
 def event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -87,3 +87,73 @@ def versions(spark, path: str) -> list[int]:
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(root)) if fs.exists(root) else []
+
+
+def _fs(spark, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+class Latest:
+    """A table of the last row of each key that a stream keeps up to date, in slots (an expression of
+    the row, such as its day). A batch rewrites the slots that it has rows of and nothing else.
+
+    `<path>/data/v<n>/_slot=<s>` holds a slot as batch n left it; `<path>/log/v<n>` is the table after
+    batch n, one row a slot with the batch that wrote it last. A log is written aside and then renamed, so
+    readers see a batch whole or not at all, and a batch that is run again starts from the log before it.
+    The last two logs and what they name stay."""
+
+    def __init__(self, path: str, keys: list[str], arrival: str, slot: str):
+        self.path, self.keys, self.arrival, self.slot = path.rstrip("/"), keys, arrival, slot
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """The sink of foreachBatch. Of rows of one key the largest `arrival` stays, of equal ones that of
+        the later batch."""
+        spark = batch.sparkSession
+        before = [v for v in versions(spark, f"{self.path}/log") if v < number]
+        log = spark.read.parquet(f"{self.path}/log/v{before[-1]}") if before else spark.createDataFrame([], LOG)
+        new = batch.withColumn("_slot", F.expr(self.slot).cast("string")).persist()
+        try:
+            touched = new.select("_slot").distinct()
+            old = [f"{self.path}/data/v{r['version']}/_slot={r['_slot']}" for r in log.join(touched, "_slot").collect()]
+            known = spark.read.schema(batch.schema).parquet(*old) if old else batch.limit(0)
+            both = known.select(*batch.columns).withColumn("_new", F.lit(0)).unionByName(new.select(*batch.columns).withColumn("_new", F.lit(1)))
+            merged = first_by(both, self.keys, [F.col(self.arrival).desc(), F.col("_new").desc()]).drop("_new")
+            merged.withColumn("_slot", F.expr(self.slot).cast("string")).repartition("_slot").write.mode("overwrite").partitionBy("_slot").parquet(f"{self.path}/data/v{number}")
+            after = log.join(touched, "_slot", "left_anti").unionByName(touched.withColumn("version", F.lit(number).cast("long")))
+            after.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/new/v{number}")
+        finally:
+            new.unpersist()
+        fs, target = _fs(spark, f"{self.path}/log/v{number}")
+        fs.delete(target, True)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(_fs(spark, f"{self.path}/new/v{number}")[1], target):
+            raise OSError(f"version {number} could not be put in place")
+        self.clean(spark, before[:-1])
+
+    def clean(self, spark, old: list[int]) -> None:
+        """Drops old logs, and the slots that no log names."""
+        for v in old:
+            fs, root = _fs(spark, f"{self.path}/log/v{v}")
+            fs.delete(root, True)
+        logs = [f"{self.path}/log/v{v}" for v in versions(spark, f"{self.path}/log")]
+        named = {(r["version"], r["_slot"]) for r in spark.read.parquet(*logs).distinct().collect()}
+        for v in versions(spark, f"{self.path}/data"):
+            fs, root = _fs(spark, f"{self.path}/data/v{v}")
+            slots = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("_slot=")]
+            kept = [s for s in slots if (v, s.getName()[len("_slot=") :]) in named]
+            if not kept:
+                fs.delete(root, True)
+            for s in slots if kept else []:
+                if (v, s.getName()[len("_slot=") :]) not in named:
+                    fs.delete(s, True)
+
+    def read(self, spark, schema) -> DataFrame:
+        """The table after the last batch."""
+        found = versions(spark, f"{self.path}/log")
+        rows = spark.read.parquet(f"{self.path}/log/v{found[-1]}").collect() if found else []
+        paths = [f"{self.path}/data/v{r['version']}/_slot={r['_slot']}" for r in rows]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+LOG = "_slot string, version long"
