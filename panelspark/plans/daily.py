@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +24,11 @@ def long_sigmas(rows: DataFrame, sigmas: Mapping[str, str], *keep: str) -> DataF
     return wide.select("asset", "date", "close", "vol_21d", *keep, "h", "label_end", "y", "rv", F.inline("_m"))
 
 
-def calibration_rows(ready: DataFrame, start: str, sigmas: Mapping[str, str] = SIGMAS) -> DataFrame:
+def calibration_rows(ready: DataFrame, start: str, sigmas: Mapping[str, str] = SIGMAS, wanted: Mapping[str, str] | None = None) -> DataFrame:
+    """Long rows of the calibration parts, of the wanted models; rows have the volatilities of all sigmas."""
     folds = splits.fold_calendar(ready, start)
     train = splits.train_rows(ready, folds, list(sigmas.values()))
-    return long_sigmas(splits.split_calibration(train).where("part = 'cal'"), sigmas, "fold")
+    return long_sigmas(splits.split_calibration(train).where("part = 'cal'"), wanted or sigmas, "fold")
 
 
 def as_predictions(rows: DataFrame) -> DataFrame:
@@ -35,13 +36,15 @@ def as_predictions(rows: DataFrame) -> DataFrame:
     return rows.select("model", "asset", F.col("date").alias("origin"), "fold", "h", (F.col("close") * F.exp("y")).alias("y"), F.col("close").alias("last"), "sigma", "rv", F.col("vol_21d").alias("regime_driver"))
 
 
-def predictions(panel: DataFrame, start: str, sigmas: Mapping[str, str] = SIGMAS, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def predictions(panel: DataFrame, start: str, sigmas: Mapping[str, str] = SIGMAS, keep: Callable[[DataFrame, str], DataFrame] | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """Predictions of volatility baselines with calibrated intervals, one row a model, asset, origin
-    and horizon. `keep` may write the feature frame, which is read three times, to a table."""
+    and horizon. `keep` may write the feature frame, which is read three times, to a table. Rows must
+    have the volatilities of all `sigmas`; `only` names the models that are wanted of them."""
     ready = keep(prepared(panel), "features") if keep else prepared(panel)
     folds = splits.fold_calendar(ready, start)
-    tests = long_sigmas(splits.test_rows(ready, folds, list(sigmas.values())), sigmas, "fold")
-    z = calibrate.z_table(calibration_rows(ready, start, sigmas))
+    wanted = {m: c for m, c in sigmas.items() if only is None or m in only}
+    tests = long_sigmas(splits.test_rows(ready, folds, list(sigmas.values())), wanted, "fold")
+    z = calibrate.z_table(calibration_rows(ready, start, sigmas, wanted))
     out = calibrate.bands(as_predictions(tests), z)
     return out.select("model", "asset", "origin", "fold", "h", "y", "last", "sigma", "rv", "regime_driver", "q10", "q50", "q90")
 

@@ -40,7 +40,7 @@ def tickers(spark, d) -> DataFrame:
 # Sources
 query("src1_parquet_scan", "o_orderkey, o_custkey, o_totalprice, o_orderpriority", lambda s, d: fr.table(s, d, "orders"), "SELECT * FROM orders")
 query("src2_projected_scan", "o_orderkey, o_totalprice", lambda s, d: fr.table(s, d, "orders").select("o_orderkey", "o_totalprice").where("o_totalprice > 100000"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
-query("src3_bundle_union", "model, n:i", lambda s, d: fr.preds(s, d).where("model = 'vol_5d'").unionByName(fr.preds(s, d).where("model = 'vol_63d'")).groupBy("model").agg(F.count("*").alias("n")), "SELECT model, count(*) AS n FROM pred WHERE model IN ('vol_5d', 'vol_63d') GROUP BY model", D)
+query("src3_bundle_union", "model, n:i", lambda s, d: (lambda p: p[0].unionByName(p[1]))(pair(s, d)).groupBy("model").agg(F.count("*").alias("n")), "SELECT model, count(*) AS n FROM pred WHERE model IN ('vol_5d', 'vol_63d') GROUP BY model", D)
 query("src5_ohlcv_ingest", "asset, date, open:4, high:4, low:4, close:4, volume:4", lambda s, d: ingest.ohlcv(raw_pages(s, d), F.lit("2001-06-15 10:30:00").cast("timestamp_ntz"), ingest.PRESETS["1d"], 200), "SELECT * FROM panel WHERE date < TIMESTAMP '2001-06-15' AND asset IN (SELECT asset FROM panel WHERE date < TIMESTAMP '2001-06-15' GROUP BY asset HAVING count(*) >= 200)", P)
 query("src7_incomplete_cutoff", "asset, date, close:4", lambda s, d: fr.panel(s, d).where(F.col("date") < ingest.cutoff(F.lit("2000-03-05 17:12:00").cast("timestamp_ntz"), ingest.PRESETS["1d"])), "SELECT * FROM panel WHERE date < TIMESTAMP '2000-03-05'", P)
 query("src8_funding_daily", "asset, date, funding_sum:8, funding_n:i", fr.funding, "SELECT * FROM funding", fr.FUNDING)
@@ -122,9 +122,9 @@ query("ag3_mape_by_horizon", f"model, {H7}", lambda s, d: score.mape_by_horizon(
 
 # Calibration and models
 query("md1_clip_sigma", "asset, date, sigma:8", lambda s, d: fr.feats(s, d).withColumn("sigma", clip_sigma(F.col("vol_21d") / 5)), "SELECT *, least(greatest(coalesce(vol_21d / 5, 1e-4), 1e-4), 0.3) AS sigma FROM feat", D)
-query("md2_bands", "model, asset, origin, h, q10:3, q50:3, q90:3", fr.preds, "SELECT * FROM pred", D)
+query("md2_bands", "model, asset, origin, h, q10:3, q50:3, q90:3", fr.preds_once, "SELECT * FROM pred", D)
 query("md3_normal_bands", "asset, date, h, q10:3, q50:3, q90:3", lambda s, d: calibrate.normal_bands(fr.feats(s, d).where("vol_63d is not null").select("asset", "date", F.col("close").alias("last"), F.col("vol_63d").alias("sigma"), F.explode(F.array(F.lit(1), F.lit(7))).alias("h"))), "SELECT asset, date, CAST(k AS INTEGER) AS h, close * exp(-1.2815515655446004 * vol_63d * sqrt(k)) AS q10, close AS q50, close * exp(1.2815515655446004 * vol_63d * sqrt(k)) AS q90 FROM feat, unnest([1, 7]) AS u(k) WHERE vol_63d IS NOT NULL", D)
-query("md4_vol21_baseline", f"model, {fr.METRIC_SPEC}", lambda s, d: score.score(fr.preds(s, d).where("model = 'vol_21d'")), f"SELECT model, {fr.METRICS} FROM pred WHERE model = 'vol_21d' GROUP BY model", D)
+query("md4_vol21_baseline", f"model, {fr.METRIC_SPEC}", lambda s, d: score.score(fr.preds_once(s, d, ("vol_21d",))), f"SELECT model, {fr.METRICS} FROM pred WHERE model = 'vol_21d' GROUP BY model", D)
 query("ag15_z_table", "fold, model, h, z10:6, z50:6, z90:6", lambda s, d: calibrate.z_table(daily.calibration_rows(fr.ready(s, d), fr.START)), "SELECT fold, model, h, z[1] AS z10, z[2] AS z50, z[3] AS z90 FROM z", D)
 ONE = "one AS (SELECT asset, date, har_5d, ln(rv5) AS target FROM mask WHERE har_5d IS NOT NULL AND rv5 > 0 AND date < TIMESTAMP '1998-01-01')"
 query("md5_single_factor_fit", "asset, intercept:6, slope:6", lambda s, d: models.linear_fits(fr.ready(s, d).where("date < '1998-01-01'").withColumn("target", safe_ln("rv5")), ["asset"], ["har_5d"], "target").select("asset", "intercept", F.col("coefficients")[0].alias("slope")), "SELECT asset, regr_intercept(target, har_5d) AS intercept, regr_slope(target, har_5d) AS slope FROM one GROUP BY asset", f"{D}, {ONE}")
@@ -135,19 +135,19 @@ query("cv6_forecast_now", "asset, origin, h, q10:3, q50:3, q90:3, band_%:6", lam
 
 # Scores
 query("ag1_sum_and_size", "asset, total:6, n:i", lambda s, d: fr.settlements(s, d).groupBy("asset").agg(F.sum("rate").alias("total"), F.count("*").alias("n")), "SELECT asset, sum(funding_sum) AS total, sum(funding_n) AS n FROM funding GROUP BY asset", fr.FUNDING)
-query("ag4_pinball", "model, l10:4, l50:4, l90:4", lambda s, d: fr.preds(s, d).groupBy("model").agg(*(F.avg(score.pinball("y", f"q{int(q * 100)}", q)).alias(f"l{int(q * 100)}") for q in (0.1, 0.5, 0.9))), f"SELECT model, avg({fr.pin(0.1, 'q10')}) AS l10, avg({fr.pin(0.5, 'q50')}) AS l50, avg({fr.pin(0.9, 'q90')}) AS l90 FROM pred GROUP BY model", D)
-query("ag5_score", f"model, {fr.METRIC_SPEC}", lambda s, d: score.score(fr.preds(s, d)), f"SELECT model, {fr.METRICS} FROM pred GROUP BY model", D)
+query("ag4_pinball", "model, l10:4, l50:4, l90:4", lambda s, d: fr.preds_once(s, d).groupBy("model").agg(*(F.avg(score.pinball("y", f"q{int(q * 100)}", q)).alias(f"l{int(q * 100)}") for q in (0.1, 0.5, 0.9))), f"SELECT model, avg({fr.pin(0.1, 'q10')}) AS l10, avg({fr.pin(0.5, 'q50')}) AS l50, avg({fr.pin(0.9, 'q90')}) AS l90 FROM pred GROUP BY model", D)
+query("ag5_score", f"model, {fr.METRIC_SPEC}", lambda s, d: score.score(fr.preds_once(s, d)), f"SELECT model, {fr.METRICS} FROM pred GROUP BY model", D)
 query("ag6_coverage_by_horizon", f"model, {H7}", lambda s, d: score.coverage_by_horizon(fr.preds(s, d), features.HORIZONS), "SELECT model, " + ", ".join(f"100 * avg(CASE WHEN q10 <= y AND y <= q90 THEN 1.0 ELSE 0.0 END) FILTER (h = {h}) AS h{h}" for h in features.HORIZONS) + " FROM pred GROUP BY model", D)
 RETURNS = "SELECT *, y / last - 1 AS ar, q50 / last - 1 AS pr FROM pred"
 query("ag7_point_metrics", "model, MAE:4, RMSE:4, MAPE:6, R2_ret:6, DirAcc:6", lambda s, d: score.point_metrics(fr.preds(s, d)), f"SELECT model, avg(abs(y - q50)) AS \"MAE\", sqrt(avg((y - q50) * (y - q50))) AS \"RMSE\", 100 * avg(abs(y - q50) / y) AS \"MAPE\", 1 - sum((ar - pr) * (ar - pr)) / nullif(var_pop(ar) * count(ar), 0) AS \"R2_ret\", avg({HIT.format('q50')}) FILTER (h = 7) AS \"DirAcc\" FROM ({RETURNS}) GROUP BY model", D)
-query("ag8_grouped_score", f"model, asset, fold, {fr.METRIC_SPEC}", lambda s, d: score.score(fr.preds(s, d), ["model", "asset", "fold"]), f"SELECT model, asset, fold, {fr.METRICS} FROM pred GROUP BY 1, 2, 3", D)
+query("ag8_grouped_score", f"model, asset, fold, {fr.METRIC_SPEC}", lambda s, d: score.score(fr.preds_once(s, d), ["model", "asset", "fold"]), f"SELECT model, asset, fold, {fr.METRICS} FROM pred GROUP BY 1, 2, 3", D)
 query("ag9_metric_tables", f"grain, model, h:i, asset, fold, regime, {fr.METRIC_SPEC}", lambda s, d: score.metric_tables(fr.preds(s, d)).na.fill(0, ["h"]), f"SELECT CASE WHEN grouping(h) = 0 THEN 'horizon' WHEN grouping(asset) = 0 THEN 'asset' WHEN grouping(regime) = 0 THEN 'regime' WHEN grouping(fold) = 0 THEN 'fold' ELSE 'overall' END AS grain, model, coalesce(h, 0) AS h, asset, fold, regime, {fr.METRICS} FROM regimes GROUP BY GROUPING SETS ((model), (model, h), (model, asset), (model, fold), (model, fold, regime))", D)
 query("ag10_fold_regimes", "fold, regime, n:i", lambda s, d: score.with_regimes(fr.preds(s, d)).groupBy("fold", "regime").agg(F.count("*").alias("n")), "SELECT fold, regime, count(*) AS n FROM regimes GROUP BY 1, 2", D)
 query("ag11_fixed_cutpoints", "fold, regime, n:i", lambda s, d: score.apply_regimes(fr.preds(s, d).where("fold >= '2000-01-01'"), score.regime_cutpoints(fr.preds(s, d).where("fold < '2000-01-01'"))).groupBy("fold", "regime").agg(F.count("*").alias("n")), "SELECT fold, CASE WHEN regime_driver <= c[1] THEN 'low' WHEN regime_driver <= c[2] THEN 'medium' ELSE 'high' END AS regime, count(*) AS n FROM pred, (SELECT quantile_cont(regime_driver, [1/3, 2/3]) AS c FROM (SELECT DISTINCT asset, origin, regime_driver FROM pred WHERE fold < TIMESTAMP '2000-01-01')) WHERE fold >= TIMESTAMP '2000-01-01' GROUP BY 1, 2", D)
-query("ag16_log_vol_mae", "model, h, log_vol_mae:6", lambda s, d: score.log_vol_mae(fr.preds(s, d)), "SELECT model, h, avg(CASE WHEN rv > 0 AND sigma > 0 THEN abs(ln(rv) - ln(sigma)) END) AS log_vol_mae FROM pred GROUP BY 1, 2", D)
+query("ag16_log_vol_mae", "model, h, log_vol_mae:6", lambda s, d: score.log_vol_mae(fr.preds_once(s, d)), "SELECT model, h, avg(CASE WHEN rv > 0 AND sigma > 0 THEN abs(ln(rv) - ln(sigma)) END) AS log_vol_mae FROM pred GROUP BY 1, 2", D)
 query("ag17_distinct_counts", "folds:i, assets:i, models:i, origins:i", lambda s, d: fr.preds(s, d).agg(F.count_distinct("fold").alias("folds"), F.count_distinct("asset").alias("assets"), F.count_distinct("model").alias("models"), F.count_distinct("asset", "origin").alias("origins")), "SELECT count(DISTINCT fold) AS folds, count(DISTINCT asset) AS assets, count(DISTINCT model) AS models, count(DISTINCT (asset, origin)) AS origins FROM pred", D)
 query("ag19_return_correlation", "a, b, corr:6, n:i", lambda s, d: report.return_correlations(fr.panel(s, d)), "SELECT x.asset AS a, y.asset AS b, corr(x.lr, y.lr) AS corr, count(*) AS n FROM base x JOIN base y ON x.date = y.date WHERE x.lr IS NOT NULL AND y.lr IS NOT NULL GROUP BY 1, 2", D)
-query("ag20_ensemble_mean", "asset, origin, h, q10:3, q50:3, q90:3", lambda s, d: score.ensemble_mean(fr.preds(s, d), ["asset", "origin", "h"]), "SELECT asset, origin, h, avg(q10) AS q10, avg(q50) AS q50, avg(q90) AS q90 FROM pred GROUP BY 1, 2, 3", D)
+query("ag20_ensemble_mean", "asset, origin, h, q10:3, q50:3, q90:3", lambda s, d: score.ensemble_mean(fr.preds_once(s, d), ["asset", "origin", "h"]), "SELECT asset, origin, h, avg(q10) AS q10, avg(q50) AS q50, avg(q90) AS q90 FROM pred GROUP BY 1, 2, 3", D)
 query("ag21_winner_by_asset", "asset, winner, margin:6", lambda s, d: report.winners(score.score(fr.preds(s, d), ["asset", "model"])), f"SELECT asset, max(model) FILTER (r = 1) AS winner, max(pinball) FILTER (r = 2) / max(pinball) FILTER (r = 1) - 1 AS margin FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(pinball, 10), model) AS r FROM (SELECT asset, model, {fr.METRICS} FROM pred GROUP BY 1, 2)) GROUP BY asset", D)
 query("ag22_ablation_summary", "candidate, overall:6, coverage:6, worst_fold:6", lambda s, d: score.ablation_summary(fr.preds(s, d)), f"SELECT model AS candidate, sum(\"pinball_%\" * origins) / sum(origins) AS overall, sum(coverage * origins) / sum(origins) AS coverage, max(\"pinball_%\") AS worst_fold FROM (SELECT model, fold, count(DISTINCT (asset, origin)) AS origins, {fr.METRICS} FROM pred GROUP BY 1, 2) GROUP BY model", D)
 query("ag23_regime_collapse", "model, regime, pinball_%:6", lambda s, d: report.by_regime(fr.preds(s, d)), f"SELECT model, regime, avg(\"pinball_%\") AS \"pinball_%\" FROM (SELECT model, fold, regime, {fr.METRICS} FROM regimes GROUP BY 1, 2, 3) GROUP BY 1, 2", D)
@@ -160,7 +160,8 @@ BLENDED = "blended AS (SELECT a.asset, a.origin, a.h, a.fold, a.y, a.last, w, w
 
 
 def pair(spark, d):
-    return [fr.preds(spark, d).where(F.col("model") == m) for m in ("vol_5d", "vol_63d")]
+    both = fr.preds(spark, d, ("vol_5d", "vol_63d"))
+    return [both.where(F.col("model") == m) for m in ("vol_5d", "vol_63d")]
 
 
 query("cv1_blend", "model, asset, origin, h, sigma:6, q10:3, q50:3, q90:3", lambda s, d: ensemble.blend(*pair(s, d), 0.25), "SELECT *, 'blend' AS model FROM blended WHERE w = 0.25", f"{D}, {BLENDED}")
@@ -200,12 +201,12 @@ query("val11_staleness", "last, stale", lambda s, d: validate.staleness(fr.panel
 
 # Sorts, limits, sets
 query("st1_sorted_panel", "asset, date, close:4", lambda s, d: fr.panel(s, d).orderBy("asset", "date"), "SELECT * FROM panel", P)
-query("st2_sorted_models", "model, pinball:4", lambda s, d: score.score(fr.preds(s, d)).orderBy("pinball"), f"SELECT model, {fr.METRICS} FROM pred GROUP BY model", D)
+query("st2_sorted_models", "model, pinball:4", lambda s, d: score.score(fr.preds_once(s, d)).orderBy("pinball"), f"SELECT model, {fr.METRICS} FROM pred GROUP BY model", D)
 query("st3_top_n", "symbol, quote_volume:4", lambda s, d: ingest.universe(tickers(s, d), 5, stable=()), "SELECT p_brand || '-' || p_partkey AS symbol, p_retailprice * p_size AS quote_volume FROM part WHERE p_partkey % 3 > 0 AND p_partkey % 7 > 0 AND p_partkey % 5 > 0 ORDER BY quote_volume DESC, symbol LIMIT 5")
 query("st6_argmin_ties", "weight:2, loss:6", lambda s, d: ensemble.select_weight(*(fr.preds(s, d).where("model = 'vol_5d'") for _ in range(2)), weights=(0.0, 0.25, 0.75, 1.0)), f"SELECT 0.25 AS weight, \"pinball_%\" AS loss FROM (SELECT {fr.METRICS} FROM pred WHERE model = 'vol_5d')", D)
 query("st7_runner_up", "asset, best, loss:4", lambda s, d: score.score(fr.preds(s, d), ["asset", "model"]).groupBy("asset").agg(F.min_by("model", "pinball").alias("best"), F.min("pinball").alias("loss")), f"SELECT asset, arg_min(model, pinball) AS best, min(pinball) AS loss FROM (SELECT asset, model, {fr.METRICS} FROM pred GROUP BY 1, 2) GROUP BY asset", D)
 query("so1_union_all", "kind, n:i", lambda s, d: fr.panel(s, d).select(F.lit("bar").alias("kind")).unionByName(fr.funding(s, d).select(F.lit("funding").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n")), "SELECT 'bar' AS kind, count(*) AS n FROM panel UNION ALL SELECT 'funding', count(*) FROM funding", D)
-query("so2_distinct", "fold, asset, origin, regime_driver:8", lambda s, d: fr.preds(s, d).select("fold", "asset", "origin", "regime_driver").distinct(), "SELECT DISTINCT fold, asset, origin, regime_driver FROM pred", D)
+query("so2_distinct", "fold, asset, origin, regime_driver:8", lambda s, d: fr.preds_once(s, d).select("fold", "asset", "origin", "regime_driver").distinct(), "SELECT DISTINCT fold, asset, origin, regime_driver FROM pred", D)
 query("so4_except", "asset, date", lambda s, d: fr.panel(s, d).select("asset", "date").exceptAll(fr.funding(s, d).select("asset", "date")), "SELECT asset, date FROM panel EXCEPT SELECT asset, date FROM funding", D)
 query("so5_key_set_equality", "differing:i", lambda s, d: ensemble.misaligned(*pair(s, d)).agg(F.count("*").alias("differing")), "SELECT 0 AS differing")
 query("so5_key_set_difference", "differing:i", lambda s, d: (lambda p: ensemble.misaligned(p[0], p[1].where("asset <> '5-LOW' and h < 7")).agg(F.count("*").alias("differing")))(pair(s, d)), "SELECT count(*) AS differing FROM pred WHERE model = 'vol_5d' AND (asset = '5-LOW' OR h = 7)", D)
@@ -213,11 +214,11 @@ query("so6_pivot", "date, " + ", ".join(f"a{i}:4" for i in range(1, 6)), lambda
 query("so7_unpivot", "asset, date, field, value:4", lambda s, d: fr.panel(s, d).unpivot(["asset", "date"], ["open", "close"], "field", "value"), "SELECT asset, date, 'open' AS field, open AS value FROM panel UNION ALL SELECT asset, date, 'close', close FROM panel", P)
 
 # Charts
-query("pl1_forecast_bands", "model, asset, origin, y:3, q10:3, q50:3, q90:3", lambda s, d: report.forecast_bands(fr.preds(s, d)), "SELECT * FROM pred WHERE h = 7", D)
-query("pl2_coverage_line", "model, h, coverage:6", lambda s, d: score.score(fr.preds(s, d), ["model", "h"]), f"SELECT model, h, {fr.METRICS} FROM pred GROUP BY 1, 2", D)
-query("pl3_pinball_by_model", "model, pinball:4", lambda s, d: score.score(fr.preds(s, d)), f"SELECT model, {fr.METRICS} FROM pred GROUP BY 1", D)
-query("pl4_volatility_fit", "model, asset, origin, sigma:8, rv:8", lambda s, d: report.volatility_fit(fr.preds(s, d)), "SELECT * FROM pred WHERE h = 7", D)
-query("pl5_by_asset", "model, asset, pinball_%:6", lambda s, d: score.score(fr.preds(s, d), ["model", "asset"]), f"SELECT model, asset, {fr.METRICS} FROM pred GROUP BY 1, 2", D)
+query("pl1_forecast_bands", "model, asset, origin, y:3, q10:3, q50:3, q90:3", lambda s, d: report.forecast_bands(fr.preds_once(s, d)), "SELECT * FROM pred WHERE h = 7", D)
+query("pl2_coverage_line", "model, h, coverage:6", lambda s, d: score.score(fr.preds_once(s, d), ["model", "h"]), f"SELECT model, h, {fr.METRICS} FROM pred GROUP BY 1, 2", D)
+query("pl3_pinball_by_model", "model, pinball:4", lambda s, d: score.score(fr.preds_once(s, d)), f"SELECT model, {fr.METRICS} FROM pred GROUP BY 1", D)
+query("pl4_volatility_fit", "model, asset, origin, sigma:8, rv:8", lambda s, d: report.volatility_fit(fr.preds_once(s, d)), "SELECT * FROM pred WHERE h = 7", D)
+query("pl5_by_asset", "model, asset, pinball_%:6", lambda s, d: score.score(fr.preds_once(s, d), ["model", "asset"]), f"SELECT model, asset, {fr.METRICS} FROM pred GROUP BY 1, 2", D)
 query("pl6_price_grid", "asset, date, close:4, growth:8", lambda s, d: report.cumulative_returns(fr.panel(s, d)), f"SELECT *, close / first_value(close) OVER ({fr.W}) AS growth FROM panel", P)
 query("pl7_split_line", "asset, origin, fold, sigma:8, rv:8, new_year", lambda s, d: report.split_line(fr.preds(s, d).where("model = 'vol_21d' and h = 1")), "SELECT *, coalesce(year(origin) <> lag(year(origin)) OVER (PARTITION BY asset ORDER BY origin), true) AS new_year FROM pred WHERE model = 'vol_21d' AND h = 1", D)
 query("fn_scalars", "asset, date, a:8, b:8, c:8, e:8, f, g", lambda s, d: fr.feats(s, d).where("vol_5d is not null").select("asset", "date", F.log1p("volume").alias("a"), F.exp(F.least("vol_5d", F.lit(2.0))).alias("b"), F.pow("range", F.lit(2)).alias("c"), safe_div("close", F.col("volume") - 1).alias("e"), F.date_format("date", "yyyyMMdd").alias("f"), F.lower(F.replace("asset", F.lit("-"), F.lit("="))).alias("g")), "SELECT asset, date, ln(1 + volume) AS a, exp(least(vol_5d, 2.0)) AS b, range * range AS c, close / nullif(volume - 1, 0) AS e, strftime(date, '%Y%m%d') AS f, lower(replace(asset, '-', '=')) AS g FROM feat WHERE vol_5d IS NOT NULL", D)

@@ -57,9 +57,15 @@ def ready(spark: SparkSession, d: str) -> DataFrame:
     return daily.prepared(panel(spark, d))
 
 
-def preds(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions of the baselines, written once: most readers use them more than once."""
-    return kept(daily.predictions(panel(spark, d), START, keep=kept), "predictions")
+def preds(spark: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Predictions of the baselines, or of some of them, written once: most readers use them more than
+    once. Building the frame writes it."""
+    return kept(preds_once(spark, d, only), "predictions")
+
+
+def preds_once(spark: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The same for readers that pass over them once; the features are written."""
+    return daily.predictions(panel(spark, d), START, keep=kept, only=only)
 
 
 W = "PARTITION BY asset ORDER BY date"

@@ -51,11 +51,12 @@ def origins(spark, d) -> DataFrame:
 
 
 def split(spark, d) -> DataFrame:
-    return splits.scheduled_split(forecasts(spark, d), origins(spark, d), 10, 6, 0)
+    rows = kept(forecasts(spark, d), "forecasts")
+    return splits.scheduled_split(rows, rows.select("origin").distinct(), 10, 6, 0)
 
 
 def calibrated(spark, d) -> DataFrame:
-    rows = split(spark, d)
+    rows = kept(split(spark, d), "split")
     return calibrate.widen(rows.where("split = 'test'"), calibrate.one_sided_margins(rows.where("split = 'calibration'")), "tft_calibrated")
 
 
