@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators import boosting, features, models, score, splits, walk
+from panelspark.operators import boosting, features, models, recurrent, score, splits, walk
 from panelspark.queries import frames as fr
 from panelspark.queries.registry import query
 from panelspark.spark import kept
@@ -103,7 +103,9 @@ query("md6_ridge_sigma", TEST, lambda s, d: walk.ridge(series(s, d), COLUMNS).wh
 query("md7_garch_sigma", TEST, lambda s, d: walk.garch(series(s, d), panel(s, d)).where("part = 'test'"))
 query("md8_boosted_sigma", f"model, {TEST}", lambda s, d: walk.trees(pooled(s, d), COLUMNS).where("part = 'test'"))
 query("md9_decomposition_linear", TEST, lambda s, d: walk.decomposition(pooled(s, d), features.lookback_windows(panel(s, d))).where("part = 'test'"))
-query("md10_lstm_sigma", TEST, lambda s, d: walk.lstm(pooled(s, d), features.lookback_windows(panel(s, d))).where("part = 'test'"))
+#: At most 15 epochs in the query, in whole batches, as its folds are trained by one core each.
+SHORT = recurrent.Plan(epochs=15, patience=4, piece=256)
+query("md10_lstm_sigma", TEST, lambda s, d: walk.lstm(pooled(s, d), features.lookback_windows(panel(s, d)), plan=SHORT).where("part = 'test'"))
 query("md13_classical_prices", "asset, origin, model, h, yhat:4", lambda s, d: models.walk_forward(panel(s, d), models.classical, batch=True))
 
 
