@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import along, last_rows, safe_div, safe_ln
+from panelspark.operators import likelihood
 from panelspark.operators.features import daily_features, origin_mask
 
 HORIZON, HISTORY, SEASON, TREND = 7, 60, 7, 30
@@ -45,17 +46,24 @@ def trend_forecasts(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
 def walk_forward(panel: DataFrame, predict: Callable[..., dict[str, np.ndarray]], horizon: int = HORIZON, context: int = 400, batch: bool = False) -> DataFrame:
     """Rows of any predictor of (last closes) -> {model: forecasts}, or, with `batch`, of one that takes
-    the last closes of all origins of an asset and gives a row of forecasts for each. An asset's series is
-    one group, of which each origin sees its last `context` closes; a predictor that raises or gives
-    numbers that are not finite falls back to the last close."""
-    rows = origin_mask(panel).select("asset", "date", "close", "is_origin")
+    the last closes of all origins of a group and gives a row of forecasts for each. A group is a stretch
+    of `context` rows of an asset with the rows that its origins see before and after it, so one long
+    series is many tasks. A predictor that raises or gives numbers that are not finite falls back to the
+    last close."""
+    w = along()
+    rows = origin_mask(panel).select("asset", "date", "close", "is_origin", (F.row_number().over(w) - 1).alias("i"), F.abs(F.col("close") - F.lag("close").over(w)).alias("move"))
+    rows = rows.withColumn("naive_mae", F.avg("move").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("move")
+    wanted = F.sequence(F.greatest(F.floor((F.col("i") - horizon) / context), F.lit(0)), F.floor((F.col("i") + context - 1) / context))
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("block", F.explode(wanted)).repartition(parts, "asset", "block")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        close, at = group["close"].to_numpy(float), np.flatnonzero(group["is_origin"])
+        group = group.sort_values("i")
+        close, own = group["close"].to_numpy(float), group["i"].to_numpy() // context == group["block"].to_numpy()
+        at = np.flatnonzero(group["is_origin"].to_numpy(bool) & own)
         if not len(at):
-            return pd.DataFrame({c: [] for c in ("asset", "origin", "model", "h", "y", "yhat", "last", "naive_mae")})
-        naive = np.cumsum(np.abs(np.diff(close)))[at - 1] / at
+            return pd.DataFrame(columns=["asset", "origin", "model", "h", "y", "yhat", "last", "naive_mae"], dtype=object)
+        naive = group["naive_mae"].to_numpy()[at]
         if batch:
             found = predict([close[max(0, i + 1 - context) : i + 1] for i in at])
         else:
@@ -76,7 +84,7 @@ def walk_forward(panel: DataFrame, predict: Callable[..., dict[str, np.ndarray]]
             out.append(pd.DataFrame(each))
         return pd.concat(out)
 
-    return rows.groupBy("asset").applyInPandas(run, "asset string, origin timestamp_ntz, model string, h int, y double, yhat double, last double, naive_mae double")
+    return rows.groupBy("asset", "block").applyInPandas(run, "asset string, origin timestamp_ntz, model string, h int, y double, yhat double, last double, naive_mae double")
 
 
 def arma_residuals(d: np.ndarray, size: np.ndarray, phi, theta, seasonal_phi, seasonal_theta, season: int = SEASON) -> np.ndarray:
@@ -96,8 +104,8 @@ def arma_residuals(d: np.ndarray, size: np.ndarray, phi, theta, seasonal_phi, se
     return e[season + 1 :]
 
 
-def arima(histories: Sequence[np.ndarray], seasonal: bool = False, horizon: int = HORIZON, rounds: int = 24, season: int = SEASON) -> np.ndarray:
-    """Forecasts of ARIMA(1,1,1), or with (1,0,1) every seventh step, by least squares of the one-step
+def least_squares(histories: Sequence[np.ndarray], seasonal: bool = False, rounds: int = 12, season: int = SEASON) -> np.ndarray:
+    """Parameters of ARIMA(1,1,1), or with (1,0,1) every seventh step, by least squares of the one-step
     residuals: a shrinking search over the parameters of all histories at once."""
     width = max(len(h) for h in histories) - 1
     size = np.array([len(h) - 1 for h in histories])
@@ -105,25 +113,24 @@ def arima(histories: Sequence[np.ndarray], seasonal: bool = False, horizon: int
     k = 4 if seasonal else 2
     moves = np.concatenate([np.zeros((1, k)), np.eye(k), -np.eye(k)])
     best, step = np.zeros((len(d), k)), np.full(len(d), 0.4)
-
-    def parameters(p: np.ndarray) -> tuple:
-        return (p[..., 0], p[..., 1], p[..., 2], p[..., 3]) if seasonal else (p[..., 0], p[..., 1], 0.0, 0.0)
-
     for _ in range(rounds):
-        tried = np.clip(best[:, None] + step[:, None, None] * moves, -0.98, 0.98)
-        e = arma_residuals(d[:, None, :], size[:, None], *parameters(tried), season)
+        tried = np.clip(best[:, None] + step[:, None, None] * moves, -0.95, 0.95)
+        parameters = [tried[..., i] for i in range(k)] + [0.0] * (4 - k)
+        e = arma_residuals(d[:, None, :], size[:, None], *parameters, season)
         at = np.argmin(np.sum(e * e, axis=0), axis=1)
         best = tried[np.arange(len(d)), at]
         step = np.where(at == 0, step / 2, step)
-    phi, theta, sp, st = (np.broadcast_to(p, len(d)) for p in parameters(best))
-    e = arma_residuals(d, size, phi, theta, sp, st, season)
-    x = [np.zeros(len(d))] * (season + 1) + list(d.T)
-    r = [np.zeros(len(d))] * (season + 1) + list(e)
-    for _ in range(horizon):
-        x.append(phi * x[-1] + sp * (x[-season] - phi * x[-season - 1]) + theta * r[-1] + st * (r[-season] + theta * r[-season - 1]))
-        r.append(np.zeros(len(d)))
+    return best
+
+
+def arima(histories: Sequence[np.ndarray], seasonal: bool = False, horizon: int = HORIZON, season: int = SEASON) -> np.ndarray:
+    """Forecasts of ARIMA(1,1,1), or with (1,0,1) every seventh step, by exact likelihood of the
+    differences; the search begins where least squares ends. A history that does not move goes on so."""
+    d, size = likelihood.differences(histories)
+    start = least_squares(histories, seasonal, season=season)
+    p = likelihood.fitted(d, size, start, season)
     last = np.array([h[-1] for h in histories])
-    return last[:, None] + np.cumsum(np.stack(x[-horizon:], 1), axis=1)
+    return last[:, None] + np.cumsum(likelihood.continued(d, size, p, horizon, season), axis=1)
 
 
 def classical(histories: Sequence[np.ndarray], block: int = 128) -> dict[str, np.ndarray]:

@@ -458,6 +458,22 @@ def test_arima_finds_its_parameters_and_continues():
     assert np.allclose(models.arima([np.full(90, 5.0)], seasonal=True), 5.0)
 
 
+def test_walk_forward_of_one_long_series_in_blocks(spark):
+    """Blocks see the same closes as one group would, whatever a block is; assets without origins give no rows."""
+    rows = [("L", START + i * DAY, 100.0 + (i * 37 % 101) + i / 50) for i in range(700)] + [("S", START + i * DAY, 5.0) for i in range(20)]
+    panel = spark.createDataFrame([(a, t, c, c, c, c, 1.0) for a, t, c in rows], "asset string, date timestamp_ntz, open double, high double, low double, close double, volume double")
+    close = np.array([r[2] for r in rows[:700]])
+    found = models.walk_forward(panel, lambda h: {"sum": np.full(7, h.sum() + len(h))}, context=90).toPandas()
+    at = ((found["origin"] - START).dt.days).to_numpy()
+    assert len(set(at)) > 50 and set(found["asset"]) == {"L"} and not found.duplicated(["origin", "h"]).any()
+    for i, h, y, yhat, last, mae in zip(at, found["h"], found["y"], found["yhat"], found["last"], found["naive_mae"], strict=True):
+        seen = close[max(0, i - 89) : i + 1]
+        assert np.isclose(yhat, seen.sum() + len(seen)) and y == close[i + h] and last == close[i]
+        assert np.isclose(mae, np.abs(np.diff(close[: i + 1])).mean())
+    origins = models.point_baselines(panel).select("origin").distinct().count()
+    assert len(set(at)) == origins
+
+
 def test_gap_bars_and_cursor_are_streams(spark):
     import __spark_entry__ as entry
 
