@@ -138,16 +138,23 @@ def direction_interval(rows: DataFrame, keys: Sequence[str] = ("model",), horizo
     return direction_clusters(rows, keys, horizon).groupBy(*keys).applyInPandas(draw, ", ".join(f"{k} string" for k in keys) + ", direction_ci_low double, direction_ci_high double")
 
 
-def hashed_interval(rows: DataFrame, keys: Sequence[str] = ("model",), horizon: int = 96, samples: int = 200, seed: int = 42) -> DataFrame:
-    """The same by a Poisson bootstrap whose weights come from a hash of origin and sample: no group
-    is gathered, any number of origins will do."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("origin").cast("string"), F.col("b")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+def poisson_steps(bits: int = 40, most: int = 9) -> list[int]:
+    """Where a draw of so many bits passes to the next count of a Poisson variable of mean 1."""
     steps, total, term = [], 0.0, float(np.exp(-1.0))
-    for k in range(9):
+    for k in range(most):
         total += term
-        steps.append(total)
+        steps.append(round(total * (1 << bits)))
         term /= k + 1
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
+    return steps
+
+
+def hashed_interval(rows: DataFrame, keys: Sequence[str] = ("model",), horizon: int = 96, samples: int = 200, seed: int = 42) -> DataFrame:
+    """The same by a Poisson bootstrap whose weights come from a counter, the md5 of seed, origin in
+    microseconds and sample: no group is gathered, any number of origins will do, and any engine that
+    has md5 draws the same."""
+    counter = F.concat_ws(":", F.lit(seed), F.unix_micros(F.col("origin").cast("timestamp")), "b")
+    draw = F.conv(F.substring(F.md5(counter), 1, 10), 16, 10).cast("long")
+    weight = sum((F.when(draw >= s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
     drawn = direction_clusters(rows, keys, horizon).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("weight", weight)
     shares = drawn.groupBy(*keys, "b").agg((safe_div(F.sum(F.col("hits") * F.col("weight")), F.sum(F.col("count") * F.col("weight"))) * 100).alias("share"))
     cut = shares.groupBy(*keys).agg(F.percentile("share", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))

@@ -161,7 +161,11 @@ query("cv3_symmetric_conformal", "model, asset, cutoff, h, q10:3, q50:3, q90:3",
 query("ag12_headline", f"model, {fr.METRIC_SPEC}, {HEAD}", lambda s, d: score.headline(forecasts(s, d)), f"SELECT model, {HEADLINE} FROM {FINAL} GROUP BY model", CV)
 query("ag13_direction_interval", "model, direction_ci_low:6, direction_ci_high:6", lambda s, d: score.direction_interval(forecasts(s, d)))
 query("ag13_direction_clusters", "model, origin, hits:i, count:i", lambda s, d: score.direction_clusters(forecasts(s, d)), f"SELECT model, origin, sum(CASE WHEN sign(pr) = sign(ar) THEN 1 ELSE 0 END) AS hits, count(*) AS count FROM {FINAL} GROUP BY 1, 2", CV)
-query("ag13_hashed_interval", "model, direction_ci_low:6, direction_ci_high:6", lambda s, d: score.hashed_interval(forecasts(s, d)))
+DRAWN = f"""hits AS MATERIALIZED (SELECT model, origin, sum(CASE WHEN sign(pr) = sign(ar) THEN 1 ELSE 0 END) AS hits, count(*) AS n FROM {FINAL} GROUP BY 1, 2),
+ drawn AS (SELECT *, CAST('0x' || substr(md5('42:' || epoch_us(origin) || ':' || b), 1, 10) AS BIGINT) AS draw FROM hits, unnest(range(1, 201)) AS u(b)),
+ weighed AS (SELECT *, {" + ".join(f"CASE WHEN draw >= {s} THEN 1 ELSE 0 END" for s in score.poisson_steps())} AS weight FROM drawn),
+ shares AS (SELECT model, b, 100 * (sum(hits * weight) / nullif(sum(n * weight), 0)) AS share FROM weighed GROUP BY 1, 2)"""
+query("ag13_hashed_interval", "model, direction_ci_low:6, direction_ci_high:6", lambda s, d: score.hashed_interval(forecasts(s, d)), "SELECT model, ci[1] AS direction_ci_low, ci[2] AS direction_ci_high FROM (SELECT model, quantile_cont(share, [0.025, 0.975]) AS ci FROM shares GROUP BY model)", f"{CV}, {DRAWN}")
 query("ag14_headline_by_asset", f"model, asset, {HEAD}", lambda s, d: score.headline(forecasts(s, d), ["model", "asset"]), f"SELECT model, asset, {HEADLINE} FROM {FINAL} GROUP BY 1, 2", CV)
 query("ag14_headline_by_regime", "model, regime, return_mae:6, direction_accuracy:6", lambda s, d: score.headline(score.apply_regimes(forecasts(s, d), score.regime_cutpoints(split(s, d).where("split = 'calibration'"))), ["model", "regime"]), f"SELECT model, regime, {HEADLINE} FROM (SELECT *, CASE WHEN regime_driver <= c[1] THEN 'low' WHEN regime_driver <= c[2] THEN 'medium' ELSE 'high' END AS regime FROM {FINAL}, (SELECT quantile_cont(regime_driver, [1/3, 2/3]) AS c FROM (SELECT DISTINCT asset, origin, regime_driver FROM parts WHERE split = 'calibration'))) GROUP BY 1, 2", CV)
 query("jn15_metric_join", "model, pinball:4, clusters:i", lambda s, d: score.headline(forecasts(s, d)).join(score.direction_clusters(forecasts(s, d)).groupBy("model").agg(F.count("*").alias("clusters")), "model"), f"SELECT model, pinball, clusters FROM (SELECT model, {HEADLINE} FROM {FINAL} GROUP BY model) JOIN (SELECT model, count(DISTINCT origin) AS clusters FROM {FINAL} GROUP BY model) USING (model)", CV)
