@@ -10,7 +10,7 @@ from panelspark.operators import calibrate, ensemble, evidence, features, models
 from panelspark.plans import daily
 from panelspark.queries import frames as fr
 from panelspark.queries.registry import another, query
-from panelspark.sources import ingest
+from panelspark.sources import ingest, layout
 
 D = fr.DAILY
 P = fr.PANEL
@@ -234,3 +234,7 @@ query(
     lambda s, d: quantiles.quantiles(fr.table(s, d, "lineitem"), ["l_returnflag"], {"q": (F.col("l_extendedprice"), (0.1, 0.5, 0.9))}, LIMIT).select("l_returnflag", *(F.col("q")[i].alias(n) for i, n in enumerate(("low", "middle", "high")))),
     "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS low, quantile_cont(l_extendedprice, 0.5) AS middle, quantile_cont(l_extendedprice, 0.9) AS high FROM lineitem GROUP BY 1",
 )
+
+# The panel and its features as bucketed tables
+another("snk1_laid_out_features", "wn4_volatility", "asset, date, " + ", ".join(f"vol_{n}d:8" for n in features.WINDOWS), lambda s, d: features.daily_features(layout.kept_in_buckets(fr.panel(s, d), "panel")))
+another("snk1_laid_out_score", "ag5_score", f"model, {fr.METRIC_SPEC}", lambda s, d: score.score(daily.predictions(layout.kept_in_buckets(fr.panel(s, d), "panel"), fr.START, keep=layout.kept_in_buckets)))

@@ -263,6 +263,20 @@ def bar_stream(spark, d) -> DataFrame:
 query("stream_gap_bars", "asset, date, open:6, high:6, low:6, close:6, volume:1, missing_bar:i", lambda s, d: drained(stream.gap_bars(bar_stream(s, d)), "append", "gap_bars"), "SELECT * FROM grid", fr.INTRA)
 
 
+def shuffled_stream(spark, d) -> DataFrame:
+    """Bars of the events in files of five days by their arrival, which is up to two hours after their date."""
+    delay = F.make_dt_interval(mins=(F.crc32(F.concat_ws("/", "asset", "date").cast("binary")) % 121).cast("int"))
+    bars = kept(fr.bars(spark, d).withColumn("chunk", F.floor(F.unix_date((F.col("date") + delay).cast("date")) / 5)), "bars")
+    folder = f"{scratch(spark)}/bar-files-{uuid.uuid4().hex}"
+    for r in bars.select("chunk").distinct().orderBy("chunk").collect():
+        bars.where(F.col("chunk") == r["chunk"]).drop("chunk").orderBy(F.xxhash64("asset", "date")).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(bars.drop("chunk").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+HELD = fr.BARS.replace("bars AS (", "bars0 AS (") + ", bars AS (SELECT * FROM bars0 WHERE date <= (SELECT max(date) - INTERVAL 3 HOUR FROM bars0))"
+query("stream_late_gap_bars", "asset, date, open:6, high:6, low:6, close:6, volume:1, missing_bar:i", lambda s, d: drained(stream.late_gap_bars(shuffled_stream(s, d)), "append", "late_gap_bars"), "SELECT * FROM grid", f"{HELD}, {fr.GRID}")
+
+
 def latest_bars(spark, d) -> DataFrame:
     """Bars of the events in a first batch, doubled from 20 January on in a second one; the last arrival stays."""
     bars = kept(fr.bars(spark, d).select("asset", "date", "close"), "bars")

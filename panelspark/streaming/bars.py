@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from panelspark.sources.ingest import first_by, upsert
 
@@ -65,6 +66,49 @@ def gap_bars(bars: DataFrame, step_minutes: int = 15) -> DataFrame:
     return bars.groupBy("asset").applyInPandasWithState(fill, GAP_BARS, "at long, close double", "append", "NoTimeout")
 
 
+def late_gap_bars(bars: DataFrame, late: str = "3 hours", step_minutes: int = 15) -> DataFrame:
+    """gap_bars for bars that come in any order. A bar is held until the watermark, `late` behind the
+    newest bar of all assets, has reached it; then it is emitted after the bars that miss before it. An
+    event-time timer does so for assets without new bars. Of bars of one date the last to arrive while
+    it is held stays. Bars behind the watermark are dropped and counted (`dropped_late`). The state of
+    an asset is its last emitted date and close and the bars of the last `late`."""
+    step = step_minutes * 60_000_000
+    prices = ("open", "high", "low", "close", "volume")
+
+    def fill(key, frames, state):
+        last, close, held = None, None, {}
+        if state.exists:
+            last, close, dates, *values = state.get
+            held = dict(zip(dates, zip(*values, strict=True), strict=True))
+        for group in frames:
+            held.update(zip(group["at"].tolist(), group[list(prices)].astype(float).itertuples(index=False, name=None), strict=True))
+        mark, out = state.getCurrentWatermarkMs(), []
+        for when in sorted(t for t in held if t <= mark * 1000):
+            bar = held.pop(when)
+            if last is not None:
+                out += [(key[0], t, *[close] * 4, 0.0, 1) for t in range(last + step, when, step)]
+            out.append((key[0], when, *bar, 0))
+            last, close = when, bar[3]
+        dates = sorted(held)
+        state.update((last, close, dates, *([held[t][i] for t in dates] for i in range(len(prices)))))
+        if dates:
+            state.setTimeoutTimestamp(max(dates[0] // 1000 - 1, mark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["asset", "at", *prices, "missing_bar"]).astype({"at": "int64", "missing_bar": "int32", **dict.fromkeys(prices, "float64")})
+
+    marked = event_time(bars, "date").withWatermark("date", late).select("asset", "date", F.unix_micros("date").alias("at"), *prices)
+    made = "asset string, at long, " + ", ".join(f"{c} double" for c in prices) + ", missing_bar int"
+    kept = "last long, close double, dates array<long>, " + ", ".join(f"{c}s array<double>" for c in prices)
+    filled = marked.groupBy("asset").applyInPandasWithState(fill, made, kept, "append", "EventTimeTimeout")
+    return filled.select("asset", F.timestamp_micros("at").cast("timestamp_ntz").alias("date"), *prices, "missing_bar")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows behind the watermark in the batches whose progress the query still holds
+    (spark.sql.streaming.numRecentProgressUpdates)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def keep_latest(path: str, keys: list[str], arrival: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: each batch is a new version of the table, and the last two stay, so that
     a batch that is run again reads what it read before. Of rows of one key the last to arrive stays: by
