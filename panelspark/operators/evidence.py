@@ -10,9 +10,11 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from pathlib import Path, PurePosixPath
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,26 +112,58 @@ def facts() -> list[Column]:
     return [F.min("origin").cast("string").alias("first_origin"), F.max("origin").cast("string").alias("last_origin"), F.count_distinct("fold").alias("folds"), F.count_distinct("asset", "origin").alias("origins"), F.count("*").alias("rows"), F.sort_array(F.collect_set("model")).alias("models"), F.sort_array(F.collect_set("h")).alias("horizons")]
 
 
-def file_hash(path: Path) -> str:
-    """SHA-256 of a file, or of the names and hashes of the files of a folder."""
-    if path.is_dir():
-        parts = [f"{p.relative_to(path).as_posix()} {file_hash(p)}" for p in sorted(path.rglob("*")) if p.is_file() and p.name[0] not in "._"]
-        return hashlib.sha256("\n".join(parts).encode()).hexdigest()
-    with path.open("rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def opened(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", root))
 
 
-def hashed_files(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of the files below a path, read and hashed by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def listed(root: str) -> list[tuple[str, str, int]]:
+    """root, name below it and bytes of its files; names that begin with a dot or underscore are left out."""
+    store, base = opened(root)
+    if store.get_file_info(base).type == fs.FileType.File:
+        return [(root, PurePosixPath(base).name, store.get_file_info(base).size)]
+    found = store.get_file_info(fs.FileSelector(base, recursive=True))
+    names = ((f.path[len(base.rstrip("/")) + 1 :], f.size) for f in found if f.type == fs.FileType.File)
+    return [(root, n, size) for n, size in names if not any(p[0] in "._" for p in n.split("/"))]
 
 
-def write_manifest(path: Path, root: str, inputs: Iterable[Path], outputs: Iterable[Path], details: Mapping[str, object]) -> None:
+def file_digests(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the SHA-256 of the files, read in pieces."""
+    for b in batches:
+        found = []
+        for root, name in zip(b["root"], b["name"], strict=True):
+            store, base = opened(root)
+            alone = store.get_file_info(base).type == fs.FileType.File
+            digest = hashlib.sha256()
+            with store.open_input_stream(base if alone else f"{base.rstrip('/')}/{name}") as f:
+                while piece := f.read(1 << 20):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield b.assign(sha256=found)
+
+
+def hashed_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """root (one of the paths), name below it, bytes and sha256 of all files below the paths. The driver lists
+    them, as for any scan (Spark's own leaves empty files out); the executors read them in pieces."""
+    files = spark.createDataFrame([row for p in paths for row in listed(str(p))], "root string, name string, bytes long")
+    return files.mapInPandas(file_digests, "root string, name string, bytes long, sha256 string")
+
+
+def totals(listing: DataFrame, *keys: str) -> DataFrame:
+    """files, bytes and a checksum of a listing that does not hang on its order: the sum of the first 48
+    bits of the hash of each name and content."""
+    part = F.conv(F.substring(F.sha2(F.concat_ws(" ", "name", "sha256"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return listing.groupBy(*keys).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("checksum"))
+
+
+def write_manifest(spark: SparkSession, path: Path, root: str, inputs: Sequence[Path], outputs: Sequence[Path], details: Mapping[str, object]) -> None:
+    """Files, bytes and checksum of each input and output, hashed in one job, with the details."""
     base = Path(root)
-    entry = lambda p: {"path": inside(Path(p), base), "sha256": file_hash(Path(p))}
-    body = {"inputs": [entry(p) for p in inputs], "outputs": [entry(p) for p in outputs], **details}
-    create_once(path, json.dumps(portable(body, base), sort_keys=True, indent=1, default=str))
+    named = {str(p): inside(Path(p), base) for p in (*inputs, *outputs)}
+    found = {r["root"]: {"files": r["files"], "bytes": r["bytes"], "checksum": r["checksum"]} for r in totals(hashed_files(spark, *named), "root").collect()}
+    nothing = {"files": 0, "bytes": 0, "checksum": "0"}
+    entries = lambda ps: [{"path": named[str(p)], **found.get(str(p), nothing)} for p in ps]
+    create_once(path, json.dumps(portable({"inputs": entries(inputs), "outputs": entries(outputs), **details}, base), sort_keys=True, indent=1, default=str))
 
 
 def compare_listing(recorded: DataFrame, actual: DataFrame) -> DataFrame:
@@ -139,33 +173,43 @@ def compare_listing(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     return a.join(b, "name", "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select("name", state.alias("state"))
 
 
-def finalize(folder: Path, metadata: Mapping[str, object], required: Sequence[str] = REQUIRED) -> None:
-    """Records the hash of every file, turns status to complete and reads the files again to verify them;
-    needs all required metadata."""
+#: Where a finished run lists its files.
+LISTING = "_listing"
+
+
+def finalize(spark: SparkSession, folder: Path, metadata: Mapping[str, object], required: Sequence[str] = REQUIRED) -> None:
+    """Lists name, size and hash of every file as a table, states its totals in manifest.json with status
+    complete, and reads the files again to verify them; needs all required metadata."""
     lost = sorted(set(required) - set(metadata))
     if lost:
         raise ValueError(f"missing metadata: {lost}")
-    listed = {p.relative_to(folder).as_posix(): file_hash(p) for p in sorted(folder.rglob("*")) if p.is_file() and p.name != "manifest.json"}
-    replace(folder / "manifest.json", json.dumps({"status": "complete", "metadata": dict(metadata), "files": listed}, sort_keys=True, default=str))
-    verify(folder)
+    hashed_files(spark, str(folder)).where("name <> 'manifest.json'").drop("root").write.mode("overwrite").parquet(str(folder / LISTING))
+    listed = totals(spark.read.parquet(str(folder / LISTING))).first().asDict()
+    replace(folder / "manifest.json", json.dumps({"status": "complete", "metadata": dict(metadata), "listing": listed}, sort_keys=True, default=str))
+    verify(spark, folder)
+
+
+def differences(spark: SparkSession, folder: Path) -> DataFrame:
+    """name and state (missing, extra, changed) of files of a finished run that are not as listed."""
+    actual = hashed_files(spark, str(folder)).where("name <> 'manifest.json'")
+    return compare_listing(spark.read.parquet(str(folder / LISTING)), actual)
 
 
-def verify(folder: Path) -> None:
-    """Raises for a file that is missing, extra, changed or named in no canonical way."""
+def verify(spark: SparkSession, folder: Path) -> None:
+    """Raises for a file that is missing, extra, changed or named in no canonical way, and for another listing
+    than the manifest states."""
     body = read_json(folder / "manifest.json")
     if body["status"] != "complete":
         raise ValueError("run is not complete")
-    for name in body["files"]:
-        if PurePosixPath(name).as_posix() != name or inside(Path(name), folder) != name:
-            raise ValueError(f"not a canonical path: {name}")
-    now = {p.relative_to(folder).as_posix(): file_hash(p) for p in folder.rglob("*") if p.is_file() and p.name != "manifest.json"}
-    for name in sorted({*now, *body["files"]}):
-        if name not in now:
-            raise ValueError(f"missing file: {name}")
-        if name not in body["files"]:
-            raise ValueError(f"extra file: {name}")
-        if now[name] != body["files"][name]:
-            raise ValueError(f"changed file: {name}")
+    listing = spark.read.parquet(str(folder / LISTING))
+    if totals(listing).first().asDict() != body["listing"]:
+        raise ValueError("changed listing")
+    odd = listing.where(F.col("name").rlike(r"^/|\\|(^|/)\.{0,2}(/|$)")).first()
+    if odd:
+        raise ValueError(f"not a canonical path: {odd['name']}")
+    first = differences(spark, folder).orderBy("name").first()
+    if first:
+        raise ValueError(f"{first['state']} file: {first['name']}")
 
 
 def record_failure(folder: Path, error: BaseException) -> None:

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.operators import evidence, score, validate
 from panelspark.schemas import KEY, PREDICTIONS
+from panelspark.spark import kept
 
 COLUMNS = [c.split()[0] for c in PREDICTIONS.split(", ")]
 
 
 def evaluate(spark: SparkSession, bundles: Sequence[str], out: str, root: str, baseline: str = "vol_21d") -> DataFrame:
     """Reads bundles below root, checks that they compare, and only then makes `out` with five metric
-    tables and a manifest. Returns all metric tables."""
+    tables, each a folder of one CSV file, and a manifest. Returns all metric tables, computed once."""
     frames = [spark.read.parquet(f"{b}/predictions.parquet") for b in bundles]
     for f in frames:
         validate.check_predictions(f, COLUMNS)
@@ -31,13 +32,13 @@ def evaluate(spark: SparkSession, bundles: Sequence[str], out: str, root: str, b
     target = Path(out)
     evidence.inside(target, Path(root))
     target.mkdir(parents=True, exist_ok=False)
-    tables = score.metric_tables(rows)
+    tables = kept(score.metric_tables(rows), "metrics")
     keys = {"overall": [], "horizon": ["h"], "asset": ["asset"], "fold": ["fold"], "regime": ["fold", "regime"]}
     outputs = []
     for grain, more in keys.items():
         path = target / f"metrics_{grain}.csv"
-        tables.where(f"grain = '{grain}'").select("model", *more, "pinball", "coverage", "width", "med_MAPE", "`pinball_%`").orderBy("model", *more).toPandas().to_csv(path, index=False)
+        tables.where(f"grain = '{grain}'").select("model", *more, "pinball", "coverage", "width", "med_MAPE", "`pinball_%`").coalesce(1).sortWithinPartitions("model", *more).write.option("header", True).csv(str(path))
         outputs.append(path)
     facts = rows.agg(*evidence.facts()).first().asDict()
-    evidence.write_manifest(target / "manifest.json", root, [Path(b) / "predictions.parquet" for b in bundles], outputs, facts | {"cutoff": cutoffs.pop(), "key": KEY})
+    evidence.write_manifest(spark, target / "manifest.json", root, [Path(b) / "predictions.parquet" for b in bundles], outputs, facts | {"cutoff": cutoffs.pop(), "key": KEY})
     return tables

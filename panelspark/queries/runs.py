@@ -13,7 +13,7 @@ from panelspark.plans import evaluate
 from panelspark.queries import frames as fr
 from panelspark.queries.registry import query
 from panelspark.sources import demo, ingest, paged
-from panelspark.spark import scratch
+from panelspark.spark import kept, scratch
 
 CLIENT = "panelspark.sources.demo:klines"
 START = 10 * demo.HOUR
@@ -88,22 +88,20 @@ query("snk7_manifest", "rows, folds, origins, models, inputs, outputs", manifest
 
 
 def verified(spark, d) -> DataFrame:
-    """A finished run, whole and then with a file changed, one lost and one too many."""
-    root, listed = bundles(spark, d)
-    folder = Path(listed[0])
-    evidence.finalize(folder, dict.fromkeys(evidence.REQUIRED, "x"))
-    found = []
-    for name, act in (("whole", lambda: None), ("extra", lambda: (folder / "more").write_text("x")), ("changed", lambda: ((folder / "more").unlink(), (folder / "metadata.json").write_text("{}"))), ("missing", (folder / "metadata.json").unlink)):
+    """A finished run, whole and then with a file too many, one changed and one lost: files that differ, and
+    the rows of predictions that stay."""
+    folder = Path(bundles(spark, d)[1][0])
+    evidence.finalize(spark, folder, dict.fromkeys(evidence.REQUIRED, "x"))
+    rows = spark.read.parquet(str(folder / "predictions.parquet")).agg(F.count("*").alias("rows"))
+    out = None
+    for step, act in (("whole", lambda: None), ("extra", lambda: (folder / "more").write_text("x")), ("changed", lambda: ((folder / "more").unlink(), (folder / "metadata.json").write_text("{}"))), ("missing", (folder / "metadata.json").unlink)):
         act()
-        try:
-            evidence.verify(folder)
-            found.append((name, "ok"))
-        except ValueError as e:
-            found.append((name, str(e).split()[0]))
-    return spark.createDataFrame(found, "state string, verdict string")
+        found = kept(evidence.differences(spark, folder), "differences").select(F.lit(step).alias("step"), "name", "state")
+        out = found if out is None else out.unionByName(found)
+    return out.crossJoin(F.broadcast(rows))
 
 
-query("snk8_verified_run", "state, verdict", verified, "SELECT * FROM (VALUES ('whole', 'ok'), ('extra', 'extra'), ('changed', 'changed'), ('missing', 'missing')) AS t(state, verdict)")
+query("snk8_verified_run", "step, name, state, rows", verified, "SELECT step, name, step AS state, (SELECT count(*) FROM pred WHERE model = 'vol_5d') AS rows FROM (VALUES ('extra', 'more'), ('changed', 'metadata.json'), ('missing', 'metadata.json')) AS t(step, name)", fr.DAILY)
 
 
 def attempt(act) -> str:

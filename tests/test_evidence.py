@@ -1,6 +1,7 @@
 """Sources, sinks, run folders, manifests and streams."""
 
 import datetime as dt
+import hashlib
 import json
 from pathlib import Path
 
@@ -66,26 +67,50 @@ def test_files_are_written_once_or_replaced(tmp_path):
     assert p.read_text() == "3" and [f.name for f in tmp_path.iterdir()] == ["x"]
 
 
-def test_manifest_finds_tampering(tmp_path):
+def test_manifest_finds_tampering(spark, tmp_path):
     (tmp_path / "a").write_text("1")
     with pytest.raises(ValueError, match="missing metadata"):
-        evidence.finalize(tmp_path, {}, ["seed"])
-    evidence.finalize(tmp_path, {"seed": 1}, ["seed"])
-    evidence.verify(tmp_path)
+        evidence.finalize(spark, tmp_path, {}, ["seed"])
+    evidence.finalize(spark, tmp_path, {"seed": 1}, ["seed"])
+    evidence.verify(spark, tmp_path)
     (tmp_path / "b").write_text("2")
     with pytest.raises(ValueError, match="extra file"):
-        evidence.verify(tmp_path)
+        evidence.verify(spark, tmp_path)
     (tmp_path / "b").unlink()
     (tmp_path / "a").write_text("x")
     with pytest.raises(ValueError, match="changed file"):
-        evidence.verify(tmp_path)
+        evidence.verify(spark, tmp_path)
     (tmp_path / "a").unlink()
     with pytest.raises(ValueError, match="missing file"):
-        evidence.verify(tmp_path)
+        evidence.verify(spark, tmp_path)
     evidence.record_failure(tmp_path, ValueError("first\nsecond"))
     assert json.loads((tmp_path / "failure.json").read_text())["message"] == "first"
 
 
+def test_a_forged_listing_is_found(spark, tmp_path):
+    (tmp_path / "a").write_text("1")
+    evidence.finalize(spark, tmp_path, {"seed": 1}, ["seed"])
+    (tmp_path / "a").write_text("2")
+    forged = evidence.hashed_files(spark, str(tmp_path)).where("name <> 'manifest.json'").drop("root").toPandas()
+    spark.createDataFrame(forged).write.mode("overwrite").parquet(str(tmp_path / evidence.LISTING))
+    with pytest.raises(ValueError, match="changed listing"):
+        evidence.verify(spark, tmp_path)
+
+
+def test_hashes_of_nested_long_and_oddly_named_files(spark, tmp_path):
+    """Names are below their root; a file over several pieces hashes as it does whole."""
+    files = {"x/day=1/a b.bin": b"1", "x/long": bytes(range(256)) * 12_000, "y/empty": b"", "y/50% é": b"2", "y/_hidden": b"3"}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    roots = [str(tmp_path / "x"), str(tmp_path / "y"), str(tmp_path / "x" / "long")]
+    found = {(r["root"], r["name"]): (r["bytes"], r["sha256"]) for r in evidence.hashed_files(spark, *roots[:2]).collect()}
+    assert found == {(str(tmp_path / n[0]), n[2:]): (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items() if "_hidden" not in n}
+    assert [(r["name"], r["bytes"]) for r in evidence.hashed_files(spark, roots[2]).collect()] == [("long", 256 * 12_000)]
+    sums = {r["root"]: (r["files"], r["bytes"]) for r in evidence.totals(evidence.hashed_files(spark, *roots[:2]), "root").collect()}
+    assert sums == {roots[0]: (2, 1 + 256 * 12_000), roots[1]: (2, 1)}
+
+
 def test_listing_by_executors(spark, tmp_path):
     for n in "ab":
         (tmp_path / n).write_text(n)
