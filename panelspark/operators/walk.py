@@ -132,13 +132,13 @@ def garch(rows: DataFrame, panel: DataFrame, model: str = "garch") -> DataFrame:
         r = group["lr"].to_numpy() * 100
         before = r[(group["date"] < group["fit_end"]).to_numpy()]
         if len(before) < 30 or not before.var():
-            return pd.DataFrame({"fold": [], "asset": [], "date": [], "h": [], "sigma": []})
+            return pd.DataFrame(columns=["fold", "asset", "date", "h", "sigma"], dtype=object)
         omega, a, b = models.garch_fit(before)
         level, p, nxt = omega / (1 - a - b), a + b, models.garch_filter(r, omega, a, b)
         made = [np.sqrt(level + (nxt - level) * np.mean(p ** np.arange(h))) / 100 for h in features.HORIZONS]
         return pd.concat([group[["fold", "asset", "date"]].assign(h=np.int32(h), sigma=clipped(s)) for h, s in zip(features.HORIZONS, made, strict=True)])
 
-    sigma = returns.groupBy("fold", "asset").applyInPandas(run, "fold timestamp_ntz, asset string, date timestamp_ntz, h int, sigma double")
+    sigma = returns.repartition(FIT_TASKS, "fold", "asset").groupBy("fold", "asset").applyInPandas(run, "fold timestamp_ntz, asset string, date timestamp_ntz, h int, sigma double")
     return named(long_rows(rows).join(sigma, ["fold", "asset", "date", "h"]), model)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,8 +174,6 @@ query("prj1_model_features", "name, grp, by_default", feature_list, "SELECT * FR
 
 def saved(spark, d) -> DataFrame:
     """Models saved and loaded again: bands of the last row of each asset by both."""
-    import tempfile
-
     from panelspark.operators import calibrate
     from panelspark.spark import scratch
 
@@ -182,7 +182,7 @@ def saved(spark, d) -> DataFrame:
     rows = rows.where(F.col("fold") == F.lit(last))
     fitted = kept(walk.fit_trees(rows, COLUMNS, {"xgb": boosting.KINDS["xgb"]}), "models")
     z = calibrate.z_table(walk.tree_sigma(rows, fitted, COLUMNS).where("part = 'cal'"))
-    folder = f"{scratch(spark)}/{next(tempfile._get_candidate_names())}"
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
     walk.save(folder, fitted, z, COLUMNS)
     models_, z_, names = walk.load(spark, folder)
     a, b = (walk.tree_sigma(rows, m, c) for m, c in ((fitted, COLUMNS), (models_, names)))

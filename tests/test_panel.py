@@ -184,6 +184,21 @@ def test_predictors_fall_back_to_the_last_price(spark):
     assert found and all(r["yhat"] == r["last"] for r in found)
 
 
+def test_garch_leaves_out_an_asset_that_does_not_move(spark):
+    from panelspark.operators import walk
+
+    r = np.random.default_rng(2).normal(size=260) / 50
+    closes = {"M": 100 * np.exp(np.cumsum(r)), "F": np.full(260, 7.0)}
+    days = [START + i * DAY for i in range(260)]
+    panel = spark.createDataFrame([(a, t, float(c)) for a, cs in closes.items() for t, c in zip(days, cs, strict=True)], "asset string, date timestamp_ntz, close double")
+    ends = {f"label_end{h}": F.col("date") + F.make_dt_interval(days=F.lit(h)) for h in range(1, 8)}
+    ready = {f"{k}{h}": F.lit(0.01) for k in ("y", "rv") for h in range(1, 8)}
+    part = F.when(F.col("date") < days[240], "fit").otherwise("test")
+    rows = panel.withColumns({"fold": F.lit(days[240]), "part": part, "vol_21d": F.lit(0.02), **ends, **ready})
+    found = walk.garch(rows, panel).where("part = 'test'").toPandas()
+    assert set(found["asset"]) == {"M"} and len(found) == 20 * 7 and found["sigma"].between(0.005, 0.1).all()
+
+
 def test_garch_reacts_to_large_returns():
     r = np.random.default_rng(1).normal(size=400)
     omega, a, b = models.garch_fit(r)
