@@ -54,3 +54,30 @@ def test_users_of_quantiles(spark):
     for made in (lambda n: calibrate.one_sided_margins(df.withColumn("q10", F.col("q10") + 8).withColumn("q90", F.col("q90") - 6), limit=n), lambda n: calibrate.symmetric_factors(df, limit=n)):
         a, b = same(made)
         assert len(a) == len(b) > 0 and all(np.allclose([float(v) for v in x if not isinstance(v, str)], [float(v) for v in y if not isinstance(v, str)], rtol=1e-12) for x, y in zip(a, b, strict=True))
+
+
+def test_rows_of_a_group_stay_where_they_lie(spark):
+    """Rows meet ranges by a broadcast of the ranges, whatever sizes are guessed: no group is shuffled to a task."""
+    rows = spark.range(3000).select(F.struct((F.col("id") % 3).alias("k0")).alias("_k"), F.col("id").cast("double").alias("_v"))
+    begun = rows.groupBy("_k").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("inside"))
+    state = begun.withColumns({"rank": F.lit(9).cast("long"), "below": F.lit(0).cast("long")}).localCheckpoint()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for guess in ("-1", "100m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", guess)
+        plan = quantiles.narrowed(rows, state)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        met = [line for line in plan.splitlines() if "Join" in line and "_v" in line]
+        assert len(met) == 2 and all("BroadcastHashJoin" in line and "BuildRight" in line for line in met), plan
+
+
+def test_many_ranks(spark, monkeypatch):
+    """With more ranks than are broadcast, large groups meet them where they lie and the others by a shuffle."""
+    monkeypatch.setattr(quantiles, "RANKS", 20)
+    monkeypatch.setattr(quantiles, "GROUP", 600)
+    used = []
+    for name in ("where_they_lie", "by_group"):
+        monkeypatch.setattr(quantiles, name, lambda rows, ranges, f=getattr(quantiles, name), name=name: used.append(name) or f(rows, ranges))
+    rng = np.random.default_rng(5)
+    rows = [("hot", 1, float(x)) for x in rng.lognormal(0, 5, 3000)] + [(None, i % 9, float(x)) for i, x in enumerate(rng.normal(size=1800))] + [("tied", 3, float(i % 4)) for i in range(900)] + [("none", 1, None)]
+    check(spark, rows, 50)
+    assert set(used) == {"where_they_lie", "by_group"}
