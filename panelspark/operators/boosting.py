@@ -36,6 +36,8 @@ KINDS = {"lgbm": Shape(leaves=31, depth=64, ridge=0.0), "xgb": Shape(leaves=32,
 BINS = 64
 #: One in residuals, as a whole number; the most that a residual counts.
 UNIT, MOST = float(1 << 22), 256.0
+#: Gain, column, bin and side of missing values where nothing is gained.
+NO_SPLIT = (0.0, -1, 0, False)
 
 
 def cut_points(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
@@ -79,9 +81,9 @@ def best_split(total: np.ndarray, count: np.ndarray, shape: Shape) -> tuple[floa
     """(gain, column, bin, whether missing values go left) from sums and counts of columns by bins."""
     g, n = total[0].sum(), count[0].sum()
     whole = g * g / (n + shape.ridge)
-    best = (0.0, -1, 0, False)
-    for missing_left in (False, True):
-        left, held = np.cumsum(total[:, :-1], 1), np.cumsum(count[:, :-1], 1)
+    best = NO_SPLIT
+    left, held = np.cumsum(total[:, :-1], 1), np.cumsum(count[:, :-1], 1)
+    for missing_left in (False, True) if count[:, -1].any() else (False,):
         if missing_left:
             left, held = left + total[:, -1:], held + count[:, -1:]
         ok = (held >= shape.least) & (n - held >= shape.least)
@@ -134,7 +136,11 @@ class Growth:
     def put(self, node: int, g: float, n: int, split: tuple[float, int, int, bool]) -> None:
         """The sum and the number of a node's rows, and the best split of them."""
         self.value[node] = float(self.shape.rate * g / (n + self.shape.ridge)) if n + self.shape.ridge else 0.0
-        self.split[node] = split if self.depth[node] < self.shape.depth else (0.0, -1, 0, False)
+        self.split[node] = split if self.depth[node] < self.shape.depth else NO_SPLIT
+
+    def divisible(self, node: int, n: int) -> bool:
+        """Whether a node of n rows may have a split at all."""
+        return self.depth[node] < self.shape.depth and n >= 2 * self.shape.least
 
     def replay(self) -> tuple[list[int], list[int], int]:
         """The splits made so far in their order, the leaves, and how many splits may follow."""
@@ -161,9 +167,9 @@ class Growth:
             self.depth[at] = self.depth[at + 1] = self.depth[n] + 1
         return [(n, *self.children[n]) for n in best]
 
-    def goes_left(self, node: int, at: np.ndarray, bins: int) -> np.ndarray:
+    def goes_left(self, node: int, at: np.ndarray, rows: np.ndarray, bins: int) -> np.ndarray:
         _, column, cut, missing_left = self.split[node]
-        b = at[:, self.columns[column]]
+        b = at[rows, self.columns[column]]
         return np.where(b == bins - 1, missing_left, b <= cut)
 
     def place(self, at: np.ndarray, bins: int) -> np.ndarray:
@@ -171,7 +177,7 @@ class Growth:
         node = np.zeros(len(at), np.int64)
         for n in sorted(self.children):
             rows = np.flatnonzero(node == n)
-            left = self.goes_left(n, at[rows], bins)
+            left = self.goes_left(n, at, rows, bins)
             node[rows] = np.where(left, *self.children[n])
         return node
 
@@ -198,20 +204,26 @@ def histogram(flat: np.ndarray, residual: np.ndarray, rows: np.ndarray, bins: in
 
 
 def grow(at: np.ndarray, flat: np.ndarray, residual: np.ndarray, rows: np.ndarray, columns: np.ndarray, shape: Shape, bins: int) -> Tree:
-    """One tree on the whole residuals of `rows`."""
+    """One tree on the whole residuals of `rows`. Nodes that can't be divided need no histogram."""
     tree = Growth(shape, columns)
     held = {0: (rows, *histogram(flat, residual, rows, bins))}
     tree.give(0, *held[0][1:])
     while parts := tree.divide():
         node, left, right = parts[0]
         r, total, count = held.pop(node)
-        goes = tree.goes_left(node, at[r], bins)
-        a, b = r[goes], r[~goes]
-        less = histogram(flat, residual, min(a, b, key=len), bins)
-        rest = (total - less[0], count - less[1])
-        held[left], held[right] = ((a, *less), (b, *rest)) if len(a) <= len(b) else ((a, *rest), (b, *less))
-        for child in (left, right):
-            tree.give(child, *held[child][1:])
+        goes = tree.goes_left(node, at, r, bins)
+        sides = {left: r[goes], right: r[~goes]}
+        known = {}
+        if any(tree.divisible(child, len(own)) for child, own in sides.items()):
+            small, large = sorted(sides, key=lambda child: len(sides[child]))
+            known[small] = histogram(flat, residual, sides[small], bins)
+            known[large] = (total - known[small][0], count - known[small][1])
+        for child, own in sides.items():
+            if tree.divisible(child, len(own)):
+                held[child] = (own, *known[child])
+                tree.give(child, *known[child])
+            else:
+                tree.put(child, float(residual[own].sum() / UNIT), len(own), NO_SPLIT)
     return tree.tree()
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import clip_sigma, safe_ln
 from panelspark.operators import boosting, calibrate, ensemble, features, forest, models, recurrent, splits
+from panelspark.spark import kept
 
 HARS = ("har_1d", "har_5d", "har_22d")
 LONG = "model string, fold timestamp_ntz, part string, asset string, date timestamp_ntz, h int, y double, rv double, close double, vol_21d double, sigma double"
@@ -153,10 +154,11 @@ def row_key():
 def fit_each(rows: DataFrame, columns: Sequence[str], names: Sequence[str], make: Callable[[str, pd.DataFrame, int], bytes]) -> DataFrame:
     """A table of models (MODELS), one a fold, name and horizon: make(name, rows, h) gives a model as bytes
     from all rows of the fit part, which one task holds. Its rows have the columns, fold, asset, date, key
-    (their hash) and rv, the volatility over h steps."""
+    (their hash) and rv, the volatility over h steps. Rows that have a model are those of that name alone."""
     fit = rows.where("part = 'fit'")
-    each = long_rows(fit, *(c for c in columns if c != "vol_21d")).select("fold", "asset", "date", "h", "rv", row_key(), *columns)
-    each = each.withColumn("model", F.explode(F.array(*(F.lit(k) for k in names))))
+    if "model" not in rows.columns:
+        fit = fit.withColumn("model", F.explode(F.array(*(F.lit(k) for k in names))))
+    each = long_rows(fit, "model", *(c for c in columns if c != "vol_21d")).select("fold", "model", "asset", "date", "h", "rv", row_key(), *columns)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["asset", "date"], ignore_index=True)
@@ -167,23 +169,30 @@ def fit_each(rows: DataFrame, columns: Sequence[str], names: Sequence[str], make
     return each.repartition(FIT_TASKS, "fold", "model", "h").groupBy("fold", "model", "h").applyInPandas(run, MODELS)
 
 
-def sigma_each(rows: DataFrame, fitted: DataFrame, columns: Sequence[str], load: Callable[[bytes], object]) -> DataFrame:
+def sigma_each(rows: DataFrame, fitted: DataFrame, columns: Sequence[str] | Mapping[str, Sequence[str]], load: Callable[[bytes], object]) -> DataFrame:
     """Rows of the parts after the fit, with the volatility exp(predict(columns)) of each model of their
-    fold. The models, one a fold, name and horizon and some 100 kB each, go to all workers."""
+    fold; given columns for each name, rows have a model and get that one's. The models, one a fold, name and
+    horizon and some 100 kB each, go to all workers, which read those they need."""
+    sets = {k: list(c) for k, c in columns.items()} if isinstance(columns, Mapping) else None
     held: dict = {}
     for r in fitted.select("fold", "model", "h", "body").collect():
         held.setdefault(pd.Timestamp(r["fold"]), {}).setdefault(r["model"], {})[r["h"]] = bytes(r["body"])
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
-        loaded = {f: {m: {h: load(raw) for h, raw in hs.items()} for m, hs in ms.items()} for f, ms in shared.value.items()}
+        loaded: dict = {}
         for batch in batches:
             for fold, group in batch.groupby("fold"):
-                x = group[list(columns)].astype(float)
-                for model, hs in loaded.get(fold, {}).items():
+                for model, hs in shared.value.get(fold, {}).items():
+                    own = group[group["model"] == model] if sets else group
+                    if not len(own):
+                        continue
+                    if (fold, model) not in loaded:
+                        loaded[fold, model] = {h: load(raw) for h, raw in hs.items()}
+                    x = own[sets[model] if sets else list(columns)].astype(float)
                     with np.errstate(over="ignore"):
-                        sigma = np.stack([np.exp(np.asarray(hs[h].predict(x), float)) for h in features.HORIZONS], 1)
-                    yield long_frame(group, sigma, model)
+                        sigma = np.stack([np.exp(np.asarray(loaded[fold, model][h].predict(x), float)) for h in features.HORIZONS], 1)
+                    yield long_frame(own, sigma, model)
 
     return rows.where("part <> 'fit'").mapInPandas(run, LONG)
 
@@ -213,6 +222,32 @@ def fit_trees(rows: DataFrame, columns: Sequence[str], kinds: Mapping[str, boost
     return grown.unionByName(fit_each(rows.where(~F.col("fold").isin(large)), columns, list(shapes), make)) if len(large) < len(sizes) else grown
 
 
+def set_trees(rows: DataFrame, sets: Mapping[str, Sequence[str]], shape: boosting.Shape, task_rows: int = TASK_ROWS, seed: int = 42) -> DataFrame:
+    """LONG rows of trees of one shape on several sets of columns. rows: those of each set, its name as model
+    and columns of other sets as they come. All fits are tasks of one stage, unless a fold has more than
+    task_rows rows: then each set is fitted as fit_trees does."""
+    columns = list(dict.fromkeys(c for own in sets.values() for c in own))
+    fit = rows.where("part = 'fit'").withColumn("fold", F.struct("model", "fold"))
+    if max((r["count"] for r in fit.groupBy("fold").count().collect()), default=0) > task_rows:
+        out = None
+        for name, own in sets.items():
+            one = rows.where(F.col("model") == name).drop("model")
+            long = tree_sigma(one, fit_trees(one, own, {name: shape}, task_rows, seed), own)
+            out = long if out is None else out.unionByName(long)
+        return out
+    cuts = {tuple(k): dict(zip(columns, c, strict=True)) for k, c in forest.fold_cuts(fit, columns).items()}
+
+    def make(name: str, group: pd.DataFrame, h: int) -> bytes:
+        own = cuts[name, group["fold"].iloc[0].to_pydatetime()]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = np.log(group["rv"].to_numpy(float))
+        x = group[list(sets[name])].to_numpy(float)
+        return boosting.to_bytes(boosting.fit(x, y, shape, seed, cuts=[own[c] for c in sets[name]], keys=group["key"].to_numpy().view(np.uint64)))
+
+    fitted = fit_each(rows, columns, list(sets), make)
+    return sigma_each(rows.where("part <> 'fit'").repartition(FIT_TASKS, "fold", "model"), fitted, sets, boosting.from_bytes)
+
+
 def tree_sigma(rows: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sigma_each(rows, fitted, columns, boosting.from_bytes)
 
@@ -311,13 +346,12 @@ def ablation(ready: DataFrame, folds: DataFrame, columns: Sequence[str], kind: s
     folds. A sample for choosing features, not a test."""
     from panelspark.operators import score
 
-    found = []
-    for name, own in (candidates or ablation_candidates(columns)).items():
-        shape = {name: boosting.KINDS[kind]}
-        found.append(trees(parts(ready, folds, own), own, shape))
-    long = found[0]
-    for f in found[1:]:
-        long = long.unionByName(f)
+    sets = dict(candidates or ablation_candidates(columns))
+    rows = None
+    for name, own in sets.items():
+        one = parts(ready, folds, own).withColumn("model", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    long = kept(set_trees(kept(rows, "parts"), sets, boosting.KINDS[kind]), "long")
     rows = predictions(long)
     scored = score.score(rows, ["model", "fold"]).select(F.col("model").alias("candidate"), "fold", "pinball_%", "coverage")
     counts = rows.groupBy(F.col("model").alias("candidate"), "fold").agg(F.count_distinct("asset", "origin").alias("origin_count"))

@@ -113,3 +113,35 @@ def test_growth_is_the_same_for_any_width():
                 tree.give(child, *boosting.histogram(flat, y, np.flatnonzero(node == child), boosting.BINS))
         made.append(vars(tree.tree()))
     assert made[0] == made[1] == made[2] == vars(boosting.grow(at, flat, y, np.arange(600), np.arange(3), shape, boosting.BINS))
+
+
+def test_sets_of_columns_are_fitted_together(spark, monkeypatch):
+    """Trees of several sets of columns, each on rows of its own: one stage fits them all, and they are those
+    that a fit of each set alone gives, as are the trees of folds beyond a task."""
+    df, _, columns = frame(spark, 600)
+    shape, sets = SHAPES["flat"], {"all": columns, "two": ["x2", "x0"], "less": ["x1", "x3", "x2"]}
+    own = {name: df if name == "all" else df.where("x0 > -0.5") for name in sets}
+    rows = None
+    for name, cols in sets.items():
+        one = own[name].select(*(c for c in df.columns if c in cols or c not in columns)).withColumn("model", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    rows = rows.localCheckpoint()
+    plain = sorted(tuple(r) for name, cols in sets.items() for r in walk.trees(own[name], cols, {name: shape}).select("model", "fold", "asset", "date", "h", "sigma").collect())
+    fits, fit_each = [], walk.fit_each
+    monkeypatch.setattr(walk, "fit_each", lambda *args: fits.append(1) or fit_each(*args))
+    for task_rows in (10**6, 100):
+        found = walk.set_trees(rows, sets, shape, task_rows).select("model", "fold", "asset", "date", "h", "sigma").collect()
+        assert plain == sorted(map(tuple, found))
+        assert len(fits) == 1
+    assert {r[0] for r in plain} == set(sets)
+
+
+def test_nodes_that_cannot_be_divided_get_no_histogram(monkeypatch):
+    """The last level of a tree of depth 3, and nodes of less than twice the least rows."""
+    rng = np.random.default_rng(3)
+    at, y = rng.integers(0, 60, (800, 3)), boosting.whole(rng.normal(size=800))
+    shape, flat = boosting.Shape(8, 3, 1.0, least=10), at + np.arange(3) * boosting.BINS
+    sizes, histogram = [], boosting.histogram
+    monkeypatch.setattr(boosting, "histogram", lambda *args: sizes.append(len(args[2])) or histogram(*args))
+    tree = boosting.grow(at, flat, y, np.arange(800), np.arange(3), shape, boosting.BINS)
+    assert len(tree.value) == 15 and len(sizes) == 1 + 1 + 2
